@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.exact import exact_dedup
+from tallyforge.llm.packing import pack
 from tallyforge.llm.quality import quality_rules
 from tallyforge.llm.rans import read_ids, write_ids
 from tallyforge.llm.simhash import near_dedup
@@ -21,6 +22,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), words=True, end_id=1))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), words=False, end_id=0)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
