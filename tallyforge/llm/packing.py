@@ -16,9 +16,9 @@ from tallyforge.llm.common import bodies, dense_ranks, materialise, ship
 from tallyforge.llm.tokens import whole_texts
 
 #: Pieces over this share of a sequence are grouped and configured; shorter ones fill what is left.
-SMALL = 1 / 12
+SMALL = 1 / 4
 #: Groups of equal cardinality that long pieces are rounded up within.
-GROUPS = 160
+GROUPS = 400
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
