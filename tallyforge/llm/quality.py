@@ -25,6 +25,9 @@ DIM = len(FLOORS)
 SUPPORT = 0.75
 STEPS = 3
 TAIL = 1e-5
+#: Models (under 400 bytes each) up to which they are broadcast; slices of each group's rows beyond.
+BROADCAST_MODELS = 10_000
+SALTS = 32
 GROUP = ["lang_key", "source_key"]
 
 
@@ -146,6 +149,16 @@ def _moments(df: DataFrame, keys: list[str], scale: float) -> DataFrame:
     return df.select(*keys, *[mean(i).alias(f"m{i}") for i in range(DIM)], *[cov(i, j).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)])
 
 
+def _with_model(x: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
+    """Join each row with its group's model. Few models are broadcast, after a count; many are copied to SALTS slices,
+    over which a group's rows are spread, so that no group's rows meet in one task."""
+    if model.count() <= BROADCAST_MODELS:
+        return x.join(F.broadcast(model), GROUP, how)
+    spread = x.withColumn("salt", F.pmod(F.xxhash64(*[f"x{i}" for i in range(DIM)]), F.lit(SALTS)).cast("int"))
+    copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, [*GROUP, "salt"], how).drop("salt")
+
+
 def fit(stats: DataFrame) -> DataFrame:
     """A model per group: m0.., l00.., from all its rows x0...
 
@@ -163,9 +176,10 @@ def fit(stats: DataFrame) -> DataFrame:
     keys = [*GROUP, "start"]
     model = materialise(_cholesky(q.select(*keys, *[f"m{i}" for i in range(DIM)], *diagonal)), "model")
     for step in range(STEPS):
-        near = _distance(x.join(model, GROUP)).withColumn("bin", F.floor(F.log1p("d2") * 512).cast("long")).drop("d2")
+        near = _distance(_with_model(x, model)).withColumn("bin", F.floor(F.log1p("d2") * 512).cast("long")).drop("d2")
         inner = materialise(_quantiles(near, keys, "bin", [SUPPORT]), "support")
-        inside = near.join(inner, keys).filter(F.col("bin") <= F.col("q0"))
+        few = inner.count() <= BROADCAST_MODELS
+        inside = near.join(F.broadcast(inner) if few else inner, keys).filter(F.col("bin") <= F.col("q0"))
         model = materialise(_cholesky(_moments(inside, keys, CONSISTENCY if step == STEPS - 1 else 1.0)), "model")
     best = model.groupBy(*GROUP).agg(F.min_by(F.struct(*[c for c in model.columns if c not in GROUP]), F.struct("log_det", "start")).alias("b"))
     return best.select(*GROUP, "b.*").drop("start")
@@ -191,7 +205,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = materialise(_features(stats.withColumn("base_failed", failed)), "statistics")
     model = materialise(fit(stats.filter("not base_failed")), "model")
-    judged = _distance(stats.join(model, GROUP, "left"))
+    judged = _distance(_with_model(stats, model, "left"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(False))
     distance = F.when(~F.col("base_failed"), F.sqrt("d2"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"))
