@@ -10,6 +10,7 @@ from tallyforge.llm.packing import pack
 from tallyforge.llm.quality import quality_rules
 from tallyforge.llm.rans import read_ids, write_ids
 from tallyforge.llm.simhash import near_dedup
+from tallyforge.llm.zipwarc import read_archives, write_archives
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,7 +39,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(write_archives(_table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
+    "op10_zip_warc": op10_zip_warc,
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
@@ -51,4 +57,9 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY k) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size,
           doc_id = max(doc_id) OVER (PARTITION BY k) AS kept, sha256(k) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}') AS k FROM documents)""",
+    "op10_zip_warc": """
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+        FROM (SELECT *, payload_bytes >= 100 AND page_id <> first AS again
+          FROM (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first
+            FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)))""",
 }
