@@ -10,6 +10,7 @@ from tallyforge.llm.packing import pack
 from tallyforge.llm.quality import quality_rules
 from tallyforge.llm.rans import read_ids, write_ids
 from tallyforge.llm.simhash import near_dedup
+from tallyforge.llm.substring import substring_dedup
 from tallyforge.llm.treebpe import encode_decode
 from tallyforge.llm.zipwarc import read_archives, write_archives
 
@@ -36,6 +37,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op10_zip_warc": op10_zip_warc,
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_tree_bpe": op7_tree_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op4_simhash": op4_simhash,
