@@ -10,6 +10,7 @@ from tallyforge.llm.packing import pack
 from tallyforge.llm.quality import quality_rules
 from tallyforge.llm.rans import read_ids, write_ids
 from tallyforge.llm.simhash import near_dedup
+from tallyforge.llm.sitetree import extract_text
 from tallyforge.llm.substring import substring_dedup
 from tallyforge.llm.treebpe import encode_decode
 from tallyforge.llm.zipwarc import read_archives, write_archives
@@ -29,6 +30,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), words=False, end_id=0)
 
 
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op10_zip_warc": op10_zip_warc,
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_site_style_tree": op3_site_style_tree,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_tree_bpe": op7_tree_bpe,
     "op8_quality_rules": op8_quality_rules,
