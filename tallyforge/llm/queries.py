@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyforge.llm.backoff import backoff_scores
 from tallyforge.llm.exact import exact_dedup
 from tallyforge.llm.packing import pack
 from tallyforge.llm.quality import quality_rules
@@ -58,7 +60,12 @@ def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(_table(spark, sf_dir, "pages")))
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(_table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
+
+
 QUERIES = {
+    "op9_stupid_backoff": op9_stupid_backoff,
     "op10_zip_warc": op10_zip_warc,
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -80,4 +87,18 @@ ORACLE_SQL = {
         FROM (SELECT *, payload_bytes >= 100 AND page_id <> first AS again
           FROM (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first
             FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)))""",
+    "op9_stupid_backoff": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+        w AS (SELECT doc_id, len(l) AS n_words, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM d),
+        g AS (SELECT *, lag(w) OVER s AS v, lag(w, 2) OVER s AS u FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+        c AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS one,
+            count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS two,
+            count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) AS three, count(*) OVER () AS every FROM g),
+        p AS (SELECT *, lag(one) OVER s AS one_before, lag(two) OVER s AS two_before FROM c WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+        s AS (SELECT doc_id, CASE WHEN u IS NOT NULL AND three > 0 THEN 3 WHEN v IS NOT NULL AND two > 0 THEN 2 ELSE 1 END AS k,
+            CASE WHEN u IS NOT NULL AND three > 0 THEN ln(three / two_before)
+              WHEN v IS NOT NULL AND two > 0 THEN ln(two / one_before) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+              ELSE ln(greatest(one, 0.5) / greatest(every - n_words, 1)) + least(i - 1, 2) * ln(0.4) END AS x FROM p)
+        SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, count(*) FILTER (k = 3) AS n_trigram, count(*) FILTER (k = 2) AS n_bigram,
+          count(*) FILTER (k = 1) AS n_unigram, round(coalesce(sum(x), 0), 4) AS log_score FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, l""",
 }

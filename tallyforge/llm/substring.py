@@ -82,14 +82,14 @@ def unpack(raw: bytes, ordered: bool = False) -> np.ndarray:
 class Batch:
     """Words of a batch's documents, end to end, as hashes."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, lower: bool = False) -> None:
         ids = table.column("doc_id").to_pylist()
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
         self.null = [i is None for i in ids]
         self.bodies = table.column("body")
         look, parts = _hashes.__getitem__, []
         for body in self.bodies:
-            words = body.as_py().split()
+            words = (body.as_py().lower() if lower else body.as_py()).split()
             parts.append(np.fromiter(map(look, words), np.uint64, len(words)))
         self.counts = np.array([len(p) for p in parts], np.int64)
         self.first = np.cumsum(self.counts) - self.counts
