@@ -172,7 +172,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a join on its representative, which at most one part's rows share.
 
     Null and empty texts are one class. A null id counts in group_size and is never the row that stays, unless the
-    whole class has null ids (keep_id is then null, kept false). Rows repeated with the same id are all kept if the id
+    whole class has null ids (keep_id is then null, and all of them stay). Rows repeated with the same id are all kept if the id
     is. Other columns, whatever their names, are ignored. An empty table gives an empty result."""
     ship(docs.sparkSession)
     schema = "rep long, doc_id long, text_sha256 binary, body binary, max_id long, n long"
@@ -181,4 +181,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = reps.repartition(parts, "text_sha256").mapInArrow(lambda it: _global(it, table_bytes), "rep long, keep_id long, group_size long")
     rows = first.filter("n is null").select("rep", "doc_id", F.lower(F.hex("text_sha256")).alias("text_sha256"))
-    return rows.join(classes, "rep").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+    return rows.join(classes, "rep").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -237,7 +237,8 @@ def cut_text(body: bytes, gone: np.ndarray) -> bytes:
 
 def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table:
     if not table.num_rows:
-        return _rows(OUT, [[]] * len(OUT))
+        out = _rows(OUT, [[]] * len(OUT))
+        return out.append_column("carried", pa.chunked_array([[]], table.schema.field("carried").type)) if with_text else out
     b = Batch(table)
     gone = np.zeros(len(b.wh), bool)
     paths: list[dict] = []
@@ -267,6 +268,7 @@ def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table
             last = np.append(s[1:], len(at)) - 1
             paths = list(zip(own[s].tolist(), (at[s] - b.first[own[s]]).tolist(), (at[last] - at[s] + k).tolist(), src[s].tolist(), src_at[s].tolist(), strict=True))
     rows: list[list] = [[] for _ in OUT]
+    at_doc: list[int | None] = []
     by_doc: dict[int, list] = {}
     for p in paths:
         by_doc.setdefault(p[0], []).append(p)
@@ -278,13 +280,16 @@ def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table
         if with_text:
             text = (cut_text(body, g) if g.any() else body).decode("utf-8", "replace")
         new = (None if b.null[i] else int(b.ids[i]), n, int(g.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), text, None)
+        at_doc.append(i)
         for c, v in zip(rows, new, strict=True):
             c.append(v)
         for _, start, length, src, src_at in by_doc.get(i, ()):
             digest = xxhash.xxh3_128_digest(b" ".join(words[start : start + length]))
+            at_doc.append(None)
             for c, v in zip(rows, (None, None, None, None, None, {"src_doc": src, "src_start": src_at, "n": length, "digest": digest}), strict=True):
                 c.append(v)
-    return _rows(OUT, rows)
+    out = _rows(OUT, rows)
+    return out.append_column("carried", table.column("carried").combine_chunks().take(pa.array(at_doc, pa.int64()))) if with_text else out
 
 
 def unverified(table: pa.Table, paths: pa.Table) -> pa.Table:
@@ -303,7 +308,8 @@ def unverified(table: pa.Table, paths: pa.Table) -> pa.Table:
 
 
 def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, verify: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text, if asked for).
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and, if asked for, kept_text, and as the struct
+    `carried` the row itself without its text).
 
     A word goes if a window of k words over it also starts in a document with a smaller id. kept_text is the text
     without those words, its other white space as it was; a text that loses nothing is unchanged.
@@ -315,17 +321,21 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     deal = lambda df, c: df.withColumn("batch", F.pmod(F.xxhash64(c), F.lit(n)).cast("int"))
-    dealt = deal(bodies(docs, id_col, text_col), F.coalesce("doc_id", F.lit(NO_ID)))
+    rows = bodies(docs, id_col, text_col)
+    if with_text:
+        others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("body"), F.struct(*others).alias("carried"))
+    dealt = deal(rows, F.coalesce("doc_id", F.lit(NO_ID)))
+    schema = _ddl(OUT) + (f", carried {rows.schema['carried'].dataType.simpleString()}" if with_text else "")
     asked = dealt.groupBy("batch").applyInArrow(lambda t: ask_minimisers(t, k, n), _ddl(ASK1))
     said = asked.groupBy("slice").applyInArrow(say_minimisers, _ddl(SAY1))
     asked = dealt.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(lambda t, s: ask_edges(t, s, k, n), _ddl(ASK2))
     said = asked.groupBy("slice").applyInArrow(say_edges, _ddl(SAY2))
-    done = dealt.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(lambda t, s: remove(t, s, k, with_text), _ddl(OUT))
+    done = dealt.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(lambda t, s: remove(t, s, k, with_text), schema)
     done = materialise(done, "passages")
     if verify:
         paths = deal(done.filter("path is not null").select("path.*").distinct(), "src_doc")
         bad = dealt.groupBy("batch").cogroup(paths.groupBy("batch")).applyInArrow(unverified, "src_doc long, src_start long")
         if (first := bad.first()) is not None:
             raise ValueError(f"words at document {first.src_doc}, position {first.src_start} differ from their copy")
-    out = done.filter("path is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
-    return out if with_text else out.drop("kept_text")
+    return done.filter("path is null").drop("path", *([] if with_text else ["kept_text"]))
