@@ -20,17 +20,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import bodies, materialise, ship
+from tallyforge.llm.common import bodies, ship
 
 #: Words of a minimiser; multipliers of the two rolling hashes (3 modulo 8, so that swapped words don't cancel).
-GRAM = 5
+GRAM = 6
 _M1, _M2 = 0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB53
+_SECOND = np.uint64((1 << 24) - 1)
 NO_ID = (1 << 63) - 1  # stands for a null id: smaller than none
-WORDS_HELD = 1_000_000
+WORDS_HELD = 300_000
+#: Batches for each shuffle partition: a batch and its arrays are in memory at once.
+BATCHES = 4
 
 
 class _Hashes(dict):
@@ -188,7 +192,7 @@ def ask_edges(table: pa.Table, said: pa.Table, k: int, slices: int) -> pa.Table:
     at = b.windows(k)
     repeated = np.sort(np.concatenate([unpack(x, True) for x in said.column("a").to_pylist()]))
     at = at[_within(b.minimisers(at, k)[1], repeated)]
-    h1, h2 = _grams(b.wh, k, _M1)[at], _grams(b.wh, k, _M2)[at] >> np.uint64(32)
+    h1, h2 = _grams(b.wh, k, _M1)[at], _grams(b.wh, k, _M2)[at] & _SECOND
     doc, pos = b.ids[b.owner[at]], at - b.first[b.owner[at]]
     order = np.lexsort((pos, doc, h2, h1))
     h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
@@ -215,7 +219,9 @@ def say_edges(table: pa.Table) -> pa.Table:
     s = _group_starts(a, b)
     size = np.diff(np.append(s, len(a)))
     again = np.repeat((size > 1) | np.logical_or.reduceat(flag, s), size)
+    own = doc
     doc, pos = np.repeat(doc[s], size), np.repeat(pos[s], size)
+    again &= flag | (own != doc)  # whoever is the source alone needs no answer
     rows: list[list] = [[] for _ in SAY2]
     for i, batch in enumerate(batches):
         m = again & (who == i)
@@ -247,7 +253,7 @@ def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table
         order = np.lexsort((cols[1], cols[0]))
         a, bb, doc, pos = (c[order] for c in cols)
         doc, pos = doc.astype(np.int64), pos.astype(np.int64)
-        h1, h2 = _grams(b.wh, k, _M1)[at], _grams(b.wh, k, _M2)[at] >> np.uint64(32)
+        h1, h2 = _grams(b.wh, k, _M1)[at], _grams(b.wh, k, _M2)[at] & _SECOND
         hit = np.searchsorted(a, h1)
         for _ in range(64):  # equal first hashes lie side by side
             step = (hit < len(a)) & (a[np.minimum(hit, len(a) - 1)] == h1) & (bb[np.minimum(hit, len(a) - 1)] != h2)
@@ -272,6 +278,7 @@ def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table
     by_doc: dict[int, list] = {}
     for p in paths:
         by_doc.setdefault(p[0], []).append(p)
+    sent: set[tuple] = set()
     for i, (f, n) in enumerate(zip(b.first.tolist(), b.counts.tolist(), strict=True)):
         body = b.bodies[i].as_py()
         words, g = body.split(), gone[f : f + n]
@@ -285,6 +292,9 @@ def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table
             c.append(v)
         for _, start, length, src, src_at in by_doc.get(i, ()):
             digest = xxhash.xxh3_128_digest(b" ".join(words[start : start + length]))
+            if (src, src_at, length, digest) in sent:
+                continue
+            sent.add((src, src_at, length, digest))
             at_doc.append(None)
             for c, v in zip(rows, (None, None, None, None, None, {"src_doc": src, "src_start": src_at, "n": length, "digest": digest}), strict=True):
                 c.append(v)
@@ -292,22 +302,25 @@ def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table
     return out.append_column("carried", table.column("carried").combine_chunks().take(pa.array(at_doc, pa.int64()))) if with_text else out
 
 
-def unverified(table: pa.Table, paths: pa.Table) -> pa.Table:
-    """Paths whose words at the source coordinates are not those of the document that lost them."""
-    want: dict[int, list] = {}
-    for p in paths.to_pylist():
-        want.setdefault(p["src_doc"], []).append(p)
+def verified(table: pa.Table, done: pa.Table) -> pa.Table:
+    """The documents' rows, after the words at each path's source coordinates proved to be those that another lost."""
+    is_path = done.column("path").combine_chunks().is_valid()
+    want: dict[int, set] = {}
+    for p in done.filter(is_path).column("path").to_pylist():
+        want.setdefault(p["src_doc"], set()).add((p["src_start"], p["n"], p["digest"]))
     seen: dict[int, set] = {}
     if want:
         for doc, body in zip(table.column("doc_id").to_pylist(), table.column("body"), strict=True):
             if (doc := NO_ID if doc is None else doc) in want:
                 words = body.as_py().split()
-                seen.setdefault(doc, set()).update((p["src_start"], p["n"], xxhash.xxh3_128_digest(b" ".join(words[p["src_start"] : p["src_start"] + p["n"]]))) for p in want[doc])
-    bad = [p for doc, ps in want.items() for p in ps if (p["src_start"], p["n"], p["digest"]) not in seen.get(doc, ())]
-    return pa.table({"src_doc": pa.array([p["src_doc"] for p in bad], pa.int64()), "src_start": pa.array([p["src_start"] for p in bad], pa.int64())})
+                seen.setdefault(doc, set()).update((s, n, xxhash.xxh3_128_digest(b" ".join(words[s : s + n]))) for s, n, _ in want[doc])
+    for doc, paths in want.items():
+        if wrong := paths - seen.get(doc, set()):
+            raise ValueError(f"words at document {doc}, position {min(wrong)[0]} differ from their copy")
+    return done.filter(pa.compute.invert(is_path)).drop_columns(["batch"])
 
 
-def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, verify: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and, if asked for, kept_text, and as the struct
     `carried` the row itself without its text).
 
@@ -316,11 +329,11 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
 
     Null texts have no words; texts under k words lose none. Null ids are larger than any id and not smaller than each
     other. Rows that repeat an id don't remove each other's words. Other columns are ignored; an empty table gives an
-    empty result. Raises if the words at a path's source coordinates differ (a collision of 96-bit hashes)."""
+    empty result. Raises if the words at a path's source coordinates differ (a collision of 88-bit hashes)."""
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    deal = lambda df, c: df.withColumn("batch", F.pmod(F.xxhash64(c), F.lit(n)).cast("int"))
+    deal = lambda df, c: df.withColumn("batch", F.pmod(F.xxhash64(c), F.lit(BATCHES * n)).cast("int"))
     rows = bodies(docs, id_col, text_col)
     if with_text:
         others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
@@ -332,10 +345,7 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     asked = dealt.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(lambda t, s: ask_edges(t, s, k, n), _ddl(ASK2))
     said = asked.groupBy("slice").applyInArrow(say_edges, _ddl(SAY2))
     done = dealt.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(lambda t, s: remove(t, s, k, with_text), schema)
-    done = materialise(done, "passages")
-    if verify:
-        paths = deal(done.filter("path is not null").select("path.*").distinct(), "src_doc")
-        bad = dealt.groupBy("batch").cogroup(paths.groupBy("batch")).applyInArrow(unverified, "src_doc long, src_start long")
-        if (first := bad.first()) is not None:
-            raise ValueError(f"words at document {first.src_doc}, position {first.src_start} differ from their copy")
-    return done.filter("path is null").drop("path", *([] if with_text else ["kept_text"]))
+    # paths go to the batch of their source, documents' rows to their own: the same deal of the texts serves again
+    done = deal(done, F.coalesce("path.src_doc", "doc_id", F.lit(NO_ID)))
+    checked = dealt.groupBy("batch").cogroup(done.groupBy("batch")).applyInArrow(verified, schema)
+    return checked.drop("path", *([] if with_text else ["kept_text"]))

@@ -62,9 +62,11 @@ def test_text_and_paths(spark):
 
 def test_verification():
     table = pa.table({"doc_id": pa.array([1]), "body": pa.array([b"a b c d"]), "batch": pa.array([0], pa.int32())})
-    path = {"src_doc": 1, "src_start": 1, "n": 2, "digest": S.xxhash.xxh3_128_digest(b"b c"), "batch": 0}
-    assert S.unverified(table, pa.Table.from_pylist([path])).num_rows == 0
-    assert S.unverified(table, pa.Table.from_pylist([path | {"src_start": 0}])).num_rows == 1
+    path = {"src_doc": 1, "src_start": 1, "n": 2, "digest": S.xxhash.xxh3_128_digest(b"b c")}
+    done = lambda p: pa.table({"batch": pa.array([0, 0], pa.int32()), "doc_id": pa.array([1, None]), "path": pa.array([None, p], S.OUT["path"])})
+    assert S.verified(table, done(path)).to_pylist() == [{"doc_id": 1, "path": None}]
+    with pytest.raises(ValueError):
+        S.verified(table, done(path | {"src_start": 0}))
 
 
 @pytest.mark.parametrize("n", [0, 1, 1000])
