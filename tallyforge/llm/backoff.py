@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import bodies, ship
-from tallyforge.llm.substring import _M1, NO_ID, Batch, _grams, _mix, _slices, pack, unpack
+from tallyforge.llm.substring import _M1, BATCHES, NO_ID, Batch, _grams, _mix, _slices, pack, unpack
 
 #: Longest n-gram, the factor of each step back, and the count of a word that no other document has.
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
@@ -107,7 +107,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = bodies(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(n)).cast("int"))
+    dealt = bodies(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(BATCHES * n)).cast("int"))
     asked = dealt.groupBy("batch").applyInArrow(lambda t: _ask(t, n), "slice int, batch int, a binary, n binary, tokens long")
     said = asked.groupBy("slice").applyInArrow(_say, "batch int, slice int, n binary, tokens long")
     pairs = dealt.groupBy("batch").cogroup(said.groupBy("batch"))
