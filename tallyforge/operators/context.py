@@ -1,0 +1,43 @@
+"""Budgets over ordered items."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def break_at_first_miss(df: DataFrame, unit: str, order: list[str], cost: str, budget: int) -> DataFrame:
+    """Items of each unit until the first that doesn't fit. Costs aren't negative, so a running sum says the same."""
+    w = Window.partitionBy(unit).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("used", F.sum(cost).over(w).cast("long")).filter(F.col("used") <= budget)
+
+
+def skip_and_continue(df: DataFrame, unit: str, order: str, cost: str, budget: int) -> DataFrame:
+    """Items of each unit that fit when those that don't are skipped: an ordered fold, not a running sum.
+
+    A unit's items are one review's candidates (bounded by the context's own limits), folded within the row."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"))))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{dict(df.dtypes)[order]}>").alias("kept"))
+    fold = F.aggregate(
+        items,
+        start,
+        lambda s, x: F.when(s["used"] + x["c"] <= budget, F.struct((s["used"] + x["c"]).alias("used"), F.concat(s["kept"], F.array(x["o"])).alias("kept"))).otherwise(s),
+    )
+    return df.groupBy(unit).agg(fold.alias("f")).select(unit, F.col("f.used").alias("used"), F.explode_outer("f.kept").alias(order))
+
+
+def truncating_budget(df: DataFrame, unit: str, order: list[str], text: str, budget: int, least: int = 400) -> DataFrame:
+    """Texts until the budget; the one that crosses it is cut if `least` characters remain, the rest go."""
+    w = Window.partitionBy(unit).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(budget) - F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))
+    out = df.withColumn("left", left.cast("long"))
+    fits = F.length(text) <= F.col("left")
+    return out.filter(fits | (F.col("left") >= least)).withColumn(text, F.when(fits, F.col(text)).otherwise(F.substring(F.col(text), F.lit(1), F.col("left").cast("int")))).drop("left")
+
+
+def instruction_score(path):
+    """strong names over others, the root and documentation folders over deep ones; in halves."""
+    name = F.lower(F.regexp_extract(path, "([^/]*)$", 1))
+    depth = F.size(F.split(path, "/")) - 1
+    named = F.when(name.isin("agents.md", "contributing.md", "style.md"), 20).when(name.rlike("guide|convention|rule"), 10).otherwise(0)
+    return (named + F.when(depth == 0, 6).otherwise(0) + F.when(path.rlike("^(docs|\\.github)/"), 2).otherwise(0) - F.least(depth, F.lit(4))).cast("long")

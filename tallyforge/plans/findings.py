@@ -1,46 +1,175 @@
-"""Finding queries over the findings view of `orders`."""
+"""Finding queries. Adapters read `orders` as findings and `documents` as findings with fingerprints."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.catalog import query
+from tallyforge.operators import findings as O
+from tallyforge.operators import text as T
 from tallyforge.sources.tables import table
 
-#: Findings kept per level in one review; other levels have no cap.
-LEVEL_CAPS = {"P3": 3, "P4": 2, "P5": 1}
-
-FINDINGS_SQL = """
-  SELECT o_orderkey AS finding_id, o_custkey AS review_id, 'P' || CAST(CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS VARCHAR) AS severity,
-    CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS level, CAST(round(o_totalprice * 100) AS BIGINT) % 1000 AS conf, o_orderstatus AS category
-  FROM orders"""
+#: `orders` as findings, for the oracles.
+FINDINGS = """f AS (SELECT o_orderkey AS finding_id, o_custkey AS review_id, 'P' || CAST(CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS VARCHAR) AS severity,
+    CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS level, CAST(round(o_totalprice * 100) AS BIGINT) % 1000 AS conf,
+    CASE o_orderstatus WHEN 'P' THEN 'security' WHEN 'F' THEN 'bug' ELSE 'test_gap' END AS category FROM orders)"""
+CAP = "CASE level WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 2147483647 END"
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`orders` as findings: level from the priority, confidence in thousandths from the price."""
     level = F.substring("o_orderpriority", 1, 1).cast("int") - 1
+    status = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("finding_id"),
         F.col("o_custkey").alias("review_id"),
         F.concat(F.lit("P"), level.cast("string")).alias("severity"),
         level.alias("level"),
         (F.round(F.col("o_totalprice") * 100).cast("long") % 1000).alias("conf"),
-        F.col("o_orderstatus").alias("category"),
+        F.when(status == "P", "security").when(status == "F", "bug").otherwise("test_gap").alias("category"),
+    )
+
+
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` as findings: the first 40 characters are the title, the source is the file."""
+    d = table(spark, sf_dir, "documents")
+    title = F.substring("text", 1, 40)
+    return d.select(
+        F.col("doc_id").alias("finding_id"),
+        F.col("source").alias("file"),
+        F.col("lang").alias("category"),
+        T.fingerprint(F.col("source"), F.col("lang"), title).alias("fingerprint"),
+        (F.col("n_chars") % 1000).alias("conf"),
+        (F.col("doc_id") % 6).cast("int").alias("level"),
+        (F.col("n_chars") % 50).cast("int").alias("line"),
+        F.array((F.col("n_chars") % 50).cast("int")).alias("locations"),
     )
 
 
-def level_caps(df: DataFrame) -> DataFrame:
-    """Within a review, the most confident findings of each capped level; the rank carries an explicit tie-break."""
-    w = Window.partitionBy("review_id", "severity").orderBy(F.desc("conf"), "finding_id")
-    cap = F.coalesce(*[F.when(F.col("severity") == k, F.lit(v)) for k, v in LEVEL_CAPS.items()], F.lit(2**31 - 1))
-    return df.withColumn("rank_in_level", F.row_number().over(w)).filter(F.col("rank_in_level") <= cap)
+PRINTED = r"""d AS (SELECT doc_id AS finding_id, source AS file, lang AS category,
+    substr(sha256(concat_ws('|', source, lang, trim(regexp_replace(lower(substr(text, 1, 40)), '\s+', ' ', 'g')))), 1, 32) AS fingerprint,
+    n_chars % 1000 AS conf, CAST(doc_id % 6 AS INT) AS level, CAST(n_chars % 50 AS INT) AS line FROM documents)"""
+
+
+@query("finding_level_caps", f"WITH {FINDINGS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY review_id, severity ORDER BY conf DESC, finding_id) AS INT) AS rank_in_level FROM f) SELECT * FROM r WHERE rank_in_level <= {CAP}")
+def finding_level_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.level_caps(findings(spark, sf_dir))
+
+
+@query("finding_total_cap", f"WITH {FINDINGS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY review_id ORDER BY level, conf DESC, finding_id) AS INT) AS rank_in_review FROM f) SELECT * FROM r WHERE rank_in_review <= 12")
+def finding_total_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.total_cap(findings(spark, sf_dir))
+
+
+@query("finding_overflow", f"WITH {FINDINGS} SELECT review_id, count(*) - 12 AS overflow FROM f GROUP BY review_id HAVING count(*) > 12")
+def finding_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.overflow(findings(spark, sf_dir))
+
+
+@query("policy_floor", f"WITH {FINDINGS} SELECT * FROM f WHERE (category = 'security' OR level <= 3) AND conf >= 350")
+def policy_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.policy_floor(findings(spark, sf_dir), 3)
+
+
+@query("grave_split", f"WITH {FINDINGS} SELECT *, category = 'security' OR level <= 1 AS grave FROM f")
+def grave_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.grave(findings(spark, sf_dir))
+
+
+@query("needs_verification", f"WITH {FINDINGS} SELECT *, CAST(NULL AS VARCHAR) AS detector, category = 'security' OR (level <= 1 AND conf < 750) AS needs_check FROM f")
+def needs_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.needs_check(findings(spark, sf_dir).withColumn("detector", F.lit(None).cast("string")))
+
+
+@query("demote_advice", f"WITH {FINDINGS} SELECT finding_id, review_id, conf, category, CASE WHEN category = 'test_gap' AND level <= 4 THEN 4 ELSE level END AS level, CASE WHEN category = 'test_gap' AND level <= 4 THEN 'P4' ELSE severity END AS severity FROM f")
+def demote_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.demote_advice(findings(spark, sf_dir))
 
 
 @query(
-    "finding_level_caps",
-    f"""WITH f AS ({FINDINGS_SQL}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY review_id, severity ORDER BY conf DESC, finding_id) AS INT) AS rank_in_level FROM f)
-    SELECT * FROM r WHERE rank_in_level <= CASE severity WHEN 'P3' THEN 3 WHEN 'P4' THEN 2 WHEN 'P5' THEN 1 ELSE 2147483647 END""",
+    "severity_counts_zero_filled",
+    f"WITH {FINDINGS}, l AS (SELECT unnest(['P0','P1','P2','P3','P4','P5']) AS severity) SELECT r.review_id, l.severity, count(f.finding_id) AS n FROM (SELECT DISTINCT review_id FROM f) r CROSS JOIN l LEFT JOIN f ON f.review_id = r.review_id AND f.severity = l.severity GROUP BY ALL",
 )
-def finding_level_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return level_caps(findings(spark, sf_dir))
+def severity_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.severity_counts(findings(spark, sf_dir))
+
+
+@query("verdict_per_review", f"WITH {FINDINGS} SELECT review_id, CASE WHEN bool_or(level <= 1) THEN 'request_changes' ELSE 'comment' END AS verdict FROM f GROUP BY review_id")
+def verdict_per_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.verdict(findings(spark, sf_dir))
+
+
+@query(
+    "score_per_review",
+    f"""WITH {FINDINGS}, w AS (SELECT review_id, min(level) AS worst FROM f GROUP BY review_id), c AS (SELECT c_custkey AS review_id, 60 + c_custkey % 41 AS coverage FROM customer)
+    SELECT c.review_id, CAST(CASE WHEN worst IS NULL THEN CASE WHEN coverage >= 80 THEN 5 ELSE 4 END ELSE greatest(1, least(worst + 1, 4) - CASE WHEN coverage < 80 THEN 1 ELSE 0 END) END AS INT) AS score FROM c LEFT JOIN w USING (review_id)""",
+)
+def score_per_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coverage = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("review_id"), (60 + F.col("c_custkey") % 41).alias("coverage"))
+    return O.score(findings(spark, sf_dir), coverage)
+
+
+@query("overall_confidence", f"WITH {FINDINGS}, w AS (SELECT *, CASE level WHEN 0 THEN 6 WHEN 1 THEN 5 WHEN 2 THEN 4 ELSE 2 END AS w FROM f) SELECT review_id, CAST(sum(w * conf) // sum(w) AS BIGINT) AS confidence FROM w GROUP BY review_id")
+def overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.overall_confidence(findings(spark, sf_dir))
+
+
+@query("fingerprint_sha", f"WITH {PRINTED} SELECT finding_id, fingerprint FROM d")
+def fingerprint_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return printed(spark, sf_dir).select("finding_id", "fingerprint")
+
+
+COLLAPSED = f"""{PRINTED}, c AS (SELECT fingerprint, min(finding_id) AS finding_id, arg_min(file, finding_id) AS file, arg_min(category, finding_id) AS category, arg_min(line, finding_id) AS line,
+    max(conf) AS conf, min(level) AS level FROM d GROUP BY fingerprint)"""
+
+
+@query("collapse_identical", f"WITH {COLLAPSED}, l AS (SELECT fingerprint, count(DISTINCT line) AS n_locations FROM d GROUP BY fingerprint) SELECT c.*, n_locations FROM c JOIN l USING (fingerprint)")
+def collapse_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.collapse(printed(spark, sf_dir)).withColumn("n_locations", F.size("locations").cast("long")).drop("locations")
+
+
+@query(
+    "restore_lost",
+    f"""WITH {PRINTED}, m AS (SELECT * FROM d WHERE finding_id % 3 <> 0), g AS (SELECT * FROM d WHERE level <= 1 AND fingerprint NOT IN (SELECT fingerprint FROM m) AND (file, line) NOT IN (SELECT file, line FROM m))
+    SELECT * FROM m UNION ALL SELECT * FROM g""",
+)
+def restore_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = printed(spark, sf_dir).drop("locations")
+    return O.restore_lost(df, df.filter("finding_id % 3 <> 0"))
+
+
+@query(
+    "merge_findings",
+    f"""WITH {PRINTED}, e AS (SELECT *, finding_id % 40 AS review_id FROM d), c AS (SELECT fingerprint, min(finding_id) AS finding_id, arg_min(review_id, finding_id) AS review_id, arg_min(category, finding_id) AS category, max(conf) AS conf, min(level) AS level FROM e GROUP BY fingerprint),
+    o AS (SELECT *, row_number() OVER (PARTITION BY review_id, level ORDER BY conf DESC, finding_id) AS k FROM c WHERE level > 1),
+    p AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY level, conf DESC, finding_id) AS j FROM o WHERE k <= {CAP})
+    SELECT finding_id, review_id, category, conf, level FROM c WHERE level <= 1 UNION ALL SELECT finding_id, review_id, category, conf, level FROM p WHERE j <= 12""",
+)
+def merge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = printed(spark, sf_dir).withColumn("review_id", F.col("finding_id") % 40).withColumn("severity", F.concat(F.lit("P"), F.col("level").cast("string")))
+    # the severity label follows the collapsed level
+    one = O.grave(O.collapse(df)).withColumn("severity", F.concat(F.lit("P"), F.col("level").cast("string")))
+    ordinary = O.total_cap(O.level_caps(one.filter("not grave")))
+    cols = ["finding_id", "review_id", "category", "conf", "level"]
+    return one.filter("grave").select(cols).unionByName(ordinary.select(cols))
+
+
+@query(
+    "verify_fold",
+    f"""WITH {FINDINGS}, v AS (SELECT finding_id, CASE finding_id % 4 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' ELSE 'revise' END AS verdict, CASE WHEN finding_id % 4 = 2 THEN 1 END AS new_level,
+      CASE WHEN finding_id % 8 <> 0 THEN finding_id % 1000 END AS new_conf, repeat('x', CAST(finding_id % 80 AS INT)) AS reason FROM f WHERE finding_id % 5 <> 0)
+    SELECT f.finding_id, review_id, severity, category, coalesce(new_level, level) AS level, CASE WHEN verdict = 'confirm' AND new_conf IS NULL THEN least(1000, conf + 100) ELSE coalesce(new_conf, conf) END AS conf,
+      CASE WHEN verdict = 'reject' AND length(reason) >= 40 THEN 'rejected' ELSE 'kept' END AS status FROM f LEFT JOIN v USING (finding_id)""",
+)
+def verify_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = findings(spark, sf_dir)
+    i = F.col("finding_id")
+    v = df.filter("finding_id % 5 <> 0").select(
+        "finding_id",
+        F.when(i % 4 == 0, "confirm").when(i % 4 == 1, "reject").otherwise("revise").alias("verdict"),
+        F.when(i % 4 == 2, 1).alias("level"),
+        F.when(i % 8 != 0, i % 1000).alias("conf"),
+        F.repeat(F.lit("x"), (i % 80).cast("int")).alias("reason"),
+    )
+    return O.verify_fold(df, v)
