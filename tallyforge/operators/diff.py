@@ -72,7 +72,7 @@ def parse_one(text: str) -> Iterator[tuple]:
         elif line.startswith(("Binary files ", "GIT binary patch")):
             head["binary"] = True
         elif m := _HUNK.match(line):
-            hunk += 1
+            hunk, pos = hunk + 1, 0
             old, new = int(m[1]), int(m[3])
             old_left, new_left = int(m[2] or 1), int(m[4] or 1)
     if head and not head["rows"]:
