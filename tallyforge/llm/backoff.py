@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,23 +26,57 @@ def _table(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(names.items(), cols, strict=True)})
 
 
-def ngrams(b: Batch) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each order: where its n-grams start (none across documents), and their keys."""
-    starts, keys = [], []
-    for k in range(1, ORDER + 1):
-        at = b.windows(k)
-        starts.append(at)
-        keys.append(_mix(_grams(b.wh, k, _M1)[at] + np.uint64(k)) if len(at) else np.zeros(0, np.uint64))
-    return starts, keys
-
-
-def _ask(table: pa.Table, slices: int) -> pa.Table:
-    b = Batch(table, lower=True)
-    key, n = np.unique(np.concatenate(ngrams(b)[1]), return_counts=True)
-    cut = _slices(key, slices, 64)
-    batch = table.column("batch")[0].as_py()
-    rows = [(i, batch, pack(key[cut[i] : cut[i + 1]], True), pack(n[cut[i] : cut[i + 1]]), len(b.wh) if i == 0 else 0) for i in range(slices) if i == 0 or cut[i] < cut[i + 1]]
-    return _table(ASK, rows)
+class Grams:
+    """N-grams of a batch: for each order, where they start (none across documents) and their keys."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.b = Batch(table, lower=True)
+        self.batch = table.column("batch")[0].as_py()
+        self.starts, self.keys = [], []
+        for k in range(1, ORDER + 1):
+            at = self.b.windows(k)
+            self.starts.append(at)
+            self.keys.append(_mix(_grams(self.b.wh, k, _M1)[at] + np.uint64(k)) if len(at) else np.zeros(0, np.uint64))
+        #: per order and start: occurrences in other documents
+        self.others = np.zeros((ORDER, len(self.b.wh)), np.int64)
+
+    def ask(self, key: np.ndarray, slices: int, told: bool) -> pa.Table:
+        """Distinct keys with their counts, by hash range; range 0 also takes the number of words."""
+        key, n = np.unique(key, return_counts=True)
+        cut = _slices(key, slices, 64)
+        rows = [(i, self.batch, pack(key[cut[i] : cut[i + 1]], True), pack(n[cut[i] : cut[i + 1]]), len(self.b.wh) if told and i == 0 else 0) for i in range(slices) if told and i == 0 or cut[i] < cut[i + 1]]
+        return _table(ASK, rows)
+
+    def hear(self, said: pa.Table, orders: list[int], chosen: np.ndarray | None = None) -> None:
+        """Take the corpus' counts of all n-grams of these orders (of one order: of the chosen ones), less the document's own."""
+        parts = [self.keys[k] if chosen is None else self.keys[k][chosen] for k in orders]
+        key, at = np.unique(np.concatenate(parts), return_inverse=True)
+        said = said.sort_by("slice")
+        total = np.concatenate([np.zeros(0, np.uint64), *(unpack(x) for x in said.column("n").to_pylist())]).astype(np.int64)
+        end = 0
+        for k, part in zip(orders, parts, strict=True):
+            own_key, start = at[end : end + len(part)], self.starts[k] if chosen is None else self.starts[k][chosen]
+            end += len(part)
+            _, back, own = np.unique(self.b.owner[start] * max(len(key), 1) + own_key, return_inverse=True, return_counts=True)
+            self.others[k, start] = total[own_key] - own[back]
+
+    def may_repeat(self) -> np.ndarray:
+        """Trigrams that another document can have: it then has both of their bigrams."""
+        s = self.starts[2]
+        return np.nonzero((self.others[1, s] > 0) & (self.others[1, s + 1] > 0))[0]
+
+
+def _ask_short(table: pa.Table, slices: int) -> pa.Table:
+    g = Grams(table)
+    return g.ask(np.concatenate(g.keys[:2]), slices, True)
+
+
+def _ask_long(table: pa.Table, said: pa.Table, slices: int) -> pa.Table:
+    if not table.num_rows:
+        return _table(ASK, [])
+    g = Grams(table)
+    g.hear(said, [0, 1])
+    return g.ask(g.keys[2][g.may_repeat()], slices, False)
 
 
 def _say(table: pa.Table) -> pa.Table:
@@ -59,24 +94,17 @@ def _say(table: pa.Table) -> pa.Table:
 def _score(table: pa.Table, said: pa.Table) -> pa.Table:
     if not table.num_rows:
         return _table(OUT, [])
-    b = Batch(table, lower=True)
-    starts, keys = ngrams(b)
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    said = said.sort_by("slice")
-    total = np.concatenate([unpack(x) for x in said.column("n").to_pylist()]).astype(np.int64)
-    corpus = said.column("tokens")[0].as_py()
-    ends = np.cumsum([len(k) for k in keys])
+    g = Grams(table)
+    b = g.b
+    of = lambda r: said.filter(pc.equal(said.column("round"), r))
+    short = of(1)
+    g.hear(short, [0, 1])
+    g.hear(of(2), [2], g.may_repeat())
+    corpus = short.sort_by("slice").column("tokens")[0].as_py()
     n = len(b.wh)
-    #: per order and start: occurrences in other documents
-    others = np.zeros((ORDER, n), np.int64)
-    for k in range(ORDER):
-        own_key = at[ends[k] - len(keys[k]) : ends[k]]
-        owner = b.owner[starts[k]]
-        _, back, own = np.unique(owner * len(key) + own_key, return_inverse=True, return_counts=True)
-        others[k, starts[k]] = total[own_key] - own[back]
     place = np.arange(n) - b.first[b.owner]
     rest = np.maximum(corpus - b.counts[b.owner], 1)
-    one, two, three = others
+    one, two, three = g.others
     score = np.log(np.maximum(one, UNSEEN) / rest) + np.minimum(place, 2) * math.log(BACKOFF)
     used = np.ones(n, np.int64)
     i = np.nonzero(place >= 1)[0]
@@ -101,14 +129,20 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents; without any, BACKOFF times that of its bigram; then of the word among all words. log_score sums the
     natural logarithms. The model is the whole corpus without the document itself, so that no document explains itself.
 
-    Each batch of documents sends its distinct n-grams with their counts to hash ranges of the count tables and gets the
-    sums back, so the most frequent n-gram is one row per batch. Null and empty texts have score 0. Null or repeated ids
+    Each batch of documents sends its distinct words and bigrams with their counts to hash ranges of the count tables and
+    gets the sums back, then likewise those trigrams both of whose bigrams another document has; no other trigram can
+    be elsewhere. The most frequent n-gram is one entry per batch. Null and empty texts have score 0. Null or repeated ids
     are documents of their own. Other columns are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = bodies(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(BATCHES * n)).cast("int"))
-    asked = dealt.groupBy("batch").applyInArrow(lambda t: _ask(t, n), "slice int, batch int, a binary, n binary, tokens long")
-    said = asked.groupBy("slice").applyInArrow(_say, "batch int, slice int, n binary, tokens long")
+    ask = "slice int, batch int, a binary, n binary, tokens long"
+    say = "batch int, slice int, n binary, tokens long"
+    slices = BATCHES * n
+    short = dealt.groupBy("batch").applyInArrow(lambda t: _ask_short(t, slices), ask).groupBy("slice").applyInArrow(_say, say)
+    asked = dealt.groupBy("batch").cogroup(short.groupBy("batch")).applyInArrow(lambda t, s: _ask_long(t, s, slices), ask)
+    long = asked.groupBy("slice").applyInArrow(_say, say)
+    said = short.withColumn("round", F.lit(1)).unionByName(long.withColumn("round", F.lit(2)))
     pairs = dealt.groupBy("batch").cogroup(said.groupBy("batch"))
     return pairs.applyInArrow(_score, "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, log_score double")
