@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tallyforge.plans import findings, graphs, stats, streams, texts  # noqa: F401
+from tallyforge.plans import findings, graphs, index, stats, streams, texts  # noqa: F401
