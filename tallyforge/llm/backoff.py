@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import bodies, ship
-from tallyforge.llm.substring import _M1, BATCHES, NO_ID, Batch, _grams, _mix, _slices, pack, unpack
+from tallyforge.llm.substring import _M1, NO_ID, Batch, _grams, _mix, _slices, pack, unpack
 
 #: Longest n-gram, the factor of each step back, and the count of a word that no other document has.
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
+#: Batches for each shuffle partition, and bits of an n-gram's key.
+BATCHES, BITS = 2, 56
 
 ASK = {"slice": pa.int32(), "batch": pa.int32(), "a": pa.binary(), "n": pa.binary(), "tokens": pa.int64()}
 SAY = {"batch": pa.int32(), "slice": pa.int32(), "n": pa.binary(), "tokens": pa.int64()}
@@ -26,24 +30,35 @@ def _table(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(names.items(), cols, strict=True)})
 
 
+_inflate = zstandard.ZstdDecompressor().decompress
+
+
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bodies as zstd frames: half of what Spark's codec makes of them on their way to their batch."""
+    deflate = zstandard.ZstdCompressor(3).compress
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([deflate(x.as_py()) for x in b.column(1)], pa.binary())], ["doc_id", "body"])
+
+
 class Grams:
     """N-grams of a batch: for each order, where they start (none across documents) and their keys."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.b = Batch(table, lower=True)
+        body = pa.array([_inflate(x.as_py()) for x in table.column("body")], pa.binary())
+        self.b = Batch(table.set_column(table.schema.get_field_index("body"), "body", body), lower=True)
         self.batch = table.column("batch")[0].as_py()
         self.starts, self.keys = [], []
         for k in range(1, ORDER + 1):
             at = self.b.windows(k)
             self.starts.append(at)
-            self.keys.append(_mix(_grams(self.b.wh, k, _M1)[at] + np.uint64(k)) if len(at) else np.zeros(0, np.uint64))
+            self.keys.append(_mix(_grams(self.b.wh, k, _M1)[at] + np.uint64(k)) >> np.uint64(64 - BITS) if len(at) else np.zeros(0, np.uint64))
         #: per order and start: occurrences in other documents
         self.others = np.zeros((ORDER, len(self.b.wh)), np.int64)
 
     def ask(self, key: np.ndarray, slices: int, told: bool) -> pa.Table:
         """Distinct keys with their counts, by hash range; range 0 also takes the number of words."""
         key, n = np.unique(key, return_counts=True)
-        cut = _slices(key, slices, 64)
+        cut = _slices(key, slices, BITS)
         rows = [(i, self.batch, pack(key[cut[i] : cut[i + 1]], True), pack(n[cut[i] : cut[i + 1]]), len(self.b.wh) if told and i == 0 else 0) for i in range(slices) if told and i == 0 or cut[i] < cut[i + 1]]
         return _table(ASK, rows)
 
@@ -131,17 +146,16 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each batch of documents sends its distinct words and bigrams with their counts to hash ranges of the count tables and
     gets the sums back, then likewise those trigrams both of whose bigrams another document has; no other trigram can
-    be elsewhere. The most frequent n-gram is one entry per batch. Null and empty texts have score 0. Null or repeated ids
+    be elsewhere. Keys have BITS bits. The most frequent n-gram is one entry per batch. Null and empty texts have score 0. Null or repeated ids
     are documents of their own. Other columns are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = bodies(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(BATCHES * n)).cast("int"))
+    dealt = bodies(docs, id_col, text_col).mapInArrow(_deflated, "doc_id long, body binary").withColumn("batch", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(BATCHES * n)).cast("int"))
     ask = "slice int, batch int, a binary, n binary, tokens long"
     say = "batch int, slice int, n binary, tokens long"
-    slices = BATCHES * n
-    short = dealt.groupBy("batch").applyInArrow(lambda t: _ask_short(t, slices), ask).groupBy("slice").applyInArrow(_say, say)
-    asked = dealt.groupBy("batch").cogroup(short.groupBy("batch")).applyInArrow(lambda t, s: _ask_long(t, s, slices), ask)
+    short = dealt.groupBy("batch").applyInArrow(lambda t: _ask_short(t, n), ask).groupBy("slice").applyInArrow(_say, say)
+    asked = dealt.groupBy("batch").cogroup(short.groupBy("batch")).applyInArrow(lambda t, s: _ask_long(t, s, n), ask)
     long = asked.groupBy("slice").applyInArrow(_say, say)
     said = short.withColumn("round", F.lit(1)).unionByName(long.withColumn("round", F.lit(2)))
     pairs = dealt.groupBy("batch").cogroup(said.groupBy("batch"))
