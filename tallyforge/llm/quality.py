@@ -18,8 +18,9 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 #: Features are kept in whole steps of 1/4096, so that their sums don't depend on the order of rows.
 STEP = 4096
 #: Standard deviations added to each estimate (log words, log word length, log of 1 + the shares of symbols, repeated
-#: lines and repeated words): what differs by less is no outlier, however alike the other documents are.
-FLOORS = (1.2, 0.08, 0.06, 0.08, 0.08)
+#: lines and repeated words): what differs by less is no outlier, however alike the other documents are. Small enough that
+#: each statistic can reject alone: at no scatter, shares of 0.32 (symbols) and 0.4 (lines, words) lie beyond CUT.
+FLOORS = (0.1, 0.06, 0.05, 0.06, 0.06)
 DIM = len(FLOORS)
 #: Share of a group's documents that an estimate is made from, concentration steps, and the tail that is rejected.
 SUPPORT = 0.75

@@ -81,3 +81,33 @@ def test_no_python_in_the_plan(spark):
 
 def test_chi_square():
     assert abs(Q._chi2_quantile(0.75, 5) - 6.6257) < 1e-3 and abs(Q._chi2_cdf(7.815, 3) - 0.95) < 1e-4
+
+
+def planted(r, n=250, letters=5, symbols=0.0, again=0.0, repeats=0.0):
+    """Lines of two words each; a share of words with a symbol, of lines that are copies, of words in repeated windows."""
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(letters))
+    lines = [[word(), word()] for _ in range(n // 2)]
+    k = round(again * len(lines))
+    lines = lines[: len(lines) - k] + [list(x) for x in lines[:k]]
+    r.shuffle(lines)
+    w = [x for line in lines for x in line]
+    if repeats:
+        k = round(repeats * n / 2)
+        w[k + 1 : 2 * k + 1] = w[:k]  # an odd shift, so that no line is a copy
+        w[k] = word()
+    w = [x[:-1] + "#" if i < symbols * n else x for i, x in enumerate(w)]
+    return "\n".join(f"{a} {b}" for a, b in zip(w[::2], w[1::2], strict=True))
+
+
+def test_each_statistic_rejects_alone(spark):
+    r = random.Random(8)
+    texts = [planted(r, 2 * r.randint(50, 200)) for _ in range(100)]
+    odd = [dict(n=20_000), dict(letters=10), dict(symbols=0.36), dict(again=0.45), dict(repeats=0.45)]
+    texts += [planted(r, **x) for x in odd]
+    base = [brute(t) for t in texts[100:]]
+    assert all(2 * b[4] <= b[0] for b in base)
+    alone = [[b[0] > 1000, b[1] > 8 * b[0], b[2] > 0, b[3] > 0.1 * b[5], b[4] > 0.1 * b[0]] for b in base]
+    assert alone == [[i == j for j in range(5)] for i in range(5)]
+    got = Q.quality_rules(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"))
+    kept = {x.doc_id for x in got.filter("kept").collect()}
+    assert kept == set(range(100))
