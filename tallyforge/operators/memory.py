@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import materialise
+
 #: Weighted events from which a rate counts, the least correction (thousandths), neighbours considered.
 LEAST_EVENTS, LEAST_CORRECTION, NEIGHBOURS = 5, 500, 40
 REJECTING = ("false_positive", "dismiss", "style_rule")
@@ -47,10 +51,18 @@ def fingerprint_match(findings: DataFrame, known: DataFrame) -> DataFrame:
 def knn(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """The k nearest base vectors of each query by squared distance (ties by key), exact.
 
-    Queries are a small checked set: they are broadcast up to QUERY_LIMIT rows and refused beyond; the base is scanned
-    once and cut to k per query within each task before anything is shuffled."""
-    if queries.count() > QUERY_LIMIT:
-        raise ValueError("too many queries for one pass: split them into blocks")
+    Queries are broadcast, about QUERY_LIMIT rows at a time; each pass scans the base once and cuts to k per query within
+    each task before anything is shuffled. Beyond one pass, keys are hashed to blocks, each written before the next one
+    starts, so that no two blocks are held at once."""
+    blocks = -(-queries.count() // QUERY_LIMIT)
+    if blocks <= 1:
+        return _nearest(queries, base, k)
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [materialise(_nearest(queries.filter(block == i), base, k), f"knn-{i}") for i in range(blocks)])
+
+
+def _nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """One pass of `knn`."""
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double"))
     pairs = base.select(F.col("key").alias("neighbour"), F.col("category").alias("neighbour_category"), F.col("vector").alias("v")).join(
         F.broadcast(queries.select("key", "category", F.col("vector").alias("q"))), F.col("neighbour") != F.col("key")
