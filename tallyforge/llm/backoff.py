@@ -12,13 +12,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import bodies, ship
-from tallyforge.llm.substring import _M1, NO_ID, Batch, _grams, _mix, _slices, pack, unpack
+from tallyforge.llm.common import bodies, in_runs, materialise, ship
+from tallyforge.llm.substring import _M1, Batch, _grams, _mix, _slices, pack, unpack
 
 #: Longest n-gram, the factor of each step back, and the count of a word that no other document has.
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
-#: Batches for each shuffle partition, and bits of an n-gram's key.
-BATCHES, BITS = 2, 56
+#: Bytes of text of a run, for each hash range too, and bits of an n-gram's key.
+RUN_BYTES, BITS = 8 << 20, 56
 
 ASK = {"slice": pa.int32(), "batch": pa.int32(), "a": pa.binary(), "n": pa.binary(), "tokens": pa.int64()}
 SAY = {"batch": pa.int32(), "slice": pa.int32(), "n": pa.binary(), "tokens": pa.int64()}
@@ -37,7 +37,7 @@ def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bodies as zstd frames: half of what Spark's codec makes of them on their way to their batch."""
     deflate = zstandard.ZstdCompressor(3).compress
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([deflate(x.as_py()) for x in b.column(1)], pa.binary())], ["doc_id", "body"])
+        yield b.set_column(1, "body", pa.array([deflate(x.as_py()) for x in b.column(1)], pa.binary()))
 
 
 class Grams:
@@ -144,17 +144,19 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents; without any, BACKOFF times that of its bigram; then of the word among all words. log_score sums the
     natural logarithms. The model is the whole corpus without the document itself, so that no document explains itself.
 
-    Each batch of documents sends its distinct words and bigrams with their counts to hash ranges of the count tables and
-    gets the sums back, then likewise those trigrams both of whose bigrams another document has; no other trigram can
-    be elsewhere. Keys have BITS bits. The most frequent n-gram is one entry per batch. Null and empty texts have score 0. Null or repeated ids
-    are documents of their own. Other columns are ignored; an empty table gives an empty result."""
-    spark = docs.sparkSession
-    ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = bodies(docs, id_col, text_col).mapInArrow(_deflated, "doc_id long, body binary").withColumn("batch", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(BATCHES * n)).cast("int"))
+    Runs of documents and hash ranges of the count tables are sized by the text, not by the number of partitions. Each run
+    sends its distinct words and bigrams with their counts to the hash ranges and gets the sums back, then likewise those
+    trigrams both of whose bigrams another document has; no other trigram can be elsewhere. A run never sends more rows
+    than it has keys. Keys have BITS bits. The most frequent n-gram is one entry per run. A very long text is a run of
+    its own size. Null and empty texts have score 0. Null or repeated ids are documents of their own. Other columns are
+    ignored; an empty table gives an empty result."""
+    ship(docs.sparkSession)
+    packed = lambda df: df.mapInArrow(_deflated, "doc_id long, body binary, row long, size int")
+    dealt, n = in_runs(bodies(docs, id_col, text_col), RUN_BYTES, "runs", packed)
     ask = "slice int, batch int, a binary, n binary, tokens long"
     say = "batch int, slice int, n binary, tokens long"
     short = dealt.groupBy("batch").applyInArrow(lambda t: _ask_short(t, n), ask).groupBy("slice").applyInArrow(_say, say)
+    short = materialise(short, "counts")
     asked = dealt.groupBy("batch").cogroup(short.groupBy("batch")).applyInArrow(lambda t, s: _ask_long(t, s, n), ask)
     long = asked.groupBy("slice").applyInArrow(_say, say)
     said = short.withColumn("round", F.lit(1)).unionByName(long.withColumn("round", F.lit(2)))

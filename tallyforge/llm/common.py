@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import io
+import math
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -73,11 +75,20 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: At the end of an execution its shuffle files go: what it wrote stands alone.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write `df` to the shared folder and read it again: cuts the lineage, survives lost executors, frees its shuffle files."""
     spark = df.sparkSession
     at = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(at)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -86,6 +97,20 @@ def bodies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("body"))
 
 
+def in_runs(rows: DataFrame, run_bytes: int, name: str, packed: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, int]:
+    """Deal rows with a `body` to runs of about `run_bytes` each, whatever the number of partitions: adds `batch` (the run)
+    and `row` (a number of its own for each row); returns how many runs there are.
+
+    The rows are written first (`packed` may change their bodies), so that their numbers stay. The deal hashes the number: no
+    id, null or repeated, and no copied row is hot. Small inputs have a run per MB, up to one per core."""
+    spark = rows.sparkSession
+    numbered = rows.withColumns({"row": F.monotonically_increasing_id(), "size": F.octet_length("body")})
+    written = materialise(packed(numbered), name)
+    total = written.agg(F.sum("size")).first()[0] or 0
+    n = max(1, math.ceil(total / run_bytes), min(spark.sparkContext.defaultParallelism, math.ceil(total / (1 << 20))))
+    return written.drop("size").withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")), n
+
+
 def dense_ranks(df: DataFrame, key: str, order: list[str], parts: int) -> DataFrame:
     """Add `rank`, long from 0, gapless within each value of `key`, without bringing a whole group to one task.
 
