@@ -10,7 +10,8 @@ Documents are dealt to batches. Three joins between batches and hash ranges of t
 3. Paths. Repeated edges that follow each other in a document and in their source are one nonbranching path. Paths are
    joined to the batch of their source, where the words at the source coordinates must have the same digest.
 
-A batch sends each key once, however often its documents repeat it, so no key is hot."""
+Batches and hash ranges are sized by the text, not by the number of partitions, and a batch never sends more rows than it
+has keys. It sends each key once, however often its documents repeat it, so no key is hot."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import bodies, ship
+from tallyforge.llm.common import bodies, in_runs, materialise, ship
 
 #: Words of a minimiser; multipliers of the two rolling hashes (3 modulo 8, so that swapped words don't cancel).
 GRAM = 6
@@ -33,8 +34,10 @@ _M1, _M2 = 0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB53
 _SECOND = np.uint64((1 << 24) - 1)
 NO_ID = (1 << 63) - 1  # stands for a null id: smaller than none
 WORDS_HELD = 300_000
-#: Batches for each shuffle partition: a batch and its arrays are in memory at once.
-BATCHES = 4
+#: Bytes of text of a run (it and its arrays are in memory at once), and of those that a hash range of the graph is for.
+RUN_BYTES, SLICE_BYTES = 5 << 20, 16 << 20
+#: Words of a chunk of a source whose digest is compared.
+CHUNK = 32
 
 
 class _Hashes(dict):
@@ -87,6 +90,7 @@ class Batch:
     """Words of a batch's documents, end to end, as hashes."""
 
     def __init__(self, table: pa.Table, lower: bool = False) -> None:
+        self.table = table = table.sort_by("row")  # a place in the batch names the same word in every step
         ids = table.column("doc_id").to_pylist()
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
         self.null = [i is None for i in ids]
@@ -126,16 +130,17 @@ def _rows(names: dict[str, pa.DataType], cols: list[list]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(names.items(), cols, strict=True)})
 
 
+_PATH = pa.struct({"src_batch": pa.int32(), "src_at": pa.int64(), "n": pa.int32(), "digest": pa.binary()})
 ASK1 = {"slice": pa.int32(), "batch": pa.int32(), "a": pa.binary(), "flag": pa.binary()}
 SAY1 = {"batch": pa.int32(), "slice": pa.int32(), "a": pa.binary()}
-ASK2 = {"slice": pa.int32(), "batch": pa.int32(), "a": pa.binary(), "b": pa.binary(), "doc": pa.binary(), "pos": pa.binary(), "flag": pa.binary()}
-SAY2 = {"batch": pa.int32(), "slice": pa.int32(), "a": pa.binary(), "b": pa.binary(), "doc": pa.binary(), "pos": pa.binary()}
-OUT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string(), "path": pa.struct({"src_doc": pa.int64(), "src_start": pa.int64(), "n": pa.int64(), "digest": pa.binary()})}
+ASK2 = {"slice": pa.int32(), "batch": pa.int32(), "a": pa.binary(), "b": pa.binary(), "doc": pa.binary(), "at": pa.binary(), "flag": pa.binary()}
+SAY2 = {"batch": pa.int32(), "slice": pa.int32(), "a": pa.binary(), "b": pa.binary(), "doc": pa.binary(), "src": pa.binary(), "at": pa.binary()}
+OUT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string(), "paths": pa.list_(_PATH)}
 
 
 def _ddl(names: dict[str, pa.DataType]) -> str:
     kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
-    return ", ".join(f"{n} {kinds.get(t, 'struct<src_doc: long, src_start: long, n: long, digest: binary>')}" for n, t in names.items())
+    return ", ".join(f"{n} {kinds.get(t, 'array<struct<src_batch: int, src_at: long, n: int, digest: binary>>')}" for n, t in names.items())
 
 
 def _group_starts(*keys: np.ndarray) -> np.ndarray:
@@ -193,40 +198,41 @@ def ask_edges(table: pa.Table, said: pa.Table, k: int, slices: int) -> pa.Table:
     repeated = np.sort(np.concatenate([unpack(x, True) for x in said.column("a").to_pylist()]))
     at = at[_within(b.minimisers(at, k)[1], repeated)]
     h1, h2 = _grams(b.wh, k, _M1)[at], _grams(b.wh, k, _M2)[at] & _SECOND
-    doc, pos = b.ids[b.owner[at]], at - b.first[b.owner[at]]
-    order = np.lexsort((pos, doc, h2, h1))
-    h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
+    doc = b.ids[b.owner[at]]
+    order = np.lexsort((at, doc, h2, h1))
+    h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
     s = _group_starts(h1, h2)
     flag = doc[s] != doc[np.append(s[1:], len(doc)) - 1]
-    h1, h2, doc, pos = h1[s], h2[s], doc[s], pos[s]
+    h1, h2, doc, at = h1[s], h2[s], doc[s], at[s]
     cut = _slices(h1, slices, 64)
     some = [i for i in range(slices) if cut[i] < cut[i + 1]]
     part = lambda v, ordered=False: [pack(v[cut[i] : cut[i + 1]], ordered) for i in some]
     batch = table.column("batch")[0].as_py()
-    return _rows(ASK2, [some, [batch] * len(some), part(h1, True), part(h2), part(doc), part(pos), [np.packbits(flag[cut[i] : cut[i + 1]]).tobytes() for i in some]])
+    return _rows(ASK2, [some, [batch] * len(some), part(h1, True), part(h2), part(doc), part(at), [np.packbits(flag[cut[i] : cut[i + 1]]).tobytes() for i in some]])
 
 
 def say_edges(table: pa.Table) -> pa.Table:
     batches = table.column("batch").to_pylist()
     a = [unpack(x, True) for x in table.column("a").to_pylist()]
-    b, doc, pos = ([unpack(x) for x in table.column(c).to_pylist()] for c in ("b", "doc", "pos"))
+    b, doc, at = ([unpack(x) for x in table.column(c).to_pylist()] for c in ("b", "doc", "at"))
     flag = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[: len(x)].astype(bool) for f, x in zip(table.column("flag").to_pylist(), a, strict=True)])
     who = np.repeat(np.arange(len(a)), [len(x) for x in a])
-    a, b, doc, pos = (np.concatenate(x) for x in (a, b, doc, pos))
+    a, b, doc, at = (np.concatenate(x) for x in (a, b, doc, at))
     doc = doc.astype(np.int64)  # ids may be negative
-    order = np.lexsort((pos, doc, b, a))
-    a, b, doc, pos, who, flag = (x[order] for x in (a, b, doc, pos, who, flag))
+    src = np.array(batches, np.int64)[who]
+    order = np.lexsort((at, src, doc, b, a))
+    a, b, doc, at, src, who, flag = (x[order] for x in (a, b, doc, at, src, who, flag))
     s = _group_starts(a, b)
     size = np.diff(np.append(s, len(a)))
     again = np.repeat((size > 1) | np.logical_or.reduceat(flag, s), size)
     own = doc
-    doc, pos = np.repeat(doc[s], size), np.repeat(pos[s], size)
+    doc, at, src = (np.repeat(x[s], size) for x in (doc, at, src))
     again &= flag | (own != doc)  # whoever is the source alone needs no answer
     rows: list[list] = [[] for _ in SAY2]
     for i, batch in enumerate(batches):
         m = again & (who == i)
         if m.any():
-            for c, v in zip(rows, (batch, table.column("slice")[0].as_py(), pack(a[m], True), pack(b[m]), pack(doc[m]), pack(pos[m])), strict=True):
+            for c, v in zip(rows, (batch, table.column("slice")[0].as_py(), pack(a[m], True), pack(b[m]), pack(doc[m]), pack(src[m]), pack(at[m])), strict=True):
                 c.append(v)
     return _rows(SAY2, rows)
 
@@ -242,28 +248,27 @@ def cut_text(body: bytes, gone: np.ndarray) -> bytes:
 
 
 def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table:
+    """What stays of a batch's documents, and the paths they lost, cut to chunks of their source."""
     if not table.num_rows:
         out = _rows(OUT, [[]] * len(OUT))
         return out.append_column("carried", pa.chunked_array([[]], table.schema.field("carried").type)) if with_text else out
     b = Batch(table)
     gone = np.zeros(len(b.wh), bool)
-    paths: list[dict] = []
+    paths: dict[int, list] = {}
     if said.num_rows and len(at := b.windows(k)):
-        cols = [np.concatenate([unpack(x, c == "a") for x in said.column(c).to_pylist()]) for c in ("a", "b", "doc", "pos")]
+        cols = [np.concatenate([unpack(x, c == "a") for x in said.column(c).to_pylist()]) for c in ("a", "b", "doc", "src", "at")]
         order = np.lexsort((cols[1], cols[0]))
-        a, bb, doc, pos = (c[order] for c in cols)
-        doc, pos = doc.astype(np.int64), pos.astype(np.int64)
+        a, bb, doc, src, src_at = (c[order] for c in cols)
+        doc, src, src_at = doc.astype(np.int64), src.astype(np.int64), src_at.astype(np.int64)
         h1, h2 = _grams(b.wh, k, _M1)[at], _grams(b.wh, k, _M2)[at] & _SECOND
         hit = np.searchsorted(a, h1)
-        for _ in range(64):  # equal first hashes lie side by side
-            step = (hit < len(a)) & (a[np.minimum(hit, len(a) - 1)] == h1) & (bb[np.minimum(hit, len(a) - 1)] != h2)
-            if not step.any():
-                break
-            hit += step
-        inside = np.minimum(hit, len(a) - 1)
+        end = len(a) - 1
+        while (step := (hit <= end) & (a[np.minimum(hit, end)] == h1) & (bb[np.minimum(hit, end)] != h2)).any():
+            hit += step  # equal first hashes lie side by side
+        inside = np.minimum(hit, end)
         own = b.owner[at]
-        out = (hit < len(a)) & (a[inside] == h1) & (bb[inside] == h2) & (doc[inside] < b.ids[own])
-        at, own, src, src_at = at[out], own[out], doc[inside][out], pos[inside][out]
+        out = (hit <= end) & (a[inside] == h1) & (bb[inside] == h2) & (doc[inside] < b.ids[own])
+        at, own, src, src_at = at[out], own[out], src[inside][out], src_at[inside][out]
         if len(at):
             edge = np.zeros(len(b.wh) + 1, np.int64)
             np.add.at(edge, at, 1)
@@ -272,12 +277,9 @@ def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table
             # edges that follow each other here and at their source are one path
             s = _group_starts(own, src, src_at - at, np.arange(len(at)) - at)
             last = np.append(s[1:], len(at)) - 1
-            paths = list(zip(own[s].tolist(), (at[s] - b.first[own[s]]).tolist(), (at[last] - at[s] + k).tolist(), src[s].tolist(), src_at[s].tolist(), strict=True))
+            for o, *path in zip(own[s].tolist(), (at[s] - b.first[own[s]]).tolist(), (at[last] - at[s] + k).tolist(), src[s].tolist(), src_at[s].tolist(), strict=True):
+                paths.setdefault(o, []).append(path)
     rows: list[list] = [[] for _ in OUT]
-    at_doc: list[int | None] = []
-    by_doc: dict[int, list] = {}
-    for p in paths:
-        by_doc.setdefault(p[0], []).append(p)
     sent: set[tuple] = set()
     for i, (f, n) in enumerate(zip(b.first.tolist(), b.counts.tolist(), strict=True)):
         body = b.bodies[i].as_py()
@@ -286,38 +288,40 @@ def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table
         text = None
         if with_text:
             text = (cut_text(body, g) if g.any() else body).decode("utf-8", "replace")
-        new = (None if b.null[i] else int(b.ids[i]), n, int(g.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), text, None)
-        at_doc.append(i)
+        lost = []
+        for start, length, src, src_at in paths.get(i, ()):
+            for s, e in _chunks(src_at, src_at + length):
+                own = start + s - src_at
+                key = (src, s, e - s, xxhash.xxh3_128_digest(b" ".join(words[own : own + e - s])))
+                if key not in sent:
+                    sent.add(key)
+                    lost.append(dict(zip(("src_batch", "src_at", "n", "digest"), key, strict=True)))
+        new = (None if b.null[i] else int(b.ids[i]), n, int(g.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), text, lost)
         for c, v in zip(rows, new, strict=True):
             c.append(v)
-        for _, start, length, src, src_at in by_doc.get(i, ()):
-            digest = xxhash.xxh3_128_digest(b" ".join(words[start : start + length]))
-            if (src, src_at, length, digest) in sent:
-                continue
-            sent.add((src, src_at, length, digest))
-            at_doc.append(None)
-            for c, v in zip(rows, (None, None, None, None, None, {"src_doc": src, "src_start": src_at, "n": length, "digest": digest}), strict=True):
-                c.append(v)
     out = _rows(OUT, rows)
-    return out.append_column("carried", table.column("carried").combine_chunks().take(pa.array(at_doc, pa.int64()))) if with_text else out
-
-
-def verified(table: pa.Table, done: pa.Table) -> pa.Table:
-    """The documents' rows, after the words at each path's source coordinates proved to be those that another lost."""
-    is_path = done.column("path").combine_chunks().is_valid()
-    want: dict[int, set] = {}
-    for p in done.filter(is_path).column("path").to_pylist():
-        want.setdefault(p["src_doc"], set()).add((p["src_start"], p["n"], p["digest"]))
-    seen: dict[int, set] = {}
-    if want:
-        for doc, body in zip(table.column("doc_id").to_pylist(), table.column("body"), strict=True):
-            if (doc := NO_ID if doc is None else doc) in want:
-                words = body.as_py().split()
-                seen.setdefault(doc, set()).update((s, n, xxhash.xxh3_128_digest(b" ".join(words[s : s + n]))) for s, n, _ in want[doc])
-    for doc, paths in want.items():
-        if wrong := paths - seen.get(doc, set()):
-            raise ValueError(f"words at document {doc}, position {min(wrong)[0]} differ from their copy")
-    return done.filter(pa.compute.invert(is_path)).drop_columns(["batch"])
+    return out.append_column("carried", b.table.column("carried")) if with_text else out
+
+
+def _chunks(start: int, end: int) -> list[tuple[int, int]]:
+    """A stretch of a source cut at the multiples of CHUNK: however many copies a source has, few chunks of it differ."""
+    cuts = [start, *range(start - start % CHUNK + CHUNK, end, CHUNK), end]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def verified(table: pa.Table, chunks: pa.Table) -> pa.Table:
+    """No rows, after the words at each chunk's source coordinates proved to be those that another document lost."""
+    want: dict[int, list] = {}
+    if chunks.num_rows:
+        b = Batch(table)
+        for at, n, digest in zip(*(chunks.column(c).to_pylist() for c in ("src_at", "n", "digest")), strict=True):
+            want.setdefault(int(np.searchsorted(b.first, at, "right")) - 1, []).append((at, n, digest))
+    for row, some in want.items():
+        words, first = b.bodies[row].as_py().split(), int(b.first[row])
+        for at, n, digest in some:
+            if xxhash.xxh3_128_digest(b" ".join(words[at - first : at - first + n])) != digest:
+                raise ValueError(f"words of document {b.ids[row]}, position {at - first}, differ from their copy")
+    return pa.table({"bad": pa.array([], pa.int64())})
 
 
 def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -327,25 +331,25 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     A word goes if a window of k words over it also starts in a document with a smaller id. kept_text is the text
     without those words, its other white space as it was; a text that loses nothing is unchanged.
 
-    Null texts have no words; texts under k words lose none. Null ids are larger than any id and not smaller than each
-    other. Rows that repeat an id don't remove each other's words. Other columns are ignored; an empty table gives an
-    empty result. Raises if the words at a path's source coordinates differ (a collision of 88-bit hashes)."""
-    spark = docs.sparkSession
-    ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    deal = lambda df, c: df.withColumn("batch", F.pmod(F.xxhash64(c), F.lit(BATCHES * n)).cast("int"))
+    Null texts have no words; texts under k words lose none; a very long text is a batch of its own size. Null ids are
+    larger than any id and not smaller than each other. Rows that repeat an id don't remove each other's words. Other
+    columns are ignored; an empty table gives an empty result. Raises if the words at a path's source coordinates differ (a
+    collision of 88-bit hashes)."""
+    ship(docs.sparkSession)
     rows = bodies(docs, id_col, text_col)
     if with_text:
         others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
         rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("body"), F.struct(*others).alias("carried"))
-    dealt = deal(rows, F.coalesce("doc_id", F.lit(NO_ID)))
-    schema = _ddl(OUT) + (f", carried {rows.schema['carried'].dataType.simpleString()}" if with_text else "")
-    asked = dealt.groupBy("batch").applyInArrow(lambda t: ask_minimisers(t, k, n), _ddl(ASK1))
+    dealt, n = in_runs(rows, RUN_BYTES, "runs")
+    n = max(1, n * RUN_BYTES // SLICE_BYTES)
+    plain = dealt.select("doc_id", "body", "row", "batch")
+    asked = plain.groupBy("batch").applyInArrow(lambda t: ask_minimisers(t, k, n), _ddl(ASK1))
     said = asked.groupBy("slice").applyInArrow(say_minimisers, _ddl(SAY1))
-    asked = dealt.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(lambda t, s: ask_edges(t, s, k, n), _ddl(ASK2))
+    asked = plain.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(lambda t, s: ask_edges(t, s, k, n), _ddl(ASK2))
     said = asked.groupBy("slice").applyInArrow(say_edges, _ddl(SAY2))
-    done = dealt.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(lambda t, s: remove(t, s, k, with_text), schema)
-    # paths go to the batch of their source, documents' rows to their own: the same deal of the texts serves again
-    done = deal(done, F.coalesce("path.src_doc", "doc_id", F.lit(NO_ID)))
-    checked = dealt.groupBy("batch").cogroup(done.groupBy("batch")).applyInArrow(verified, schema)
-    return checked.drop("path", *([] if with_text else ["kept_text"]))
+    schema = _ddl(OUT) + (f", carried {rows.schema['carried'].dataType.simpleString()}" if with_text else "")
+    whole = dealt if with_text else plain
+    done = materialise(whole.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(lambda t, s: remove(t, s, k, with_text), schema), "cut")
+    chunks = done.select(F.explode("paths").alias("p")).select(F.col("p.src_batch").alias("batch"), "p.src_at", "p.n", "p.digest").distinct()
+    plain.groupBy("batch").cogroup(chunks.groupBy("batch")).applyInArrow(verified, "bad long").count()
+    return done.drop("paths", *([] if with_text else ["kept_text"]))

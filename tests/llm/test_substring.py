@@ -61,12 +61,22 @@ def test_text_and_paths(spark):
 
 
 def test_verification():
-    table = pa.table({"doc_id": pa.array([1]), "body": pa.array([b"a b c d"]), "batch": pa.array([0], pa.int32())})
-    path = {"src_doc": 1, "src_start": 1, "n": 2, "digest": S.xxhash.xxh3_128_digest(b"b c")}
-    done = lambda p: pa.table({"batch": pa.array([0, 0], pa.int32()), "doc_id": pa.array([1, None]), "path": pa.array([None, p], S.OUT["path"])})
-    assert S.verified(table, done(path)).to_pylist() == [{"doc_id": 1, "path": None}]
+    table = pa.table({"doc_id": pa.array([7, 1]), "body": pa.array([b"a b c d", b"x y"]), "row": pa.array([1, 0]), "batch": pa.array([0, 0], pa.int32())})
+    chunk = {"batch": 0, "src_at": 3, "n": 2, "digest": S.xxhash.xxh3_128_digest(b"b c")}  # the row numbered 0 comes first
+    assert S.verified(table, pa.Table.from_pylist([chunk])).num_rows == 0
     with pytest.raises(ValueError):
-        S.verified(table, done(path | {"src_start": 0}))
+        S.verified(table, pa.Table.from_pylist([chunk | {"src_at": 2}]))
+    assert S._chunks(5, 70) == [(5, 32), (32, 64), (64, 70)] and S._chunks(64, 65) == [(64, 65)]
+
+
+def test_many_runs(spark, monkeypatch):
+    """Runs of a few documents, copies of one document in all of them."""
+    monkeypatch.setattr(S, "RUN_BYTES", 2000)
+    monkeypatch.setattr(S, "SLICE_BYTES", 1000)
+    rows = corpus(5)
+    rows += [(4000 + j, rows[0][1] + f" w{j}") for j in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, S.substring_dedup(df).collect())) == sorted(brute(rows, 13))
 
 
 @pytest.mark.parametrize("n", [0, 1, 1000])
