@@ -48,6 +48,7 @@ class WholeTexts:
         self.tok, self.words = Tokenizer.from_file(path), words
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.bases: dict[str, bytes] = {}
         self.pieces = _Pieces(self._word if words else self._after_space)
         self.firsts = _Pieces(lambda p: self._segment(p.decode("utf-8", "replace")))
@@ -86,6 +87,8 @@ class WholeTexts:
     def encode(self, body: bytes) -> bytes:
         if self.words:
             return b"".join(map(self.pieces.__getitem__, body.split()))
+        if any(x in body for x in self.added):  # an added token ends a segment wherever it stands
+            return self._library(body.decode("utf-8", "replace"))
         if any(x in body for x in _RARE) or body.endswith(b"\n\n"):
             return b"".join([self.firsts[x.encode()] for x in _SEGMENT.findall(body.decode("utf-8", "replace"))])
         first, *rest = body.replace(b"\n", b" \n").split(b" ")
