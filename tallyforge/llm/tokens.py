@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -49,12 +50,13 @@ class WholeTexts:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
         self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.format = "<%dH" if self.dtype.itemsize == 2 else "<%dI"
         self.bases: dict[str, bytes] = {}
         self.pieces = _Pieces(self._word if words else self._after_space)
         self.firsts = _Pieces(lambda p: self._segment(p.decode("utf-8", "replace")))
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(self.format % len(ids), *ids)
 
     def _library(self, text: str) -> bytes:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
@@ -64,11 +66,17 @@ class WholeTexts:
         if (out := self.bases.get(text)) is None:
             if len(self.bases) >= HELD:
                 self.bases.clear()
-            self.bases[text] = out = self._pack([t.id for t in self.tok.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
+            shown = text if text.isalpha() and text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            self.bases[text] = out = self._pack([t.id for t in self.tok.model.tokenize(shown)])
         return out
 
     def _word(self, piece: bytes) -> bytes:
         text = piece.decode("utf-8", "replace")
+        if text.isascii():
+            if text.isalpha():
+                return self._base(text.lower())
+            if text[-1] in ",.;:!?" and text[:-1].isalpha():
+                return self._base(text[:-1].lower()) + self._base(text[-1])
         m = _PLAIN.fullmatch(text)
         if not m:
             return self._library(text)

@@ -26,6 +26,12 @@ def test_pieces(name, text):
     assert np.frombuffer(t.encode(text.encode()), t.dtype).tolist() == LIBRARY[name].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", VOCABULARIES)
+@pytest.mark.parametrize("text", ["\n\n<|endoftext|>", "a\n\n<|endoftext|> b", " <|endoftext|>  <|ENDOFTEXT|>x\n", "<|startoftext|><|endoftext|>\n\n", "a.\nB! <|endoftext"])
+def test_added_tokens(name, text):
+    test_pieces.hypothesis.inner_test(name, text)
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, rans.BLOCK, rans.BLOCK + 1, 5 * rans.BLOCK - 7])
 def test_round_trip(n):
     r = np.random.default_rng(n)
@@ -47,7 +53,30 @@ def test_one_symbol_and_wide_alphabet():
         assert (rans.decode(parts, n) == ids).all()
 
 
-def test_files(spark):
+SMALL = {"BLOCK": 64, "SHARD_IDS": 900, "GROUP": 3}
+
+
+def with_small(task):
+    """A task with small blocks, shards and groups; its worker has the usual ones again afterwards."""
+
+    def run(*args):
+        usual = {k: getattr(rans, k) for k in SMALL}
+        rans.__dict__.update(SMALL)
+        try:
+            yield from task(*args)
+        finally:
+            rans.__dict__.update(usual)
+
+    return run
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_files(spark, small, monkeypatch):
+    if small:
+        for k, v in SMALL.items():
+            monkeypatch.setattr(rans, k, v)
+        monkeypatch.setattr(rans, "_read", with_small(rans._read))
+        monkeypatch.setattr(rans, "_write", with_small(rans._write))
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(["alpha", "Beta,", "gamma.\n", "été"]) for _ in range(r.randint(0, 60))), "p") for i in r.sample(range(1000), 80)]
     rows += [(5000, None, "p"), (5001, "", "p"), (5002, "word " * 20_000, "p"), (5003, "twin", "p"), (5003, "twin", "p")]
