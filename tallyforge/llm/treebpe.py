@@ -16,6 +16,8 @@ from tallyforge.llm.common import bodies, ship
 
 #: Matches of up to this many bytes are leaves, merged directly.
 LEAF = 12
+#: Windows of more bytes are merged rank by rank, all places of a rank at once; matches (and pieces) of more aren't held.
+LONG = 96
 #: Distinct matches (and pieces of text) held before a cache starts anew.
 HELD = 500_000
 
@@ -33,15 +35,66 @@ class TreeEncoder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {v: k for k, v in self.ranks.items()}
+        self.none = max(self.token) + 1
         self.findall = regex.compile(pattern).findall
         self.matches: dict[bytes, list[int]] = {}
         self.pieces: dict[str, bytes] = {}
+        self.sums: tuple[np.ndarray, np.ndarray] | None = None
+        self.parts: dict[int, list[tuple[bytes, list[int]]]] = {}
+        self.stable: dict[tuple[int, int], bool] = {}
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens put together; as many as there are tokens if that is none."""
+        size = self.none
+        if self.sums is None:
+            found = {x * size + y: r for raw, r in self.ranks.items() for i in range(1, len(raw)) if (x := self.ranks.get(raw[:i])) is not None and (y := self.ranks.get(raw[i:])) is not None}
+            pairs = np.array(sorted(found), np.int64)
+            self.sums = pairs, np.array([found[p] for p in pairs.tolist()], np.int64)
+        pairs, ranks = self.sums
+        key = a * size + b
+        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        return np.where(pairs[at] == key, ranks[at], size)
+
+    def _by_ranks(self, raw: bytes) -> list[int] | None:
+        """As leaf, for long windows: of the lowest rank, every second of overlapping places from the left at once. None
+        if the outcome isn't an encoding, as some adjacent pair of it isn't one."""
+        none = self.none
+        ids = np.array([self.ranks[bytes([x])] for x in range(256)], np.int64)[np.frombuffer(raw, np.uint8)]
+        rank = self._ranks_of(ids[:-1], ids[1:])
+        while len(rank) and (low := int(rank.min())) < none:
+            at = np.nonzero(rank == low)[0]
+            start = np.concatenate([[True], np.diff(at) > 1])
+            first = at[start][np.cumsum(start) - 1]
+            at = at[(at - first) % 2 == 0]
+            ids[at] = low
+            gone = np.zeros(len(ids), bool)
+            gone[at + 1] = True
+            ids = ids[~gone]
+            rank = np.concatenate([rank[~gone[1:]], [none]])[: max(len(ids) - 1, 0)]
+            new = at - np.arange(len(at))  # where the merged tokens are now
+            near = np.unique(np.concatenate([new - 1, new]))
+            near = near[(near >= 0) & (near < len(rank))]
+            rank[near] = self._ranks_of(ids[near], ids[near + 1])
+        out = ids.tolist()
+        for pair in set(zip(out, out[1:], strict=False)):
+            if (good := self.stable.get(pair)) is None:
+                if len(self.stable) >= HELD:
+                    self.stable.clear()
+                self.stable[pair] = good = self._one_by_one(self.token[pair[0]] + self.token[pair[1]]) == [*pair]
+            if not good:
+                return None
+        return out
 
     def leaf(self, raw: bytes) -> list[int]:
         """Merge the adjacent pair of lowest rank, the leftmost of equals, until none is left."""
-        ranks = self.ranks
-        if (whole := ranks.get(raw)) is not None:
+        if (whole := self.ranks.get(raw)) is not None:
             return [whole]
+        if len(raw) > LONG and (out := self._by_ranks(raw)) is not None:
+            return out
+        return self._one_by_one(raw)
+
+    def _one_by_one(self, raw: bytes) -> list[int]:
+        ranks = self.ranks
         parts = [raw[i : i + 1] for i in range(len(raw))]
         while len(parts) > 1:
             best, at = None, -1
@@ -72,10 +125,24 @@ class TreeEncoder:
         if len(raw) <= LEAF:
             return self.leaf(raw)
         half = len(raw) // 2
-        return self.join(self.tree(raw[:half]), self.tree(raw[half:]))
+        if len(raw) <= LONG:
+            return self.join(self.tree(raw[:half]), self.tree(raw[half:]))
+        # parts of a long match often repeat: of each length the last four are held
+        last = self.parts.setdefault(len(raw), [])
+        for part, out in last:
+            if part == raw:
+                return out
+        out = self.join(self.tree(raw[:half]), self.tree(raw[half:]))
+        last.append((raw, out))
+        del last[:-4]
+        return out
 
     def match(self, raw: bytes) -> list[int]:
         if (out := self.matches.get(raw)) is None:
+            if len(raw) > LONG:
+                out = self.tree(raw)
+                self.parts.clear()
+                return out
             if len(self.matches) >= HELD:
                 self.matches.clear()
             whole = self.ranks.get(raw)
@@ -90,7 +157,8 @@ class TreeEncoder:
                 if len(self.pieces) >= HELD:
                     self.pieces.clear()
                 ids = np.array([t for m in self.findall(piece) for t in self.match(m.encode())], "<u4").tobytes()
-                self.pieces[piece] = ids
+                if len(piece) <= LONG:
+                    self.pieces[piece] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -148,7 +216,7 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded, if asked for), without a shuffle.
 
-    Null and empty texts have no ids. Null or repeated ids stand for their rows. Other columns are ignored; an empty
+    Null and empty texts have no ids. A very long text is encoded match by match, a very long match as a tree. Null or repeated ids stand for their rows. Other columns are ignored; an empty
     table gives an empty result."""
     ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded binary"

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -35,6 +36,27 @@ def test_long_matches():
             assert np.frombuffer(t.encode(s), "<u4").tolist() == LIBRARY.encode_ordinary(s)
 
 
+def test_ranks_at_once():
+    """Long windows, merged rank by rank, against one merge at a time."""
+    t, r = treebpe.tree_encoder(PATH, P.PATTERN), random.Random(10)
+    for n in (193, 300, 900):
+        for letters in ("=", "a", "ab", "aab", "=-", "ha", "etaoin shrdlu", "aáz"):
+            for s in (letters * n, "".join(r.choice(letters) for _ in range(n))):
+                raw = s[:n].encode()
+                got = t._by_ranks(raw)
+                assert got is None or got == t._one_by_one(raw)
+                assert t.leaf(raw) == t._one_by_one(raw)
+
+
+def test_a_megabyte():
+    t, r = treebpe.tree_encoder(PATH, P.PATTERN), random.Random(11)
+    for s in ("=" * 1_000_000, "a" * 1_000_000, "-=" * 250_000, "".join(r.choice("etaoinshrdlu") for _ in range(300_000))):
+        begin = time.process_time()
+        got = np.frombuffer(t.encode(s), "<u4").tolist()
+        assert time.process_time() - begin < 30
+        assert got == LIBRARY.encode_ordinary(s) and t.decode(got) == s.encode()
+
+
 def test_every_token_is_reached_by_merges():
     t = treebpe.tree_encoder(PATH, P.PATTERN)
     for raw, rank in RANKS.items():
