@@ -1,18 +1,27 @@
-"""Main text by site style trees: pages of a host are merged into one tree, whose nodes that say the same on every page
-are noise."""
+"""Main text by site style trees: whole pages of a host are merged into one tree of element nodes (a path of tags, classes
+and ids), each with its presentation styles (sequences of child tags) and its contents (blocks of text).
+
+A node whose styles vary from page to page is important, and so is a content that few pages have. A block's composite
+importance weighs both; a branch is as important as its most important block, and branches of low importance go. What an
+element says of itself comes in as a factor: names of what an article never holds (menus, adverts, forms) are of no
+importance, vague ones only tip the balance where the site's pages speak against the block too."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialise, ship
+from tallyforge.llm.common import in_runs, materialise, ship
 
 #: Fixed values of HTML: elements without content, with raw text, that start a block, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,17 +30,21 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 ENDS_P = BLOCKS - frozenset("body caption html option optgroup legend tbody td tfoot th thead tr".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "p": ("p",)}
 FENCES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
-#: Elements whose presentation says that they are not the article, and words of classes, ids and roles that say so.
+#: Elements whose presentation says that they are not the article, and words of classes, ids and roles that say so: surely or vaguely.
 NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe object embed svg canvas audio video button select textarea input menu dialog head title".split())
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar sidebar side rail footer masthead breadcrumb breadcrumbs toolbar pagination pager "
-    "cookie cookies consent gdpr notice notification notifications alert popup modal overlay toast newsletter subscribe subscription signup login share sharing social related recommended recommendations trending "
-    "comment comments commentlist respond disqus replies discussion widget widgets contentinfo complementary search skip hidden".split()
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored nav navbar navigation menu menubar sidebar footer masthead breadcrumb breadcrumbs pagination "
+    "cookie cookies consent gdpr notice notification notifications popup modal newsletter subscribe subscription signup login comment comments commentlist respond disqus replies".split()
 )
+VAGUE_WORDS = frozenset("promo promotion promoted side rail toolbar pager alert overlay toast share sharing social related recommended recommendations trending discussion widget widgets contentinfo complementary search skip hidden".split())
 #: Site header words count outside an article only.
 HEADER_WORDS = frozenset(("header", "topbar", "top"))
-#: Decay of importance towards children, the importance under which a branch goes, and the pages a node must be on.
-DECAY, LEAST, PAGES = 0.9, 0.1, 8
+#: Weight of contents against styles, the factor of vague words, the importance under which a branch goes, and pages
+#: without a content that each estimate starts from, so that few pages say little.
+CONTENT, VAGUE, LEAST, UNSEEN = 0.9, 0.25, 0.15, 4
+
+#: Bytes of html of a run.
+RUN_BYTES = 8 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<([a-zA-Z][^\s/>]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -41,13 +54,23 @@ _HOST = re.compile(r"\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     path: int = 0
-    noise: bool = False
-    main: bool = False
-    kids: list = field(default_factory=list)  # nodes and texts, in page order
+    factor: float = 1.0  # what it and its ancestors say of themselves
+    zone: int = 0  # in an article 2, in another main part 1, else 0
+    block: bool = True
+    omit: bool = False  # inline, and not for reading
+    owner: Node | None = None  # the innermost block
+    kids: list[str] = field(default_factory=list)
+
+
+@dataclass
+class Page:
+    nodes: list[Node] = field(default_factory=list)  # blocks, in page order
+    texts: list[tuple[Node, str]] = field(default_factory=list)  # blocks of text with their element
+    zone: int = 0  # the highest there is
 
 
 def host_of(url: str | None) -> str:
@@ -62,158 +85,120 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _step(parent: Node, tag: str, raw: str, in_main: bool) -> Node:
+def _step(parent: Node, tag: str, raw: str) -> Node:
     """A child with its path (tag, and class and id without digits) and what its presentation says."""
     at = _attributes(raw) if raw and not raw.isspace() else {}
     named = f"{at.get('class', '')} {at.get('id', '')} {at.get('role', '')}".strip()
     words = {w.lower() for w in _WORD.findall(named)}
-    node = Node(tag, xxhash.xxh64_intdigest(f"{parent.path:x}/{tag}.{_DIGITS.sub('', named)}") >> 1)
-    node.main = tag in ("article", "main") or "main" in at.get("role", "") or at.get("itemprop") == "articleBody"
+    node = Node(tag, xxhash.xxh64_intdigest(f"{parent.path:x}/{tag}.{_DIGITS.sub('', named)}") >> 1, parent.factor, parent.zone, tag in BLOCKS)
     hidden = "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "").lower()
+    if not node.block:
+        node.omit = parent.omit or hidden or tag in NOISE_TAGS
+        node.owner = parent.owner
+        return node
+    node.owner = node
     page_level = tag in ("html", "body", "article", "main")
-    node.noise = tag in NOISE_TAGS or hidden or bool(words & NOISE_WORDS) and not (page_level and not words & {"comment", "comments"}) or not in_main and (tag == "header" or bool(words & HEADER_WORDS) and not page_level)
+    noise = tag in NOISE_TAGS or hidden or bool(words & NOISE_WORDS) and not (page_level and not words & {"comment", "comments"})
+    if noise or not parent.zone and (tag == "header" or bool(words & HEADER_WORDS) and not page_level):
+        node.factor = 0.0
+    elif words & VAGUE_WORDS and not page_level:
+        node.factor *= VAGUE
+    if node.factor and tag == "article":
+        node.zone = 2
+    elif node.factor and (tag == "main" or "main" in at.get("role", "") or at.get("itemprop") == "articleBody"):
+        node.zone = max(1, node.zone)
     return node
 
 
-def parse(page: str) -> Node:
-    """A lenient tree: unclosed elements end where HTML ends them, unmatched end tags are ignored, comments are dropped."""
+def parse(page: str) -> Page:
+    """A lenient reading in one pass, whatever the depth: unclosed elements end where HTML ends them, unmatched end tags
+    are ignored, comments are dropped."""
+    out = Page()
     root = Node("")
-    stack, at, mains = [root], 0, 0
+    root.owner = root
+    out.nodes.append(root)
+    stack, at = [root], 0
+    open_ = Counter()
+    held: list[str] = []
+
+    def end() -> None:
+        if held and (text := tidy("".join(held))):
+            out.texts.append((stack[-1].owner, text))
+        held.clear()
+
+    def close(i: int) -> None:
+        while len(stack) > i:
+            if stack[-1].block:
+                end()
+            open_[stack.pop().tag] -= 1
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
-            stack[-1].kids.append(page[at : m.start()])
+            held.append(" " if stack[-1].omit else page[at : m.start()])
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    mains -= sum(n.main for n in stack[i:])
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
         elif m[2]:
             tag = m[2].lower()
             for closed in (("p",) if tag in ENDS_P and tag != "p" else ()) + SAME.get(tag, ()):
+                if not open_[closed]:
+                    continue
                 fence = FENCES.get(closed, ("table",) if closed in ("tr", "td", "th", "tbody", "thead", "tfoot") else ())
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == closed:
-                        mains -= sum(n.main for n in stack[i:])
-                        del stack[i:]
+                        close(i)
                         break
-                    if stack[i].tag in fence or closed == "p" and stack[i].tag in BLOCKS:
+                    if stack[i].tag in fence or closed == "p" and stack[i].block:
                         break
-            node = _step(stack[-1], tag, m[3], mains > 0)
-            stack[-1].kids.append(node)
+            node = _step(stack[-1], tag, m[3])
+            stack[-1].owner.kids.append(tag)
+            if node.block:
+                end()
+                out.nodes.append(node)
+                out.zone = max(out.zone, node.zone)
+            elif tag == "br" or node.omit:
+                held.append(" ")
             if tag in RAW:
-                end = _CLOSE[tag].search(page, at)
-                at = end.start() if end else len(page)
-            elif tag not in VOID and not m[3].endswith("/"):
+                found = _CLOSE[tag].search(page, at)
+                at = found.start() if found else len(page)
+            elif tag not in VOID and (node.block or not m[3].endswith("/")):  # a slash means nothing on a block with content
                 stack.append(node)
-                mains += node.main
-            elif tag not in VOID and tag in BLOCKS:
-                stack.append(node)  # a slash means nothing on an element with content
-                mains += node.main
+                open_[tag] += 1
     if at < len(page):
-        stack[-1].kids.append(page[at:])
-    return root
+        held.append(" " if stack[-1].omit else page[at:])
+    close(1)
+    end()
+    return out
 
 
 def tidy(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def walk(node: Node):
-    """Nodes below, without what noise holds."""
-    for kid in node.kids:
-        if isinstance(kid, Node) and not kid.noise:
-            yield kid
-            yield from walk(kid)
-
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
 
-def own_text(node: Node) -> str:
-    """Text of a node outside its element children that start a block."""
-    return tidy("".join(k if isinstance(k, str) else own_text(k) if k.tag not in BLOCKS and not k.noise else " " for k in node.kids))
 
-
-def start_nodes(root: Node) -> list[Node]:
-    """The articles; without any, the main parts; without those, the page. None inside another, none in noise."""
-
-    def top(node: Node, wanted) -> list[Node]:
-        out = []
-        for k in node.kids:
-            if isinstance(k, Node) and not k.noise:
-                out += [k] if wanted(k) else top(k, wanted)
-        return out
-
-    return top(root, lambda n: n.tag == "article") or top(root, lambda n: n.main) or [root]
-
-
-def branches(root: Node) -> dict[int, tuple[int, set[int]]]:
-    """Of each path on a page: its style (the tags of the first such node's children) and its contents."""
-    found: dict[int, tuple[int, set[int]]] = {}
-    for top in start_nodes(root):
-        for node in [top, *walk(top)]:
-            if node.tag not in BLOCKS:
-                continue
-            style = xxhash.xxh64_intdigest(" ".join(k.tag for k in node.kids if isinstance(k, Node))) >> 1
-            _, contents = found.setdefault(node.path, (style, set()))
-            if text := own_text(node):
-                contents.add(xxhash.xxh64_intdigest(text) >> 1)
-    return found
+def features(page: Page) -> set[tuple[int, int, int]]:
+    """(path, kind, value) of a page's element nodes: that they are there (0), their styles (1), their contents (2)."""
+    found = {(n.path, 0, 0) for n in page.nodes}
+    found |= {(n.path, 1, digest(" ".join(n.kids))) for n in page.nodes}
+    return found | {(n.path, 2, digest(text)) for n, text in page.texts}
 
 
-def importance(node: Node, known: dict[int, tuple[float, float]]) -> float:
-    """Composite importance of a branch: its styles' entropy over the host's pages, and its children's by decay; a
-    branch with text of its own has what its contents' entropy leaves of 1. Nodes the host hasn't often are important."""
-    if node.path not in known:
-        return 1.0
-    style, content = known[node.path]
-    kids = [importance(k, known) for k in node.kids if isinstance(k, Node) and k.tag in BLOCKS and not k.noise]
-    if own_text(node):
-        kids.append(content)
-    return (1 - DECAY) * style + DECAY * (max(kids) if kids else 0.0)
-
-
-def blocks(nodes: list[Node], known: dict[int, tuple[float, float]]) -> list[str]:
-    out: list[str] = []
-    held: list[str] = []
-
-    def end() -> None:
-        if held and (text := tidy("".join(held))):
-            out.append(text)
-        held.clear()
-
-    def go(node: Node) -> None:
-        for k in node.kids:
-            if isinstance(k, str):
-                held.append(k)
-            elif k.tag == "br":
-                held.append(" ")
-            elif k.tag in BLOCKS:
-                end()
-                if not k.noise and not (known and importance(k, known) < LEAST):
-                    go(k)
-                end()
-            elif not k.noise:
-                go(k)
-            else:
-                held.append(" ")
-
-    for n in nodes:
-        go(n)
-        end()
-    return out
-
-
-def main_text(root: Node, known: dict[int, tuple[float, float]]) -> str:
-    """Blocks of the article joined by two line ends. Where the site's tree would take over half of the text, the page
-    is a copy among copies rather than noise, and only presentation decides."""
-    nodes = start_nodes(root)
-    whole = blocks(nodes, {})
-    if known:
-        left = blocks(nodes, known)
-        if 2 * sum(map(len, left)) >= sum(map(len, whole)):
-            whole = left
-    return "\n\n".join(whole)
+def main_text(page: Page, styles: dict[int, float], contents: dict[tuple[int, int], float]) -> str:
+    """Blocks of the articles (without any, of the main parts; without those, of the page) that are important, joined by two
+    line ends. styles: the presentation importance of the site's nodes; contents: how important contents of more than
+    one page are."""
+    out = []
+    for node, text in page.texts:
+        if node.factor and node.zone >= page.zone:
+            value = node.factor * ((1 - CONTENT) * styles.get(node.path, 1.0) + CONTENT * contents.get((node.path, digest(text)), 1.0))
+            if value >= LEAST:
+                out.append(text)
+    return "\n\n".join(out)
 
 
 NODES = {"batch": pa.int32(), "host": pa.string(), "path": pa.int64(), "kind": pa.int32(), "value": pa.int64(), "n": pa.int64()}
@@ -225,63 +210,89 @@ def _table(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(names.items(), cols, strict=True)})
 
 
-def _decoded(table: pa.Table):
-    for page, url, body in zip(table.column("doc_id").to_pylist(), table.column("url").to_pylist(), table.column("body"), strict=True):
-        yield page, url, body.as_py().decode("utf-8", "replace")
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    deflate = zstandard.ZstdCompressor(3).compress
+    for b in batches:
+        i = b.schema.get_field_index("body")
+        yield b.set_column(i, "body", pa.array([deflate(x.as_py()) for x in b.column(i)], pa.binary()))
+
+
+def _pages(table: pa.Table):
+    inflate = zstandard.ZstdDecompressor().decompress
+    for i, body in enumerate(table.column("body")):
+        yield i, parse(inflate(body.as_py()).decode("utf-8", "replace"))
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """Styles (kind 0) and contents (kind 1) of each host and path in a batch, with their number of pages."""
-    n: dict[tuple, int] = {}
-    for _, url, page in _decoded(table):
-        if host := host_of(url):
-            for path, (style, contents) in branches(parse(page)).items():
-                for kind, value in [(0, style), *((1, c) for c in contents)]:
-                    n[host, path, kind, value] = n.get((host, path, kind, value), 0) + 1
-    batch = table.column("batch")[0].as_py() if table.num_rows else 0
+def _count(table: pa.Table, firsts: pa.Table) -> pa.Table:
+    """Features of each host in a run, with their number of pages; equal pages of a host count once."""
+    if not firsts.num_rows:
+        return _table(NODES, [])
+    table = table.filter(pc.is_in(table.column("row"), firsts.column("row")))
+    hosts = table.column("host").to_pylist()
+    n: Counter[tuple] = Counter()
+    for i, page in _pages(table):
+        n.update((hosts[i], *f) for f in features(page))
+    batch = firsts.column("batch")[0].as_py()
     return _table(NODES, [(batch, *k, v) for k, v in n.items()])
 
 
 def _extract(table: pa.Table, said: pa.Table) -> pa.Table:
-    known: dict[str, dict[int, tuple[float, float]]] = {}
-    for host, path, style, content in zip(*(said.column(c).to_pylist() for c in ("host", "path", "style", "content")), strict=True):
-        known.setdefault(host, {})[path] = (style, content)
+    styles: dict[str, dict] = {}
+    contents: dict[str, dict] = {}
+    for host, path, kind, value, x in zip(*(said.column(c).to_pylist() for c in ("host", "path", "kind", "value", "importance")), strict=True):
+        if kind:
+            contents.setdefault(host, {})[path, value] = x
+        else:
+            styles.setdefault(host, {})[path] = x
+    hosts, ids, urls = (table.column(c).to_pylist() for c in ("host", "doc_id", "url"))
     rows = []
-    for page, url, body in _decoded(table):
-        text = main_text(parse(body), known.get(host_of(url), {}))
-        rows.append((page, url, text, len(text)))
+    for i, page in _pages(table):
+        text = main_text(page, styles.get(hosts[i], {}), contents.get(hosts[i], {}))
+        rows.append((ids[i], urls[i], text, len(text)))
     return _table(TEXTS, rows)
 
 
+def importances(nodes: DataFrame) -> DataFrame:
+    """From counts (batch, host, path, kind, value, n): for each batch the importance of the presentation of its nodes that
+    several pages have (kind 0), and of its contents on several pages (kind 2).
+
+    Entropies are to the base of the number of pages with the node, UNSEEN more added."""
+    key = ["host", "path"]
+    log = lambda c: F.log(F.col(c).cast("double"))
+    pages = nodes.filter("kind = 0").groupBy(*key).agg(F.sum("n").alias("m")).filter("m > 1")
+    each = nodes.filter("kind = 1").groupBy(*key, "value").agg(F.sum("n").alias("n"))
+    styles = each.groupBy(*key).agg(F.sum("n").alias("all"), F.sum(F.col("n") * log("n")).alias("logs"))
+    base = F.log(F.col("m") + F.lit(float(UNSEEN)))
+    known = pages.join(styles, key).select(*key, base.alias("base"), ((log("all") - F.col("logs") / F.col("all")) / base).alias("style"))
+    known = materialise(known, "presentation")
+    here = nodes.filter("kind = 0").select("batch", *key).distinct().join(known, key)
+    everywhere = F.sum("n").over(Window.partitionBy(*key, "value"))
+    shared = nodes.filter("kind = 2").withColumn("all", everywhere).filter("all > 1").join(known, key)
+    return here.select("batch", *key, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("value"), F.col("style").alias("importance")).unionByName(
+        shared.select("batch", *key, F.lit(2).alias("kind"), "value", F.greatest(F.lit(0.0), 1 - log("all") / F.col("base")).alias("importance"))
+    )
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
-    Pages are dealt to batches; each batch counts the styles and contents of its hosts' nodes, the counts are summed per
-    host, path and value, and each batch gets back the importances of the nodes it has. A host, however large, is only
-    ever counts. Nodes on fewer than PAGES pages of a host keep full importance.
-
-    Null html is an empty page. Null urls, and those without a host, belong to no site. Repeated rows are pages of their
-    own. Other columns are ignored; an empty table gives an empty result."""
-    spark = pages.sparkSession
-    ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = pages.select(F.col(id_col).alias("doc_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b"")).alias("body"))
-    dealt = keyed.withColumn("batch", F.pmod(F.xxhash64("doc_id", "url"), F.lit(n)).cast("int"))
-    nodes = dealt.groupBy("batch").applyInArrow(_count, "batch int, host string, path long, kind int, value long, n long")
-    nodes = materialise(nodes, "nodes")
-    values = nodes.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
-    log = F.log(F.col("n").cast("double"))
-    sums = values.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("m"),
-        F.sum(F.when(F.col("kind") == 0, F.col("n") * log)).alias("style_log"),
-        F.coalesce(F.sum(F.when(F.col("kind") == 1, log)), F.lit(0.0)).alias("content_log"),
-        F.count(F.when(F.col("kind") == 1, 1)).alias("contents"),
-    )
-    m = F.log(F.col("m").cast("double"))
-    # entropies to the base of the number of pages
-    style = 1 - F.col("style_log") / F.col("m") / m
-    content = 1 - F.coalesce(F.col("content_log") / F.greatest("contents", F.lit(1)) / m, F.lit(0.0))
-    known = materialise(sums.filter(F.col("m") >= PAGES).select("host", "path", style.alias("style"), content.alias("content")), "importance")
-    said = nodes.select("batch", "host", "path").distinct().join(known, ["host", "path"])
+    Runs of pages, sized by their text, count the features of their hosts' nodes; the counts are summed per host, path and
+    value, and each run gets back what several pages share. A host, however large, is only ever counts; equal pages of a
+    host count once, so that copies don't make each other noise.
+
+    Null html is an empty page. Null urls, and those without a host, belong to no site. Very long and very deep pages are read in
+    one pass. Repeated rows are pages of their own. Other columns are ignored; an empty table gives an empty result."""
+    ship(pages.sparkSession)
+    url = F.col(url_col).cast("string")
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST.pattern, 1))
+    body = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
+    rows = pages.select(F.col(id_col).cast("long").alias("doc_id"), url.alias("url"), host.alias("host"), body.alias("body"), F.md5(body).alias("md5"))
+    packed = lambda df: df.mapInArrow(_deflated, "doc_id long, url string, host string, body binary, md5 string, row long, size int")
+    dealt, n = in_runs(rows, RUN_BYTES, "pages", packed)
+    # pages without a host share nothing with each other
+    firsts = dealt.filter("host != ''").groupBy("host", "md5").agg(F.min("row").alias("row")).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
+    dealt = dealt.select("doc_id", "url", "host", "body", "row", "batch")
+    counted = dealt.groupBy("batch").cogroup(firsts.select("batch", "row").groupBy("batch"))
+    nodes = materialise(counted.applyInArrow(_count, "batch int, host string, path long, kind int, value long, n long"), "nodes")
+    said = materialise(importances(nodes), "importance")
     return dealt.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(_extract, "page_id long, url string, text string, n_chars long")
-

@@ -1,14 +1,17 @@
-"""Main text: the tree by hand-made pages, the site's noise on a made-up host."""
+"""Main text: the tree by hand-made pages, the site's noise and the entropies on made-up hosts."""
 
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 import duckdb
 
 from tallyforge.llm import sitetree as S
 
 
-def text(page, known=None):
-    return S.main_text(S.parse(page), known or {})
+def text(page):
+    return S.main_text(S.parse(page), {}, {})
 
 
 def test_pages():
@@ -23,6 +26,65 @@ def test_pages():
     assert text("<table><tr><td>a<td>b<tr><td>c</table>") == "a\n\nb\n\nc"
     assert text("<article>one</article><article class='comment'>no</article><article>two</article>") == "one\n\ntwo"
     assert text("x" * 3_000_000) == "x" * 3_000_000
+    assert text("<article><section id='discussion'><p>Talk</p></section>the <b class='promo'>bold</b> word</article>") == "Talk\n\nthe bold word"
+
+
+def test_depth():
+    assert text("<div>" * 5000 + "x" + "</div>" * 5000 + "y") == "x\n\ny"
+    assert text("<b>" * 5000 + "x" + "<p>y" * 5000) == "\n\n".join(["x", *["y"] * 5000])
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"http://site.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in S.extract_text(df).collect()}
+
+
+def test_noise_without_marks(spark):
+    """A notice longer than the story, and a paragraph like the story's own, that the whole site has."""
+    notice = "This site's terms apply to all who read it. " * 20
+    got = extracted(spark, [f"<div><p>Story {i}.</p><p>Same on all.</p><p>More of {i * 3}.</p></div><div><span>{notice}</span></div>" for i in range(30)])
+    assert all(got[i] == f"Story {i}.\n\nMore of {i * 3}." for i in range(30))
+
+
+def test_vague_words(spark):
+    """What a vague class says counts only where the site's pages say it too."""
+    got = extracted(spark, [f"<p>Story {i}.</p><div class='related'><p>{'See also' if i < 6 else i}</p></div>" for i in range(30)])
+    assert got[3] == "Story 3." and got[20] == "Story 20.\n\n20"
+
+
+def test_few_pages(spark):
+    """Two or three pages of a site that share a sentence keep it."""
+    got = extracted(spark, [f"<p>Story {i}.</p><p>A proverb.</p>" for i in range(3)])
+    assert all(got[i] == f"Story {i}.\n\nA proverb." for i in range(3))
+
+
+def test_entropies(spark):
+    """Importances against entropies taken from the pages one by one."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    page = lambda: "<div class='c1'>" + "".join(f"<{t}>{r.choice(words)}</{t}>" for t in r.choices(["p", "h2", "ul"], k=r.randint(1, 4))) + "</div>"
+    sites = {h: [page() for _ in range(n)] for h, n in (("a.example", 1), ("b.example", 5), ("c.example", 40))}
+    rows = [(i, h, f) for h, ps in sites.items() for i, p in enumerate(ps) for f in S.features(S.parse(p))]
+    nodes = spark.createDataFrame([(i % 3, h, *f, 1) for i, h, f in rows], "batch int, host string, path long, kind int, value long, n long")
+    nodes = nodes.groupBy("batch", "host", "path", "kind", "value").sum("n").withColumnRenamed("sum(n)", "n")
+    want = {}
+    for h, ps in sites.items():
+        found = defaultdict(list)
+        for p in ps:
+            for path, kind, value in S.features(S.parse(p)):
+                found[path].append((kind, value))
+        for path, seen in found.items():
+            m = sum(k == 0 for k, _ in seen)
+            if m > 1:
+                n = Counter(v for k, v in seen if k == 1)
+                want[h, path, 0, 0] = -sum(x / n.total() * math.log(x / n.total()) for x in n.values()) / math.log(m + S.UNSEEN)
+                for v, x in Counter(v for k, v in seen if k == 2).items():
+                    if x > 1:
+                        want[h, path, 2, v] = max(0, 1 - math.log(x) / math.log(m + S.UNSEEN))
+    got = S.importances(nodes).collect()
+    assert {(x.host, x.path, x.kind, x.value) for x in got} == set(want) and len(want) > 20
+    assert all(abs(x.importance - want[x.host, x.path, x.kind, x.value]) < 1e-9 for x in got)
+    assert {(x.batch, x.host, x.path) for x in got} == {(i % 3, h, f[0]) for i, h, f in rows if (h, f[0], 0, 0) in want}
 
 
 def test_site(spark):
