@@ -20,6 +20,9 @@ DOWNRANK_FACTOR = 600
 #: Characters that a reason for rejecting must have, and words that start an answer but give no reason.
 REASON_CHARS = 40
 SEVERITIES = ["P0", "P1", "P2", "P3", "P4", "P5"]
+#: Openings of an answer that is no reason, and words of a rewritten body that talks about the finding.
+PREAMBLE = r"(?i)^\s*(?:i (?:need|should|will|would|have) |let me |first[,. ]|to (?:verify|check)\b|i'?ll |looking at |i do not have |i don'?t have )"
+WORKINGS = r"(?i)\bdowngrad|\bupgrad(?:e|ing) to p\d|\bthis is rated\b|\bthe finding is\b|\bwe cannot\b|\bi cannot confirm\b|\bconfidence\b|\bp\d requires\b|\bthe reviewer\b|\bverdict\b"
 #: Weights of levels in the overall confidence, in halves.
 LEVEL_WEIGHTS = {0: 6, 1: 5, 2: 4}
 
@@ -63,29 +66,33 @@ def total_cap(df: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
 
 
 def overflow(df: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
-    """How many findings the total cap cut, per review that lost any."""
+    """How many findings the total cap cuts, per review that loses any; for what the level caps left."""
     return df.groupBy("review_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("review_id", (F.col("n") - most).alias("overflow"))
 
 
 def collapse(df: DataFrame) -> DataFrame:
-    """One finding per fingerprint: the first one's columns, the highest confidence, the worst level, and all
-    locations in order of ingest without repeats."""
-    firsts = [c for c in df.columns if c not in ("fingerprint", "conf", "level", "locations")]
+    """One finding per fingerprint: the first one's columns, the highest confidence, the worst level with its label,
+    and all locations in order of ingest without repeats."""
+    firsts = [c for c in df.columns if c not in ("fingerprint", "conf", "level", "severity", "locations")]
+    label = [F.concat(F.lit("P"), F.min("level").cast("string")).alias("severity")] if "severity" in df.columns else []
     locations = F.sort_array(F.collect_list(F.struct("finding_id", "locations")))
     return df.groupBy("fingerprint").agg(
         *[F.min_by(c, "finding_id").alias(c) for c in firsts if c != "finding_id"],
         F.min("finding_id").alias("finding_id"),
         F.max("conf").alias("conf"),
         F.min("level").alias("level"),
+        *label,
         F.array_distinct(F.flatten(F.transform(locations, lambda x: x["locations"]))).alias("locations"),
     )
 
 
 def restore_lost(before: DataFrame, merged: DataFrame) -> DataFrame:
-    """Grave findings that a merge lost, by fingerprint and by every place, come back."""
+    """Grave findings that a merge lost come back: those with neither a fingerprint nor any location (structs of file and
+    line) that is still there."""
     lost = grave(before).filter("grave").drop("grave").join(merged.select("fingerprint"), "fingerprint", "left_anti")
-    places = merged.select("file", "line").distinct()
-    return merged.unionByName(lost.join(places, ["file", "line"], "left_anti"))
+    places = lambda df: df.select("finding_id", F.explode("locations").alias("place"))
+    covered = places(lost).join(places(merged).select("place").distinct(), "place", "left_semi").select("finding_id")
+    return merged.unionByName(lost.join(covered, "finding_id", "left_anti").select(merged.columns))
 
 
 def severity_counts(df: DataFrame) -> DataFrame:
@@ -96,10 +103,11 @@ def severity_counts(df: DataFrame) -> DataFrame:
     return grid.join(counts, ["review_id", "severity"], "left").select("review_id", "severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def verdict(df: DataFrame, fail_on: int = 1) -> DataFrame:
-    """Changes are requested if a finding is at fail_on or worse; a review with findings comments."""
-    bad = F.max((F.col("level") <= fail_on).cast("int"))
-    return df.groupBy("review_id").agg(F.when(bad == 1, F.lit("request_changes")).otherwise(F.lit("comment")).alias("verdict"))
+def verdict(df: DataFrame, reviews: DataFrame, fail_on: int = 1) -> DataFrame:
+    """Changes are requested if a finding is at fail_on or worse; other findings comment; a review without approves."""
+    worst = df.groupBy("review_id").agg(F.min("level").alias("worst"))
+    said = F.when(F.col("worst") <= fail_on, F.lit("request_changes")).when(F.col("worst").isNotNull(), F.lit("comment")).otherwise(F.lit("approve"))
+    return reviews.select("review_id").distinct().join(worst, "review_id", "left").select("review_id", said.alias("verdict"))
 
 
 def score(df: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -111,15 +119,20 @@ def score(df: DataFrame, coverage: DataFrame) -> DataFrame:
     return coverage.join(worst, "review_id", "left").select("review_id", s.cast("int").alias("score"))
 
 
-def overall_confidence(df: DataFrame) -> DataFrame:
-    """Weighted mean of confidences (thousandths, whole), worse levels weighing more."""
+def overall_confidence(df: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Weighted mean of confidences (worse levels weigh more) times the share of units covered (hundredths), in
+    thousandths, half up; without findings 0.4 and 0.6 of the coverage."""
     w = _by_level(F.col("level"), LEVEL_WEIGHTS, 2).cast("long")
-    return df.groupBy("review_id").agg(F.floor(F.sum(w * F.col("conf")) / F.sum(w)).cast("long").alias("confidence"))
+    sums = df.groupBy("review_id").agg(F.sum(w * F.col("conf")).alias("wc"), F.sum(w).alias("w"))
+    mean = F.expr("(2 * wc * coverage + 100 * w) div (200 * w)")
+    return coverage.join(sums, "review_id", "left").select("review_id", F.coalesce(mean, 6 * F.col("coverage") + 400).cast("long").alias("confidence"))
 
 
-def merge_findings(df: DataFrame, floor: int = 5, most: int = MAX_FINDINGS) -> DataFrame:
-    """M4: collapse; grave findings pass, the others go through floor, level caps and total cap."""
-    one = grave(collapse(df))
+def merge_findings(df: DataFrame, floor: int = 5, most: int = MAX_FINDINGS, joined: DataFrame | None = None) -> DataFrame:
+    """M4: collapse; `joined` (a merge of some of them, if there was one) takes their place, what it lost of the grave comes
+    back; grave findings pass, the others go through floor, level caps and total cap."""
+    one = collapse(df)
+    one = grave(one if joined is None else restore_lost(one, joined.select(one.columns)))
     ordinary = total_cap(level_caps(one.filter(f"not grave and level <= {floor}")), most)
     return one.filter("grave").unionByName(ordinary.select(one.columns)).drop("grave")
 
@@ -134,14 +147,23 @@ def memory_ladder(df: DataFrame) -> DataFrame:
     return df.withColumn("status", status).withColumn("conf", F.when(F.col("status") == "downranked", down).otherwise(F.col("conf")))
 
 
-def verify_fold(df: DataFrame, verdicts: DataFrame, preamble: str = "(?i)^(let me|looking at|i need to|i will|first)\\b") -> DataFrame:
-    """M5, M6: reasoned rejections go; any other verdict revises level and confidence, a bare confirmation adds 100."""
-    v = verdicts.select("finding_id", "verdict", F.col("level").alias("new_level"), F.col("conf").alias("new_conf"), "reason")
+def verify_fold(df: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rejections with a reason go; one without leaves its confidence behind. A revision sets the level,
+    and the body unless the new one only talks about the finding; a confirmation without a confidence adds 100."""
+    has_body = "body" in verdicts.columns and "body" in df.columns
+    v = verdicts.select("finding_id", "verdict", F.col("level").alias("new_level"), F.col("conf").alias("new_conf"), "reason", *([F.col("body").alias("new_body")] if has_body else []))
     j = df.join(v, "finding_id", "left")
     reason = F.trim(F.coalesce("reason", F.lit("")))
-    reasoned = (F.col("verdict") == "reject") & (F.length(reason) >= REASON_CHARS) & ~reason.rlike(preamble)
+    reasoned = (F.col("verdict") == "reject") & (F.length(reason) >= REASON_CHARS) & ~reason.rlike(PREAMBLE)
     bare = (F.col("verdict") == "confirm") & F.col("new_conf").isNull()
     conf = F.when(bare, F.least(F.lit(1000), F.col("conf") + 100)).otherwise(F.coalesce("new_conf", "conf"))
-    level = F.coalesce("new_level", "level")
+    revised = F.coalesce(F.col("verdict") == "revise", F.lit(False))
+    level = F.when(revised, F.coalesce("new_level", "level")).otherwise(F.col("level"))
     status = F.when(F.coalesce(reasoned, F.lit(False)), F.lit("rejected")).otherwise(F.lit("kept"))
-    return j.select(*[c for c in df.columns if c not in ("level", "conf")], level.alias("level"), conf.alias("conf"), status.alias("status"))
+    made = {"level": level, "conf": conf}
+    if "severity" in df.columns:
+        made["severity"] = F.when(revised & F.col("new_level").isNotNull(), F.concat(F.lit("P"), F.col("new_level").cast("string"))).otherwise(F.col("severity"))
+    if has_body:
+        body = F.trim(F.coalesce("new_body", F.lit("")))
+        made["body"] = F.when(revised & (body != "") & ~body.rlike(WORKINGS), body).otherwise(F.col("body"))
+    return j.select(*[made.get(c, F.col(c)).alias(c) for c in df.columns], status.alias("status"))

@@ -55,14 +55,82 @@ def innermost(symbols: DataFrame, points: DataFrame) -> DataFrame:
     return hit.groupBy("path", "offset").agg(F.max_by("symbol_id", F.struct("start_byte", "symbol_id")).alias("symbol_id"))
 
 
+#: Bytes of a bin of a file: ranges meet only in the bin where the inner one starts.
+BIN = 2048
+
+
 def nesting(symbols: DataFrame) -> DataFrame:
-    """The parent of each symbol: the innermost other one of its file that contains it; none at the top."""
-    p = symbols.select("path", F.col("symbol_id").alias("parent_id"), F.col("start_byte").alias("ps"), F.col("end_byte").alias("pe"))
-    hit = symbols.join(p, "path").filter("parent_id <> symbol_id and ps <= start_byte and end_byte <= pe and (ps < start_byte or end_byte < pe)")
-    best = hit.groupBy("symbol_id").agg(F.max_by("parent_id", F.struct("ps", -F.col("pe"))).alias("parent_id"))
+    """The parent of each symbol: the innermost other one of its file that contains it (the last by id of equal
+    ranges); none at the top. Candidates meet by file and bin, so a long file's symbols aren't paired all with all."""
+    bins = F.sequence(F.floor(F.col("start_byte") / BIN), F.floor(F.col("end_byte") / BIN))
+    p = symbols.select("path", F.col("symbol_id").alias("parent_id"), F.col("start_byte").alias("ps"), F.col("end_byte").alias("pe"), F.explode(bins).alias("bin"))
+    c = symbols.select("path", "symbol_id", "start_byte", "end_byte", F.floor(F.col("start_byte") / BIN).alias("bin"))
+    hit = c.join(p, ["path", "bin"]).filter("ps <= start_byte and end_byte <= pe and (ps < start_byte or end_byte < pe)")
+    best = hit.groupBy("symbol_id").agg(F.max_by("parent_id", F.struct("ps", -F.col("pe"), "parent_id")).alias("parent_id"))
     return symbols.join(best, "symbol_id", "left")
 
 
+def qualified_names(symbols: DataFrame, depth: int = 16) -> DataFrame:
+    """Names joined from the outermost symbol down, over (symbol_id, parent_id, name): a join per level, as deep as
+    definitions nest."""
+    up = symbols.select(F.col("symbol_id").alias("at"), F.col("parent_id").alias("next"), F.col("name").alias("part"))
+    out = symbols.withColumns({"qualified_name": F.col("name"), "next": F.col("parent_id")})
+    for _ in range(depth):
+        j = out.withColumnRenamed("next", "at").join(up, "at", "left")
+        joined = F.when(F.col("part").isNotNull(), F.concat("part", F.lit("."), "qualified_name")).otherwise(F.col("qualified_name"))
+        out = j.withColumn("qualified_name", joined).drop("at", "part")
+    return out.drop("next")
+
+
+def call_edges(references: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """G1: edges of calls: the innermost symbol around each reference (path, name, offset, line) is the source (a reference
+    outside all of them makes no edge), the resolution ladder finds the target."""
+    around = innermost(symbols, references.select("path", "offset").distinct()).withColumnRenamed("symbol_id", "src")
+    inside = references.join(around, ["path", "offset"])
+    return resolve_calls(inside, symbols, imports).select("src", "dst", F.col("name").alias("dst_name"), F.lit("call").alias("kind"), "resolution", "line")
+
+
+def related(edges: DataFrame, symbols: DataFrame, spans: DataFrame) -> DataFrame:
+    """What touches the changed lines: callers and callees, in other files, of the symbols that overlap them; each
+    once with its relation. Names and places come along for the entries' texts."""
+    own = overlaps(symbols, spans)
+    paths = own.select(F.col("path")).distinct()
+    near = one_hop(edges, own.select("symbol_id"))
+    return near.join(symbols.select("symbol_id", "path", "qualified_name", "start_line"), "symbol_id").join(paths, "path", "left_anti")
+
+
+def bodies(entries: DataFrame, chunks: DataFrame, files: DataFrame, most: int = 1800) -> DataFrame:
+    """The text of each entry: its symbol's chunk, else its lines of the file; cut to `most` characters."""
+    by_chunk = chunks.select("symbol_id", F.col("body").alias("chunk_body"))
+    j = entries.join(by_chunk, "symbol_id", "left").join(files.select("path", F.col("text").alias("file_text")), "path", "left")
+    cut = F.array_join(F.slice(F.split("file_text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    return j.withColumn("body", F.substring(F.coalesce("chunk_body", cut), 1, most)).drop("chunk_body", "file_text")
+
+
+def blast(counts: DataFrame, least: int = 8) -> DataFrame:
+    """A change whose rounds reached `least` caller edges or more has a wide blast radius."""
+    return counts.agg(F.coalesce(F.sum("reached"), F.lit(0)).cast("long").alias("reached")).withColumn("wide", F.col("reached") >= least)
+
+
+#: How a call looks, how a call on the object itself looks, how a definition starts, names that aren't calls.
+CALL_SITE = r"(?:self\.)?([A-Za-z_]\w{3,})\s*\("
+SELF_CALL = r"self\.([A-Za-z_]\w{3,})\s*\("
+DEFINED = r"^\s*(?:async\s+)?(?:def|class)\s+([A-Za-z_]\w*)"
+NOT_CALLS = tuple("print super range len str int list dict set tuple bool float isinstance getattr setattr hasattr return assert raise yield await if for while with except self format join append get type".split())
+
+
+def ranked_calls(lines: DataFrame, own: DataFrame, most: int = 16) -> DataFrame:
+    """W10, S3, T11 over added lines (unit, text) and the unit's own names (unit, name): the names called and not defined,
+    best first: private ones, those reached through the object itself, those of the unit, by alphabet; `most` a unit."""
+    names = lambda pattern: lines.select("unit", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("name")).distinct()
+    defined = lines.select("unit", F.regexp_extract("text", DEFINED, 1).alias("name")).filter("name <> ''").distinct()
+    called = names(CALL_SITE).filter(~F.col("name").isin(*NOT_CALLS)).join(defined, ["unit", "name"], "left_anti")
+    mark = lambda df, c: df.select("unit", "name").distinct().withColumn(c, F.lit(True))
+    j = called.join(mark(names(SELF_CALL), "inner_"), ["unit", "name"], "left").join(mark(own, "own_"), ["unit", "name"], "left")
+    w = Window.partitionBy("unit").orderBy(~F.col("name").startswith("_"), F.col("inner_").isNull(), F.col("own_").isNull(), "name")
+    return j.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("unit", "name", "place")
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """Target of each call (path, name): the file's last such symbol, else the only one among imported files, else
     the only one anywhere, else none. Counts are of symbols, so two definitions in one imported file defeat that rung.

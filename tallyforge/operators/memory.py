@@ -7,20 +7,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialise
+from tallyforge.sources.store import materialise
 
 #: Weighted events from which a rate counts, the least correction (thousandths), neighbours considered.
 LEAST_EVENTS, LEAST_CORRECTION, NEIGHBOURS = 5, 500, 40
-REJECTING = ("false_positive", "dismiss", "style_rule")
+#: Actions that calibrate, the accepting one first, and those that suppress a finding when it comes again.
+CALIBRATING = ("accept", "false_positive")
+DISMISSING = ("false_positive", "dismiss")
 
 
 def calibration(feedback: DataFrame) -> DataFrame:
     """A8 to A10 per category: accepted and rejected weight, each action's weight raised by its distinct voices, the
-    false-positive rate and the correction. Weights are in tenths, results in fortieths, so all sums are whole."""
+    false-positive rate and the correction. Only CALIBRATING actions count. Weights are in tenths, results in fortieths, so
+    all sums are whole."""
+    feedback = feedback.filter(F.col("action").isin(*CALIBRATING))
     voice = F.coalesce("author", F.col("feedback_id").cast("string"))
     per = feedback.groupBy("category", "action").agg(F.sum("weight10").alias("w"), F.count_distinct(voice).alias("voices"))
     raised = F.col("w") * (4 + F.least(F.col("voices") - 1, F.lit(4)))
-    side = lambda rejected: F.coalesce(F.sum(F.when(F.col("action").isin(*REJECTING) == rejected, raised)), F.lit(0))
+    side = lambda rejected: F.coalesce(F.sum(F.when((F.col("action") != CALIBRATING[0]) == rejected, raised)), F.lit(0))
     df = per.groupBy("category").agg(side(False).alias("accepted40"), side(True).alias("rejected40"))
     events = F.col("accepted40") + F.col("rejected40")
     rate = F.floor(1000 * F.col("rejected40") / F.greatest(events, F.lit(1))).cast("long")
@@ -35,9 +39,15 @@ def calibrate(findings: DataFrame, stats: DataFrame) -> DataFrame:
     return j.withColumn("stated_conf", F.when(c != 1000, F.col("conf"))).withColumn("conf", F.floor((F.col("conf") * c + 500) / 1000).cast("long")).drop("correction")
 
 
+def calibration_report(stats: DataFrame) -> DataFrame:
+    """Categories by weighted events, most first; a row per category."""
+    w = Window.orderBy(F.desc("events40"), "category")
+    return stats.withColumn("place", F.row_number().over(w))
+
+
 def suppressors(feedback: DataFrame) -> DataFrame:
-    """Per finding the summed weight and the first event's action, author and fingerprint."""
-    rejecting = feedback.filter(F.col("action").isin(*REJECTING))
+    """Per dismissed finding the summed weight and the first event's action, author and fingerprint."""
+    rejecting = feedback.filter(F.col("action").isin(*DISMISSING) & F.col("finding_id").isNotNull())
     first = lambda c: F.min_by(c, "feedback_id").alias(c)
     return rejecting.groupBy("finding_id").agg(F.sum("weight10").alias("weight10"), first("fingerprint"), first("action"), first("author"))
 
@@ -75,6 +85,28 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
 QUERY_LIMIT = 4096
 
 
+def matches(findings: DataFrame, near: DataFrame, known: DataFrame) -> DataFrame:
+    """M2: each finding's match: the suppressor of its fingerprint (similarity 1), else the similar one."""
+    exact = fingerprint_match(findings, known).select("finding_id", F.col("suppressor").alias("exact"))
+    similar = near.select(F.col("key").alias("finding_id"), "suppressor", "similarity")
+    j = exact.join(similar, "finding_id", "full")
+    hit = F.col("exact").isNotNull()
+    return j.select("finding_id", F.coalesce("exact", "suppressor").alias("suppressor"), F.when(hit, F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"), F.when(hit, F.lit("fingerprint")).otherwise(F.lit("vector")).alias("by"))
+
+
+def provenance(found: DataFrame, matched: DataFrame, reasons: DataFrame) -> DataFrame:
+    """What became of each matched finding, and why: status, the suppressor, similarity to four places, who and reason."""
+    why = reasons.select(F.col("finding_id").alias("suppressor"), F.col("author").alias("by_whom"), "reason")
+    j = matched.join(found.select("finding_id", "status"), "finding_id").join(why, "suppressor", "left")
+    return j.select("finding_id", "status", "suppressor", F.round("similarity", 4).alias("similarity"), "by_whom", "reason")
+
+
+def remembered(kept: DataFrame, suppressed: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Vectors of kept and suppressed findings (rejected ones are forgotten); a finding without a vector has no row."""
+    both = kept.select("finding_id").unionByName(suppressed.select("finding_id")).distinct()
+    return vectors.join(both, "finding_id", "left_semi")
+
+
 def similarity_match(neighbours: DataFrame, known: DataFrame) -> DataFrame:
     """Of the nearest NEIGHBOURS of any category, the nearest suppressor of the finding's own category."""
     near = neighbours.filter((F.col("rank") <= NEIGHBOURS) & (F.col("category") == F.col("neighbour_category")))

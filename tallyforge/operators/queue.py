@@ -10,9 +10,9 @@ ATTEMPTS = {"review": 1, "index": 3, "github_review": 1, "github_comment": 3}
 
 
 def claim(jobs: DataFrame) -> DataFrame:
-    """The oldest queued job of each kind starts."""
-    first = jobs.filter("status = 'queued'").groupBy("kind").agg(F.min("job_id").alias("job_id"))
-    return jobs.join(first, ["kind", "job_id"], "left_semi").withColumn("status", F.lit("running")).withColumn("attempts", F.col("attempts") + 1)
+    """The oldest queued job starts."""
+    first = jobs.filter("status = 'queued'").agg(F.min("job_id").alias("job_id"))
+    return jobs.join(F.broadcast(first), "job_id", "left_semi").withColumn("status", F.lit("running")).withColumn("attempts", F.col("attempts") + 1)
 
 
 def finish(jobs: DataFrame) -> DataFrame:
@@ -22,6 +22,37 @@ def finish(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status") == "running", ended).otherwise(F.col("status")))
 
 
+def recover(jobs: DataFrame) -> DataFrame:
+    """ST9: jobs that a crash left running are queued again while attempts are left, else failed with a reason."""
+    most = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in ATTEMPTS.items()], F.lit(1))
+    left = F.col("status") == "running"
+    again = F.col("attempts") < most
+    return jobs.withColumns({
+        "status": F.when(left & again, F.lit("queued")).when(left, F.lit("failed")).otherwise(F.col("status")),
+        "error": F.when(left & ~again, F.lit("interrupted by a restart; not repeated automatically")).otherwise(F.col("error")),
+    })
+
+
+def upsert_reviews(old: DataFrame, new: DataFrame) -> DataFrame:
+    """SK5: a review's new row replaces the stored one, whose created_at survives."""
+    born = old.select("review_id", F.col("created_at").alias("born"))
+    j = new.join(born, "review_id", "left").withColumn("created_at", F.coalesce("born", "created_at")).drop("born")
+    return old.join(new.select("review_id"), "review_id", "left_anti").unionByName(j.select(old.columns))
+
+
+def allocate(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """A22, SK7: new rows get the keys after the largest there is, in order, in slices: no task holds them all."""
+    top = old.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("top"))
+    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = new.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    ranged = ranged.withColumns({"slice": F.shiftright("place", 33), "at": F.col("place").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = ranged.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("slice", before.alias("before"))
+    j = ranged.join(F.broadcast(shift), "slice").join(F.broadcast(top))  # one row
+    return j.withColumn(key, F.col("top") + F.col("before") + F.col("at") + 1).select(key, *[c for c in new.columns if c != key])
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """SK3: insert-or-ignore: the first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -70,6 +101,26 @@ def comment_marks(comments: DataFrame, marks: DataFrame) -> tuple[DataFrame, Dat
     return fresh, both
 
 
+def skip_review(pulls: DataFrame, forks: bool = False) -> DataFrame:
+    """Why a pull request isn't reviewed: it is a draft, or comes from a fork (one whose repository is gone counts as
+    such); null if it is reviewed."""
+    fork = F.lit(not forks) & ~F.col("head_repo").eqNullSafe(F.col("base_repo"))
+    return pulls.withColumn("skipped", F.when(F.col("draft"), F.lit("draft")).when(fork, F.lit("fork")))
+
+
+def wants_review(pulls: DataFrame, state: DataFrame, events: tuple[str, ...] = ("opened", "synchronize")) -> DataFrame:
+    """Pulls that aren't skipped, whose head hasn't been reviewed and whose event (opened at first sight, synchronize
+    after a review) is asked for."""
+    j = pulls.filter("skipped is null").join(state.select("number", "reviewed_sha"), "number", "left")
+    event = F.when(F.col("reviewed_sha").isNull(), F.lit("opened")).otherwise(F.lit("synchronize"))
+    return j.filter(~F.col("reviewed_sha").eqNullSafe(F.col("head_sha")) & event.isin(*events)).select(*pulls.columns, event.alias("event"))
+
+
+def merged_counts(before: DataFrame, now: DataFrame) -> DataFrame:
+    """ST6: the counts to remember: the present ones, and those of comments that weren't seen this time."""
+    return before.join(now.select("comment_id", "kind"), ["comment_id", "kind"], "left_anti").unionByName(now)
+
+
 def command(body: Column, name: str) -> Column:
     """What a comment asks of `name`: review, explain, other, or null without a mention."""
     after = F.trim(F.regexp_extract(body, f"(?is)@{name}(?:[^\\w-](.*))?$", 1))

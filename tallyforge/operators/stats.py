@@ -21,20 +21,32 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def spend(calls: DataFrame, by: list[str]) -> DataFrame:
     """Calls, cost in cents and tokens, per key or in all (one row, zeros on an empty log)."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
-    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), total("cost_cents"), total("tokens_in"), total("tokens_cached"))
+    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), total("cost_cents"), total("tokens_in"), total("tokens_out"), total("tokens_cached"))
+
+
+def spend_order(calls: DataFrame) -> DataFrame:
+    """Prompts with a name by cost, dearest first; a row per prompt."""
+    w = Window.orderBy(F.desc("cost_cents"), "prompt")
+    return spend(calls.filter("prompt is not null"), ["prompt"]).withColumn("place", F.row_number().over(w))
+
+
+def suppressed_count(found: DataFrame) -> DataFrame:
+    """A4: findings in all and suppressed ones, one row."""
+    return found.agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("status") == "suppressed").alias("suppressed"))
 
 
 def cache_rate(calls: DataFrame) -> DataFrame:
-    """Cached share of input tokens in thousandths, zero without any; embedding calls and nulls don't count."""
-    used = calls.filter("prompt <> 'embeddings' and tokens_in is not null and tokens_cached is not null")
-    rate = F.when(F.sum("tokens_in") > 0, F.floor(1000 * F.sum("tokens_cached") / F.sum("tokens_in"))).otherwise(0)
+    """Cached share of input tokens in thousandths, zero without any; embedding calls and those without a
+    prompt don't count, a call without a cached number counts as read in full."""
+    used = calls.filter("prompt is not null and prompt <> 'embeddings'")
+    rate = F.when(F.sum("tokens_in") > 0, F.floor(1000 * F.coalesce(F.sum("tokens_cached"), F.lit(0)) / F.sum("tokens_in"))).otherwise(0)
     return used.agg(F.coalesce(rate, F.lit(0)).cast("long").alias("cache_rate"))
 
 
 def latest_answer(calls: DataFrame) -> DataFrame:
     """The newest good answer per request, version and review; null keys are equal to each other."""
     good = calls.filter("ok and response is not null")
-    w = Window.partitionBy("request_hash", "version", "review_id").orderBy(F.desc("call_id"))
+    w = Window.partitionBy("request_hash", "version", "review_id").orderBy(F.desc("call_id"), F.desc("response"))
     return good.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
@@ -46,8 +58,9 @@ def reuse(requests: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def budget_prefix(calls: DataFrame, limit_cents: int) -> DataFrame:
-    """M8: calls of each review that still run: those before which less than the limit was spent, so one may overshoot."""
-    before = F.coalesce(F.sum("cost_cents").over(Window.partitionBy("review_id").orderBy("call_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """M8: calls of each review that still run: those before which less than the limit was spent, so one may overshoot. Calls
+    that share an id run cheapest first."""
+    before = F.coalesce(F.sum("cost_cents").over(Window.partitionBy("review_id").orderBy("call_id", "cost_cents").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return calls.withColumn("spent_before", before.cast("long")).filter(F.col("spent_before") < limit_cents)
 
 

@@ -12,7 +12,7 @@ CHUNK_LINES, LEAST_CHARS, MOST_CHARS, TOKEN_CHARS, MOST_BYTES = 120, 40, 6000, 4
 #: Hits kept per literal, names searched, and hits of earlier names after which no other is searched.
 HITS_PER_NAME, MOST_NAMES, MOST_HITS = 6, 12, 30
 #: Languages by suffix, and suffixes of binary files.
-LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "tsx", ".go": "go", ".vue": "vue"}
+LANGUAGES = {".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".go": "go", ".vue": "vue"}
 BINARY = (".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".gz", ".woff", ".woff2", ".ttf", ".so", ".bin")
 #: Our own secret rules: name and pattern; generic assignments must also be random enough (bits per character).
 SECRET_RULES = {"assigned_hex": '(?:token|secret|password|api_key) = "([0-9a-f]{40})"', "aws_key_id": "(AKIA[0-9A-Z]{16})", "private_key": "(-----BEGIN [A-Z ]*PRIVATE KEY-----)"}
@@ -125,6 +125,42 @@ def skip_reason(path: Column, size: Column) -> Column:
     return F.when(binary, F.lit("binary")).when(size > MOST_BYTES, F.lit("too large")).when(size == 0, F.lit("empty"))
 
 
+def ignore_reasons(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """P3 over (path) and (ordinal, pattern, source): the last rule that matches a path decides; one that starts with ! takes
+    it back. Patterns without a slash match in any folder, those that end in one match all below. A handful of rules, so
+    they are broadcast after a check of their number."""
+    if rules.count() > 10_000:
+        raise ValueError("too many ignore rules to hand to every task")
+    bare = F.regexp_replace("pattern", "^!", "")
+    below = F.regexp_replace(bare, "/$", "")
+    body = F.regexp_replace(F.regexp_replace(below, "^/", ""), "([.+()\\[\\]{}^$|\\\\])", "\\\\$1")
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "\\*\\*/?", "\u0001"), "\\*", "[^/]*"), "\\?", "[^/]")
+    body = F.regexp_replace(body, "\u0001", ".*")
+    start = F.when(F.contains(below, F.lit("/")), F.lit("^")).otherwise(F.lit("^(?:.*/)?"))
+    tail = F.when(F.endswith(bare, F.lit("/")), F.lit("/.*$")).otherwise(F.lit("(?:/.*)?$"))
+    made = rules.select("ordinal", "source", F.startswith("pattern", F.lit("!")).alias("keeps"), F.concat(start, body, tail).alias("regex"))
+    hits = files.select("path").join(F.broadcast(made), F.expr("path rlike regex"))
+    last = hits.groupBy("path").agg(F.max_by(F.struct("keeps", "source"), "ordinal").alias("r"))
+    why = F.when(~F.col("r.keeps"), F.concat(F.lit("ignored by "), F.col("r.source")))
+    return files.join(last, "path", "left").withColumn("ignored", why).drop("r")
+
+
+def select_files(files: DataFrame, rules: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Each file's reason to be skipped (null if selected): a rule, else a limit; of `wanted` paths, those that
+    aren't there are skipped for that."""
+    found = ignore_reasons(files, rules).withColumn("reason", F.coalesce("ignored", skip_reason(F.col("path"), F.col("size")))).drop("ignored")
+    if wanted is None:
+        return found
+    here = wanted.select("path").distinct().join(found.withColumn("here", F.lit(True)), "path", "left")
+    return here.withColumn("reason", F.when(F.col("here").isNull(), F.lit("not present at this revision")).otherwise(F.col("reason"))).drop("here")
+
+
+def ranked_hits(hits: DataFrame, own_language: str, most: int = MOST_HITS) -> DataFrame:
+    """T7 over (path, line_no): hits in other languages first, then by path and line."""
+    w = Window.orderBy(language(F.col("path")).eqNullSafe(F.lit(own_language)), "path", "line_no")
+    return hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)  # a bounded list of names' hits
+
+
 def glob_pattern(globs: list[str]) -> str:
     """fnmatch globs as one anchored pattern: * crosses folders, so **/x asks for a folder before x."""
     one = lambda g: "".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in g)

@@ -11,8 +11,8 @@ from tallyforge.operators import queue as Q
 from tallyforge.operators import stats as S
 from tallyforge.sources.tables import table
 
-CALLS = """c AS (SELECT l_orderkey AS review_id, l_returnflag AS prompt, CAST(l_quantity AS BIGINT) AS tokens_in, CAST(round(l_extendedprice * 100) AS BIGINT) AS cost_cents,
-    CAST(round(l_discount * 100) * l_quantity AS BIGINT) // 100 AS tokens_cached, l_partkey AS request_hash, CASE WHEN l_linestatus = 'O' THEN l_shipmode_ END AS version, l_linestatus = 'O' OR l_suppkey % 3 <> 0 AS ok, l_suppkey AS response, l_shipdate AS ts,
+CALLS = """c AS (SELECT l_orderkey AS review_id, l_returnflag AS prompt, CAST(l_quantity AS BIGINT) AS tokens_in, l_partkey % 17 AS tokens_out, CAST(round(l_extendedprice * 100) AS BIGINT) AS cost_cents,
+    CASE WHEN l_partkey % 9 > 0 THEN CAST(round(l_discount * 100) * l_quantity AS BIGINT) // 100 END AS tokens_cached, l_partkey AS request_hash, CASE WHEN l_linestatus = 'O' THEN l_shipmode_ END AS version, l_linestatus = 'O' OR l_suppkey % 3 <> 0 AS ok, l_suppkey AS response, l_shipdate AS ts,
     l_orderkey * 1000000 + l_partkey AS call_id FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN 'v1' ELSE 'v2' END AS l_shipmode_ FROM lineitem))"""
 
 
@@ -25,7 +25,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("l_returnflag").alias("prompt"),
         c("l_quantity").cast("long").alias("tokens_in"),
         F.round(c("l_extendedprice") * 100).cast("long").alias("cost_cents"),
-        F.floor((F.round(c("l_discount") * 100) * c("l_quantity")).cast("long") / 100).cast("long").alias("tokens_cached"),
+        (c("l_partkey") % 17).alias("tokens_out"),
+        F.when(c("l_partkey") % 9 > 0, F.floor((F.round(c("l_discount") * 100) * c("l_quantity")).cast("long") / 100).cast("long")).alias("tokens_cached"),
         c("l_partkey").alias("request_hash"),
         F.when(c("l_linestatus") == "O", version).alias("version"),
         ((c("l_linestatus") == "O") | (c("l_suppkey") % 3 != 0)).alias("ok"),
@@ -35,7 +36,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SPEND = "count(*) AS calls, CAST(coalesce(sum(cost_cents), 0) AS BIGINT) AS cost_cents, CAST(coalesce(sum(tokens_in), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(tokens_cached), 0) AS BIGINT) AS tokens_cached"
+SPEND = "count(*) AS calls, CAST(coalesce(sum(cost_cents), 0) AS BIGINT) AS cost_cents, CAST(coalesce(sum(tokens_in), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(tokens_out), 0) AS BIGINT) AS tokens_out, CAST(coalesce(sum(tokens_cached), 0) AS BIGINT) AS tokens_cached"
 
 
 @query("spend_totals", f"WITH {CALLS} SELECT {SPEND} FROM c")
@@ -60,10 +61,10 @@ def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "latest_answer",
-    f"WITH {CALLS} SELECT request_hash, version, review_id, max(call_id) AS call_id FROM c WHERE ok AND response IS NOT NULL GROUP BY request_hash, version, review_id",
+    f"WITH {CALLS} SELECT request_hash, version, review_id, max(call_id) AS call_id, max(struct_pack(c := call_id, r := response)).r AS response FROM c WHERE ok AND response IS NOT NULL GROUP BY request_hash, version, review_id",
 )
 def latest_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.latest_answer(calls(spark, sf_dir)).select("request_hash", "version", "review_id", "call_id")
+    return S.latest_answer(calls(spark, sf_dir)).select("request_hash", "version", "review_id", "call_id", "response")
 
 
 @query(
@@ -78,12 +79,15 @@ def answer_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "budget_prefix_calls",
-    f"WITH {CALLS}, u AS (SELECT DISTINCT review_id, call_id, cost_cents FROM c WHERE call_id IN (SELECT call_id FROM c GROUP BY call_id HAVING count(*) = 1)), s AS (SELECT *, CAST(coalesce(sum(cost_cents) OVER (PARTITION BY review_id ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_before FROM u) SELECT * FROM s WHERE spent_before < 8000000",
+    f"WITH {CALLS}, u AS (SELECT review_id, call_id, cost_cents FROM c), s AS (SELECT *, CAST(coalesce(sum(cost_cents) OVER (PARTITION BY review_id ORDER BY call_id, cost_cents ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_before FROM u) SELECT * FROM s WHERE spent_before < 8000000",
 )
 def budget_prefix_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = calls(spark, sf_dir).select("review_id", "call_id", "cost_cents")
-    once = c.groupBy("review_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.max("cost_cents").alias("cost_cents")).filter("n = 1").drop("n")
-    return S.budget_prefix(once, 8_000_000)
+    return S.budget_prefix(calls(spark, sf_dir).select("review_id", "call_id", "cost_cents"), 8_000_000)
+
+
+@query("spend_order", f"WITH {CALLS} SELECT prompt, {SPEND}, CAST(row_number() OVER (ORDER BY sum(cost_cents) DESC, prompt) AS INT) AS place FROM c GROUP BY prompt")
+def spend_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.spend_order(calls(spark, sf_dir))
 
 
 @query("retention_trim", "SELECT event_id, ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
@@ -109,7 +113,7 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table_counts({t: table(spark, sf_dir, t) for t in COUNTED})
 
 
-FEEDBACK = """f AS (SELECT doc_id AS feedback_id, doc_id AS finding_id, source AS category, CASE WHEN quality = 1 THEN 'accept' ELSE 'false_positive' END AS action, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS author,
+FEEDBACK = """f AS (SELECT doc_id AS feedback_id, doc_id AS finding_id, source AS category, CASE WHEN quality = 1 THEN 'accept' WHEN doc_id % 4 = 0 THEN 'dismiss' WHEN doc_id % 4 = 1 THEN 'style_rule' ELSE 'false_positive' END AS action, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS author,
     CASE WHEN toxic = 1 THEN 3 ELSE 10 END AS weight10, sha256(text) AS fingerprint FROM labels JOIN documents USING (doc_id))"""
 
 
@@ -121,14 +125,14 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("feedback_id"),
         i.alias("finding_id"),
         F.col("source").alias("category"),
-        F.when(F.col("quality") == 1, "accept").otherwise("false_positive").alias("action"),
+        F.when(F.col("quality") == 1, "accept").when(i % 4 == 0, "dismiss").when(i % 4 == 1, "style_rule").otherwise("false_positive").alias("action"),
         F.when(i % 7 != 0, F.col("lang")).alias("author"),
         F.when(F.col("toxic") == 1, 3).otherwise(10).cast("long").alias("weight10"),
         F.sha2("text", 256).alias("fingerprint"),
     )
 
 
-CALIBRATION = f"""WITH {FEEDBACK}, p AS (SELECT category, action, sum(weight10) * (4 + least(count(DISTINCT coalesce(author, CAST(feedback_id AS VARCHAR))) - 1, 4)) AS w FROM f GROUP BY category, action),
+CALIBRATION = f"""WITH {FEEDBACK}, p AS (SELECT category, action, sum(weight10) * (4 + least(count(DISTINCT coalesce(author, CAST(feedback_id AS VARCHAR))) - 1, 4)) AS w FROM f WHERE action IN ('accept', 'false_positive') GROUP BY category, action),
     s AS (SELECT category, CAST(coalesce(sum(w) FILTER (action = 'accept'), 0) AS BIGINT) AS accepted40, CAST(coalesce(sum(w) FILTER (action <> 'accept'), 0) AS BIGINT) AS rejected40 FROM p GROUP BY category),
     q AS (SELECT *, accepted40 + rejected40 AS events40, CAST(1000 * rejected40 // greatest(accepted40 + rejected40, 1) AS BIGINT) AS fp_rate FROM s),
     k AS (SELECT *, CAST(CASE WHEN events40 < 200 THEN 1000 ELSE greatest(500, 1000 - fp_rate) END AS BIGINT) AS correction FROM q)"""
@@ -139,6 +143,11 @@ def calibration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.calibration(feedback(spark, sf_dir))
 
 
+@query("calibration_report", f"{CALIBRATION} SELECT *, CAST(row_number() OVER (ORDER BY events40 DESC, category) AS INT) AS place FROM k")
+def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.calibration_report(M.calibration(feedback(spark, sf_dir)))
+
+
 @query(
     "calibrated_findings",
     f"""{CALIBRATION} SELECT doc_id AS finding_id, source AS category, CASE WHEN coalesce(correction, 1000) <> 1000 THEN n_chars % 1000 END AS stated_conf, CAST(((n_chars % 1000) * coalesce(correction, 1000) + 500) // 1000 AS BIGINT) AS conf
@@ -151,7 +160,7 @@ def calibrated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "suppressors_dedup",
-    f"WITH {FEEDBACK} SELECT finding_id // 3 AS finding_id, CAST(sum(weight10) AS BIGINT) AS weight10, arg_min(fingerprint, feedback_id) AS fingerprint, arg_min(action, feedback_id) AS action, arg_min(coalesce(author, '-'), feedback_id) AS author FROM f WHERE action <> 'accept' GROUP BY finding_id // 3",
+    f"WITH {FEEDBACK} SELECT finding_id // 3 AS finding_id, CAST(sum(weight10) AS BIGINT) AS weight10, arg_min(fingerprint, feedback_id) AS fingerprint, arg_min(action, feedback_id) AS action, arg_min(coalesce(author, '-'), feedback_id) AS author FROM f WHERE action IN ('false_positive', 'dismiss') GROUP BY finding_id // 3",
 )
 def suppressors_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = feedback(spark, sf_dir).withColumn("finding_id", F.floor(F.col("finding_id") / 3).cast("long")).withColumn("author", F.coalesce("author", F.lit("-")))
@@ -160,7 +169,7 @@ def suppressors_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fingerprint_suppressed",
-    f"WITH {FEEDBACK}, s AS (SELECT fingerprint, max(finding_id) AS suppressor FROM f WHERE action <> 'accept' GROUP BY fingerprint) SELECT doc_id AS finding_id, suppressor FROM documents JOIN s ON sha256(text) = s.fingerprint",
+    f"WITH {FEEDBACK}, s AS (SELECT fingerprint, max(finding_id) AS suppressor FROM f WHERE action IN ('false_positive', 'dismiss') GROUP BY fingerprint) SELECT doc_id AS finding_id, suppressor FROM documents JOIN s ON sha256(text) = s.fingerprint",
 )
 def fingerprint_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("finding_id"), F.sha2("text", 256).alias("fingerprint"))
@@ -168,7 +177,7 @@ def fingerprint_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VECTORS = "v AS (SELECT vec_id AS key, CAST(label AS VARCHAR) AS category, embedding AS vector FROM embeddings)"
-PAIRS = f"{VECTORS}, q AS (SELECT * FROM v WHERE key % 50 = 0), n AS (SELECT q.key, q.category, v.key AS neighbour, v.category AS neighbour_category, list_sum(list_transform(list_zip(q.vector, v.vector), lambda x: CAST((x[1] - x[2]) * (x[1] - x[2]) AS DOUBLE))) AS d2 FROM q JOIN v ON q.key <> v.key), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY d2, neighbour) AS INT) AS rank FROM n)"
+PAIRS = f"{VECTORS}, q AS (SELECT * FROM v WHERE key % 20 = 0), n AS (SELECT q.key, q.category, v.key AS neighbour, v.category AS neighbour_category, list_sum(list_transform(list_zip(q.vector, v.vector), lambda x: CAST((x[1] - x[2]) * (x[1] - x[2]) AS DOUBLE))) AS d2 FROM q JOIN v ON q.key <> v.key), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY d2, neighbour) AS INT) AS rank FROM n)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,16 +187,29 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("knn_topk", f"WITH {PAIRS} SELECT key, neighbour, rank FROM r WHERE rank <= 10")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return M.knn(v.filter("key % 50 = 0"), v, 10).select("key", "neighbour", "rank")
+    return M.knn(v.filter("key % 20 = 0"), v, 10).select("key", "neighbour", "rank")
 
 
 @query("knn_category_postfilter", f"WITH {PAIRS} SELECT key, arg_min(neighbour, rank) AS suppressor FROM r WHERE rank <= 40 AND category = neighbour_category AND neighbour % 3 = 0 GROUP BY key")
 def knn_category_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    near = M.knn(v.filter("key % 50 = 0"), v, M.NEIGHBOURS)
+    near = M.knn(v.filter("key % 20 = 0"), v, M.NEIGHBOURS)
     return M.similarity_match(near, v.filter("key % 3 = 0").select(F.col("key").alias("finding_id"))).select("key", "suppressor")
 
 
+@query(
+    "match_precedence",
+    f"""WITH {FEEDBACK}, s AS (SELECT fingerprint, max(finding_id) AS exact FROM f WHERE action IN ('false_positive', 'dismiss') GROUP BY fingerprint), e AS (SELECT doc_id AS finding_id, exact FROM documents JOIN s ON sha256(text) = s.fingerprint),
+    n AS (SELECT doc_id AS finding_id, doc_id + 1 AS suppressor, (doc_id % 100) / 128.0::DOUBLE AS similarity FROM documents WHERE doc_id % 3 = 0)
+    SELECT finding_id, coalesce(exact, suppressor) AS suppressor, CASE WHEN exact IS NOT NULL THEN 1.0::DOUBLE ELSE similarity END AS similarity, CASE WHEN exact IS NOT NULL THEN 'fingerprint' ELSE 'vector' END AS by FROM e FULL JOIN n USING (finding_id)""",
+)
+def match_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    found = d.select(i.alias("finding_id"), F.sha2("text", 256).alias("fingerprint"))
+    near = d.filter("doc_id % 3 = 0").select(i.alias("key"), (i + 1).alias("suppressor"), ((i % 100) / F.lit(128.0)).alias("similarity"))
+    return M.matches(found, near, M.suppressors(feedback(spark, sf_dir)))
+
+
 @query(
     "suppress_or_downrank",
     """WITH f AS (SELECT o_orderkey AS finding_id, CASE WHEN o_orderstatus = 'P' THEN 'security' ELSE 'bug' END AS category, o_orderkey % 1000 AS conf, CASE WHEN o_orderkey % 11 > 0 THEN CAST(CAST(o_totalprice * 100 AS BIGINT) % 101 AS DOUBLE) / 100 END AS similarity, CASE WHEN o_custkey % 2 = 0 THEN 'known' ELSE ' ' END AS reason FROM orders),
@@ -225,7 +247,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("queue_claim", f"WITH {JOBS} SELECT job_id, kind, 'running' AS status, attempts + 1 AS attempts, error FROM j WHERE (kind, job_id) IN (SELECT kind, min(job_id) FROM j WHERE status = 'queued' GROUP BY kind)")
+@query("queue_claim", f"WITH {JOBS} SELECT job_id, kind, 'running' AS status, attempts + 1 AS attempts, error FROM j WHERE job_id = (SELECT min(job_id) FROM j WHERE status = 'queued')")
 def queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.claim(jobs(spark, sf_dir))
 
@@ -238,6 +260,55 @@ def retry_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.finish(jobs(spark, sf_dir))
 
 
+@query(
+    "recover_orphans",
+    f"WITH {JOBS}, k AS (SELECT *, status = 'running' AS r, attempts < CASE kind WHEN 'index' THEN 3 WHEN 'github_comment' THEN 3 ELSE 1 END AS again FROM j) SELECT job_id, kind, attempts, CASE WHEN r AND again THEN 'queued' WHEN r THEN 'failed' ELSE status END AS status, CASE WHEN r AND NOT again THEN 'interrupted by a restart; not repeated automatically' ELSE error END AS error FROM k",
+)
+def recover_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.recover(jobs(spark, sf_dir))
+
+
+@query("review_upsert", "SELECT o_orderkey AS review_id, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '2030-01-01' ELSE o_orderdate END AS created_at FROM orders")
+def review_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_id"), F.lit("old").alias("status"), F.col("o_orderdate").alias("created_at"))
+    new = o.filter("review_id % 3 = 0 or review_id % 2 = 0").withColumns({"status": F.lit("new"), "created_at": F.lit("2030-01-01").cast("timestamp_ntz")})
+    return Q.upsert_reviews(o.filter("review_id % 2 = 1"), new)
+
+
+@query("key_allocation", "SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY doc_id) AS key, doc_id FROM documents")
+def key_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    return Q.allocate(old, table(spark, sf_dir, "documents").select("doc_id"), "key", ["doc_id"])
+
+
+PULLS = """p AS (SELECT o_orderkey AS number, o_orderstatus = 'P' AS draft, CASE o_custkey % 3 WHEN 0 THEN 'us/it' WHEN 1 THEN 'them/it' END AS head_repo, 'us/it' AS base_repo, 'sha' || o_orderkey % 5 AS head_sha FROM orders),
+    k AS (SELECT *, CASE WHEN draft THEN 'draft' WHEN head_repo IS DISTINCT FROM base_repo THEN 'fork' END AS skipped FROM p)"""
+
+
+def pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 3
+    return Q.skip_review(table(spark, sf_dir, "orders").select(k.alias("number"), (F.col("o_orderstatus") == "P").alias("draft"), F.when(c == 0, "us/it").when(c == 1, "them/it").alias("head_repo"), F.lit("us/it").alias("base_repo"), F.concat(F.lit("sha"), (k % 5).cast("string")).alias("head_sha")))
+
+
+@query("skipped_pulls", f"WITH {PULLS} SELECT number, skipped FROM k")
+def skipped_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pulls(spark, sf_dir).select("number", "skipped")
+
+
+@query("wanted_reviews", f"WITH {PULLS}, s AS (SELECT o_orderkey AS number, CASE WHEN o_orderkey % 7 > 1 THEN 'sha' || o_orderkey % 3 END AS reviewed_sha FROM orders WHERE o_orderkey % 2 = 0) SELECT number, head_sha, CASE WHEN reviewed_sha IS NULL THEN 'opened' ELSE 'synchronize' END AS event FROM k LEFT JOIN s USING (number) WHERE skipped IS NULL AND reviewed_sha IS DISTINCT FROM head_sha")
+def wanted_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    state = table(spark, sf_dir, "orders").filter(k % 2 == 0).select(k.alias("number"), F.when(k % 7 > 1, F.concat(F.lit("sha"), (k % 3).cast("string"))).alias("reviewed_sha"))
+    return Q.wants_review(pulls(spark, sf_dir), state).select("number", "head_sha", "event")
+
+
+@query("remembered_counts", "WITH n AS (SELECT user_id AS comment_id, event_type AS kind, count(*) AS c, count(*) FILTER (user_id % 3 > 0 AND ts < TIMESTAMP '2024-01-20') AS b FROM events GROUP BY ALL), a AS (SELECT user_id AS comment_id, event_type AS kind, count(*) AS w FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY ALL) SELECT comment_id, kind, w AS count FROM a WHERE comment_id % 3 = 0 UNION ALL SELECT comment_id, kind, c FROM n WHERE comment_id % 3 > 0")
+def remembered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("comment_id"), F.col("event_type").alias("kind"), "ts")
+    count = lambda df: df.groupBy("comment_id", "kind").agg(F.count(F.lit(1)).alias("count"))
+    return Q.merged_counts(count(e.filter("ts < timestamp_ntz '2024-01-20 00:00:00'")), count(e.filter("comment_id % 3 > 0")))
+
+
 @query(
     "reaction_delta",
     "WITH n AS (SELECT user_id AS comment_id, event_type AS kind, count(*) AS c, count(*) FILTER (ts < TIMESTAMP '2024-01-20') AS b FROM events GROUP BY ALL) SELECT comment_id, kind, c - b AS delta FROM n WHERE c > b",
@@ -289,9 +360,11 @@ def comment_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "command_parse",
-    "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'review' WHEN 'assistant' THEN NULL ELSE 'other' END AS command FROM conversations",
+    """WITH b AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '@bot Review ' WHEN 1 THEN '@bottle review ' ELSE 'ask @bot: ' END || text AS t FROM conversations)
+    SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'review' WHEN 1 THEN NULL ELSE 'other' END AS command, length(t) AS n_chars FROM b""",
 )
 def command_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    body = F.when(F.col("role") == "user", "please @bot Review this").when(F.col("role") == "assistant", "the @bottle review").otherwise("@bot, what?")
-    return c.select("conv_id", "turn", Q.command(body, "bot").alias("command"))
+    t = F.col("turn") % 3
+    body = F.concat(F.when(t == 0, "@bot Review ").when(t == 1, "@bottle review ").otherwise("ask @bot: "), "text")
+    return c.select("conv_id", "turn", Q.command(body, "bot").alias("command"), F.length(body).cast("long").alias("n_chars"))
