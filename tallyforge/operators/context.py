@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,9 +35,28 @@ def truncating_budget(df: DataFrame, unit: str, order: list[str], text: str, bud
     return out.filter(fits | (F.col("left") >= least)).withColumn(text, F.when(fits, F.col(text)).otherwise(F.substring(F.col(text), F.lit(1), F.col("left").cast("int")))).drop("left")
 
 
-def instruction_score(path):
-    """strong names over others, the root and documentation folders over deep ones; in halves."""
+#: Scores of names that teams give their instructions, of terms in other names, folders that hold none, suffixes of texts.
+STRONG_NAMES = {
+    "claude.md": 10, "agents.md": 10, "agent.md": 9, ".cursorrules": 9, "copilot-instructions.md": 9, "conventions.md": 8, "contributing.md": 8, "contributing": 7, "style.md": 8, "styleguide.md": 8,
+    "style-guide.md": 8, "architecture.md": 7, "spec.md": 7, "code_review.md": 8, "code-review.md": 8, "engineering.md": 6, "standards.md": 7,
+}
+FUZZY_TERMS = {"convention": 6, "guideline": 6, "style": 5, "standard": 5, "handbook": 5, "contributing": 6, "architecture": 4, "spec": 4, "review": 4, "instruction": 6}
+SKIPPED_FOLDERS, TEXT_SUFFIXES = ("node_modules/", "vendor/", "third_party/", ".github/workflows/"), (".md", ".markdown", ".txt", ".rst", "")
+#: Fixed value: the least score of a pinned file.
+PINNED = 12
+
+
+def instruction_score(path: Column, pinned: Column | None = None) -> Column:
+    """F11 in halves: a name's own score, else the best of the terms in it; the root and documentation folders count for it,
+    depth against it; no score for other names, suffixes and folders. A pinned file has PINNED at least."""
     name = F.lower(F.regexp_extract(path, "([^/]*)$", 1))
+    suffix = F.regexp_extract(name, "^.+(\\.[^.]+)$", 1)
+    stem = F.regexp_replace(F.regexp_replace(name, "(?<=.)\\.[^.]+$", ""), "[^a-z]+", " ")
+    strong = F.coalesce(*[F.when(name == k, F.lit(2 * v)) for k, v in STRONG_NAMES.items()], F.lit(0))
+    fuzzy = F.greatest(*[F.when(F.contains(stem, F.lit(k)), F.lit(2 * v)).otherwise(0) for k, v in FUZZY_TERMS.items()])
+    named = F.when(strong > 0, strong).otherwise(fuzzy)
     depth = F.size(F.split(path, "/")) - 1
-    named = F.when(name.isin("agents.md", "contributing.md", "style.md"), 20).when(name.rlike("guide|convention|rule"), 10).otherwise(0)
-    return (named + F.when(depth == 0, 6).otherwise(0) + F.when(path.rlike("^(docs|\\.github)/"), 2).otherwise(0) - F.least(depth, F.lit(4))).cast("long")
+    score = named + F.when(depth == 0, 6).otherwise(0) + F.when(path.rlike("^(docs|\\.github)/"), 2).otherwise(0) - F.least(depth, F.lit(4))
+    skipped = path.rlike("|".join(x.replace(".", "\\.") for x in SKIPPED_FOLDERS)) | ~suffix.isin(*TEXT_SUFFIXES) | (named == 0)
+    out = F.when(skipped, 0).otherwise(score).cast("long")
+    return out if pinned is None else F.when(pinned, F.greatest(out, F.lit(2 * PINNED))).otherwise(out)

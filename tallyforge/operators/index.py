@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,8 +54,6 @@ def status(files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame
 
 def similar_code(queries: DataFrame, near: DataFrame, chunks: DataFrame, own: DataFrame, most: int = 10) -> DataFrame:
     """R2: the nearest chunks of other files than the unit's own, `most` per unit."""
-    from pyspark.sql import Window
-
     hits = hydrate(near, chunks).join(own.select("unit", "path"), ["unit", "path"], "left_anti").join(queries.select("unit"), "unit", "left_semi")
     w = Window.partitionBy("unit").orderBy("rank")
     return hits.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).drop("k")
@@ -71,5 +69,5 @@ def feedback_status(findings: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def rules_in_order(rules: DataFrame) -> DataFrame:
-    """Active rules by hits, then by id as text, so R10 comes before R2."""
-    return rules.filter("active").orderBy(F.desc("hits"), "rule_id")
+    """Active rules by hits, then by id as text, so R10 comes before R2; a team's rules are few."""
+    return rules.filter("active").withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("hits"), "rule_id")))

@@ -216,5 +216,5 @@ def eval_report(cases: DataFrame) -> DataFrame:
 
 def instruction_sections(files: DataFrame, budget: int, most: int = 24_000) -> DataFrame:
     """Instruction files by score (higher first, then path), each cut to `most` characters, until the budget."""
-    scored = files.withColumns({"rank": -C.instruction_score(F.col("path")), "text": F.substring("text", 1, most)})
+    scored = files.withColumns({"rank": -C.instruction_score(F.col("path")), "text": F.substring("text", 1, most)}).filter("rank < 0")
     return C.truncating_budget(scored, "review_id", ["rank", "path"], "text", budget).drop("rank")

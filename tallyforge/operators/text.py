@@ -17,8 +17,20 @@ BINARY = (".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".gz", ".woff
 #: Our own secret rules: name and pattern; generic assignments must also be random enough (bits per character).
 SECRET_RULES = {"assigned_hex": '(?:token|secret|password|api_key) = "([0-9a-f]{40})"', "aws_key_id": "(AKIA[0-9A-Z]{16})", "private_key": "(-----BEGIN [A-Z ]*PRIVATE KEY-----)"}
 SECRET_ENTROPY = 3.0
-#: Our own risk rules: tag and pattern over paths and names.
-RISK_RULES = {"auth": "auth|login|session|passw", "money": "pay|invoice|billing|price", "data": "migrat|schema|delete|drop", "concurrency": "lock|thread|async|queue"}
+#: Tags of what a change touches, and the patterns over paths and names that show them.
+RISK_RULES = {
+    "auth": r"auth|login|signin|permission|authoriz|access_control|rbac|\bacl\b|_acl",
+    "session": r"session|cookie|jwt|refresh_token|bearer",
+    "crypto": r"crypt|cipher|hmac|_hash\b|password|signature|nonce|salt|pbkdf|bcrypt|argon",
+    "payments": r"payment|charge|refund|invoice|billing|subscription|stripe|checkout",
+    "data_loss": r"\bdelete|\bdrop_|truncate|purge|wipe|destroy",
+    "concurrency": r"thread|mutex|semaphore|goroutine|concurren|atomic|\block\b|_lock|lock_",
+}
+#: Globs of paths that aren't application code.
+OTHER_GLOBS = tuple(
+    "tests/** test/** **/tests/** **/test/** **/*_test.* **/test_*.py **/*.test.* **/*.spec.* **/*_spec.* fixtures/** **/fixtures/** testdata/** **/testdata/** "
+    "scripts/** tools/** examples/** example/** **/examples/** docs/** doc/** **/docs/** benchmarks/** **/conftest.py".split()
+)
 
 
 def fingerprint(file: Column, category: Column, title: Column) -> Column:

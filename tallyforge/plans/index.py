@@ -59,10 +59,8 @@ def feedback_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rules_in_order", "SELECT 'R' || s_suppkey AS rule_id, s_nationkey AS hits, CAST(row_number() OVER (ORDER BY s_nationkey DESC, 'R' || s_suppkey) AS INT) AS ordinal FROM supplier WHERE s_acctbal > 0")
 def rules_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("R"), F.col("s_suppkey").cast("string")).alias("rule_id"), F.col("s_nationkey").alias("hits"), (F.col("s_acctbal") > 0).alias("active"))
-    return I.rules_in_order(s).select("rule_id", "hits", F.row_number().over(Window.orderBy(F.desc("hits"), "rule_id")).alias("ordinal"))
+    return I.rules_in_order(s).select("rule_id", "hits", "ordinal")
 
 
 @query("embedding_texts", "SELECT doc_id, lang || chr(10) || source || chr(10) || substr(text, 1, 40) || chr(10) || substr(text, 1, 1200) AS embedded FROM documents")

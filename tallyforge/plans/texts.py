@@ -12,8 +12,6 @@ from tallyforge.operators import evals as E
 from tallyforge.operators import text as T
 from tallyforge.sources.tables import table
 
-#: Our own globs of code that isn't the application.
-OTHER_CODE = ["tests/*", "*/tests/*", "**/test_*", "docs/*", "*.md", "*/en/*"]
 NAMES = ["license", "token =", "password", "thing", "tion"]
 
 
@@ -68,26 +66,33 @@ def script_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "secret_hits",
-    r"""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:token|secret|password|api_key) = "([0-9a-f]{40})"', 1)) AS v FROM documents) SELECT doc_id, substr(v, 1, 4) || '***' AS redacted, 'P0' AS severity, 'security' AS category FROM h""",
+    r"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 9 = 0 THEN ' AKIA' || upper(substr(sha256(text), 1, 16)) WHEN doc_id % 9 = 1 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' WHEN doc_id % 9 = 2 THEN ' password = "' || repeat('ab', 20) || '"' ELSE '' END AS text FROM documents),
+    h AS (SELECT doc_id, 'assigned_hex' AS rule, unnest(regexp_extract_all(text, '(?:token|secret|password|api_key) = "([0-9a-f]{40})"', 1)) AS v FROM t UNION ALL SELECT doc_id, 'aws_key_id', unnest(regexp_extract_all(text, '(AKIA[0-9A-Z]{16})', 1)) FROM t UNION ALL SELECT doc_id, 'private_key', unnest(regexp_extract_all(text, '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1)) FROM t)
+    SELECT doc_id, rule, substr(v, 1, 4) || '***' AS redacted, 'P0' AS severity, 'security' AS category, 'secret_scan' AS detector FROM h WHERE rule <> 'assigned_hex' OR v <> repeat('ab', 20)""",
 )
 def secret_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.secrets(docs(spark, sf_dir), "doc_id", "text").filter("rule = 'assigned_hex'").select("doc_id", "redacted", "severity", "category")
+    """Documents with keys of each kind added to some; an assignment of a value that isn't random is no secret."""
+    i = F.col("doc_id")
+    more = F.when(i % 9 == 0, F.concat(F.lit(" AKIA"), F.upper(F.substring(F.sha2("text", 256), 1, 16)))).when(i % 9 == 1, "\n-----BEGIN RSA PRIVATE KEY-----").when(i % 9 == 2, ' password = "' + "ab" * 20 + '"').otherwise("")
+    d = docs(spark, sf_dir).select("doc_id", F.concat("text", more).alias("text"))
+    return T.secrets(d, "doc_id", "text").select("doc_id", "rule", "redacted", "severity", "category", "detector")
 
 
 @query(
     "risk_tags",
-    """WITH p AS (SELECT page_id, lower(url || ' ' || html) AS t FROM pages), r AS (SELECT unnest(['auth','money','data','concurrency']) AS tag, unnest(['auth|login|session|passw','pay|invoice|billing|price','migrat|schema|delete|drop','lock|thread|async|queue']) AS p)
-    SELECT page_id, tag, e AS evidence FROM (SELECT page_id, 'auth' AS tag, regexp_extract(t, 'auth|login|session|passw') AS e FROM p UNION ALL SELECT page_id, 'money', regexp_extract(t, 'pay|invoice|billing|price') FROM p
-      UNION ALL SELECT page_id, 'data', regexp_extract(t, 'migrat|schema|delete|drop') FROM p UNION ALL SELECT page_id, 'concurrency', regexp_extract(t, 'lock|thread|async|queue') FROM p) WHERE e <> ''""",
+    "WITH p AS (SELECT page_id, lower(url || ' ' || html || ' ' || CASE page_id % 7 WHEN 0 THEN 'Login' WHEN 1 THEN 'my_lock refund' WHEN 2 THEN 'oracle' WHEN 3 THEN 'wipe' ELSE 'jwt hmac' END) AS t FROM pages) SELECT page_id, tag, e AS evidence FROM (" + " UNION ALL ".join(f"SELECT page_id, '{k}' AS tag, regexp_extract(t, '{v}') AS e FROM p" for k, v in T.RISK_RULES.items()) + ") WHERE e <> ''",
 )
 def risk_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.risk_tags(table(spark, sf_dir, "pages"), "page_id", F.concat_ws(" ", "url", "html"))
+    i = F.col("page_id") % 7
+    named = F.when(i == 0, "Login").when(i == 1, "my_lock refund").when(i == 2, "oracle").when(i == 3, "wipe").otherwise("jwt hmac")
+    return T.risk_tags(table(spark, sf_dir, "pages"), "page_id", F.concat_ws(" ", "url", "html", named))
 
 
-@query("app_code_classifier", r"SELECT page_id, NOT regexp_matches(path, '^(?:tests/.*|.*/tests/.*|.*/test_.*|docs/.*|.*\.md|.*/en/.*)$') AS app_code FROM (SELECT page_id, regexp_replace(url, '^https?://[^/]*/', '') AS p, 'site/' || regexp_replace(url, '^https?://[^/]*/', '') AS path FROM pages)")
+@query("app_code_classifier", r"SELECT page_id, NOT regexp_matches(path, '^(?:(tests|test|fixtures|testdata|scripts|tools|examples|example|docs|doc|benchmarks)/.*|.*/(tests|test|fixtures|testdata|examples|docs)/.*|.*/[^ ]*_test\..*|.*/test_.*\.py|.*/.*\.(test|spec)\..*|.*/.*_spec\..*|.*/conftest\.py)$') AS app_code FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'tests/' WHEN 1 THEN 'a/docs/' WHEN 2 THEN 'test_' WHEN 3 THEN 'lib/test_x.py' WHEN 4 THEN 'src/' ELSE 'src/x_test.' END || CASE WHEN page_id % 6 = 3 THEN '' ELSE regexp_replace(url, '^https?://[^/]*/', '') END AS path FROM pages)")
 def app_code_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("site/"), F.regexp_replace("url", "^https?://[^/]*/", ""))
-    return table(spark, sf_dir, "pages").select("page_id", T.is_application(path, OTHER_CODE).alias("app_code"))
+    i, own = F.col("page_id") % 6, F.regexp_replace("url", "^https?://[^/]*/", "")
+    path = F.when(i == 0, F.concat(F.lit("tests/"), own)).when(i == 1, F.concat(F.lit("a/docs/"), own)).when(i == 2, F.concat(F.lit("test_"), own)).when(i == 3, "lib/test_x.py").when(i == 4, F.concat(F.lit("src/"), own)).otherwise(F.concat(F.lit("src/x_test."), own))
+    return table(spark, sf_dir, "pages").select("page_id", T.is_application(path, list(T.OTHER_GLOBS)).alias("app_code"))
 
 
 @query(
@@ -100,30 +105,35 @@ def selection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.skip_reason(path, F.col("n_chars") * 40).alias("reason"), T.language(path).alias("language"))
 
 
-@query("budget_break_prefix", "SELECT doc_id, source, n_chars, used FROM (SELECT *, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS used FROM documents) WHERE used <= 20000")
+@query("budget_break_prefix", "SELECT doc_id, unit, n_chars, used FROM (SELECT *, doc_id // 40 AS unit, CAST(sum(n_chars) OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) AS BIGINT) AS used FROM documents) WHERE used <= 20000")
 def budget_break_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.break_at_first_miss(docs(spark, sf_dir).select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 20000)
+    return C.break_at_first_miss(units(spark, sf_dir).select("doc_id", "unit", "n_chars"), "unit", ["doc_id"], "n_chars", 20000)
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty documents as the candidates of one unit."""
+    return docs(spark, sf_dir).withColumn("unit", F.expr("doc_id div 40"))
 
 
 @query(
     "budget_skip_fold",
-    """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-    f AS (SELECT source, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS doc_id, false AS kept FROM (SELECT DISTINCT source FROM d) UNION ALL
-      SELECT d.source, d.k, CASE WHEN f.used + n_chars <= 20000 THEN f.used + n_chars ELSE f.used END, d.doc_id, f.used + n_chars <= 20000 FROM f JOIN d ON d.source = f.source AND d.k = f.k + 1)
-    SELECT source, max(used) OVER (PARTITION BY source) AS used, doc_id FROM f WHERE kept""",
+    """WITH RECURSIVE d AS (SELECT doc_id // 40 AS unit, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) AS k FROM documents),
+    f AS (SELECT unit, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS doc_id, false AS kept FROM (SELECT DISTINCT unit FROM d) UNION ALL
+      SELECT d.unit, d.k, CASE WHEN f.used + n_chars <= 20000 THEN f.used + n_chars ELSE f.used END, d.doc_id, f.used + n_chars <= 20000 FROM f JOIN d ON d.unit = f.unit AND d.k = f.k + 1)
+    SELECT unit, max(used) OVER (PARTITION BY unit) AS used, doc_id FROM f WHERE kept""",
 )
 def budget_skip_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.skip_and_continue(docs(spark, sf_dir), "source", "doc_id", "n_chars", 20000)
+    return C.skip_and_continue(units(spark, sf_dir), "unit", "doc_id", "n_chars", 20000)
 
 
 @query(
     "instruction_budget",
-    """WITH l AS (SELECT doc_id, source, length(text) AS n, 20000 - coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM documents)
-    SELECT doc_id, source, CAST(least(n, room) AS INT) AS n_kept FROM l WHERE n <= room OR room >= 400""",
+    """WITH l AS (SELECT doc_id, doc_id // 40 AS unit, length(text) AS n, 20000 - coalesce(sum(length(text)) OVER (PARTITION BY doc_id // 40 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM documents)
+    SELECT doc_id, unit, CAST(least(n, room) AS INT) AS n_kept FROM l WHERE n <= room OR room >= 400""",
 )
 def instruction_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = C.truncating_budget(docs(spark, sf_dir).select("doc_id", "source", "text"), "source", ["doc_id"], "text", 20000)
-    return cut.select("doc_id", "source", F.length("text").alias("n_kept"))
+    cut = C.truncating_budget(units(spark, sf_dir).select("doc_id", "unit", "text"), "unit", ["doc_id"], "text", 20000)
+    return cut.select("doc_id", "unit", F.length("text").alias("n_kept"))
 
 
 @query(
@@ -131,29 +141,8 @@ def instruction_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH l AS (SELECT DISTINCT item_id, text FROM benchmark), h AS (SELECT item_id, min(doc_id) AS doc_id FROM l JOIN documents d ON contains(d.text, l.text) GROUP BY item_id) SELECT l.item_id, h.doc_id, h.doc_id IS NOT NULL AS hit FROM l LEFT JOIN h USING (item_id)""",
 )
 def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document that holds each expected passage.
-
-    Passages meet documents on the hash of their first eight words rather than all with all; what meets is then compared
-    as text."""
-    words = lambda c: F.array_remove(F.split(c, "[\\x20\\x09-\\x0D]+"), "")
-    key = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 4), " "))
-    expected = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).distinct().withColumn("w", words("passage"))
-    # the passage's first word may be the tail of a longer one in a document, so the key starts at its second
-    expected = expected.withColumn("key", key(F.col("w"), 2))
-    d = docs(spark, sf_dir).select("doc_id", "text").withColumn("w", words("text"))
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: key(F.col("w"), i)))
-    met = d.select("doc_id", "text", F.explode(keys).alias("key")).join(expected.select("item_id", "passage", "key"), "key").filter(F.contains("text", "passage"))
-    first = met.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-    return expected.select("item_id").join(first, "item_id", "left").select("item_id", "doc_id", F.col("doc_id").isNotNull().alias("hit"))
-
-
-@query("eval_cases")
-def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one expectations over findings of documents; cases are sources."""
-    d = docs(spark, sf_dir)
-    found = d.select(F.col("source").alias("case_id"), F.col("lang").alias("file"), F.col("doc_id").alias("finding_no"), F.substring("text", 1, 60).alias("title"), F.lit("bug").alias("category"))
-    expect = d.filter("doc_id % 9 = 0").select(F.col("source").alias("case_id"), F.col("lang").alias("file"), F.col("doc_id").alias("expect_no"), F.concat(F.lit("(?i)"), F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 2)).alias("pattern"), F.lit(None).cast("string").alias("category"))
-    return E.eval_scores(expect, E.match_expectations(expect, found), found)
+    """The first document that holds each expected passage."""
+    return E.passages(table(spark, sf_dir, "benchmark"), docs(spark, sf_dir))
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
