@@ -218,3 +218,128 @@ def instruction_sections(files: DataFrame, budget: int, most: int = 24_000) -> D
     """Instruction files by score (higher first, then path), each cut to `most` characters, until the budget."""
     scored = files.withColumns({"rank": -C.instruction_score(F.col("path")), "text": F.substring("text", 1, most)}).filter("rank < 0")
     return C.truncating_budget(scored, "review_id", ["rank", "path"], "text", budget).drop("rank")
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """A review's findings by severity, then by id, numbered."""
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("review_id").orderBy("severity", "finding_id")))
+
+
+def outline(symbols: DataFrame) -> DataFrame:
+    """T4: a file's symbols by their first line (the longer one first), numbered."""
+    return symbols.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("start_line", F.desc("end_line"), "symbol_id")))
+
+
+def innermost_first(overlaps: DataFrame) -> DataFrame:
+    """T5: symbols that overlap a span by their length, shortest first, numbered per span."""
+    w = Window.partitionBy("path", "lo", "hi").orderBy(F.col("end_line") - F.col("start_line"), "start_line", "symbol_id")
+    return overlaps.withColumn("place", F.row_number().over(w))
+
+
+def attention(points: DataFrame, most: int = 2) -> DataFrame:
+    """The first points to watch of each review's summary."""
+    return points.withColumn("place", F.row_number().over(Window.partitionBy("review_id").orderBy("ordinal"))).filter(F.col("place") <= most)
+
+
+def kept_streams(streams: DataFrame, most: int = 64) -> DataFrame:
+    """The newest streams by when they began; older ones go. A server's streams, not their events."""
+    top = streams.orderBy(F.desc("started"), F.desc("stream_id")).limit(most)
+    return streams.join(F.broadcast(top.select("stream_id")), "stream_id", "left_semi")
+
+
+def with_spend(summaries: DataFrame, calls: DataFrame) -> DataFrame:
+    """What each review cost: zeros for one without calls."""
+    sums = calls.groupBy("review_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("cost_cents", "tokens_in", "tokens_out", "tokens_cached")])
+    j = summaries.join(sums, "review_id", "left")
+    return j.select(*summaries.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in sums.columns if c != "review_id"])
+
+
+def embedding_usage(replies: DataFrame) -> DataFrame:
+    """Tokens of an embedding call: those of the prompt, else all."""
+    return replies.withColumn("tokens_in", F.coalesce(F.nullif("prompt_tokens", F.lit(0)), "total_tokens", F.lit(0)).cast("long"))
+
+
+def redacted(calls: DataFrame, most_request: int = 200_000, most_response: int = 400_000) -> DataFrame:
+    """What the call log keeps: bearer tokens and keys blotted out, payloads cut (so they may no longer be JSON)."""
+    blot = lambda c: F.regexp_replace(c, "(?i)(bearer |api[_-]?key\\W{1,4})[A-Za-z0-9._-]{8,}", "$1***")
+    return calls.withColumns({"request": F.substring(blot("request"), 1, most_request), "response": F.substring(blot("response"), 1, most_response)})
+
+
+def state_of(state: DataFrame, prefix: str) -> DataFrame:
+    """Entries of a key-value state under a prefix, without it."""
+    return state.filter(F.startswith("key", F.lit(prefix))).withColumn("key", F.substring("key", len(prefix) + 1, 1 << 20))
+
+
+def reaction_feedback(deltas: DataFrame, placed: DataFrame, weight10: int = 3) -> DataFrame:
+    """Reactions that rose on a finding's comment as feedback on it: thumbs up accept, thumbs down say false positive."""
+    said = F.when(F.col("kind") == "+1", F.lit("accept")).when(F.col("kind") == "-1", F.lit("false_positive"))
+    j = deltas.withColumn("action", said).filter("action is not null").join(placed, "comment_id")
+    return j.select("fingerprint", "action", (F.col("delta") * weight10).cast("long").alias("weight10"), F.lit("reaction").alias("reason"))
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """A line per active rule: id, text, author, hits."""
+    line = F.concat("rule_id", F.lit(" | "), "body", F.lit(" | "), F.coalesce("author", F.lit("-")), F.lit(" | "), F.col("hits").cast("string"))
+    return rules.filter("active").select("rule_id", line.alias("line"))
+
+
+def retired(rules: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rules taken back stay, inactive."""
+    mark = gone.select("rule_id").distinct().withColumn("gone", F.lit(True))
+    return rules.join(mark, "rule_id", "left").withColumn("active", F.col("active") & F.col("gone").isNull()).drop("gone")
+
+
+def exit_code(found: DataFrame, fail_on: int = 1) -> DataFrame:
+    """1 if any finding is at fail_on or worse."""
+    return found.agg(F.coalesce(F.max((F.col("level") <= fail_on).cast("int")), F.lit(0)).alias("code"))
+
+
+def hash_embedding(text: Column, width: int = 16) -> Column:
+    """U4: a stand-in for an embedding service: words hashed to signed places, normalised; a text without words is all zeros."""
+    hashes = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1)), lambda w: F.xxhash64(w))
+    place = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.pmod(h, F.lit(width)) == i, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1).otherwise(-1)).otherwise(0))
+    raw = F.array(*[place(i).cast("double") for i in range(width)])
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+
+
+def normalised(vector: Column) -> Column:
+    """a vector of length one; zeros stay as they are."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+
+
+def intents(comments: DataFrame, answers: DataFrame, known: tuple[str, ...] = ("feedback", "rule", "explain", "review", "other")) -> DataFrame:
+    """What a comment asks for, by the answer to its request; without an answer, or with an unknown one, other."""
+    keyed = comments.withColumn("request_hash", F.sha2("body", 256))
+    j = keyed.join(answers.select("request_hash", "intent"), "request_hash", "left")
+    return j.withColumn("intent", F.when(F.col("intent").isin(*known), F.col("intent")).otherwise(F.lit("other"))).drop("request_hash")
+
+
+def prompts(shipped: DataFrame, overrides: DataFrame) -> DataFrame:
+    """U8 over (name, body, slots) and (name, mode, body): an override replaces a prompt or is added below; a prompt that
+    then lacks a slot it must have is marked invalid."""
+    o = overrides.select("name", "mode", F.col("body").alias("other"))
+    j = shipped.join(o, "name", "left")
+    body = F.when(F.col("mode") == "replace", F.col("other")).when(F.col("mode") == "append", F.concat("body", F.lit("\n\n"), "other")).otherwise(F.col("body"))
+    j = j.withColumn("body", body)
+    return j.select("name", "body", F.forall("slots", lambda s: F.contains(F.col("body"), F.concat(F.lit("{{"), s, F.lit("}}")))).alias("valid"))
+
+
+def context_label(df: DataFrame) -> DataFrame:
+    """What a finding's reviewer had: the diff, and what else was there."""
+    part = lambda c, name: F.when(F.col(c), F.lit(name))
+    return df.withColumn("label", F.concat_ws("+", F.lit("diff"), part("has_calls", "call graph"), part("has_similar", "retrieved code"), part("was_cut", "truncated")))
+
+
+def snapshot_diff(base: DataFrame, head: DataFrame) -> DataFrame:
+    """SC3 over (path, text): changed files of two snapshots as whole-file diffs: status, and lines only in the one or the
+    other, counted as a bag."""
+    lines = lambda df: df.select("path", F.explode(F.split("text", "\n")).alias("line")).groupBy("path", "line").agg(F.count(F.lit(1)).alias("n"))
+    b, h = base.select("path", F.col("text").alias("old")), head.select("path", F.col("text").alias("new"))
+    files = b.join(h, "path", "full").filter(~F.col("old").eqNullSafe(F.col("new")))
+    status = F.when(F.col("old").isNull(), F.lit("A")).when(F.col("new").isNull(), F.lit("D")).otherwise(F.lit("M"))
+    j = lines(base).withColumnRenamed("n", "was").join(lines(head).withColumnRenamed("n", "now"), ["path", "line"], "full")
+    change = F.coalesce("now", F.lit(0)) - F.coalesce("was", F.lit(0))
+    counts = j.groupBy("path").agg(F.sum(F.greatest(change, F.lit(0))).alias("added"), F.sum(F.greatest(-change, F.lit(0))).alias("removed"))
+    return files.select("path", status.alias("status")).join(counts, "path")

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators import graph as G
 from tallyforge.operators import text as T
 
+#: Fixed value: characters of a signature.
+SIGNATURE_CHARS = 200
+
 FACTS = "path string, fact string, name string, qualified_name string, kind string, start_line int, end_line int, start_byte int, end_byte int"
 _OTHER = re.compile(r"^(?P<indent>[ \t]*)(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:(?P<f>function\*?|func(?:\s*\([^)]*\))?)|(?P<c>class|interface|type|enum))\s+(?P<n>[A-Za-z_$][\w$]*)", re.M)
 _IMPORT = re.compile(r"""^\s*(?:import\b[^'"\n]*['"]([^'"]+)['"]|.*\brequire\(['"]([^'"]+)['"]\))""", re.M)
@@ -55,16 +61,18 @@ def python_facts(text: str) -> Iterator[tuple]:
 
 def other_facts(text: str) -> Iterator[tuple]:
     """Approximate symbols, imports and calls of languages without a parser here: a symbol ends where its braces do."""
-    place = lambda i: len(text[:i].encode())
-    line = lambda i: text.count("\n", 0, i) + 1
+    bytes_before = range(len(text) + 1) if text.isascii() else [0, *accumulate(len(c.encode()) for c in text)]
+    ends = [m.start() for m in re.finditer("\n", text)]
+    place = bytes_before.__getitem__
+    line = lambda i: bisect_left(ends, i) + 1
+    closed, stack = {}, []
+    for m in re.finditer("[{}]", text):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            closed[stack.pop()] = m.end()
     for m in _OTHER.finditer(text):
-        depth, end, opened = 0, len(text), text.find("{", m.end())
-        if opened >= 0:
-            for i in range(opened, len(text)):
-                depth += {"{": 1, "}": -1}.get(text[i], 0)
-                if depth == 0:
-                    end = i + 1
-                    break
+        end = closed.get(text.find("{", m.end()), len(text))
         at = m.start() + len(m["indent"])
         yield ("symbol", m["n"], m["n"], "class" if m["c"] else "function", line(at), line(end - 1 if end > at else at), place(at), place(end))
     for m in _IMPORT.finditer(text):
@@ -86,6 +94,16 @@ def extract(files: DataFrame) -> DataFrame:
     return files.filter("text is not null").select("path", "text").mapInPandas(run, FACTS)
 
 
+def symbol_rows(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Symbols with their parent (the innermost around them in their file) and their signature: the line they start
+    on, without what opens the body, its white space evened out and cut."""
+    s = facts.filter("fact = 'symbol'").withColumn("symbol_id", F.concat("path", F.lit("::"), "qualified_name", F.lit("@"), F.col("start_byte").cast("string")))
+    s = G.nesting(s).join(files.select("path", "text"), "path")
+    first = F.element_at(F.split("text", "\n"), F.col("start_line"))
+    signature = F.trim(F.regexp_replace(F.regexp_replace(first, "[:{].*$|\\s+$", ""), "\\s+", " "))
+    return s.withColumn("signature", F.substring(signature, 1, SIGNATURE_CHARS)).drop("fact", "text")
+
+
 def symbol_chunks(files: DataFrame, facts: DataFrame) -> DataFrame:
     """A chunk per top-level symbol, and the lines before the first one; short ones are dropped, long ones cut.
 

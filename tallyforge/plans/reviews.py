@@ -449,3 +449,129 @@ def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rising_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: feedback by category and action."""
     return feedback(spark, sf_dir).groupBy("category", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("findings_in_order", "SELECT o_orderkey AS finding_id, o_custkey AS review_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY substr(o_orderpriority, 1, 1), o_orderkey) AS INT) AS place FROM orders")
+def findings_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.in_order(findings(spark, sf_dir)).select("finding_id", "review_id", "place")
+
+
+def part_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("symbol_id"), F.col("p_brand").alias("path"), (k % 500).cast("int").alias("start_line"), (k % 500 + F.col("p_size")).cast("int").alias("end_line"))
+
+
+@query("file_outline", "SELECT p_partkey AS symbol_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 500, p_partkey % 500 + p_size DESC, p_partkey) AS INT) AS place FROM part")
+def file_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.outline(part_spans(spark, sf_dir)).select("symbol_id", "place")
+
+
+@query("innermost_first", "SELECT p_partkey AS symbol_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey % 500, p_partkey) AS INT) AS place FROM part WHERE p_partkey % 500 <= 200 AND p_partkey % 500 + p_size >= 100")
+def innermost_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = part_spans(spark, sf_dir)
+    spans = s.select("path").distinct().withColumns({"lo": F.lit(100), "hi": F.lit(200)})
+    return R.innermost_first(G.overlaps(s, spans)).select("symbol_id", "place")
+
+
+@query("attention_points", "SELECT conv_id AS review_id, turn AS ordinal, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 2")
+def attention_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("review_id"), F.col("turn").alias("ordinal"), "text")
+    return R.attention(c).drop("place")
+
+
+@query("kept_streams", "SELECT user_id AS stream_id, min(ts) AS started FROM events GROUP BY user_id ORDER BY started DESC, stream_id DESC LIMIT 64")
+def kept_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.kept_streams(table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("stream_id")).agg(F.min("ts").alias("started")))
+
+
+@query("review_spend", "SELECT o_orderkey AS review_id, coalesce(CAST(sum(l_partkey) AS BIGINT), 0) AS cost_cents, coalesce(CAST(sum(l_suppkey) AS BIGINT), 0) AS tokens_in, CAST(count(l_orderkey) AS BIGINT) AS tokens_out, coalesce(CAST(sum(l_linenumber) AS BIGINT), 0) AS tokens_cached FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def review_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("review_id"), F.col("l_partkey").alias("cost_cents"), F.col("l_suppkey").alias("tokens_in"), F.lit(1).alias("tokens_out"), F.col("l_linenumber").alias("tokens_cached"))
+    return R.with_spend(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_id")), c)
+
+
+@query("embedding_usage", "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN doc_id % 3 * n_chars WHEN doc_id % 3 = 2 THEN 2 * n_chars WHEN doc_id % 2 = 0 THEN n_chars ELSE 0 END AS tokens_in FROM documents")
+def embedding_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    return R.embedding_usage(docs(spark, sf_dir).select(i, (i % 3 * F.col("n_chars")).alias("prompt_tokens"), F.when(i % 2 == 0, F.col("n_chars")).alias("total_tokens"))).select("doc_id", "tokens_in")
+
+
+@query("redacted_calls", "SELECT doc_id, substr('Authorization: Bearer *** ' || text, 1, 200) AS request, 'api_key: \"***\"' AS response FROM documents")
+def redacted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = F.sha2("text", 256)
+    c = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Authorization: Bearer "), sha, F.lit(" "), "text").alias("request"), F.concat(F.lit('api_key: "'), sha, F.lit('"')).alias("response"))
+    return R.redacted(c, 200, 400)
+
+
+@query("state_by_prefix", "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS value FROM orders WHERE o_custkey % 2 = 0")
+def state_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return R.state_of(o.select(F.concat(F.when(F.col("o_custkey") % 2 == 0, "pr:").otherwise("etag:"), F.col("o_orderkey").cast(S_)).alias("key"), F.col("o_orderstatus").alias("value")), "pr:")
+
+
+@query("reaction_feedback", "SELECT 'x' || user_id % 40 AS fingerprint, CASE WHEN event_id % 3 = 0 THEN 'accept' ELSE 'false_positive' END AS action, CAST((event_id % 4 + 1) * 3 AS BIGINT) AS weight10, 'reaction' AS reason FROM events WHERE event_id % 3 < 2 AND user_id % 5 > 0")
+def reaction_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    deltas = e.select(F.col("user_id").alias("comment_id"), F.when(i % 3 == 0, "+1").when(i % 3 == 1, "-1").otherwise("heart").alias("kind"), (i % 4 + 1).alias("delta"))
+    placed = e.filter("user_id % 5 > 0").select(F.col("user_id").alias("comment_id"), numbered("x", F.col("user_id") % 40).alias("fingerprint")).distinct()
+    return R.reaction_feedback(deltas, placed)
+
+
+@query("rule_table", f"WITH {RULE_ROWS} SELECT rule_id, rule_id || ' | ' || body || ' | ' || CASE WHEN hits % 2 = 0 THEN 'me' ELSE '-' END || ' | ' || hits AS line FROM r WHERE active AND hits % 3 > 0")
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rules(spark, sf_dir).withColumn("author", F.when(F.col("hits") % 2 == 0, "me"))
+    return R.rule_table(R.retired(r, r.filter("hits % 3 = 0").select("rule_id")))
+
+
+@query("exit_code", "SELECT CAST(max(CASE WHEN substr(o_orderpriority, 1, 1) <= '2' THEN 1 ELSE 0 END) AS INT) AS code FROM orders")
+def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.exit_code(findings(spark, sf_dir))
+
+
+@query("hash_embeddings", "SELECT doc_id, 16 AS width, CASE WHEN regexp_matches(lower(text), '[a-z0-9_]') THEN 1 ELSE 0 END AS words FROM documents")
+def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width of each vector, and whether its text has words; the values follow the engine's own hash."""
+    v = docs(spark, sf_dir).select("doc_id", "text", R.hash_embedding(F.col("text")).alias("v"))
+    return v.select("doc_id", F.size("v").alias("width"), F.lower("text").rlike("[a-z0-9_]").cast("int").alias("words"))
+
+
+@query("normalised_vectors", "SELECT vec_id, CAST(1 AS DOUBLE) AS norm FROM embeddings")
+def normalised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", R.normalised(F.transform("embedding", lambda x: x * 3)).alias("v"))
+    return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
+@query("comment_intents", "SELECT conv_id, turn, CASE WHEN min(turn) OVER (PARTITION BY text) % 3 = 0 THEN 'rule' WHEN min(turn) OVER (PARTITION BY text) % 3 = 1 THEN 'explain' ELSE 'other' END AS intent FROM conversations")
+def comment_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("text", "body")
+    first = c.groupBy(F.sha2("body", 256).alias("request_hash")).agg((F.min("turn") % 3).alias("k"))
+    answers = first.select("request_hash", F.when(F.col("k") == 0, "rule").when(F.col("k") == 1, "explain").otherwise("dance").alias("intent"))
+    return R.intents(c, answers).select("conv_id", "turn", "intent")
+
+
+@query("overridden_prompts", "SELECT p_partkey AS name, CASE p_partkey % 3 WHEN 0 THEN 'all new' WHEN 1 THEN 'use {{diff}}' || chr(10) || chr(10) || 'and more' ELSE 'use {{diff}}' END AS body, p_partkey % 3 > 0 AS valid FROM part")
+def overridden_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"))
+    k = F.col("name") % 3
+    shipped = p.select("name", F.lit("use {{diff}}").alias("body"), F.array(F.lit("diff")).alias("slots"))
+    return R.prompts(shipped, p.filter(k < 2).select("name", F.when(k == 0, "replace").otherwise("append").alias("mode"), F.when(k == 0, "all new").otherwise("and more").alias("body")))
+
+
+@query("context_labels", "SELECT doc_id, 'diff' || CASE WHEN doc_id % 2 = 0 THEN '+call graph' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '+retrieved code' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN '+truncated' ELSE '' END AS label FROM documents")
+def context_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    return R.context_label(docs(spark, sf_dir).select(i, (i % 2 == 0).alias("has_calls"), (i % 3 == 0).alias("has_similar"), (i % 5 == 0).alias("was_cut"))).select("doc_id", "label")
+
+
+@query(
+    "snapshot_diff",
+    """WITH b AS (SELECT doc_id, text FROM documents WHERE doc_id % 5 > 0), h AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'one more' ELSE text END AS text FROM documents WHERE doc_id % 4 > 0),
+    l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)
+    SELECT 'p' || doc_id AS path, CASE WHEN b.doc_id IS NULL THEN 'A' WHEN h.doc_id IS NULL THEN 'D' ELSE 'M' END AS status, CAST(CASE WHEN b.doc_id IS NULL THEN n + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END WHEN h.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS added, CAST(CASE WHEN h.doc_id IS NULL THEN n ELSE 0 END AS BIGINT) AS removed
+    FROM b FULL JOIN h USING (doc_id) JOIN l USING (doc_id) WHERE b.text IS DISTINCT FROM h.text""",
+)
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, d = F.col("doc_id"), docs(spark, sf_dir)
+    base = d.filter("doc_id % 5 > 0").select(numbered("p", i).alias("path"), "text")
+    head = d.filter("doc_id % 4 > 0").select(numbered("p", i).alias("path"), F.when(i % 3 == 0, F.concat("text", F.lit("\none more"))).otherwise(F.col("text")).alias("text"))
+    return R.snapshot_diff(base, head)
