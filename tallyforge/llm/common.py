@@ -97,17 +97,22 @@ def bodies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("body"))
 
 
+def run_count(spark: SparkSession, total: int, run_bytes: int) -> int:
+    """Runs for so many bytes; small inputs have a run per MB, up to one per core."""
+    return max(1, math.ceil(total / run_bytes), min(spark.sparkContext.defaultParallelism, math.ceil(total / (1 << 20))))
+
+
 def in_runs(rows: DataFrame, run_bytes: int, name: str, packed: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, int]:
     """Deal rows with a `body` to runs of about `run_bytes` each, whatever the number of partitions: adds `batch` (the run)
     and `row` (a number of its own for each row); returns how many runs there are.
 
     The rows are written first (`packed` may change their bodies), so that their numbers stay. The deal hashes the number: no
-    id, null or repeated, and no copied row is hot. Small inputs have a run per MB, up to one per core."""
+    id, null or repeated, and no copied row is hot."""
     spark = rows.sparkSession
     numbered = rows.withColumns({"row": F.monotonically_increasing_id(), "size": F.octet_length("body")})
     written = materialise(packed(numbered), name)
     total = written.agg(F.sum("size")).first()[0] or 0
-    n = max(1, math.ceil(total / run_bytes), min(spark.sparkContext.defaultParallelism, math.ceil(total / (1 << 20))))
+    n = run_count(spark, total, run_bytes)
     return written.drop("size").withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")), n
 
 

@@ -9,6 +9,7 @@ importance, vague ones only tip the balance where the site's pages speak against
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import in_runs, materialise, ship
+from tallyforge.llm.common import materialise, run_count, ship
 
 #: Fixed values of HTML: elements without content, with raw text, that start a block, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -239,11 +240,12 @@ def _count(table: pa.Table, firsts: pa.Table) -> pa.Table:
 def _extract(table: pa.Table, said: pa.Table) -> pa.Table:
     styles: dict[str, dict] = {}
     contents: dict[str, dict] = {}
-    for host, path, kind, value, x in zip(*(said.column(c).to_pylist() for c in ("host", "path", "kind", "value", "importance")), strict=True):
-        if kind:
-            contents.setdefault(host, {})[path, value] = x
-        else:
-            styles.setdefault(host, {})[path] = x
+    pages: dict[tuple, int] = {}
+    for host, path, m, style in zip(*(said.filter(pc.equal(said.column("kind"), 0)).column(c).to_pylist() for c in ("host", "path", "m", "style")), strict=True):
+        styles.setdefault(host, {})[path] = style
+        pages[host, path] = m
+    for host, path, value, n in zip(*(said.filter(pc.equal(said.column("kind"), 2)).column(c).to_pylist() for c in ("host", "path", "value", "m")), strict=True):
+        contents.setdefault(host, {})[path, value] = content_importance(n, pages[host, path])
     hosts, ids, urls = (table.column(c).to_pylist() for c in ("host", "doc_id", "url"))
     rows = []
     for i, page in _pages(table):
@@ -253,26 +255,31 @@ def _extract(table: pa.Table, said: pa.Table) -> pa.Table:
 
 
 def importances(nodes: DataFrame) -> DataFrame:
-    """From counts (batch, host, path, kind, value, n): for each batch the importance of the presentation of its nodes that
-    several pages have (kind 0), and of its contents on several pages (kind 2).
+    """From counts (batch, host, path, kind, value, n): for each batch, of its nodes that several pages have, on how many they
+    are and the importance of their presentation (kind 0), and on how many pages its contents are, if on several (kind 2).
 
-    Entropies are to the base of the number of pages with the node, UNSEEN more added."""
+    Entropies are to the base of the number of pages with the node, UNSEEN more added. A path has a row per batch and
+    style, a content one per batch: no host, path or content is hot."""
     key = ["host", "path"]
     log = lambda c: F.log(F.col(c).cast("double"))
     pages = nodes.filter("kind = 0").groupBy(*key).agg(F.sum("n").alias("m")).filter("m > 1")
     each = nodes.filter("kind = 1").groupBy(*key, "value").agg(F.sum("n").alias("n"))
     styles = each.groupBy(*key).agg(F.sum("n").alias("all"), F.sum(F.col("n") * log("n")).alias("logs"))
-    base = F.log(F.col("m") + F.lit(float(UNSEEN)))
-    known = pages.join(styles, key).select(*key, base.alias("base"), ((log("all") - F.col("logs") / F.col("all")) / base).alias("style"))
-    known = materialise(known, "presentation")
-    here = nodes.filter("kind = 0").select("batch", *key).distinct().join(known, key)
+    entropy = (log("all") - F.col("logs") / F.col("all")) / F.log(F.col("m") + F.lit(float(UNSEEN)))
+    known = pages.join(styles, key).select(*key, "m", entropy.alias("style"))
+    here = nodes.filter("kind = 0").select("batch", *key).join(known, key)
     everywhere = F.sum("n").over(Window.partitionBy(*key, "value"))
-    shared = nodes.filter("kind = 2").withColumn("all", everywhere).filter("all > 1").join(known, key)
-    return here.select("batch", *key, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("value"), F.col("style").alias("importance")).unionByName(
-        shared.select("batch", *key, F.lit(2).alias("kind"), "value", F.greatest(F.lit(0.0), 1 - log("all") / F.col("base")).alias("importance"))
+    shared = nodes.filter("kind = 2").withColumn("m", everywhere).filter("m > 1")
+    return here.select("batch", *key, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("value"), "m", "style").unionByName(
+        shared.select("batch", *key, F.lit(2).alias("kind"), "value", "m", F.lit(None).cast("double").alias("style"))
     )
 
 
+def content_importance(n: int, m: int) -> float:
+    """Of a content on n of the m pages with its node: what the entropy of its places leaves of 1."""
+    return max(0.0, 1 - math.log(n) / math.log(m + UNSEEN))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
@@ -286,12 +293,14 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST.pattern, 1))
     body = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("doc_id"), url.alias("url"), host.alias("host"), body.alias("body"), F.md5(body).alias("md5"))
-    packed = lambda df: df.mapInArrow(_deflated, "doc_id long, url string, host string, body binary, md5 string, row long, size int")
-    dealt, n = in_runs(rows, RUN_BYTES, "pages", packed)
+    rows = pages.select(F.col(id_col).cast("long").alias("doc_id"), url.alias("url"), host.alias("host"), body.alias("body"))
+    # a row's number is the hash of all that is read of it: the same in both passes, without writing the pages
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "url", "body"))
+    n = run_count(pages.sparkSession, rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0, RUN_BYTES)
+    batch = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("batch")
     # pages without a host share nothing with each other
-    firsts = dealt.filter("host != ''").groupBy("host", "md5").agg(F.min("row").alias("row")).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
-    dealt = dealt.select("doc_id", "url", "host", "body", "row", "batch")
+    firsts = rows.filter("host != ''").groupBy("host", F.md5("body").alias("md5")).agg(F.min("row").alias("row")).select("row", batch)
+    dealt = rows.select("*", batch).mapInArrow(_deflated, "doc_id long, url string, host string, body binary, row long, batch int")
     counted = dealt.groupBy("batch").cogroup(firsts.select("batch", "row").groupBy("batch"))
     nodes = materialise(counted.applyInArrow(_count, "batch int, host string, path long, kind int, value long, n long"), "nodes")
     said = materialise(importances(nodes), "importance")

@@ -77,13 +77,16 @@ def test_entropies(spark):
             m = sum(k == 0 for k, _ in seen)
             if m > 1:
                 n = Counter(v for k, v in seen if k == 1)
-                want[h, path, 0, 0] = -sum(x / n.total() * math.log(x / n.total()) for x in n.values()) / math.log(m + S.UNSEEN)
+                want[h, path, 0, 0] = m, -sum(x / n.total() * math.log(x / n.total()) for x in n.values()) / math.log(m + S.UNSEEN)
                 for v, x in Counter(v for k, v in seen if k == 2).items():
                     if x > 1:
-                        want[h, path, 2, v] = max(0, 1 - math.log(x) / math.log(m + S.UNSEEN))
+                        want[h, path, 2, v] = x, None
     got = S.importances(nodes).collect()
     assert {(x.host, x.path, x.kind, x.value) for x in got} == set(want) and len(want) > 20
-    assert all(abs(x.importance - want[x.host, x.path, x.kind, x.value]) < 1e-9 for x in got)
+    for x in got:
+        m, style = want[x.host, x.path, x.kind, x.value]
+        assert x.m == m and (style is None and x.style is None or abs(x.style - style) < 1e-9)
+    assert S.content_importance(40, 40) < S.LEAST < S.content_importance(3, 3) and S.content_importance(1, 9) == 1
     assert {(x.batch, x.host, x.path) for x in got} == {(i % 3, h, f[0]) for i, h, f in rows if (h, f[0], 0, 0) in want}
 
 
