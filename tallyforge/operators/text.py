@@ -146,8 +146,9 @@ def ignore_reasons(files: DataFrame, rules: DataFrame) -> DataFrame:
     bare = F.regexp_replace("pattern", "^!", "")
     below = F.regexp_replace(bare, "/$", "")
     body = F.regexp_replace(F.regexp_replace(below, "^/", ""), "([.+()\\[\\]{}^$|\\\\])", "\\\\$1")
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "\\*\\*/?", "\u0001"), "\\*", "[^/]*"), "\\?", "[^/]")
-    body = F.regexp_replace(body, "\u0001", ".*")
+    # folders of any depth, then anything, then within a name; the first two wait behind marks that no pattern has
+    for glob, mark in (("\\*\\*/", "\u0001"), ("\\*\\*", "\u0002"), ("\\*", "[^/]*"), ("\\?", "[^/]"), ("\u0001", "(?:.*/)?"), ("\u0002", ".*")):
+        body = F.regexp_replace(body, glob, mark)
     start = F.when(F.contains(below, F.lit("/")), F.lit("^")).otherwise(F.lit("^(?:.*/)?"))
     tail = F.when(F.endswith(bare, F.lit("/")), F.lit("/.*$")).otherwise(F.lit("(?:/.*)?$"))
     made = rules.select("ordinal", "source", F.startswith("pattern", F.lit("!")).alias("keeps"), F.concat(start, body, tail).alias("regex"))

@@ -113,7 +113,7 @@ RULES = [(1, "*.html", "site"), (2, "/en/", "site"), (3, "!en/7*.html", "own"),
 @query(
     "selected_files",
     r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*/', ''), '[#?].*$', '') AS path, length(html) AS size FROM pages), q AS (SELECT path, max(size) AS size FROM p GROUP BY path),
-    k AS (SELECT *, CASE WHEN regexp_matches(path, '^es/[^/]1[^/][^/](/.*)?$') THEN 'own' WHEN regexp_matches(path, '^fr/.*9[^/]*(/.*)?$') THEN 'own' WHEN regexp_matches(path, '^en/7[^/]*\.html(/.*)?$') THEN NULL WHEN path LIKE 'en/%' THEN 'site' WHEN regexp_matches(path, '\.html(/.*)?$') THEN 'site' END AS r FROM q)
+    k AS (SELECT *, CASE WHEN regexp_matches(path, '^es/[^/]1[^/][^/](/.*)?$') THEN 'own' WHEN regexp_matches(path, '^fr/(.*/)?9[^/]*(/.*)?$') THEN 'own' WHEN regexp_matches(path, '^en/7[^/]*\.html(/.*)?$') THEN NULL WHEN path LIKE 'en/%' THEN 'site' WHEN regexp_matches(path, '\.html(/.*)?$') THEN 'site' END AS r FROM q)
     SELECT path, CASE WHEN r IS NOT NULL THEN 'ignored by ' || r WHEN size > 524288 THEN 'too large' WHEN size = 0 THEN 'empty' END AS reason FROM k UNION ALL SELECT 'not/there', 'not present at this revision'""",
 )
 def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
