@@ -39,7 +39,7 @@ def chunk_text(path: Column, start: Column, end: Column, body: Column) -> Column
 
 def finding_text(category: Column, file: Column, title: Column, body: Column) -> Column:
     """What is embedded of a finding; no line numbers, so that it survives moves."""
-    return F.concat_ws("\n", category, file, title, F.substring(body, 1, EMBEDDED_BODY))
+    return F.concat(category, F.lit(" in "), file, F.lit(": "), title, F.lit("\n"), F.substring(body, 1, EMBEDDED_BODY))
 
 
 def repository(url: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINES = "diff_id string, file int, path string, old_path string, status string, binary boolean, hunk int, pos int, kind string, old_line int, new_line int, text string"
@@ -127,6 +127,19 @@ def fold_deletions(lines: DataFrame, most: int = 3) -> DataFrame:
     return runs.withColumn("text", text).drop("run", "n", "i")
 
 
+#: Lines that define a name, name a route, or hold a dotted path; the least length of a name.
+DEFINITION = r"^[-+]\s*(?:export\s+)?(?:async\s+)?(?:def|class|function|const|let|var|interface|type|struct|func)\s+([A-Za-z_][\w]*)"
+ROUTE = r"^[-+].*?['\"](/[A-Za-z0-9_./{}:-]{4,})['\"]"
+DOTTED = r"['\"]([a-z][\w]*(?:\.[\w]+){2,})['\"]"
+LEAST_NAME = 5
+
+
+def candidates(line: Column) -> Column:
+    """names that a changed line (its mark included) may break elsewhere: what it defines, a route, dotted paths."""
+    found = F.concat(F.array(F.regexp_extract(line, DEFINITION, 1), F.regexp_extract(line, ROUTE, 1)), F.regexp_extract_all(line, F.lit(DOTTED), F.lit(1)))
+    return F.filter(found, lambda n: (F.length(n) >= LEAST_NAME) & ~F.startswith(n, F.lit("_")))
+
+
 def names_at_risk(lines: DataFrame, least: int = 5) -> DataFrame:
     """Names that removed lines define and no added line does, with how often, in order of first removal."""
     name = F.regexp_extract("text", "^\\s*(?:async\\s+)?(?:def|class|function|func|interface|type)\\s+([A-Za-z][A-Za-z0-9_]*)", 1)

@@ -63,7 +63,7 @@ def rules_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.rules_in_order(s).select("rule_id", "hits", "ordinal")
 
 
-@query("embedding_texts", "SELECT doc_id, lang || chr(10) || source || chr(10) || substr(text, 1, 40) || chr(10) || substr(text, 1, 1200) AS embedded FROM documents")
+@query("embedding_texts", "SELECT doc_id, lang || ' in ' || source || ': ' || substr(text, 1, 40) || chr(10) || substr(text, 1, 1200) AS embedded FROM documents")
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", X.finding_text(F.col("lang"), F.col("source"), F.substring("text", 1, 40), F.col("text")).alias("embedded"))
