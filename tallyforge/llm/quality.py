@@ -1,4 +1,5 @@
-"""Quality rules: robust multivariate outliers per language and source, by minimum covariance determinant.
+"""Quality rules: robust multivariate outliers per language and source, by minimum covariance determinant, regularised:
+the determinant is that of the innermost documents' covariance (made consistent) plus a fixed diagonal of squared floors.
 
 Every step is a DataFrame expression; nothing runs in Python on the executors."""
 
@@ -22,9 +23,10 @@ STEP = 4096
 #: each statistic can reject alone: at no scatter, shares of 0.32 (symbols) and 0.4 (lines, words) lie beyond CUT.
 FLOORS = (0.1, 0.06, 0.05, 0.06, 0.06)
 DIM = len(FLOORS)
-#: Share of a group's documents that an estimate is made from, concentration steps, and the tail that is rejected.
+#: Share of a group's documents that an estimate is made from, the fall of the log determinant that calls for another
+#: concentration step, and the tail that is rejected.
 SUPPORT = 0.75
-STEPS = 3
+TOLERANCE = 1e-2
 TAIL = 1e-5
 #: Models (under 400 bytes each) up to which they are broadcast; slices of each group's rows beyond.
 BROADCAST_MODELS = 10_000
@@ -62,8 +64,8 @@ CUT = _chi2_quantile(1 - TAIL, DIM)
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (with a word) of each document.
 
-    Arrays of one document at a time, without a shuffle. Windows of three words are compared by their 64-bit hash within
-    one text; only texts with an equal pair are sorted to find which words the repeats cover."""
+    Arrays of one document at a time, without a shuffle. Hashes only tell texts without a repeated window of three words;
+    the windows of all others are sorted as words to find which words the repeats cover."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.select(F.col(id_col).alias("doc_id"), F.col("lang_key"), F.col("source_key"), text.alias("body"))
     df = df.select(
@@ -74,7 +76,13 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.regexp_count("body", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
     )
     last = F.size("words") - 3
-    windows = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
+    at = F.sequence(F.lit(0), last)
+    window = lambda f: lambda i: f(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+    hashes = F.transform(at, window(F.xxhash64))
+    repeats = F.when(last >= 0, F.size(F.array_distinct(hashes)) <= last)
+    df = df.withColumn("repeats", repeats)
+    # words hold no spaces, so joined windows are equal where their words are
+    joined = F.transform(at, lambda i: F.struct(window(lambda *w: F.concat_ws(" ", *w))(i).alias("h"), i.alias("i")))
     df = df.select(
         "doc_id",
         *GROUP,
@@ -83,12 +91,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("windows"),
+        F.when(F.col("repeats"), F.sort_array(joined)).alias("placed"),
     )
-    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
-    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     kept = ["doc_id", *GROUP, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
-    df = df.select(*kept, F.when(repeats, placed).alias("placed"))
     same = lambda p, j: (p["h"] == F.get("placed", j - 1)["h"]) | (p["h"] == F.get("placed", j + 1)["h"])
     again = F.filter("placed", lambda p, j: F.coalesce(same(p, j), (j > 0) & (p["h"] == F.get("placed", j - 1)["h"]), F.lit(False)))
     df = df.select(*kept, F.sort_array(F.transform(again, lambda p: p["i"])).alias("at"))
@@ -150,10 +155,10 @@ def _moments(df: DataFrame, keys: list[str], scale: float) -> DataFrame:
     return df.select(*keys, *[mean(i).alias(f"m{i}") for i in range(DIM)], *[cov(i, j).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)])
 
 
-def _with_model(x: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
-    """Join each row with its group's model. Few models are broadcast, after a count; many are copied to SALTS slices,
-    over which a group's rows are spread, so that no group's rows meet in one task."""
-    if model.count() <= BROADCAST_MODELS:
+def _with_model(x: DataFrame, model: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Join each row with its group's model. Few models are broadcast; many are copied to SALTS slices, over which a group's
+    rows are spread, so that no group's rows meet in one task."""
+    if few:
         return x.join(F.broadcast(model), GROUP, how)
     spread = x.withColumn("salt", F.pmod(F.xxhash64(*[f"x{i}" for i in range(DIM)]), F.lit(SALTS)).cast("int"))
     copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -161,11 +166,12 @@ def _with_model(x: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """A model per group: m0.., l00.., from all its rows x0...
+    """A model per group: m0.., l00.., log_det, from all its rows x0...
 
-    Two deterministic starts (medians with quartile scales, medians with the floors alone) each go through
-    concentration steps: the SUPPORT of the rows nearest by the present estimate make the next. The start with the
-    smaller determinant wins."""
+    Two deterministic starts (medians with quartile scales, medians with the floors alone) each go through concentration
+    steps: the SUPPORT of the rows nearest by the present estimate make the next, until the determinant falls no more. A
+    step is only for the groups and starts whose determinant still fell; each keeps its smallest, and the start with the
+    smaller one wins."""
     x = stats.select(*GROUP, *[f"x{i}" for i in range(DIM)])
     each = x.select(*GROUP, F.posexplode(F.array(*[F.floor(F.col(f"x{i}") / 16).cast("long") for i in range(DIM)])).alias("j", "bin"))
     q = _quantiles(each, [*GROUP, "j"], "bin", [0.25, 0.5, 0.75])
@@ -176,14 +182,27 @@ def fit(stats: DataFrame) -> DataFrame:
     diagonal = [(var(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)]
     keys = [*GROUP, "start"]
     model = materialise(_cholesky(q.select(*keys, *[f"m{i}" for i in range(DIM)], *diagonal)), "model")
-    for step in range(STEPS):
-        near = _distance(_with_model(x, model)).withColumn("bin", F.floor(F.log1p("d2") * 512).cast("long")).drop("d2")
+    few = model.count() <= BROADCAST_MODELS
+    models: list[DataFrame] = []
+    while True:
+        near = _distance(_with_model(x, model, few)).withColumn("bin", F.floor(F.log1p("d2") * 512).cast("long")).drop("d2")
         inner = materialise(_quantiles(near, keys, "bin", [SUPPORT]), "support")
-        few = inner.count() <= BROADCAST_MODELS
         inside = near.join(F.broadcast(inner) if few else inner, keys).filter(F.col("bin") <= F.col("q0"))
-        model = materialise(_cholesky(_moments(inside, keys, CONSISTENCY if step == STEPS - 1 else 1.0)), "model")
-    best = model.groupBy(*GROUP).agg(F.min_by(F.struct(*[c for c in model.columns if c not in GROUP]), F.struct("log_det", "start")).alias("b"))
-    return best.select(*GROUP, "b.*").drop("start")
+        # written before it is compared: else the comparison's condition is pushed down as one expression of the whole factor
+        new = materialise(_cholesky(_moments(inside, keys, CONSISTENCY)), "model")
+        if models:  # a later model of a group and start is there only if it is better than the one before
+            before = model.select(*keys, F.col("log_det").alias("least"))
+            better = new.join(F.broadcast(before) if few else before, keys).filter(F.col("log_det") < F.col("least") - TOLERANCE)
+            new = materialise(better.drop("least"), "better")
+        model = new
+        # each turn lowers some group's determinant by TOLERANCE at least, and the floors bound it from below
+        if model.isEmpty():
+            break
+        models.append(model)
+    if not models:
+        return model.drop("start")
+    winner = F.min_by(F.struct(*[c for c in model.columns if c not in GROUP]), F.struct("log_det", "start"))
+    return reduce(DataFrame.unionByName, models).groupBy(*GROUP).agg(winner.alias("b")).select(*GROUP, "b.*").drop("start")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -194,8 +213,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     1 - TAIL quantile of the squared Mahalanobis distance isn't kept. distance is null where base_failed.
 
     Null and empty texts have no words and fail the base rules. Null languages or sources are one group. A group of one
-    document is at its own centre and is kept. Ids may be null or repeated: rows stand for themselves. Other columns
-    are ignored; an empty table gives an empty result."""
+    document is at its own centre and is kept. Ids may be null or repeated: rows stand for themselves (equal rows fare
+    alike). A very long text is one array of words. Other columns are ignored; an empty table gives an empty result."""
     named = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
@@ -206,7 +225,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = materialise(_features(stats.withColumn("base_failed", failed)), "statistics")
     model = materialise(fit(stats.filter("not base_failed")), "model")
-    judged = _distance(_with_model(stats, model, "left"))
+    judged = _distance(_with_model(stats, model, model.count() <= BROADCAST_MODELS, "left"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(False))
     distance = F.when(~F.col("base_failed"), F.sqrt("d2"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"))
