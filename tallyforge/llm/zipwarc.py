@@ -14,6 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,6 +27,9 @@ from tallyforge.llm.common import materialise, shared_dir, ship
 #: Fixed values of the ZIP format: signatures of the local header, central header, end record, and ZIP64's end record and locator.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 FULL32, FULL16 = 0xFFFFFFFF, 0xFFFF
+#: What a URI may hold as it is, and the head of each response.
+URI_SAFE = ":/?#[]@!$&'()*+,;=-._~%"
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 WARC_NAME, INDEX_NAME = "archive/data.warc.gz", "indexes/index.jsonl.gz"
 #: Payloads under this many bytes are never revisits.
 LEAST_REVISIT = 100
@@ -122,26 +126,28 @@ def directory(f, size: int) -> dict[str, tuple[int, int, int]]:
 
 
 def record(page_id: int | None, url: str | None, body: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
-    """A WARC/1.1 record. A revisit holds no payload; its header keeps the payload's length and digest and whom it repeats."""
+    """A WARC/1.1 record: an HTTP response with the payload, or a revisit, which holds its head alone; the record's header
+    keeps the payload's length and digest and whom it repeats. A null url has no header; characters that a URI can't hold
+    are escaped."""
     named = lambda i: f"<urn:page:{'null' if i is None else i}>"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",
         f"WARC-Record-ID: {named(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {json.dumps(url)}",
+        *([] if url is None else [f"WARC-Target-URI: {quote(url, safe=URI_SAFE)}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(body)}",
     ]
     if is_revisit:
         head += [f"WARC-Refers-To: {named(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    content = b"" if is_revisit else body
-    head += ["Content-Type: text/html", f"Content-Length: {len(content)}", "", ""]
+    content = HTTP_HEAD + (b"" if is_revisit else body)
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(content)}", "", ""]
     return "\r\n".join(head).encode() + content + b"\r\n\r\n"
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and content of one record."""
+    """Headers and payload of one record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if not version.startswith("WARC/"):
@@ -150,7 +156,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     n = int(headers["Content-Length"])
     if rest[n:] != b"\r\n\r\n":
         raise ValueError("a record's length does not hold")
-    return headers, rest[:n]
+    _, found, payload = rest[:n].partition(b"\r\n\r\n")
+    if not found:
+        raise ValueError("a record's HTTP head does not end")
+    return headers, payload
 
 
 def _write(batches: Iterator[pa.RecordBatch], at: str) -> Iterator[pa.RecordBatch]:
@@ -224,7 +233,8 @@ def write_archives(pages: DataFrame, at: str | None = None, id_col: str = "page_
     The smallest id of each payload of at least LEAST_REVISIT bytes is found by a partial aggregate over digests and
     joined back; a payload that is most of the table crosses the shuffle as digests only, and the join's hot key can be
     split. Null html is an empty payload. Among rows that repeat the smallest id all are responses. A null id is never
-    pointed to unless all of its group are null; the null rows are then all responses. An empty table writes nothing."""
+    pointed to unless all of its group are null; the null rows are then all responses. A very
+    long payload is one record. Other columns are ignored; an empty table writes nothing."""
     spark = pages.sparkSession
     ship(spark)
     at = at or shared_dir(spark, "archives")

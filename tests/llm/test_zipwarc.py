@@ -40,6 +40,15 @@ def test_foreign_archives():
         Z.directory(out, len(out.getvalue()))
 
 
+def test_record():
+    raw = Z.record(7, "http://x/é a\r\nb?q=1%20", b"<p>\r\n\r\n", "d", None, False)
+    head, payload = Z.parse(raw)
+    assert head["WARC-Target-URI"] == "http://x/%C3%A9%20a%0D%0Ab?q=1%20" and payload == b"<p>\r\n\r\n"
+    assert b"\r\n\r\nHTTP/1.1 200 OK\r\n" in raw and head["Content-Type"].startswith("application/http")
+    head, payload = Z.parse(Z.record(None, None, b"x", "d", 3, True))
+    assert "WARC-Target-URI" not in head and payload == b"" and head["WARC-Refers-To"] == "<urn:page:3>"
+
+
 def test_pages(spark):
     long = "<p>" + "é" * 60
     rows = [(5, "u5", long), (2, "u2\r\nWARC-Type: x", long), (9, None, long), (1, "u1", "short"), (3, "u3", "short"), (4, "u4", None), (6, "u6", ""), (7, "u7", "\r\n\r\n" * 50), (2, "again", long), (None, "n", long), (8, "u8", "x" * 3_000_000)]
