@@ -173,7 +173,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts are one class. A null id counts in group_size and is never the row that stays, unless the
     whole class has null ids (keep_id is then null, and all of them stay). Rows repeated with the same id are all kept if the id
-    is. Other columns, whatever their names, are ignored. An empty table gives an empty result."""
+    is. A very long text is compared as a whole. Other columns, whatever their names, are ignored. An empty table gives an empty result."""
     ship(docs.sparkSession)
     schema = "rep long, doc_id long, text_sha256 binary, body binary, max_id long, n long"
     first = materialise(bodies(docs, id_col, text_col).mapInArrow(lambda it: _local(it, table_bytes), schema), "exact")

@@ -174,8 +174,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share, where a bucket yields a spanning forest of its verified links, never all pairs.
 
     Null and empty texts, and those without a word, have fingerprint zero and link like any other. A null id takes part
-    and is smallest only where no other id is (component_id is then null). Repeated rows share a node. Other columns
-    are ignored; an empty table gives an empty result."""
+    and is smallest only where no other id is (component_id is then null). Repeated rows share a node. A very long text
+    is read whole. Other columns, whatever their names, are ignored; an empty table gives an empty result."""
     ship(docs.sparkSession)
     rows = materialise(bodies(docs, id_col, text_col).mapInArrow(lambda it: _fingerprint(it, width), "doc_id long, fp long"), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")

@@ -88,6 +88,21 @@ def test_near(spark):
     assert simhash.near_dedup(docs(spark, rows).limit(0)).collect() == []
 
 
+def test_near_odd_rows(spark):
+    """Null and repeated ids, repeated rows, a very long text, columns named like the operator's own."""
+    long = " ".join(str(i % 9973) for i in range(50_000))
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "A B c d e f g"), (4, "x y"), (9, None), (9, None), (2, " "), (7, long), (8, long), (None, "only here one two")]
+    df = spark.createDataFrame([(i, t, "f", 5, 6) for i, t in rows], "doc_id long, text string, fp string, least int, component_id int")
+    f = [fingerprint(t) for _, t in rows]
+    root = closure(f, 4)
+    least = {}
+    for (i, _), k in zip(rows, root, strict=True):
+        least[k] = min((x for x in (least.get(k), i) if x is not None), default=None)
+    want = [(i, f"{x:016x}", least[k]) for (i, _), x, k in zip(rows, f, root, strict=True)]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, simhash.near_dedup(df).collect()), key=key) == sorted(want, key=key)
+
+
 def test_very_long_fingerprint():
     t = " ".join(str(i % 977) for i in range(5000))
     assert int(simhash.fingerprints([b"", simhash.shingle_hashes(t.encode(), 4)])[1]) == fingerprint(t)
