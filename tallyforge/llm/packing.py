@@ -82,31 +82,29 @@ def configurations(lengths: list[int], counts: list[int], size: int, groups: int
 def _fill(sizes: list[int], left: list[int], top: int, size: int) -> dict[int, int]:
     """A configuration with one piece of size `top` and the fullest choice of sizes left, as group -> pieces.
 
-    reach[r]: the group and number by which r tokens were first reached; long sizes come first, so ties keep them."""
+    reached[r] says whether r tokens can be had, group[r] and number[r] by what they first were; long sizes come first, so
+    ties keep them, and of one size the fewest."""
     room = size - sizes[top]
-    reach: list[tuple[int, int, int] | None] = [None] * (room + 1)
-    reach[0] = (-1, 0, 0)
-    best = 0
+    reached = np.zeros(room + 1, bool)
+    reached[0] = True
+    group, number = np.full(room + 1, -1), np.zeros(room + 1, np.int64)
     for g in range(top, len(sizes)):
-        most = min(left[g] - (g == top), room // sizes[g])
+        s = sizes[g]
+        most = min(left[g] - (g == top), room // s)
         if most <= 0:
             continue
-        for r in range(room, -1, -1):  # from above, so that a size counts once
-            if reach[r] is None or reach[r][0] == g:
-                continue
-            for n in range(1, min(most, (room - r) // sizes[g]) + 1):
-                to = r + n * sizes[g]
-                if reach[to] is None:
-                    reach[to] = (g, n, r)
-                    best = max(best, to)
-        if best == room:
+        before = reached.copy()  # without this size, so that it counts once
+        for n in range(1, most + 1):
+            new = np.nonzero(before[: room + 1 - n * s] & ~reached[n * s :])[0] + n * s
+            reached[new], group[new], number[new] = True, g, n
+        if reached[room]:
             break
     take = {top: 1}
-    at = best
+    at = int(np.nonzero(reached)[0][-1])
     while at:
-        g, n, before = reach[at]
+        g, n = int(group[at]), int(number[at])
         take[g] = take.get(g, 0) + n
-        at = before
+        at -= n * sizes[g]
     return take
 
 
