@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,22 +28,11 @@ def _table(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(names.items(), cols, strict=True)})
 
 
-_inflate = zstandard.ZstdDecompressor().decompress
-
-
-def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bodies as zstd frames: half of what Spark's codec makes of them on their way to their batch."""
-    deflate = zstandard.ZstdCompressor(3).compress
-    for b in batches:
-        yield b.set_column(1, "body", pa.array([deflate(x.as_py()) for x in b.column(1)], pa.binary()))
-
-
 class Grams:
     """N-grams of a batch: for each order, where they start (none across documents) and their keys."""
 
     def __init__(self, table: pa.Table) -> None:
-        body = pa.array([_inflate(x.as_py()) for x in table.column("body")], pa.binary())
-        self.b = Batch(table.set_column(table.schema.get_field_index("body"), "body", body), lower=True)
+        self.b = Batch(table, lower=True)
         self.batch = table.column("batch")[0].as_py()
         self.starts, self.keys = [], []
         for k in range(1, ORDER + 1):
@@ -151,8 +138,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     its own size. Null and empty texts have score 0. Null or repeated ids are documents of their own. Other columns are
     ignored; an empty table gives an empty result."""
     ship(docs.sparkSession)
-    packed = lambda df: df.mapInArrow(_deflated, "doc_id long, body binary, row long, size int")
-    dealt, n = in_runs(bodies(docs, id_col, text_col), RUN_BYTES, "runs", packed)
+    dealt, n = in_runs(bodies(docs, id_col, text_col), RUN_BYTES, "runs")
     ask = "slice int, batch int, a binary, n binary, tokens long"
     say = "batch int, slice int, n binary, tokens long"
     short = dealt.groupBy("batch").applyInArrow(lambda t: _ask_short(t, n), ask).groupBy("slice").applyInArrow(_say, say)

@@ -12,17 +12,15 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialise, run_count, ship
+from tallyforge.llm.common import deflated, inflated, materialise, run_count, ship
 
 #: Fixed values of HTML: elements without content, with raw text, that start a block, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -211,17 +209,9 @@ def _table(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(names.items(), cols, strict=True)})
 
 
-def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    deflate = zstandard.ZstdCompressor(3).compress
-    for b in batches:
-        i = b.schema.get_field_index("body")
-        yield b.set_column(i, "body", pa.array([deflate(x.as_py()) for x in b.column(i)], pa.binary()))
-
-
 def _pages(table: pa.Table):
-    inflate = zstandard.ZstdDecompressor().decompress
-    for i, body in enumerate(table.column("body")):
-        yield i, parse(inflate(body.as_py()).decode("utf-8", "replace"))
+    for i, body in enumerate(inflated(table.column("body"))):
+        yield i, parse(body.decode("utf-8", "replace"))
 
 
 def _count(table: pa.Table, firsts: pa.Table) -> pa.Table:
@@ -300,7 +290,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     batch = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("batch")
     # pages without a host share nothing with each other
     firsts = rows.filter("host != ''").groupBy("host", F.md5("body").alias("md5")).agg(F.min("row").alias("row")).select("row", batch)
-    dealt = rows.select("*", batch).mapInArrow(_deflated, "doc_id long, url string, host string, body binary, row long, batch int")
+    dealt = rows.select("*", batch).mapInArrow(deflated, "doc_id long, url string, host string, body binary, row long, batch int")
     counted = dealt.groupBy("batch").cogroup(firsts.select("batch", "row").groupBy("batch"))
     nodes = materialise(counted.applyInArrow(_count, "batch int, host string, path long, kind int, value long, n long"), "nodes")
     said = materialise(importances(nodes), "importance")

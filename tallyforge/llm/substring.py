@@ -7,8 +7,12 @@ Documents are dealt to batches. Three joins between batches and hash ranges of t
    its distinct minimisers to their hash ranges and gets back those that another document has too.
 2. Edges. Only k-mers under such minimisers are edges that may repeat; each batch sends its distinct ones, with the
    smallest (document, position) that it has, and gets back the repeated ones with their first source in the corpus.
-3. Paths. Repeated edges that follow each other in a document and in their source are one nonbranching path. Paths are
-   joined to the batch of their source, where the words at the source coordinates must have the same digest.
+3. Paths. The source of an edge, its first occurrence, is told where it is; between two edges lies a node, a (k-1)-mer.
+   Runs of edges that follow each other at their source are split by a Spark join at branching nodes (those that more
+   than one edge enters or leaves), and the pieces that meet in a node without branches, in whatever documents, are
+   compacted to one path by joins on the node.
+4. Verification. What documents lose is cut to chunks of its source, and joined to the batch of the source, where the words
+   at the source coordinates must have the same digest.
 
 Batches and hash ranges are sized by the text, not by the number of partitions, and a batch never sends more rows than it
 has keys. It sends each key once, however often its documents repeat it, so no key is hot."""
@@ -23,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import bodies, in_runs, materialise, ship
+from tallyforge.llm.common import bodies, in_runs, inflated, materialise, ship
+from tallyforge.llm.graph import components
 
 #: Words of a minimiser; multipliers of the two rolling hashes (3 modulo 8, so that swapped words don't cancel).
 GRAM = 6
@@ -94,10 +99,10 @@ class Batch:
         ids = table.column("doc_id").to_pylist()
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
         self.null = [i is None for i in ids]
-        self.bodies = table.column("body")
+        self.bodies = list(inflated(table.column("body")))
         look, parts = _hashes.__getitem__, []
         for body in self.bodies:
-            words = (body.as_py().lower() if lower else body.as_py()).split()
+            words = (body.lower() if lower else body).split()
             parts.append(np.fromiter(map(look, words), np.uint64, len(words)))
         self.counts = np.array([len(p) for p in parts], np.int64)
         self.first = np.cumsum(self.counts) - self.counts
@@ -134,13 +139,15 @@ _PATH = pa.struct({"src_batch": pa.int32(), "src_at": pa.int64(), "n": pa.int32(
 ASK1 = {"slice": pa.int32(), "batch": pa.int32(), "a": pa.binary(), "flag": pa.binary()}
 SAY1 = {"batch": pa.int32(), "slice": pa.int32(), "a": pa.binary()}
 ASK2 = {"slice": pa.int32(), "batch": pa.int32(), "a": pa.binary(), "b": pa.binary(), "doc": pa.binary(), "at": pa.binary(), "flag": pa.binary()}
-SAY2 = {"batch": pa.int32(), "slice": pa.int32(), "a": pa.binary(), "b": pa.binary(), "doc": pa.binary(), "src": pa.binary(), "at": pa.binary()}
-OUT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string(), "paths": pa.list_(_PATH)}
+SAY2 = {"batch": pa.int32(), "slice": pa.int32(), "a": pa.binary(), "b": pa.binary(), "doc": pa.binary(), "src": pa.binary(), "at": pa.binary(), "own": pa.binary()}
+_NODE = pa.struct({"node": pa.int64(), "at": pa.int32(), "enters": pa.int32(), "leaves": pa.int32()})
+OUT = {"row": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string(), "paths": pa.list_(_PATH), "nodes": pa.list_(_NODE)}
 
 
 def _ddl(names: dict[str, pa.DataType]) -> str:
     kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
-    return ", ".join(f"{n} {kinds.get(t, 'array<struct<src_batch: int, src_at: long, n: int, digest: binary>>')}" for n, t in names.items())
+    kinds |= {pa.list_(_PATH): "array<struct<src_batch: int, src_at: long, n: int, digest: binary>>", pa.list_(_NODE): "array<struct<node: long, at: int, enters: int, leaves: int>>"}
+    return ", ".join(f"{n} {kinds[t]}" for n, t in names.items())
 
 
 def _group_starts(*keys: np.ndarray) -> np.ndarray:
@@ -226,13 +233,15 @@ def say_edges(table: pa.Table) -> pa.Table:
     size = np.diff(np.append(s, len(a)))
     again = np.repeat((size > 1) | np.logical_or.reduceat(flag, s), size)
     own = doc
+    first = again[s]  # of each repeated edge, its source
+    first_who, first_at = who[s][first], at[s][first]
     doc, at, src = (np.repeat(x[s], size) for x in (doc, at, src))
     again &= flag | (own != doc)  # whoever is the source alone needs no answer
     rows: list[list] = [[] for _ in SAY2]
     for i, batch in enumerate(batches):
-        m = again & (who == i)
-        if m.any():
-            for c, v in zip(rows, (batch, table.column("slice")[0].as_py(), pack(a[m], True), pack(b[m]), pack(doc[m]), pack(src[m]), pack(at[m])), strict=True):
+        m, mine = again & (who == i), np.sort(first_at[first_who == i])
+        if m.any() or len(mine):
+            for c, v in zip(rows, (batch, table.column("slice")[0].as_py(), pack(a[m], True), pack(b[m]), pack(doc[m]), pack(src[m]), pack(at[m]), pack(mine, True)), strict=True):
                 c.append(v)
     return _rows(SAY2, rows)
 
@@ -247,6 +256,17 @@ def cut_text(body: bytes, gone: np.ndarray) -> bytes:
     return b"".join([body[s:e] for s, e, g in zip(starts, ends, gone.tolist(), strict=True) if not g]).rstrip(b" \t\n\r\x0b\x0c")
 
 
+def _nodes(b: Batch, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Nodes of the batch's source edges (starts in order): place, hash, and whether an edge of the run enters and leaves it."""
+    start = _group_starts(own - np.arange(len(own)))  # runs of edges that follow each other, never from one document to the next
+    size = np.diff(np.append(start, len(own))) + 1
+    place = np.repeat(own[start], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    enters, leaves = np.ones(len(place), np.int32), np.ones(len(place), np.int32)
+    enters[np.cumsum(size) - size] = 0
+    leaves[np.cumsum(size) - 1] = 0
+    return place, _grams(b.wh, k - 1, _M1)[place].view(np.int64), enters, leaves
+
+
 def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table:
     """What stays of a batch's documents, and the paths they lost, cut to chunks of their source."""
     if not table.num_rows:
@@ -279,10 +299,17 @@ def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table
             last = np.append(s[1:], len(at)) - 1
             for o, *path in zip(own[s].tolist(), (at[s] - b.first[own[s]]).tolist(), (at[last] - at[s] + k).tolist(), src[s].tolist(), src_at[s].tolist(), strict=True):
                 paths.setdefault(o, []).append(path)
+    place = np.zeros(0, np.int64)
+    if said.num_rows and not with_text:
+        own = np.sort(np.concatenate([unpack(x, True) for x in said.column("own").to_pylist()]).astype(np.int64))
+        if len(own):
+            place, *node = _nodes(b, own, k)
+    cut = np.searchsorted(place, b.first).tolist() + [len(place)]
+    numbers = b.table.column("row").to_pylist()
     rows: list[list] = [[] for _ in OUT]
     sent: set[tuple] = set()
     for i, (f, n) in enumerate(zip(b.first.tolist(), b.counts.tolist(), strict=True)):
-        body = b.bodies[i].as_py()
+        body = b.bodies[i]
         words, g = body.split(), gone[f : f + n]
         kept = [w for w, x in zip(words, g.tolist(), strict=True) if not x] if g.any() else words
         text = None
@@ -296,7 +323,9 @@ def remove(table: pa.Table, said: pa.Table, k: int, with_text: bool) -> pa.Table
                 if key not in sent:
                     sent.add(key)
                     lost.append(dict(zip(("src_batch", "src_at", "n", "digest"), key, strict=True)))
-        new = (None if b.null[i] else int(b.ids[i]), n, int(g.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), text, lost)
+        mine = slice(cut[i], cut[i + 1])
+        nodes = [dict(zip(("at", "node", "enters", "leaves"), x, strict=True)) for x in zip((place[mine] - f).tolist(), *(x[mine].tolist() for x in node), strict=True)] if cut[i] < cut[i + 1] else []
+        new = (numbers[i], None if b.null[i] else int(b.ids[i]), n, int(g.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), text, lost, nodes)
         for c, v in zip(rows, new, strict=True):
             c.append(v)
     out = _rows(OUT, rows)
@@ -317,16 +346,41 @@ def verified(table: pa.Table, chunks: pa.Table) -> pa.Table:
         for at, n, digest in zip(*(chunks.column(c).to_pylist() for c in ("src_at", "n", "digest")), strict=True):
             want.setdefault(int(np.searchsorted(b.first, at, "right")) - 1, []).append((at, n, digest))
     for row, some in want.items():
-        words, first = b.bodies[row].as_py().split(), int(b.first[row])
+        words, first = b.bodies[row].split(), int(b.first[row])
         for at, n, digest in some:
             if xxhash.xxh3_128_digest(b" ".join(words[at - first : at - first + n])) != digest:
                 raise ValueError(f"words of document {b.ids[row]}, position {at - first}, differ from their copy")
     return pa.table({"bad": pa.array([], pa.int64())})
 
 
+def compacted(nodes: DataFrame, k: int) -> DataFrame:
+    """Nonbranching paths of the graph of repeated edges, from its nodes (row, node, at, enters, leaves) in each source: of
+    each path the row and place where its first piece starts, how many pieces it has, and its words.
+
+    Nodes that lie in one run alone can't branch and aren't joined. Pieces that meet in a node that one edge enters and one
+    leaves are links; their connected components, by joins, are the paths."""
+    degrees = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("runs"), F.sum("enters").alias("in_"), F.sum("leaves").alias("out_")).filter("runs > 1")
+    shared = materialise(nodes.join(degrees, "node").select("row", "node", "at", (F.greatest("in_", "out_") > 1).alias("branches")), "shared")
+    ends = nodes.filter("enters = 0 or leaves = 0")
+    inside = shared.join(ends.select("row", "at"), ["row", "at"], "left_anti").filter("branches")
+    bounds = ends.select("row", "at", "node", "leaves").unionByName(inside.select("row", "at", "node", F.lit(1).alias("leaves")))
+    here = Window.partitionBy("row").orderBy("at")
+    pieces = bounds.withColumns({"end": F.lead("at").over(here), "end_node": F.lead("node").over(here)}).filter("leaves = 1")
+    pieces = materialise(pieces.select(F.xxhash64("row", "at").alias("piece"), "row", "at", "end", "node", "end_node"), "pieces")
+    joints = shared.filter("not branches").select("node").distinct()
+    links = pieces.select(F.col("piece").alias("a"), F.col("end_node").alias("node")).join(joints, "node", "left_semi").join(pieces.select(F.col("piece").alias("b"), "node"), "node")
+    links = materialise(links.filter("a != b").select("a", "b"), "links")
+    roots = components(links).withColumnRenamed("node", "piece")
+    whole = pieces.join(roots, "piece", "left").withColumn("root", F.coalesce("root", "piece"))
+    place = F.min(F.struct("row", "at")).alias("first")
+    paths = whole.groupBy("root").agg(place, F.count(F.lit(1)).alias("pieces"), (F.sum(F.col("end") - F.col("at")) + (k - 1)).cast("long").alias("words"))
+    return paths.select("first.row", "first.at", "pieces", "words")
+
+
 def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and, if asked for, kept_text, and as the struct
-    `carried` the row itself without its text).
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, n_paths and longest_path (compacted repeated paths that
+    first start in it, and the words of the longest). If asked for, instead of the paths, which aren't compacted then,
+    kept_text, and as the struct `carried` the row itself without its text.
 
     A word goes if a window of k words over it also starts in a document with a smaller id. kept_text is the text
     without those words, its other white space as it was; a text that loses nothing is unchanged.
@@ -352,4 +406,10 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     done = materialise(whole.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(lambda t, s: remove(t, s, k, with_text), schema), "cut")
     chunks = done.select(F.explode("paths").alias("p")).select(F.col("p.src_batch").alias("batch"), "p.src_at", "p.n", "p.digest").distinct()
     plain.groupBy("batch").cogroup(chunks.groupBy("batch")).applyInArrow(verified, "bad long").count()
-    return done.drop("paths", *([] if with_text else ["kept_text"]))
+    if with_text:
+        return done.drop("row", "paths", "nodes")
+    paths = compacted(done.select("row", F.inline("nodes")), k)
+    per_row = materialise(paths.groupBy("row").agg(F.count(F.lit(1)).alias("n_paths"), F.max("words").alias("longest_path")), "paths")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = done.select("row", "doc_id", "n_words", "n_removed", "kept_sha256").join(per_row, "row", "left")
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256", zero("n_paths"), zero("longest_path"))

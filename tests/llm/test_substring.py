@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from tallyforge.llm import substring as S
 
@@ -28,6 +29,40 @@ def brute(rows, k):
     return out
 
 
+def brute_paths(rows, k):
+    """(first row, words) of each nonbranching path of repeated edges, rows numbered in order."""
+    big = 1 << 70
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in rows]
+    ids = [big if i is None else i for i, _ in rows]
+    where = defaultdict(list)
+    for r, w in enumerate(words):
+        for s in range(len(w) - k + 1):
+            where[tuple(w[s : s + k])].append((ids[r], r, s))
+    source = {e: min(at) for e, at in where.items() if len({i for i, _, _ in at}) > 1}
+    enters, leaves = defaultdict(list), defaultdict(list)
+    for e in source:
+        leaves[e[:-1]].append(e)
+        enters[e[1:]].append(e)
+    plain = lambda n: len(enters[n]) == len(leaves[n]) == 1
+    root = {e: e for e in source}
+
+    def find(e):
+        while root[e] != e:
+            e = root[e]
+        return e
+
+    for n in list(enters):
+        if plain(n):
+            root[find(enters[n][0])] = find(leaves[n][0])
+    paths = defaultdict(list)
+    for e in source:
+        paths[find(e)].append(source[e])
+    out = defaultdict(list)
+    for at in paths.values():
+        out[min(r for _, r, _ in at)].append(len(at) + k - 1)
+    return out
+
+
 def corpus(seed, n=60):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
@@ -49,7 +84,8 @@ def test_brute_force(spark):
     rows += [(3000, None), (3001, ""), (3002, "the end " * 20_000), (3003, "the end " * 30), (3004, "one two"), (rows[3][0], rows[3][1]), (None, rows[4][1]), (None, rows[4][1]), (3005, "a b " * 12 + "c"), (3006, "a b " * 12), (-5, rows[7][1])]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, batch int")
     key = lambda r: tuple(-1 if x is None else x for x in r)
-    assert sorted(map(tuple, S.substring_dedup(df).collect()), key=key) == sorted(brute(rows, 13), key=key)
+    got = [r[:4] for r in map(tuple, S.substring_dedup(df).collect())]
+    assert sorted(got, key=key) == sorted(brute(rows, 13), key=key)
     assert S.substring_dedup(df.limit(0)).collect() == []
 
 
@@ -61,7 +97,7 @@ def test_text_and_paths(spark):
 
 
 def test_verification():
-    table = pa.table({"doc_id": pa.array([7, 1]), "body": pa.array([b"a b c d", b"x y"]), "row": pa.array([1, 0]), "batch": pa.array([0, 0], pa.int32())})
+    table = pa.table({"doc_id": pa.array([7, 1]), "body": pa.array(map(zstandard.compress, [b"a b c d", b"x y"]), pa.binary()), "row": pa.array([1, 0]), "batch": pa.array([0, 0], pa.int32())})
     chunk = {"batch": 0, "src_at": 3, "n": 2, "digest": S.xxhash.xxh3_128_digest(b"b c")}  # the row numbered 0 comes first
     assert S.verified(table, pa.Table.from_pylist([chunk])).num_rows == 0
     with pytest.raises(ValueError):
@@ -76,7 +112,25 @@ def test_many_runs(spark, monkeypatch):
     rows = corpus(5)
     rows += [(4000 + j, rows[0][1] + f" w{j}") for j in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, S.substring_dedup(df).collect())) == sorted(brute(rows, 13))
+    assert sorted(r[:4] for r in map(tuple, S.substring_dedup(df).collect())) == sorted(brute(rows, 13))
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_paths(spark, monkeypatch, seed):
+    """Compacted paths, over runs of a few documents, against paths followed edge by edge."""
+    monkeypatch.setattr(S, "RUN_BYTES", 3000)
+    monkeypatch.setattr(S, "SLICE_BYTES", 1000)
+    r = random.Random(seed)
+    rows = corpus(seed)
+    turns = [" ".join(f"q{r.randint(0, 2)}" for _ in range(30)) for _ in range(3)]  # many branches
+    rows += [(5000 + j, f"a{j % 3} " + r.choice(turns) + f" b{j % 2} " + r.choice(turns)) for j in range(12)]
+    rows += [(6000 + j, "x y z " * 9) for j in range(2)]  # a path that closes on itself
+    rows.sort()
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute_paths(rows, 13)
+    got = {x.doc_id: (x.n_paths, x.longest_path) for x in S.substring_dedup(df).collect()}
+    assert sum(map(len, want.values())) == sum(n for n, _ in got.values())
+    assert got == {i: (len(want[n]), max(want[n], default=0)) for n, (i, _) in enumerate(rows)}
 
 
 @pytest.mark.parametrize("n", [0, 1, 1000])
