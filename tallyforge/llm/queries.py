@@ -14,6 +14,7 @@ from tallyforge.llm.rans import read_ids, write_ids
 from tallyforge.llm.simhash import near_dedup
 from tallyforge.llm.sitetree import extract_text
 from tallyforge.llm.substring import substring_dedup
+from tallyforge.llm.tokencount import count_tokens
 from tallyforge.llm.treebpe import encode_decode
 from tallyforge.llm.zipwarc import read_archives, write_archives
 
@@ -64,7 +65,12 @@ def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_scores(_table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), words=True)
+
+
 QUERIES = {
+    "op11_token_counts": op11_token_counts,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op10_zip_warc": op10_zip_warc,
     "op1_token_files": op1_token_files,

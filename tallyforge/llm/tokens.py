@@ -92,6 +92,21 @@ class WholeTexts:
     def _after_space(self, piece: bytes) -> bytes:
         return self._segment((piece if piece[:1] == b"\n" else b" " + piece).decode("utf-8", "replace"))
 
+    def split(self, body: bytes) -> list[bytes]:
+        """The pieces of a text that no token crosses; together their tokens are those of the text."""
+        if self.words:
+            return body.split()
+        if any(x in body for x in self.added):
+            return [body]
+        return [x.encode() for x in _SEGMENT.findall(body.decode("utf-8", "replace"))]
+
+    def length(self, piece: bytes) -> int:
+        """How many tokens a piece has."""
+        text = piece.decode("utf-8", "replace")
+        if self.words and text.isascii() and text.isalpha():
+            return len(self.tok.model.tokenize(text.lower()))
+        return len(self.tok.encode(text, add_special_tokens=False))
+
     def encode(self, body: bytes) -> bytes:
         if self.words:
             return b"".join(map(self.pieces.__getitem__, body.split()))
