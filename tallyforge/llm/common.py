@@ -96,6 +96,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Files of a table up to which its rows are numbered by file and place; beyond, the numbered table is written.
+MOST_FILES = 100_000
+
+
+def numbered(df: DataFrame, name: str = "row_number") -> tuple[DataFrame, str]:
+    """`df` with a number of its own for each row, and that column's name, which no column has. The rows may be read more than
+    once, at different times: of a table of files a row's number is that of its file and its place there, however the files
+    are split and whichever executors there are; anything else is written with its numbers."""
+    name, file, place = (_unused(df, c) for c in (name, "row_file", "row_place"))
+    if "_metadata" not in df.columns and df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        found = df.select(F.col("_metadata.file_path").alias(file)).distinct().limit(MOST_FILES + 1).toArrow().column(0).to_pylist()
+        if len(found) <= MOST_FILES:
+            firsts = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(sorted(found))], f"`{file}` string, `{name}` long")
+            placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)).join(F.broadcast(firsts), file)
+            return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(name) + F.col(place)).alias(name)), name
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def bodies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, body): whole texts as UTF-8 bytes; null counts as empty."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("body"))

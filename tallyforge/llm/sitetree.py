@@ -4,7 +4,8 @@ and ids), each with its presentation styles (sequences of child tags) and its co
 A node whose styles vary from page to page is important, and so is a content that few pages have. A block's composite
 importance weighs both; a branch is as important as its most important block, and branches of low importance go. What an
 element says of itself comes in as a factor: names of what an article never holds (menus, adverts, forms) are of no
-importance, vague ones only tip the balance where the site's pages speak against the block too."""
+importance, vague ones only tip the balance where the site's pages speak against the block too. An article element is
+believed where it holds most of the page's important text; a teaser in one doesn't silence the story beside it."""
 
 from __future__ import annotations
 
@@ -17,10 +18,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import deflated, inflated, materialise, run_count, ship
+from tallyforge.llm.common import deflated, inflated, materialise, numbered, run_count, ship
 
 #: Fixed values of HTML: elements without content, with raw text, that start a block, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,11 +37,15 @@ NOISE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notification notifications popup modal newsletter subscribe subscription signup login comment comments commentlist respond disqus replies".split()
 )
 VAGUE_WORDS = frozenset("promo promotion promoted side rail toolbar pager alert overlay toast share sharing social related recommended recommendations trending discussion widget widgets contentinfo complementary search skip hidden".split())
+#: Noise words that inside an article may be its own, so that the site's pages decide, and words that say nothing at a name's end.
+EDITORIAL = frozenset("banner notice notification notifications sponsor masthead".split())
+GENERIC = frozenset("box block wrap wrapper container inner outer area section list item items slot unit bar body content text thread row col column group panel top bottom left right info holder zone".split())
 #: Site header words count outside an article only.
 HEADER_WORDS = frozenset(("header", "topbar", "top"))
-#: Weight of contents against styles, the factor of vague words, the importance under which a branch goes, and pages
-#: without a content that each estimate starts from, so that few pages say little.
-CONTENT, VAGUE, LEAST, UNSEEN = 0.9, 0.25, 0.15, 4
+#: Weight of contents against styles, the factor of vague words, the importance under which a branch goes, pages without
+#: a content that each estimate starts from, so that few pages say little, the factor of what is outside the article, and
+#: the share of the important text from which an article is believed.
+CONTENT, VAGUE, LEAST, UNSEEN, OUTSIDE, MAJORITY = 0.9, 0.25, 0.15, 4, 0.1, 0.5
 
 #: Bytes of html of a run.
 RUN_BYTES = 8 << 20
@@ -69,7 +74,6 @@ class Node:
 class Page:
     nodes: list[Node] = field(default_factory=list)  # blocks, in page order
     texts: list[tuple[Node, str]] = field(default_factory=list)  # blocks of text with their element
-    zone: int = 0  # the highest there is
 
 
 def host_of(url: str | None) -> str:
@@ -84,6 +88,19 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
+def _noisy(named: str, zone: int) -> float:
+    """The factor of a name: a compound is what its last telling word says, and inside an article no more than vague if that isn't noise."""
+    factor = 1.0
+    for token in named.split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if NOISE_WORDS.intersection(words):
+            telling = [w for w in words if w not in GENERIC] or words
+            if zone < 2 or telling[-1] in NOISE_WORDS and not EDITORIAL.issuperset(NOISE_WORDS.intersection(words)):
+                return 0.0
+            factor = VAGUE
+    return factor
+
+
 def _step(parent: Node, tag: str, raw: str) -> Node:
     """A child with its path (tag, and class and id without digits) and what its presentation says."""
     at = _attributes(raw) if raw and not raw.isspace() else {}
@@ -97,8 +114,9 @@ def _step(parent: Node, tag: str, raw: str) -> Node:
         return node
     node.owner = node
     page_level = tag in ("html", "body", "article", "main")
-    noise = tag in NOISE_TAGS or hidden or bool(words & NOISE_WORDS) and not (page_level and not words & {"comment", "comments"})
-    if noise or not parent.zone and (tag == "header" or bool(words & HEADER_WORDS) and not page_level):
+    said = 1.0 if page_level and not words & {"comment", "comments"} else _noisy(named, parent.zone)
+    node.factor *= said
+    if not said or tag in NOISE_TAGS or hidden or not parent.zone and (tag == "header" or bool(words & HEADER_WORDS) and not page_level):
         node.factor = 0.0
     elif words & VAGUE_WORDS and not page_level:
         node.factor *= VAGUE
@@ -156,7 +174,6 @@ def parse(page: str) -> Page:
             if node.block:
                 end()
                 out.nodes.append(node)
-                out.zone = max(out.zone, node.zone)
             elif tag == "br" or node.omit:
                 held.append(" ")
             if tag in RAW:
@@ -188,16 +205,16 @@ def features(page: Page) -> set[tuple[int, int, int]]:
 
 
 def main_text(page: Page, styles: dict[int, float], contents: dict[tuple[int, int], float]) -> str:
-    """Blocks of the articles (without any, of the main parts; without those, of the page) that are important, joined by two
-    line ends. styles: the presentation importance of the site's nodes; contents: how important contents of more than
-    one page are."""
-    out = []
+    """The important blocks, joined by two line ends. styles: the presentation importance of the site's nodes; contents: how
+    important contents of more than one page are. Blocks outside the articles (or else the main parts) count as little where
+    those hold most of the page's important text."""
+    values = []
     for node, text in page.texts:
-        if node.factor and node.zone >= page.zone:
-            value = node.factor * ((1 - CONTENT) * styles.get(node.path, 1.0) + CONTENT * contents.get((node.path, digest(text)), 1.0))
-            if value >= LEAST:
-                out.append(text)
-    return "\n\n".join(out)
+        value = node.factor and node.factor * ((1 - CONTENT) * styles.get(node.path, 1.0) + CONTENT * contents.get((node.path, digest(text)), 1.0))
+        values.append(value if value >= LEAST else 0.0)
+    mass = lambda least: sum(v * len(t) for v, (n, t) in zip(values, page.texts, strict=True) if n.zone >= least)
+    zone = next((z for z in (2, 1) if mass(0) and mass(z) >= MAJORITY * mass(0)), 0)
+    return "\n\n".join(t for v, (n, t) in zip(values, page.texts, strict=True) if v * (1 if n.zone >= zone else OUTSIDE) >= LEAST)
 
 
 NODES = {"batch": pa.int32(), "host": pa.string(), "path": pa.int64(), "kind": pa.int32(), "value": pa.int64(), "n": pa.int64()}
@@ -258,8 +275,8 @@ def importances(nodes: DataFrame) -> DataFrame:
     entropy = (log("all") - F.col("logs") / F.col("all")) / F.log(F.col("m") + F.lit(float(UNSEEN)))
     known = pages.join(styles, key).select(*key, "m", entropy.alias("style"))
     here = nodes.filter("kind = 0").select("batch", *key).join(known, key)
-    everywhere = F.sum("n").over(Window.partitionBy(*key, "value"))
-    shared = nodes.filter("kind = 2").withColumn("m", everywhere).filter("m > 1")
+    texts = nodes.filter("kind = 2")
+    shared = texts.select("batch", *key, "value").join(texts.groupBy(*key, "value").agg(F.sum("n").alias("m")).filter("m > 1"), [*key, "value"])
     return here.select("batch", *key, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("value"), "m", "style").unionByName(
         shared.select("batch", *key, F.lit(2).alias("kind"), "value", "m", F.lit(None).cast("double").alias("style"))
     )
@@ -278,14 +295,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host count once, so that copies don't make each other noise.
 
     Null html is an empty page. Null urls, and those without a host, belong to no site. Very long and very deep pages are read in
-    one pass. Repeated rows are pages of their own. Other columns are ignored; an empty table gives an empty result."""
+    one pass. Repeated rows are pages of their own, which count once as equal pages do. Other columns are ignored; an empty table gives an empty result."""
     ship(pages.sparkSession)
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST.pattern, 1))
     body = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("doc_id"), url.alias("url"), host.alias("host"), body.alias("body"))
-    # a row's number is the hash of all that is read of it: the same in both passes, without writing the pages
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "url", "body"))
+    pages, row = numbered(pages, "row")
+    rows = pages.select(F.col(id_col).cast("long").alias("doc_id"), url.alias("url"), host.alias("host"), body.alias("body"), F.col(row).alias("row"))
     n = run_count(pages.sparkSession, rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0, RUN_BYTES)
     batch = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("batch")
     # pages without a host share nothing with each other

@@ -90,6 +90,46 @@ def test_entropies(spark):
     assert {(x.batch, x.host, x.path) for x in got} == {(i % 3, h, f[0]) for i, h, f in rows if (h, f[0], 0, 0) in want}
 
 
+def test_story_beside_a_teaser(spark):
+    """An article element decides nothing alone: on some pages of the host the story is in a plain div, the teaser in an article."""
+    story = lambda i: "".join(f"<p>Part {k} of the story {i} that is told here at some length.</p>" for k in range(5))
+    told = lambda i: "\n\n".join(f"Part {k} of the story {i} that is told here at some length." for k in range(5))
+    teaser = "<article class='teaser'><p>Read this too</p></article>"
+    got = extracted(spark, [f"<div>{story(i)}</div>{teaser}" if i % 2 else f"<article>{story(i)}</article><p>Written by {i}</p>" for i in range(30)])
+    assert all(got[i] == told(i) for i in range(30))
+    assert text(f"<div>{story(1)}</div>{teaser}") == told(1) + "\n\nRead this too"
+
+
+def test_repeated_rows(spark):
+    """Copies of a row count once, whether or not they share an id."""
+    page = "<article><p>The only story</p><p>in two parts</p></article>"
+    for ids in ([7] * 12, range(12)):
+        df = spark.createDataFrame([(i, "http://one.example/a", page) for i in ids], "page_id long, url string, html string").repartition(3)
+        assert [r.text for r in S.extract_text(df).collect()] == ["The only story\n\nin two parts"] * 12
+
+
+def test_names_inside_an_article(spark):
+    """A notice that only its own page has stays in an article, one that the whole site has goes."""
+    page = lambda i: f"<article><p>Story {i}</p><section class='notice'><p>A correction of {i}</p></section><figure class='banner'>Figure {i}</figure><div class='comments-policy-essay'><p>Essay {i}</p></div><div class='notice'><p>Terms apply</p></div><div class='reader-comments'><p>Nice {i}</p></div><div class='ad-slot'>Buy {i}</div></article>"
+    got = extracted(spark, [page(i) for i in range(20)])
+    assert all(got[i] == f"Story {i}\n\nA correction of {i}\n\nFigure {i}\n\nEssay {i}" for i in range(20))
+
+
+def test_splits_change(spark, tmp_path):
+    """Rows keep their numbers when the files are split in another way at the second read."""
+    at = str(tmp_path / "pages.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").repartition(5).write.option("parquet.block.size", 1 << 14).parquet(at)
+    df = spark.read.parquet(at)
+    want = sorted((r.page_id, r.text) for r in S.extract_text(df).collect())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    made = S.extract_text(df)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        assert sorted((r.page_id, r.text) for r in made.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_site(spark):
     page = lambda i: f"<body><div><p>a longer story {i} with words {i * 7} to tell</p></div><div class='x{i}'><p class='t'>All rights reserved</p></div></body>"
     rows = [(i, f"https://user@Site.example:80/{i}", page(i), "u") for i in range(40)]
