@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.patterns import occurrences
+
 LINES = "diff_id string, file int, path string, old_path string, status string, binary boolean, hunk int, pos int, kind string, old_line int, new_line int, text string"
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
@@ -140,17 +142,23 @@ def candidates(line: Column) -> Column:
     return F.filter(found, lambda n: (F.length(n) >= LEAST_NAME) & ~F.startswith(n, F.lit("_")))
 
 
-def names_at_risk(lines: DataFrame, least: int = 5) -> DataFrame:
-    """Names that removed lines define and no added line does, with how often, in order of first removal."""
-    name = F.regexp_extract("text", "^\\s*(?:async\\s+)?(?:def|class|function|func|interface|type)\\s+([A-Za-z][A-Za-z0-9_]*)", 1)
-    found = lines.withColumn("name", name).filter(F.length("name") >= least)
-    removed = found.filter("kind = '-'").groupBy("diff_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "hunk", "pos")).alias("first"))
+def names_at_risk(lines: DataFrame) -> DataFrame:
+    """Names that removed lines may break elsewhere (definitions, routes, dotted paths) and no added line has, with
+    how often, in order of first removal."""
+    changed = lines.filter("kind IN ('-', '+')")
+    found = changed.select("diff_id", "kind", "file", "hunk", "pos", F.posexplode(candidates(F.concat("kind", "text"))).alias("place", "name"))
+    removed = found.filter("kind = '-'").groupBy("diff_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "hunk", "pos", "place")).alias("first"))
     return removed.join(found.filter("kind = '+'").select("diff_id", "name"), ["diff_id", "name"], "left_anti").select("diff_id", "name", "n", F.row_number().over(Window.partitionBy("diff_id").orderBy("first")).alias("ordinal"))
 
 
 def siblings(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Other files whose stem occurs as a word in a diff's text: words are matched by equality, not by scanning all pairs."""
-    words = lines.select("diff_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]{3,})"), F.lit(1))).alias("stem")).distinct()
-    stems = files.select(F.col("path").alias("sibling"), F.regexp_extract("path", "([^/]*?)(?:\\.[^/]*)?$", 1).alias("stem"))
-    own = lines.select("diff_id", F.col("path").alias("sibling")).distinct()
-    return words.join(stems, "stem").join(own, ["diff_id", "sibling"], "left_anti").select("diff_id", "sibling").distinct()
+    """J22 over (diff_id, path, text) and (path): other files that a diff's text names: their stem, or their path without suffix
+    as a dotted module, is a substring of it. All names are searched for at once; no diff is paired with a file it doesn't name."""
+    path = F.col("path")
+    stem = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), "\\.[^.]*$", "")
+    module = F.translate(F.regexp_replace(path, "\\.[^.]*$", ""), "/", ".")
+    named = files.select(path.alias("sibling"), F.explode(F.array_distinct(F.array(stem, module))).alias("pattern")).distinct()
+    hits = occurrences(lines.select(F.col("diff_id").alias("key"), "text"), named).distinct()
+    own = lines.select("diff_id", path.alias("sibling")).distinct()
+    found = hits.join(named, "pattern").select(F.col("key").alias("diff_id"), "sibling").distinct()
+    return found.join(own, ["diff_id", "sibling"], "left_anti")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.patterns import occurrences
+
 
 def match_expectations(expects: DataFrame, findings: DataFrame) -> DataFrame:
     """Each expectation takes the first finding of its case and file that fits and isn't taken, in case order.
@@ -38,35 +40,10 @@ def eval_scores(expects: DataFrame, matched: DataFrame, findings: DataFrame) ->
     return j.select("case_id", zero("hit").alias("hit"), (F.col("expected") - zero("hit")).alias("missed"), F.greatest(F.lit(0), zero("found") - F.col("expected")).alias("extra"))
 
 
-#: Passages of at most two words, which are handed to every task: more than so many are refused.
-MOST_SHORT = 1000
-
-
 def passages(expected: DataFrame, docs: DataFrame) -> DataFrame:
-    """J21, A17 over (item_id, text) and (doc_id, text): the first document that holds each passage.
-
-    A passage's first and last word may be parts of longer ones in a document, those between are whole: passages meet
-    documents on the hash of up to four of these. Only keys and ids are exploded and joined; the texts of what met are then
-    compared. Passages of one or two words have no whole word: they are a short list against all texts."""
-    words = lambda c: F.array_remove(F.split(c, "[\\x20\\x09-\\x0D]+"), "")
-    key = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
-    e = expected.select("item_id", F.col("text").alias("passage")).distinct().withColumn("w", words("passage"))
-    e = e.withColumn("n", F.least(F.size("w") - 2, F.lit(4)))
-    d = docs.select("doc_id", "text").withColumn("w", words("text"))
-    lengths = [r.n for r in e.filter("n > 0").select("n").distinct().collect()]  # at most four
-
-    def keys(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), key(F.col("w"), i, n).alias("key")))
-
-    every = [keys(n) for n in lengths]
-    short = e.filter("n <= 0")
-    if short.count() > MOST_SHORT:
-        raise ValueError("too many passages of one or two words")
-    hits = docs.select("doc_id", "text").join(F.broadcast(short.select("item_id", "passage")), F.expr("contains(text, passage)")).select("item_id", "doc_id")
-    if every:
-        asked = e.filter("n > 0").select("item_id", "n", key(F.col("w"), 2, F.col("n")).alias("key"))
-        met = d.select("doc_id", F.explode(F.array_distinct(F.concat(*every))).alias("k")).select("doc_id", "k.*").join(asked, ["n", "key"]).select("item_id", "doc_id").distinct()
-        texts = met.join(docs.select("doc_id", "text"), "doc_id").join(e.select("item_id", "passage"), "item_id")
-        hits = hits.unionByName(texts.filter(F.contains("text", "passage")).select("item_id", "doc_id"))
-    first = hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-    return e.select("item_id").join(first, "item_id", "left").select("item_id", "doc_id", F.col("doc_id").isNotNull().alias("hit"))
+    """J21, A17 over (item_id, text) and (doc_id, text): the first document that holds each passage, whatever its length or
+    where it begins; a null passage is in none."""
+    e = expected.select("item_id", F.col("text").alias("pattern")).distinct()
+    hits = occurrences(docs.select(F.col("doc_id").alias("key"), "text"), e)
+    first = hits.groupBy("pattern").agg(F.min("key").alias("doc_id"))
+    return e.join(first, "pattern", "left").select("item_id", "doc_id", F.col("doc_id").isNotNull().alias("hit"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.intervals import innermost, overlaps, parents
+from tallyforge.sources.store import materialise
+
 
 def callers(edges: DataFrame, symbols: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges into the targets with their sources; several edges between two symbols stay several rows."""
@@ -44,42 +47,24 @@ def reach(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     return out
 
 
-def overlaps(symbols: DataFrame, spans: DataFrame) -> DataFrame:
-    """Symbols that share a line with a changed span of the same file; the file is the hash key, the range a residual."""
-    return symbols.join(spans, "path").filter("start_line <= hi and end_line >= lo")
-
-
-def innermost(symbols: DataFrame, points: DataFrame) -> DataFrame:
-    """Of the half-open symbol ranges around each offset, the one that starts last (later ones win ties)."""
-    hit = points.join(symbols, "path").filter("start_byte <= offset and offset < end_byte")
-    return hit.groupBy("path", "offset").agg(F.max_by("symbol_id", F.struct("start_byte", "symbol_id")).alias("symbol_id"))
-
-
-#: Bytes of a bin of a file: ranges meet only in the bin where the inner one starts.
-BIN = 2048
+def nesting(symbols: DataFrame) -> DataFrame:
+    """Each symbol with its parent, null at the top."""
+    return symbols.join(parents(symbols), "symbol_id", "left")
 
 
-def nesting(symbols: DataFrame) -> DataFrame:
-    """The parent of each symbol: the innermost other one of its file that contains it (the last by id of equal
-    ranges); none at the top. Candidates meet by file and bin, so a long file's symbols aren't paired all with all."""
-    bins = F.sequence(F.floor(F.col("start_byte") / BIN), F.floor(F.col("end_byte") / BIN))
-    p = symbols.select("path", F.col("symbol_id").alias("parent_id"), F.col("start_byte").alias("ps"), F.col("end_byte").alias("pe"), F.explode(bins).alias("bin"))
-    c = symbols.select("path", "symbol_id", "start_byte", "end_byte", F.floor(F.col("start_byte") / BIN).alias("bin"))
-    hit = c.join(p, ["path", "bin"]).filter("ps <= start_byte and end_byte <= pe and (ps < start_byte or end_byte < pe)")
-    best = hit.groupBy("symbol_id").agg(F.max_by("parent_id", F.struct("ps", -F.col("pe"), "parent_id")).alias("parent_id"))
-    return symbols.join(best, "symbol_id", "left")
-
-
-def qualified_names(symbols: DataFrame, depth: int = 16) -> DataFrame:
-    """Names joined from the outermost symbol down, over (symbol_id, parent_id, name): a join per level, as deep as
-    definitions nest."""
-    up = symbols.select(F.col("symbol_id").alias("at"), F.col("parent_id").alias("next"), F.col("name").alias("part"))
-    out = symbols.withColumns({"qualified_name": F.col("name"), "next": F.col("parent_id")})
-    for _ in range(depth):
-        j = out.withColumnRenamed("next", "at").join(up, "at", "left")
-        joined = F.when(F.col("part").isNotNull(), F.concat("part", F.lit("."), "qualified_name")).otherwise(F.col("qualified_name"))
-        out = j.withColumn("qualified_name", joined).drop("at", "part")
-    return out.drop("next")
+def qualified_names(symbols: DataFrame) -> DataFrame:
+    """Names joined from the outermost symbol down, over (symbol_id, parent_id, name), at any depth. Each round joins
+    what is known of twice as many levels, so rounds are few; a written table ends each. Parents that lead in a circle raise."""
+    up = symbols.select("symbol_id", F.col("name").alias("qualified_name"), F.col("parent_id").alias("next"))
+    n = symbols.count()
+    while True:
+        above = up.select(F.col("symbol_id").alias("next"), F.col("qualified_name").alias("above"), F.col("next").alias("further"))
+        joined = F.when(F.col("above").isNotNull(), F.concat("above", F.lit("."), "qualified_name")).otherwise(F.col("qualified_name"))
+        up = materialise(up.join(above, "next", "left").select("symbol_id", joined.alias("qualified_name"), F.col("further").alias("next")), "names")
+        if not up.filter("next IS NOT NULL").limit(1).count():
+            return symbols.join(up.select("symbol_id", "qualified_name"), "symbol_id")
+        if (n := n // 2) == 0:
+            raise ValueError("symbols that are each other's parents")
 
 
 def call_edges(references: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
@@ -156,20 +141,47 @@ def repair(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return j.select(*[c for c in edges.columns if c not in ("dst", "resolution")], F.coalesce("dst", "only").alias("dst"), F.when(fixed, F.lit("global")).otherwise(F.col("resolution")).alias("resolution"))
 
 
-def module_candidates(imports: DataFrame, suffixes: list[str]) -> DataFrame:
-    """files an import may mean, in order: relative to its own folder first, then from the root, with each suffix,
-    then as a package folder."""
-    base = F.regexp_replace("module", "\\.", "/")
-    folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
-    stems = F.array(F.concat(folder, base), base)
-    tails = F.array(*[F.lit(s) for s in suffixes], *[F.lit(f"/index{s}") for s in suffixes], *[F.lit(f"/__init__{s}") for s in suffixes])
-    named = F.flatten(F.transform(stems, lambda s: F.transform(tails, lambda t: F.concat(s, t))))
+#: Suffixes that an import without one may stand for, in order.
+SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".vue")
+
+
+def normal_path(path: Column) -> Column:
+    """a path without empty and single-dot parts, double dots taken back as far as there are folders."""
+    up = lambda acc: F.slice(acc, 1, F.size(acc) - 1)
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when((x == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), up(acc)).otherwise(F.concat(acc, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def _as_script(base: Column) -> Column:
+    """The file itself if it has a suffix, then with each suffix, then as a folder with an index."""
+    own = F.when(base.rlike("[^/]\\.[^./]+$"), F.array(base)).otherwise(F.array().cast("array<string>"))
+    return F.concat(own, F.array(*[F.concat(base, F.lit(f"{index}{x}")) for index in ("", "/index") for x in SCRIPT_SUFFIXES]))
+
+
+def module_candidates(imports: DataFrame) -> DataFrame:
+    """F5 over (path, module): the files that an import may mean, in order.
+
+    ./x and ../x are from the importing file's folder; .x is a sibling module of Python's, however many dots; @/x and ~/x
+    are under src or the root; anything else is a dotted module, then a path, and last the Go file named by its tail."""
+    m = F.col("module")
+    folder = F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1)
+    below = lambda x: F.when(folder == "", x).when(x == "", folder).otherwise(F.concat(folder, F.lit("/"), x))
+    as_python = lambda base: F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))
+    sibling = below(F.translate(F.ltrim(m, F.lit(".")), ".", "/"))
+    stem = F.substring(m, 3, 1 << 20)
+    plain = F.concat(as_python(F.translate(m, ".", "/")), _as_script(m), F.array(F.concat(F.regexp_extract(m, "([^/]*)$", 1), F.lit(".go"))))
+    named = (
+        F.when(m.rlike("^\\.\\.?/"), _as_script(normal_path(F.concat(folder, F.lit("/"), m))))
+        .when(F.startswith(m, F.lit(".")), as_python(F.when(sibling == "", F.lit(".")).otherwise(sibling)))
+        .when(m.rlike("^[@~]/"), F.concat(_as_script(F.concat(F.lit("src/"), stem)), _as_script(stem)))
+        .otherwise(plain)
+    )
     return imports.select("path", "module", F.posexplode(named).alias("ordinal", "candidate"))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: list[str]) -> DataFrame:
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """The first candidate that exists."""
-    hit = module_candidates(imports, suffixes).join(files.select(F.col("path").alias("candidate")), "candidate", "left_semi")
+    hit = module_candidates(imports.select("path", "module").distinct()).join(files.select(F.col("path").alias("candidate")), "candidate", "left_semi")
     return hit.groupBy("path", "module").agg(F.min_by("candidate", "ordinal").alias("target"))
 
 

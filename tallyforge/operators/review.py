@@ -330,16 +330,3 @@ def context_label(df: DataFrame) -> DataFrame:
     """What a finding's reviewer had: the diff, and what else was there."""
     part = lambda c, name: F.when(F.col(c), F.lit(name))
     return df.withColumn("label", F.concat_ws("+", F.lit("diff"), part("has_calls", "call graph"), part("has_similar", "retrieved code"), part("was_cut", "truncated")))
-
-
-def snapshot_diff(base: DataFrame, head: DataFrame) -> DataFrame:
-    """SC3 over (path, text): changed files of two snapshots as whole-file diffs: status, and lines only in the one or the
-    other, counted as a bag."""
-    lines = lambda df: df.select("path", F.explode(F.split("text", "\n")).alias("line")).groupBy("path", "line").agg(F.count(F.lit(1)).alias("n"))
-    b, h = base.select("path", F.col("text").alias("old")), head.select("path", F.col("text").alias("new"))
-    files = b.join(h, "path", "full").filter(~F.col("old").eqNullSafe(F.col("new")))
-    status = F.when(F.col("old").isNull(), F.lit("A")).when(F.col("new").isNull(), F.lit("D")).otherwise(F.lit("M"))
-    j = lines(base).withColumnRenamed("n", "was").join(lines(head).withColumnRenamed("n", "now"), ["path", "line"], "full")
-    change = F.coalesce("now", F.lit(0)) - F.coalesce("was", F.lit(0))
-    counts = j.groupBy("path").agg(F.sum(F.greatest(change, F.lit(0))).alias("added"), F.sum(F.greatest(-change, F.lit(0))).alias("removed"))
-    return files.select("path", status.alias("status")).join(counts, "path")

@@ -4,24 +4,20 @@ from __future__ import annotations
 
 import ast
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import graph as G
+from tallyforge.operators import lexers
 from tallyforge.operators import text as T
 
 #: Fixed value: characters of a signature.
 SIGNATURE_CHARS = 200
 
-FACTS = "path string, fact string, name string, qualified_name string, kind string, start_line int, end_line int, start_byte int, end_byte int"
-_OTHER = re.compile(r"^(?P<indent>[ \t]*)(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:(?P<f>function\*?|func(?:\s*\([^)]*\))?)|(?P<c>class|interface|type|enum))\s+(?P<n>[A-Za-z_$][\w$]*)", re.M)
-_IMPORT = re.compile(r"""^\s*(?:import\b[^'"\n]*['"]([^'"]+)['"]|.*\brequire\(['"]([^'"]+)['"]\))""", re.M)
-_CALL = re.compile(r"([A-Za-z_$][\w$]*)\(")
+FACTS = "path string, fact string, name string, qualified_name string, kind string, start_line int, end_line int, start_byte int, end_byte int, lang string, signature string"
 
 
 def python_facts(text: str) -> Iterator[tuple]:
@@ -35,73 +31,64 @@ def python_facts(text: str) -> Iterator[tuple]:
     for x in lines:
         begin.append(begin[-1] + len(x) + 1)
 
+    whole = text.encode()
+
     def span(n: ast.AST) -> tuple[int, int, int, int]:
         return n.lineno, n.end_lineno, begin[n.lineno - 1] + n.col_offset, begin[n.end_lineno - 1] + n.end_col_offset
 
+    def callee(n: ast.expr, name: str) -> tuple[int, int, int, int]:
+        end = begin[n.end_lineno - 1] + n.end_col_offset
+        return n.end_lineno, n.end_lineno, end - len(name.encode()), end
+
     def visit(node: ast.AST, owner: str) -> Iterator[tuple]:
         for n in ast.iter_child_nodes(node):
             inner = owner
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 inner = f"{owner}.{n.name}" if owner else n.name
-                kind = "class" if isinstance(n, ast.ClassDef) else "method" if owner and isinstance(node, ast.ClassDef) else "function"
-                yield ("symbol", n.name, inner, kind, *span(n))
+                kind = "class" if isinstance(n, ast.ClassDef) else "function"
+                head = whole[span(n)[2] : span(n.body[0])[2] - (getattr(n.body[0], "decorator_list", []) and span(n.body[0])[2] - span(n.body[0].decorator_list[0])[2] + 1 or 0)]
+                yield ("symbol", n.name, inner, kind, *span(n), "python", " ".join(head.decode("utf-8", "replace").split()))
             elif isinstance(n, ast.Import):
                 for a in n.names:
-                    yield ("import", a.name, None, "import", *span(n))
+                    yield ("import", a.name, None, "import", *span(n), "python", None)
             elif isinstance(n, ast.ImportFrom):
-                yield ("import", "." * n.level + (n.module or ""), None, "import", *span(n))
+                yield ("import", "." * n.level + (n.module or ""), None, "import", *span(n), "python", None)
             elif isinstance(n, ast.Call):
                 name = n.func.id if isinstance(n.func, ast.Name) else n.func.attr if isinstance(n.func, ast.Attribute) else None
                 if name:
-                    yield ("call", name, None, "call", *span(n))
+                    yield ("call", name, None, "call", *callee(n.func, name), "python", None)
             yield from visit(n, inner)
 
     yield from visit(module, "")
 
 
-def other_facts(text: str) -> Iterator[tuple]:
-    """Approximate symbols, imports and calls of languages without a parser here: a symbol ends where its braces do."""
-    bytes_before = range(len(text) + 1) if text.isascii() else [0, *accumulate(len(c.encode()) for c in text)]
-    ends = [m.start() for m in re.finditer("\n", text)]
-    place = bytes_before.__getitem__
-    line = lambda i: bisect_left(ends, i) + 1
-    closed, stack = {}, []
-    for m in re.finditer("[{}]", text):
-        if m[0] == "{":
-            stack.append(m.start())
-        elif stack:
-            closed[stack.pop()] = m.end()
-    for m in _OTHER.finditer(text):
-        end = closed.get(text.find("{", m.end()), len(text))
-        at = m.start() + len(m["indent"])
-        yield ("symbol", m["n"], m["n"], "class" if m["c"] else "function", line(at), line(end - 1 if end > at else at), place(at), place(end))
-    for m in _IMPORT.finditer(text):
-        yield ("import", m[1] or m[2], None, "import", line(m.start()), line(m.end()), place(m.start()), place(m.end()))
-    for m in _CALL.finditer(text):
-        yield ("call", m[1], None, "call", line(m.start()), line(m.start()), place(m.start()), place(m.end()))
+def file_facts(path: str, text: str) -> Iterator[tuple]:
+    """Facts of a file by its suffix; none of a language that isn't known."""
+    lang = T.LANGUAGES.get(m[0].lower()) if (m := re.search(r"(?<=[^/])\.[^./]+$", path)) else None
+    if lang == "python":
+        return python_facts(text)
+    return lexers.facts(text, lang) if lang else iter(())
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Facts of (path, text): one row per symbol, import and call. A file is parsed within its row."""
+    """Facts of (path, text): one row per symbol, import and call, with lines and bytes of the whole file. A file is read
+    within its row; signatures are cut to SIGNATURE_CHARS."""
     names = [x.split()[0] for x in FACTS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, *f) for p, t in zip(b["path"], b["text"], strict=True) for f in (python_facts(t) if p.lower().endswith(".py") else other_facts(t or "")) if t is not None]
+            rows = [(p, *f[:-1], f[-1] and f[-1][:SIGNATURE_CHARS]) for p, t in zip(b["path"], b["text"], strict=True) for f in file_facts(p, t)]
             out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "int32" for c in names[5:]})
+            yield out.astype({c: "int32" for c in names[5:9]})
 
-    return files.filter("text is not null").select("path", "text").mapInPandas(run, FACTS)
+    return files.filter("text IS NOT NULL AND path IS NOT NULL").select("path", "text").mapInPandas(run, FACTS)
 
 
-def symbol_rows(files: DataFrame, facts: DataFrame) -> DataFrame:
-    """Symbols with their parent (the innermost around them in their file) and their signature: the line they start
-    on, without what opens the body, its white space evened out and cut."""
+def symbol_rows(facts: DataFrame) -> DataFrame:
+    """SK2, R9, F16: symbols keyed by path, qualified name and place, with their parent (the innermost around them in their file)
+    and their signature: the text before the body, its white space evened out."""
     s = facts.filter("fact = 'symbol'").withColumn("symbol_id", F.concat("path", F.lit("::"), "qualified_name", F.lit("@"), F.col("start_byte").cast("string")))
-    s = G.nesting(s).join(files.select("path", "text"), "path")
-    first = F.element_at(F.split("text", "\n"), F.col("start_line"))
-    signature = F.trim(F.regexp_replace(F.regexp_replace(first, "[:{].*$|\\s+$", ""), "\\s+", " "))
-    return s.withColumn("signature", F.substring(signature, 1, SIGNATURE_CHARS)).drop("fact", "text")
+    return G.nesting(s.dropDuplicates(["symbol_id"])).drop("fact")
 
 
 def symbol_chunks(files: DataFrame, facts: DataFrame) -> DataFrame:

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.patterns import line_hits
+from tallyforge.sources.store import materialise
+
 #: Lines of a window chunk, least and most characters of a chunk, characters per token, file size limit.
 CHUNK_LINES, LEAST_CHARS, MOST_CHARS, TOKEN_CHARS, MOST_BYTES = 120, 40, 6000, 4, 512 * 1024
 #: Hits kept per literal, names searched, and hits of earlier names after which no other is searched.
 HITS_PER_NAME, MOST_NAMES, MOST_HITS = 6, 12, 30
 #: Languages by suffix, and suffixes of binary files.
 LANGUAGES = {".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".go": "go", ".vue": "vue"}
-BINARY = (".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".gz", ".woff", ".woff2", ".ttf", ".so", ".bin")
+BINARY = tuple(
+    ".png .jpg .jpeg .gif .bmp .ico .webp .svgz .pdf .zip .gz .bz2 .xz .7z .tar .jar .war .class .so .dylib .dll .exe .bin .wasm .o .a "
+    ".woff .woff2 .ttf .otf .eot .mp3 .mp4 .mov .avi .pyc .pyd .db .sqlite .parquet .pkl .npy".split()
+)
 #: Our own secret rules: name and pattern; generic assignments must also be random enough (bits per character).
 SECRET_RULES = {"assigned_hex": '(?:token|secret|password|api_key) = "([0-9a-f]{40})"', "aws_key_id": "(AKIA[0-9A-Z]{16})", "private_key": "(-----BEGIN [A-Z ]*PRIVATE KEY-----)"}
 SECRET_ENTROPY = 3.0
@@ -64,17 +71,24 @@ def window_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
     return kept.select(key, "start_line", "end_line", F.sha2(F.concat(F.col(key).cast("string"), F.lit(":"), "body"), 256).alias("content_hash"), token_estimate(F.col("body")).alias("token_estimate"))
 
 
-def literal_search(df: DataFrame, key: str, text: str, names: list[str], per_name: int = HITS_PER_NAME) -> DataFrame:
-    """SC7, W9: the first `per_name` lines (by key and line) that hold each literal; a line counts once per name.
-
-    Names are a bounded list (MOST_NAMES); files without any are dropped before their lines are made."""
-    names = names[:MOST_NAMES]
-    some = df.filter(F.col(text).rlike("|".join(re.escape(n) for n in names)))
-    hits = F.filter(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("name")) for i, n in enumerate(names)]), lambda x: F.contains(F.col("line"), x["name"]))
-    rows = lines(some, key, text).select(key, "line_no", F.explode(hits).alias("h")).select(key, "line_no", "h.*")
-    w = Window.partitionBy("ordinal").orderBy(key, "line_no")
+def literal_search(df: DataFrame, key: str, text: str, names: DataFrame, per_name: int = HITS_PER_NAME, own: DataFrame | None = None) -> DataFrame:
+    """SC7, W9 over `names` (ordinal, name): the first `per_name` lines (by key and line) that hold each literal; a line counts
+    once per name. Rows whose key is among those of `own` are left out. Any number of names: they are searched for at once,
+    and no text gives more than `per_name` lines a name."""
+    if own is not None:
+        df = df.join(own.select(key).distinct(), key, "left_anti")
+    hits = line_hits(df.select(F.col(key).alias("key"), F.col(text).alias("text")), names.select(F.col("name").alias("pattern")), per_name)
+    rows = hits.join(names.select("ordinal", F.col("name").alias("pattern")), "pattern")
+    w = Window.partitionBy("ordinal").orderBy("key", "line_no")
     rows = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_name)
-    return rows
+    return rows.select(F.col("key").alias(key), "line_no", "line", "ordinal", F.col("pattern").alias("name"), "rank")
+
+
+def cross_references(files: DataFrame, names: DataFrame, own: DataFrame) -> DataFrame:
+    """W9 over files (path, text), names (ordinal, name) and the change's own paths: where the rest of the code has the first
+    MOST_NAMES names, until MOST_HITS are found."""
+    asked = names.orderBy("ordinal").limit(MOST_NAMES)
+    return searched_names(literal_search(files, "path", "text", asked, own=own))
 
 
 def searched_names(hits: DataFrame) -> DataFrame:
@@ -125,36 +139,47 @@ def risk_tags(df: DataFrame, key: str, text: Column) -> DataFrame:
     return df.select(key, F.explode(hits).alias("h")).select(key, "h.*").filter("evidence <> ''")
 
 
+def suffix(path: Column) -> Column:
+    """The lower-cased last suffix of a path's last part; a name that only begins with a dot has none."""
+    return F.lower(F.regexp_extract(path, "[^/](\\.[^./]+)$", 1))
+
+
 def language(path: Column) -> Column:
     """P5: by the lower-cased last suffix."""
-    suffix = F.lower(F.regexp_extract(path, "(\\.[^./]+)$", 1))
-    return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[suffix]
+    return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[suffix(path)]
 
 
 def skip_reason(path: Column, size: Column) -> Column:
     """The first limit that a file meets; null if it is selected."""
-    binary = F.lower(path).rlike("(" + "|".join(map(re.escape, BINARY)) + ")$")
-    return F.when(binary, F.lit("binary")).when(size > MOST_BYTES, F.lit("too large")).when(size == 0, F.lit("empty"))
+    large = F.lit(f"larger than {MOST_BYTES // 1024} KB")
+    return F.when(suffix(path).isin(*BINARY), F.lit("binary file")).when(size > MOST_BYTES, large).when(size == 0, F.lit("empty file"))
+
+
+#: Ignore rules that are handed to every task at a time.
+RULES_AT_ONCE = 10_000
 
 
 def ignore_reasons(files: DataFrame, rules: DataFrame) -> DataFrame:
     """P3 over (path) and (ordinal, pattern, source): the last rule that matches a path decides; one that starts with ! takes
-    it back. Patterns without a slash match in any folder, those that end in one match all below. A handful of rules, so
-    they are broadcast after a check of their number."""
-    if rules.count() > 10_000:
-        raise ValueError("too many ignore rules to hand to every task")
+    it back. Patterns without a slash match in any folder, those that end in one match all below; [a-z] and [!a-z] are classes
+    of characters. Rules are broadcast RULES_AT_ONCE (about) at a time."""
     bare = F.regexp_replace("pattern", "^!", "")
     below = F.regexp_replace(bare, "/$", "")
     body = F.regexp_replace(F.regexp_replace(below, "^/", ""), "([.+()\\[\\]{}^$|\\\\])", "\\\\$1")
     # folders of any depth, then anything, then within a name; the first two wait behind marks that no pattern has
     for glob, mark in (("\\*\\*/", "\u0001"), ("\\*\\*", "\u0002"), ("\\*", "[^/]*"), ("\\?", "[^/]"), ("\u0001", "(?:.*/)?"), ("\u0002", ".*")):
         body = F.regexp_replace(body, glob, mark)
+    for found, made in (("\\\\\\[(?:!|\\\\\\^)([^\\]/]+?)\\\\\\]", "(?!/)[^$1]"), ("\\\\\\[([^\\]/!\\\\][^\\]/]*?)\\\\\\]", "(?!/)[$1]")):
+        body = F.regexp_replace(body, found, made)
     start = F.when(F.contains(below, F.lit("/")), F.lit("^")).otherwise(F.lit("^(?:.*/)?"))
     tail = F.when(F.endswith(bare, F.lit("/")), F.lit("/.*$")).otherwise(F.lit("(?:/.*)?$"))
     made = rules.select("ordinal", "source", F.startswith("pattern", F.lit("!")).alias("keeps"), F.concat(start, body, tail).alias("regex"))
-    hits = files.select("path").join(F.broadcast(made), F.expr("path rlike regex"))
+    n = max(1, -(-rules.count() // RULES_AT_ONCE))
+    paths = files.select("path").distinct()
+    blocks = [paths.join(F.broadcast(made.filter(F.pmod(F.xxhash64("ordinal"), F.lit(n)) == i)), F.expr("path rlike regex")).select("path", "ordinal", "keeps", "source") for i in range(n)]
+    hits = blocks[0] if n == 1 else reduce(DataFrame.unionByName, [materialise(b, "ignored") for b in blocks])
     last = hits.groupBy("path").agg(F.max_by(F.struct("keeps", "source"), "ordinal").alias("r"))
-    why = F.when(~F.col("r.keeps"), F.concat(F.lit("ignored by "), F.col("r.source")))
+    why = F.when(~F.col("r.keeps"), F.concat(F.lit("ignored by rule '"), F.col("r.source"), F.lit("'")))
     return files.join(last, "path", "left").withColumn("ignored", why).drop("r")
 
 

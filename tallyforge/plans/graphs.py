@@ -137,20 +137,40 @@ def top_symbol_per_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.top_symbol_per_name(s, part_calls(spark, sf_dir).select("name")).select("asked", "symbol_id")
 
 
+#: Imports of every kind by customers, and files that some of their candidates name.
+IMPORT_FILES = """f AS (SELECT CASE p_partkey % 9 WHEN 0 THEN 'src/m' || p_partkey || '.py' WHEN 1 THEN 'src/m' || p_partkey || '/__init__.py' WHEN 2 THEN 'm' || p_partkey || '.vue' WHEN 3 THEN 'lib/m' || p_partkey || '/index.tsx'
+      WHEN 4 THEN 'src/sub/m' || p_partkey || '.js' WHEN 5 THEN 'src/sub/m' || p_partkey || '.py' WHEN 6 THEN 'm' || p_partkey || '.go' WHEN 7 THEN 'src/app.' || p_partkey || '.css' ELSE 'pkg/m' || p_partkey || '/__init__.py' END AS path FROM part),
+    i AS (SELECT DISTINCT 'src/sub/c' || c_custkey % 50 || '.ts' AS path, c_custkey % 1000 AS k, c_custkey // 1000 AS o FROM customer),
+    j AS (SELECT path, CASE (k * 7 + o) % 8 WHEN 0 THEN '../m' || k WHEN 1 THEN './m' || k WHEN 2 THEN '.m' || k WHEN 3 THEN '@/m' || k WHEN 4 THEN 'pkg.m' || k WHEN 5 THEN 'host/repo/m' || k WHEN 6 THEN '../.././lib//m' || k ELSE '~/app.' || k || '.css' END AS module FROM i),"""
+
+
 @query(
     "import_resolution",
-    """WITH f AS (SELECT 'src/m' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.py' ELSE '/__init__.py' END AS path FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'm' || p_partkey || '.py' FROM part WHERE p_partkey % 5 = 0),
-    i AS (SELECT c_custkey AS k, 'src/c' || c_custkey || '.py' AS path, 'm' || (c_custkey % 300) AS module FROM customer),
-    n AS (SELECT path, module, 1 AS o, 'src/' || module || '.py' AS candidate FROM i UNION ALL SELECT path, module, 2, 'src/' || module || '/__init__.py' FROM i UNION ALL SELECT path, module, 3, module || '.py' FROM i)
+    f"""WITH {IMPORT_FILES}
+    d AS (SELECT DISTINCT path, module, regexp_extract(module, '([^/.]*)$', 1) AS m FROM j),
+    s AS (SELECT unnest(['.ts', '.tsx', '.js', '.jsx', '.mjs', '.vue']) AS x, unnest([1, 2, 3, 4, 5, 6]) AS xo),
+    b AS (SELECT path, module, base, o FROM (
+        SELECT path, module, 'src/' || m AS base, 0 AS o FROM d WHERE module LIKE '../m%' UNION ALL SELECT path, module, 'src/sub/' || m, 0 FROM d WHERE module LIKE './m%'
+        UNION ALL SELECT path, module, 'src/' || m, 0 FROM d WHERE module LIKE '@/%' UNION ALL SELECT path, module, m, 100 FROM d WHERE module LIKE '@/%'
+        UNION ALL SELECT path, module, module, 10 FROM d WHERE module LIKE 'pkg%' OR module LIKE 'host/%' UNION ALL SELECT path, module, 'lib/' || m, 0 FROM d WHERE module LIKE '../..%')),
+    n AS (SELECT path, module, base || x AS candidate, o + xo AS o FROM b, s UNION ALL SELECT path, module, base || '/index' || x, o + 20 + xo FROM b, s
+      UNION ALL SELECT path, module, 'src/sub/' || m || y, yo FROM d, (VALUES ('.py', 1), ('/__init__.py', 2)) y(y, yo) WHERE module LIKE '.m%'
+      UNION ALL SELECT path, module, replace(module, '.', '/') || y, yo FROM d, (VALUES ('.py', 1), ('/__init__.py', 2)) y(y, yo) WHERE module LIKE 'pkg%' OR module LIKE 'host/%'
+      UNION ALL SELECT path, module, regexp_extract(module, '([^/]*)$', 1) || '.go', 200 FROM d WHERE module LIKE 'pkg%' OR module LIKE 'host/%'
+      UNION ALL SELECT path, module, replace(module, '~/', 'src/'), 0 FROM d WHERE module LIKE '~%')
     SELECT n.path, module, arg_min(candidate, o) AS target FROM n JOIN f ON candidate = f.path GROUP BY ALL""",
 )
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, i = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), F.col("k")
-    tail = F.when(i % 3 == 0, ".py").otherwise("/__init__.py")
-    files = p.filter("k % 2 = 0").select(F.concat(F.lit("src/m"), i.cast("string"), tail).alias("path")).union(p.filter("k % 5 = 0").select(F.concat(F.lit("m"), i.cast("string"), F.lit(".py"))))
+    """Relative, aliased, dotted, Go and Python's relative imports against files that some of them name."""
+    k, s = F.col("p_partkey"), "string"
+    path = lambda a, b: F.concat(F.lit(a), k.cast(s), F.lit(b))
+    shapes = [("src/m", ".py"), ("src/m", "/__init__.py"), ("m", ".vue"), ("lib/m", "/index.tsx"), ("src/sub/m", ".js"), ("src/sub/m", ".py"), ("m", ".go"), ("src/app.", ".css"), ("pkg/m", "/__init__.py")]
+    files = table(spark, sf_dir, "part").select(F.element_at(F.array(*[path(a, b) for a, b in shapes]), (k % 9 + 1).cast("int")).alias("path"))
     c = F.col("c_custkey")
-    imports = table(spark, sf_dir, "customer").select(F.concat(F.lit("src/c"), c.cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("m"), (c % 300).cast("string")).alias("module"))
-    return G.resolve_imports(imports, files, [".py"])
+    i = table(spark, sf_dir, "customer").select(F.concat(F.lit("src/sub/c"), (c % 50).cast(s), F.lit(".ts")).alias("path"), (c % 1000).alias("k"), F.expr("c_custkey div 1000").alias("o"))
+    named = [F.concat(F.lit(a), F.col("k").cast(s), F.lit(b)) for a, b in (("../m", ""), ("./m", ""), (".m", ""), ("@/m", ""), ("pkg.m", ""), ("host/repo/m", ""), ("../.././lib//m", ""), ("~/app.", ".css"))]
+    imports = i.select("path", F.element_at(F.array(*named), ((F.col("k") * 7 + F.col("o")) % 8 + 1).cast("int")).alias("module"))
+    return G.resolve_imports(imports, files)
 
 
 @query(
@@ -164,7 +184,7 @@ def symbol_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda df, key, base, up, up_base, name: df.select((F.lit(base) + F.col(key)).cast("long").alias("symbol_id"), (F.lit(up_base) + F.col(up)).cast("long").alias("parent_id"), F.col(name).alias("name"))
     tree = one(s, "s_suppkey", 10000, "s_nationkey", 2000, "s_name").unionByName(one(n, "n_nationkey", 2000, "n_regionkey", 3000, "n_name"))
     tree = tree.unionByName(one(r.withColumn("up", F.lit(None).cast("long")), "r_regionkey", 3000, "up", 0, "r_name"))
-    return G.qualified_names(tree, 3).select("symbol_id", "qualified_name")
+    return G.qualified_names(tree).select("symbol_id", "qualified_name")
 
 
 #: Documents as added lines of their source (the unit), with calls and definitions in them.
@@ -213,7 +233,7 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "related_symbols",
     f"""WITH {EDGES}, s AS (SELECT p_partkey AS symbol_id, p_brand AS path, CAST(p_partkey % 500 AS INT) AS a, CAST(p_partkey % 500 + p_size AS INT) AS b FROM part UNION ALL SELECT 1000000 + s_suppkey, 'nation' || s_nationkey, CAST(1 AS INT), CAST(9 AS INT) FROM supplier),
-    h AS (SELECT DISTINCT p_brand AS path, CAST(100 AS INT) AS lo, CAST(105 AS INT) AS hi FROM part WHERE p_brand < 'Brand#3'), w AS (SELECT DISTINCT symbol_id, path FROM s JOIN h USING (path) WHERE a <= hi AND b >= lo),
+    h AS (SELECT DISTINCT p_brand AS path, CAST(100 AS INT) AS lo, CAST(105 AS INT) AS hi FROM part WHERE p_partkey % 20 = 0), w AS (SELECT DISTINCT symbol_id, path FROM s JOIN h USING (path) WHERE a <= hi AND b >= lo),
     n AS (SELECT src AS symbol_id, 'caller' AS relation FROM e WHERE dst IN (SELECT symbol_id FROM w) UNION SELECT dst, 'callee' FROM e WHERE dst IS NOT NULL AND src IN (SELECT symbol_id FROM w))
     SELECT n.symbol_id, relation, path FROM n JOIN s USING (symbol_id) WHERE n.symbol_id NOT IN (SELECT symbol_id FROM w) AND path NOT IN (SELECT path FROM w)""",
 )
@@ -223,7 +243,7 @@ def related_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = p.select(k.alias("symbol_id"), F.col("p_brand").alias("path"), (k % 500).cast("int").alias("start_line"), (k % 500 + F.col("p_size")).cast("int").alias("end_line"))
     two = s.select((F.lit(1000000) + F.col("s_suppkey")).alias("symbol_id"), F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("path"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
     every = one.unionByName(two).withColumn("qualified_name", F.col("symbol_id").cast("string"))
-    spans = p.filter("p_brand < 'Brand#3'").select(F.col("p_brand").alias("path")).distinct().withColumns({"lo": F.lit(100), "hi": F.lit(105)})
+    spans = p.filter("p_partkey % 20 = 0").select(F.col("p_brand").alias("path")).distinct().withColumns({"lo": F.lit(100), "hi": F.lit(105)})
     return G.related(edges(spark, sf_dir), every, spans).select("symbol_id", "relation", "path")
 
 

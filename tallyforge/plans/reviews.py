@@ -14,6 +14,7 @@ from tallyforge.operators import memory as M
 from tallyforge.operators import planning as P
 from tallyforge.operators import posting as T
 from tallyforge.operators import review as R
+from tallyforge.operators import snapshots as N
 from tallyforge.operators import stats as S
 from tallyforge.operators import text as W
 from tallyforge.plans.findings import findings, printed
@@ -63,24 +64,33 @@ def folded_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "names_at_risk",
-    """WITH a AS (SELECT source AS diff_id, doc_id, 'alpha' || doc_id % 300 AS gone, 'alpha' || doc_id % 17 AS kept FROM documents), g AS (SELECT diff_id, gone AS name, count(*) AS n, min(doc_id) AS first FROM a WHERE (diff_id, gone) NOT IN (SELECT diff_id, kept FROM a) GROUP BY ALL)
+    """WITH a AS (SELECT source AS diff_id, doc_id, unnest(['alpha' || doc_id % 300, '/api/v' || doc_id % 90, 'pkg.mod.f' || doc_id % 70]) AS gone, unnest([0, 1, 2]) AS place, unnest(['alpha' || doc_id % 17, '/api/v' || doc_id % 11, 'pkg.mod.f' || doc_id % 13]) AS kept FROM documents),
+    g AS (SELECT diff_id, gone AS name, count(*) AS n, min(doc_id * 10 + place) AS first FROM a WHERE (diff_id, gone) NOT IN (SELECT diff_id, kept FROM a) GROUP BY ALL)
     SELECT diff_id, name, n, CAST(row_number() OVER (PARTITION BY diff_id ORDER BY first) AS INT) AS ordinal FROM g""",
 )
 def names_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    pair = F.array(F.struct(F.lit("-").alias("kind"), numbered("def alpha", i % 300).alias("text")), F.struct(F.lit("+").alias("kind"), numbered("  class alpha", i % 17).alias("text")))
+    text = lambda a, b, c: F.concat(numbered("def alpha", i % a), numbered("('/api/v", i % b), numbered("', 'pkg.mod.f", i % c), F.lit("')")).alias("text")
+    pair = F.array(F.struct(F.lit("-").alias("kind"), text(300, 90, 70)), F.struct(F.lit("+").alias("kind"), text(17, 11, 13)))
     lines = docs(spark, sf_dir).select(F.col("source").alias("diff_id"), F.lit(0).alias("file"), i.alias("hunk"), F.posexplode(pair).alias("pos", "x")).select("diff_id", "file", "hunk", "pos", "x.*")
     return D.names_at_risk(lines)
 
 
 @query(
     "sibling_files",
-    """WITH a AS (SELECT DISTINCT source AS diff_id, 'src/name' || doc_id % 40 || '.py' AS own, 'name' || n_chars % 60 AS word FROM documents) SELECT DISTINCT diff_id, 'src/' || word || '.py' AS sibling FROM a WHERE (diff_id, 'src/' || word || '.py') NOT IN (SELECT diff_id, own FROM a) AND word IN (SELECT 'name' || p_partkey FROM part)""",
+    """WITH a AS (SELECT source AS diff_id, 'src/name' || doc_id % 40 || '.py' AS own, CASE WHEN doc_id % 2 = 0 THEN 'x = rename' || n_chars % 60 || '.run(1)' ELSE 'import deep.b' || n_chars % 60 || '.part' END AS text FROM documents),
+    f AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'src/name' || p_partkey || '.py' ELSE 'deep/b' || p_partkey || '/part' || '.x.py' END AS path FROM part),
+    p AS (SELECT path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem, replace(regexp_replace(path, '\\.[^.]*$', ''), '/', '.') AS module FROM f),
+    t AS (SELECT DISTINCT diff_id, text FROM a)
+    SELECT DISTINCT diff_id, path AS sibling FROM t JOIN p ON contains(text, stem) OR contains(text, module) WHERE (diff_id, path) NOT IN (SELECT diff_id, own FROM a)""",
 )
 def sibling_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    lines = docs(spark, sf_dir).select(F.col("source").alias("diff_id"), F.concat(F.lit("src/name"), (i % 40).cast(S_), F.lit(".py")).alias("path"), F.concat(F.lit("x = name"), (F.col("n_chars") % 60).cast(S_), F.lit(".run(1)")).alias("text"))
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("src/name"), F.col("p_partkey").cast(S_), F.lit(".py")).alias("path"))
+    """Stems within longer words and dotted modules count."""
+    i, n = F.col("doc_id"), F.col("n_chars") % 60
+    text = F.when(i % 2 == 0, F.concat(numbered("x = rename", n), F.lit(".run(1)"))).otherwise(F.concat(numbered("import deep.b", n), F.lit(".part")))
+    lines = docs(spark, sf_dir).select(F.col("source").alias("diff_id"), F.concat(numbered("src/name", i % 40), F.lit(".py")).alias("path"), text.alias("text"))
+    k = F.col("p_partkey")
+    files = table(spark, sf_dir, "part").select(F.when(k % 2 == 0, F.concat(numbered("src/name", k), F.lit(".py"))).otherwise(F.concat(numbered("deep/b", k), F.lit("/part.x.py"))).alias("path"))
     return D.siblings(lines, files)
 
 
@@ -114,7 +124,7 @@ RULES = [(1, "*.html", "site"), (2, "/en/", "site"), (3, "!en/7*.html", "own"),
     "selected_files",
     r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*/', ''), '[#?].*$', '') AS path, length(html) AS size FROM pages), q AS (SELECT path, max(size) AS size FROM p GROUP BY path),
     k AS (SELECT *, CASE WHEN regexp_matches(path, '^es/[^/]1[^/][^/](/.*)?$') THEN 'own' WHEN regexp_matches(path, '^fr/(.*/)?9[^/]*(/.*)?$') THEN 'own' WHEN regexp_matches(path, '^en/7[^/]*\.html(/.*)?$') THEN NULL WHEN path LIKE 'en/%' THEN 'site' WHEN regexp_matches(path, '\.html(/.*)?$') THEN 'site' END AS r FROM q)
-    SELECT path, CASE WHEN r IS NOT NULL THEN 'ignored by ' || r WHEN size > 524288 THEN 'too large' WHEN size = 0 THEN 'empty' END AS reason FROM k UNION ALL SELECT 'not/there', 'not present at this revision'""",
+    SELECT path, CASE WHEN r IS NOT NULL THEN 'ignored by rule ''' || r || '''' WHEN size > 524288 THEN 'larger than 512 KB' WHEN size = 0 THEN 'empty file' END AS reason FROM k UNION ALL SELECT 'not/there', 'not present at this revision'""",
 )
 def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*/", ""), "[#?].*$", "")
@@ -207,7 +217,7 @@ def loose_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "coerced_answers",
     """WITH a AS (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'p1' WHEN 1 THEN ' P4 ' WHEN 2 THEN 'urgent' WHEN 3 THEN NULL ELSE 'P0' END AS s, CASE o_orderkey % 6 WHEN 0 THEN '0.25' WHEN 1 THEN '7' WHEN 2 THEN '-1' WHEN 3 THEN 'NaN' WHEN 4 THEN NULL ELSE 'high' END AS c FROM orders)
-    SELECT k, CASE WHEN upper(trim(s)) IN ('P0','P1','P2','P3','P4','P5') THEN upper(trim(s)) ELSE 'P3' END AS severity, CASE c WHEN '0.25' THEN 0.25::DOUBLE WHEN '7' THEN 1.0::DOUBLE WHEN '-1' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM a WHERE k % 7 NOT IN (0, 3)""",
+    SELECT k, CASE s WHEN 'p1' THEN 'P1' WHEN 'P0' THEN 'P0' ELSE 'P3' END AS severity, CASE c WHEN '0.25' THEN 0.25::DOUBLE WHEN '7' THEN 1.0::DOUBLE WHEN 'NaN' THEN 1.0::DOUBLE WHEN '-1' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM a WHERE k % 7 NOT IN (0, 3)""",
 )
 def coerced_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -563,15 +573,60 @@ def context_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.context_label(docs(spark, sf_dir).select(i, (i % 2 == 0).alias("has_calls"), (i % 3 == 0).alias("has_similar"), (i % 5 == 0).alias("was_cut"))).select("doc_id", "label")
 
 
+#: Two snapshots of the documents: some are only in one, some have a line more, some change their name, with and without a line more;
+#: those that are gone, new or moved have lines of their own, so that no copy of another document can be taken for them.
+SNAPSHOTS = """t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0 THEN array_to_string(list_transform(range(0, n_chars % 20 + 6), lambda i: 'line ' || i || ' of ' || doc_id), chr(10)) ELSE text || chr(10) || 'document ' || doc_id END AS text FROM documents),
+    b AS (SELECT doc_id, 'p' || doc_id AS path, text FROM t WHERE doc_id % 5 > 0),
+    h AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND n > 1000 THEN 'new/p' ELSE 'p' END || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN t.text || chr(10) || 'one more' ELSE t.text END AS text FROM t JOIN (SELECT doc_id, length(text) AS n FROM documents) USING (doc_id) WHERE doc_id % 4 > 0),"""
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    i = F.col("doc_id")
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_chars") % 20 + 5), lambda k: F.concat(F.lit("line "), k.cast(S_), F.lit(" of "), i.cast(S_))), "\n")
+    text = F.when((i % 4 == 0) | (i % 5 == 0) | (i % 7 == 0), own).otherwise(F.concat("text", F.lit("\ndocument "), i.cast(S_)))
+    d = docs(spark, sf_dir).select(i, F.length("text").alias("n"), text.alias("text"))
+    path = F.when((i % 7 == 0) & (F.col("n") > 1000), numbered("new/p", i)).otherwise(numbered("p", i))
+    head = d.filter("doc_id % 4 > 0").select(path.alias("path"), F.when(i % 3 == 0, F.concat("text", F.lit("\none more"))).otherwise(F.col("text")).alias("text"))
+    return d.filter("doc_id % 5 > 0").select(numbered("p", i).alias("path"), "text"), head
+
+
 @query(
     "snapshot_diff",
-    """WITH b AS (SELECT doc_id, text FROM documents WHERE doc_id % 5 > 0), h AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'one more' ELSE text END AS text FROM documents WHERE doc_id % 4 > 0),
-    l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)
-    SELECT 'p' || doc_id AS path, CASE WHEN b.doc_id IS NULL THEN 'A' WHEN h.doc_id IS NULL THEN 'D' ELSE 'M' END AS status, CAST(CASE WHEN b.doc_id IS NULL THEN n + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END WHEN h.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS added, CAST(CASE WHEN h.doc_id IS NULL THEN n ELSE 0 END AS BIGINT) AS removed
-    FROM b FULL JOIN h USING (doc_id) JOIN l USING (doc_id) WHERE b.text IS DISTINCT FROM h.text""",
+    f"""WITH {SNAPSHOTS} j AS (SELECT b.path AS old, h.path AS new, b.text AS x, h.text AS y, len(string_split(coalesce(b.text, h.text), chr(10))) AS n, coalesce(b.doc_id, h.doc_id) % 3 = 0 AS more FROM b FULL JOIN h USING (doc_id))
+    SELECT coalesce(new, old) AS path, CASE WHEN old <> new THEN old END AS old_path, CASE WHEN old IS NULL THEN 'A' WHEN new IS NULL THEN 'D' WHEN old <> new THEN 'R' ELSE 'M' END AS status,
+      CAST(CASE WHEN old IS NULL THEN len(string_split(y, chr(10))) WHEN new IS NULL THEN 0 WHEN more THEN 2 ELSE 0 END AS BIGINT) AS added, CAST(CASE WHEN old IS NULL THEN 0 WHEN new IS NULL THEN n WHEN more THEN 1 ELSE 0 END AS BIGINT) AS removed
+    FROM j WHERE x IS DISTINCT FROM y OR old <> new""",
 )
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, d = F.col("doc_id"), docs(spark, sf_dir)
-    base = d.filter("doc_id % 5 > 0").select(numbered("p", i).alias("path"), "text")
-    head = d.filter("doc_id % 4 > 0").select(numbered("p", i).alias("path"), F.when(i % 3 == 0, F.concat("text", F.lit("\none more"))).otherwise(F.col("text")).alias("text"))
-    return R.snapshot_diff(base, head)
+    """A last line without an end changes when another follows, as diffs have it."""
+    return N.snapshot_diff(*snapshots(spark, sf_dir)).drop("text")
+
+
+@query(
+    "snapshot_hunks",
+    f"""WITH {SNAPSHOTS} j AS (SELECT b.path AS old, h.path AS new, string_split(b.text, chr(10)) AS x, string_split(h.text, chr(10)) AS y, coalesce(b.doc_id, h.doc_id) % 3 = 0 AS more FROM b FULL JOIN h USING (doc_id)),
+    k AS (SELECT coalesce(new, old) AS path, old, new, CASE WHEN old IS NULL THEN [] WHEN new IS NULL THEN x ELSE x[len(x):] END AS gone, CASE WHEN new IS NULL THEN [] WHEN old IS NULL THEN y ELSE y[len(x):] END AS come, CASE WHEN old IS NULL OR new IS NULL THEN [] ELSE x[greatest(1, len(x) - 3):len(x) - 1] END AS same FROM j WHERE old IS NULL OR new IS NULL OR more)
+    SELECT path, '-' AS kind, unnest(gone) AS text, CAST(CASE WHEN new IS NULL THEN 0 ELSE 1 END AS INT) AS both FROM k UNION ALL SELECT path, '+', unnest(come), CAST(CASE WHEN old IS NULL THEN 0 ELSE 1 END AS INT) FROM k UNION ALL SELECT path, ' ', unnest(same), CAST(1 AS INT) FROM k""",
+)
+def snapshot_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed lines of the snapshots' diffs: those of whole files, and those of hunks with their context."""
+    lines = D.parse_diffs(N.snapshot_diff(*snapshots(spark, sf_dir)).select(F.col("path").alias("diff_id"), "text")).filter("kind IS NOT NULL")
+    return lines.select("path", "kind", "text", F.when(F.col("status").isin("A", "D"), 0).otherwise(1).alias("both"))
+
+
+@query(
+    "merge_bases",
+    """WITH RECURSIVE c AS (SELECT o_orderkey AS c, CASE WHEN o_orderkey > 8 THEN o_orderkey // 3 END AS p FROM orders UNION SELECT o_orderkey, o_orderkey // 2 - 1 FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey > 8),
+    q AS (SELECT o_custkey AS pair_id, min(o_orderkey) AS base, max(o_orderkey) AS head FROM orders WHERE o_custkey % 20 = 0 GROUP BY o_custkey),
+    a AS (SELECT * FROM (SELECT pair_id, 0 AS side, base AS node FROM q UNION SELECT pair_id, 1, head FROM q) UNION SELECT pair_id, side, p FROM a JOIN c ON node = c.c WHERE p IS NOT NULL),
+    s AS (SELECT pair_id, node FROM a GROUP BY ALL HAVING count(*) = 2), m AS (SELECT pair_id, max(node) AS merge_base FROM s WHERE (pair_id, node) NOT IN (SELECT pair_id, p FROM s JOIN c ON node = c.c WHERE p IS NOT NULL) GROUP BY pair_id)
+    SELECT pair_id, base, head, merge_base FROM q LEFT JOIN m USING (pair_id)""",
+)
+def merge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits with one or two parents, each twentieth customer's first and last as a pair."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    one = o.select(k.alias("commit"), F.when(k > 8, F.expr("o_orderkey div 3")).alias("parent"))
+    two = o.filter((k % 4 == 0) & (k > 8)).select(k.alias("commit"), F.expr("o_orderkey div 2 - 1").alias("parent"))
+    pairs = o.filter("o_custkey % 20 = 0").groupBy(F.col("o_custkey").alias("pair_id")).agg(F.min(k).alias("base"), F.max(k).alias("head"))
+    return N.merge_bases(one.unionByName(two).withColumn("at", F.col("commit")), pairs)

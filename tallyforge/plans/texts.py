@@ -41,7 +41,37 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     h AS (SELECT doc_id, line_no, ordinal, name, CAST(row_number() OVER (PARTITION BY ordinal ORDER BY doc_id, line_no) AS INT) AS rank FROM r JOIN n ON contains(line, name)) SELECT * FROM h WHERE rank <= 6""",
 )
 def literal_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.literal_search(docs(spark, sf_dir), "doc_id", "text", NAMES)
+    names = spark.createDataFrame(list(enumerate(NAMES)), "ordinal int, name string")
+    return T.literal_search(docs(spark, sf_dir), "doc_id", "text", names).drop("line")
+
+
+#: Every ninth character run of a passage as a name: hundreds of literals of two lengths, with blanks and marks in them.
+MANY_NAMES = "n AS (SELECT item_id AS ordinal, substr(text, 3, 5) AS name FROM benchmark UNION ALL SELECT 10000 + item_id, substr(text, 20, 9) FROM benchmark)"
+
+
+@query(
+    "literal_search_many",
+    rf"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS l FROM documents), r AS (SELECT doc_id, unnest(l) AS line, CAST(generate_subscripts(l, 1) AS INT) AS line_no FROM l), {MANY_NAMES}
+    SELECT ordinal, name, doc_id, line_no, line, CAST(row_number() OVER (PARTITION BY ordinal ORDER BY doc_id, line_no) AS INT) AS rank FROM r JOIN n ON contains(line, name) WHERE NOT contains(name, chr(10)) QUALIFY rank <= 6""",
+)
+def literal_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC7: as many names as there are passages, twice, in one pass over the texts."""
+    b = table(spark, sf_dir, "benchmark")
+    names = b.select(F.col("item_id").alias("ordinal"), F.substring("text", 3, 5).alias("name")).unionByName(b.select((F.col("item_id") + 10000).alias("ordinal"), F.substring("text", 20, 9).alias("name")))
+    return T.literal_search(docs(spark, sf_dir), "doc_id", "text", names)
+
+
+@query(
+    "cross_references",
+    r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS l FROM documents WHERE doc_id % 20 <> 0), r AS (SELECT 'p' || doc_id AS path, unnest(l) AS line, CAST(generate_subscripts(l, 1) AS INT) AS line_no FROM l),
+    n AS (SELECT item_id AS ordinal, substr(text, 5, 4) AS name FROM benchmark WHERE NOT contains(substr(text, 5, 4), chr(10)) ORDER BY item_id LIMIT 12), h AS (SELECT ordinal, name, path, line_no, line, CAST(row_number() OVER (PARTITION BY ordinal ORDER BY path, line_no) AS INT) AS rank FROM r JOIN n ON contains(line, name) QUALIFY rank <= 6),
+    b AS (SELECT ordinal, coalesce(sum(count(*)) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h GROUP BY ordinal) SELECT h.* FROM h JOIN b USING (ordinal) WHERE before < 30""",
+)
+def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first names of a change in all files but its own."""
+    path = F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path")
+    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ordinal"), F.substring("text", 5, 4).alias("name")).filter(~F.contains("name", F.lit("\n")))
+    return T.cross_references(docs(spark, sf_dir).select(path, "text"), names, docs(spark, sf_dir).filter("doc_id % 20 = 0").select(path))
 
 
 @query(
@@ -97,11 +127,11 @@ def app_code_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "selection_reasons",
-    """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'binary' WHEN n_chars * 40 > 524288 THEN 'too large' WHEN n_chars * 40 = 0 THEN 'empty' END AS reason, CASE doc_id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'go' ELSE 'python' END AS language FROM documents""",
+    """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'binary file' WHEN doc_id % 10 = 3 THEN 'binary file' WHEN n_chars * 40 > 524288 THEN 'larger than 512 KB' WHEN n_chars * 40 = 0 THEN 'empty file' END AS reason, CASE doc_id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'go' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 'python' END AS language FROM documents""",
 )
 def selection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    path = F.concat(F.lit("a.b/f"), i.cast("string"), F.when(i % 10 == 0, ".PNG").when(i % 10 == 1, ".go").otherwise(".Py"))
+    path = F.concat(F.lit("a.b/f"), i.cast("string"), F.when(i % 10 == 0, ".PNG").when(i % 10 == 1, ".go").when(i % 10 == 2, "/.py").when(i % 10 == 3, F.element_at(F.array(*[F.lit(x) for x in T.BINARY]), (i % len(T.BINARY) + 1).cast("int"))).otherwise(".Py"))
     return docs(spark, sf_dir).select("doc_id", T.skip_reason(path, F.col("n_chars") * 40).alias("reason"), T.language(path).alias("language"))
 
 

@@ -73,5 +73,6 @@ def test_fold_ranges_names(spark):
 
 
 def test_siblings(spark):
-    files = spark.createDataFrame([("lib/other_name.py",), ("src/a.py",), ("lib/keep.js",), ("x/abc.py",)], "path string")
-    assert sorted(r.sibling for r in D.siblings(parsed(spark).filter("diff_id = 'd'"), files).collect()) == ["lib/keep.js", "lib/other_name.py"]
+    files = spark.createDataFrame([("lib/other_name.py",), ("src/a.py",), ("lib/keep.js",), ("x/abc.py",), ("lib/ompute_tot.go",), ("b.c/d/e.f.py",)], "path string")
+    lines = parsed(spark).filter("diff_id = 'd'").select("diff_id", "path", "text").union(spark.createDataFrame([("d", "src/a.py", "from b.c.d.e.f import x")], "diff_id string, path string, text string"))
+    assert sorted(r.sibling for r in D.siblings(lines, files).collect()) == ["b.c/d/e.f.py", "lib/keep.js", "lib/ompute_tot.go", "lib/other_name.py"]

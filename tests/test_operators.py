@@ -27,10 +27,10 @@ def test_symbols(spark):
     files = spark.createDataFrame([("a.py", PY), ("b.js", JS), ("bad.py", "def ("), ("none.go", None), ("empty.py", "")], "path string, text string")
     facts = S.extract(files)
     got = {(r.path, r.fact, r.name, r.qualified_name, r.kind, r.start_line, r.end_line) for r in facts.collect()}
-    assert ("a.py", "symbol", "size", "Box.size", "method", 6, 7) in got and ("a.py", "symbol", "compute", "compute", "function", 10, 11) in got
+    assert ("a.py", "symbol", "size", "Box.size", "function", 6, 7) in got and ("a.py", "symbol", "compute", "compute", "function", 10, 11) in got
     assert {n for p, f, n, *_ in got if p == "a.py" and f == "import"} == {"os", ".a"} and {n for p, f, n, *_ in got if p == "a.py" and f == "call"} == {"compute", "b"}
     assert ("b.js", "symbol", "A", "A", "class", 2, 4) in got and ("b.js", "symbol", "run", "run", "function", 5, 5) in got
-    assert {n for p, f, n, *_ in got if p == "b.js" and f == "import"} == {"./x", "fs"}
+    assert {n for p, f, n, *_ in got if p == "b.js" and f == "import"} == {"./x"}
     chunks = {(r.path, r.qualified_name, r.start_line, r.end_line) for r in S.symbol_chunks(files, facts).collect()}
     assert ("a.py", "Box", 5, 8) not in chunks and ("a.py", "Box", 5, 7) in chunks
     assert not {c for c in chunks if c[1] is None}  # under LEAST_CHARS
@@ -38,11 +38,11 @@ def test_symbols(spark):
 
 def test_symbol_rows(spark):
     files = spark.createDataFrame([("a.py", PY), ("b.js", JS)], "path string, text string")
-    got = {(r.path, r.qualified_name): (r.parent_id, r.signature) for r in S.symbol_rows(files, S.extract(files)).collect()}
-    assert got["a.py", "Box.size"] == ("a.py::Box@39", "def size(self)") and got["a.py", "compute"] == (None, "def compute(x)")
+    got = {(r.path, r.qualified_name): (r.parent_id, r.signature) for r in S.symbol_rows(S.extract(files)).collect()}
+    assert got["a.py", "Box.size"] == ("a.py::Box@39", "def size(self):") and got["a.py", "compute"] == (None, "def compute(x):")
     assert got["b.js", "run"] == (None, "function run()")
     wide = "// é\n" * 20_000 + "function f() { g({}) }\n" * 2000
-    assert sum(f[0] == "symbol" for f in S.other_facts(wide)) == 2000
+    assert sum(f[0] == "symbol" for f in S.file_facts("w.js", wide)) == 2000
 
 
 def test_ignore_rules(spark):
@@ -64,8 +64,8 @@ def test_planning(spark):
     paths = spark.createDataFrame([(1, "a"), (1, "b"), *((2, p) for p in "abcd")], "review_id long, path string")
     proposed = spark.createDataFrame([(2, 0, "a"), (2, 1, "zz"), (2, 2, "b"), (2, 2, "a")], "review_id long, ordinal int, path string")
     assert rows(P.plan_units(paths, proposed)) == sorted([(1, "unit-1", "a"), (1, "unit-1", "b"), (2, "unit-1", "a"), (2, "unit-3", "a"), (2, "unit-3", "b"), (2, "remaining files", "c"), (2, "remaining files", "d")], key=str)
-    df = spark.createDataFrame([("p1", "0.7"), (" P9 ", "7"), (None, "NaN"), ("P0", None), ("P2", "-1")], "s string, c string")
-    assert [tuple(r) for r in df.select(P.coerced_severity(F.col("s")), P.coerced_confidence(F.col("c"))).collect()] == [("P1", 0.7), ("P3", 1.0), ("P3", 0.5), ("P0", 0.5), ("P2", 0.0)]
+    df = spark.createDataFrame([("p1", "0.7"), (" P4 ", "7"), (None, "NaN"), ("P0", None), ("P2", "-1"), ("x", "0.5f"), ("P5", " 1e-1 "), ("P5", "-inf")], "s string, c string")
+    assert [tuple(r) for r in df.select(P.coerced_severity(F.col("s")), P.coerced_confidence(F.col("c"))).collect()] == [("P1", 0.7), ("P3", 1.0), ("P3", 1.0), ("P0", 0.5), ("P2", 0.0), ("P3", 0.5), ("P5", 0.1), ("P5", 0.0)]
 
 
 def test_loose_lists(spark):
