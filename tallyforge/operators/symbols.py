@@ -92,13 +92,23 @@ def symbol_rows(facts: DataFrame) -> DataFrame:
 
 
 def symbol_chunks(files: DataFrame, facts: DataFrame) -> DataFrame:
-    """A chunk per top-level symbol, and the lines before the first one; short ones are dropped, long ones cut.
+    """A chunk per top-level symbol, and the lines before the first one, without a symbol; short ones are dropped, long ones
+    cut.
 
     Files and their symbols meet on the path; bodies are sliced from the file's own lines."""
-    s = facts.filter("fact = 'symbol' and qualified_name = name").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start_line", "end_line", "qualified_name"))).alias("s"))
-    head = F.when(F.col("s")[0]["start_line"] > 1, F.array(F.struct(F.lit(1).alias("start_line"), (F.col("s")[0]["start_line"] - 1).alias("end_line"), F.lit(None).cast("string").alias("qualified_name")))).otherwise(F.array().cast("array<struct<start_line:int,end_line:int,qualified_name:string>>"))
-    j = files.join(s, "path").withColumn("l", F.split("text", "\n")).select("path", "l", F.explode(F.concat(head, "s")).alias("c"))
+    key = F.concat("path", F.lit("::"), "qualified_name", F.lit("@"), F.col("start_byte").cast("string"))
+    top = facts.filter("fact = 'symbol' AND qualified_name = name").select("path", F.struct("start_line", "end_line", key.alias("symbol_id")).alias("c"))
+    ahead = top.groupBy("path").agg((F.min("c.start_line") - 1).cast("int").alias("end_line")).filter("end_line > 0")
+    places = top.unionByName(ahead.select("path", F.struct(F.lit(1).alias("start_line"), "end_line", F.lit(None).cast("string").alias("symbol_id")).alias("c")))
+    j = files.select("path", F.split("text", "\n").alias("l")).join(places, "path")
     j = j.select("path", "c.*", F.array_join(F.slice("l", F.col("c.start_line"), F.col("c.end_line") - F.col("c.start_line") + 1), "\n").alias("whole"))
-    body = F.substring("whole", 1, T.MOST_CHARS)
-    j = j.filter(F.length(F.trim("whole")) >= T.LEAST_CHARS).withColumn("body", body)
-    return j.select("path", "qualified_name", "start_line", "end_line", "body", F.sha2(F.concat("path", F.lit(":"), "body"), 256).alias("content_hash"), T.token_estimate(F.col("body")).alias("token_estimate"))
+    j = j.withColumn("body", T.chunk_body(F.col("whole"))).filter("body IS NOT NULL")
+    return j.select("path", "symbol_id", "start_line", "end_line", "body", F.sha2(F.concat("path", F.lit(":"), "body"), 256).alias("content_hash"), T.token_estimate(F.col("body")).alias("token_estimate"))
+
+
+def chunks(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """U3 over all files: by symbol, and by windows of lines where a file has no top-level symbol."""
+    top = facts.filter("fact = 'symbol' AND qualified_name = name").select("path").distinct()
+    windows = T.window_chunks(files.join(top, "path", "left_anti"), "path", "text").withColumn("symbol_id", F.lit(None).cast("string"))
+    by_symbol = symbol_chunks(files, facts)
+    return by_symbol.unionByName(windows.select(by_symbol.columns))

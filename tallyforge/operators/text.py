@@ -13,6 +13,8 @@ from tallyforge.sources.store import materialise
 
 #: Lines of a window chunk, least and most characters of a chunk, characters per token, file size limit.
 CHUNK_LINES, LEAST_CHARS, MOST_CHARS, TOKEN_CHARS, MOST_BYTES = 120, 40, 6000, 4, 512 * 1024
+#: Fixed value: what a cut chunk ends in.
+CUT = "\n… truncated …"
 #: Hits kept per literal, names searched, and hits of earlier names after which no other is searched.
 HITS_PER_NAME, MOST_NAMES, MOST_HITS = 6, 12, 30
 #: Languages by suffix, and suffixes of binary files.
@@ -57,6 +59,12 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(F.split(body, "\n")).alias("at", "line")).select(key, (F.col("at") + 1).alias("line_no"), "line")
 
 
+def chunk_body(whole: Column) -> Column:
+    """A chunk's text: cut after MOST_CHARS with a mark that says so; null if it is too short without the white space around it."""
+    body = F.when(F.length(whole) > MOST_CHARS, F.concat(F.substring(whole, 1, MOST_CHARS), F.lit(CUT))).otherwise(whole)
+    return F.when(F.length(F.regexp_replace(whole, "^\\s+|\\s+$", "")) >= LEAST_CHARS, body)
+
+
 def window_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
     """U3 for files without symbols: windows of CHUNK_LINES lines, built within the row: no shuffle.
 
@@ -66,9 +74,8 @@ def window_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
     df = df.select(key, rows.alias("l"))
     df = df.select(key, F.size("l").alias("n"), F.explode(F.transform(starts, lambda i: F.struct((i * CHUNK_LINES + 1).alias("start_line"), F.array_join(F.slice("l", i * CHUNK_LINES + 1, CHUNK_LINES), "\n").alias("body")))).alias("c"))
     df = df.select(key, F.col("c.start_line").alias("start_line"), F.least(F.col("c.start_line") + (CHUNK_LINES - 1), F.col("n")).alias("end_line"), F.col("c.body").alias("whole"))
-    body = F.substring("whole", 1, MOST_CHARS)
-    kept = df.filter(F.length(F.trim("whole")) >= LEAST_CHARS).withColumn("body", body)
-    return kept.select(key, "start_line", "end_line", F.sha2(F.concat(F.col(key).cast("string"), F.lit(":"), "body"), 256).alias("content_hash"), token_estimate(F.col("body")).alias("token_estimate"))
+    kept = df.withColumn("body", chunk_body(F.col("whole"))).filter("body IS NOT NULL")
+    return kept.select(key, "start_line", "end_line", "body", F.sha2(F.concat(F.col(key).cast("string"), F.lit(":"), "body"), 256).alias("content_hash"), token_estimate(F.col("body")).alias("token_estimate"))
 
 
 def literal_search(df: DataFrame, key: str, text: str, names: DataFrame, per_name: int = HITS_PER_NAME, own: DataFrame | None = None) -> DataFrame:

@@ -417,18 +417,26 @@ def answer_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select(i, F.array_join(F.transform(got, lambda x: F.concat(x["file"], F.lit(":"), x["line_start"].cast(S_))), ",").alias("places"))
 
 
-CASES = """d AS (SELECT 'case' || doc_id // 50 AS case_id, lang AS file, doc_id, sha256(text) AS t FROM documents), e AS (SELECT case_id, file, CASE WHEN doc_id % 8 = 0 THEN 'zz' ELSE t END AS t, count(*) AS n FROM d WHERE doc_id % 4 = 0 GROUP BY ALL), f AS (SELECT case_id, file, t, count(*) AS n FROM d GROUP BY ALL),
-    h AS (SELECT case_id, sum(e.n) AS expected, coalesce(sum(least(e.n, coalesce(f.n, 0))), 0) AS hit FROM e LEFT JOIN f USING (case_id, file, t) GROUP BY case_id), k AS (SELECT h.case_id, CAST(hit AS BIGINT) AS hit, CAST(expected - hit AS BIGINT) AS missed, CAST(greatest(0, a.n - expected) AS BIGINT) AS extra FROM h JOIN (SELECT case_id, count(*) AS n FROM d GROUP BY case_id) a USING (case_id))"""
+CASES = """d AS (SELECT 'case' || doc_id // 50 AS case_id, lang AS file, doc_id, sha256(text) AS t FROM documents), e AS (SELECT case_id, file, doc_id, CASE WHEN doc_id % 8 = 0 THEN 'zz' ELSE t END AS t, doc_id % 12 = 4 AS anywhere FROM d WHERE doc_id % 4 = 0),
+    f AS (SELECT *, 'P' || doc_id % 2 AS severity FROM d),
+    m AS (SELECT e.case_id, CASE WHEN e.doc_id % 3 < 2 THEN 'P' || e.doc_id % 3 END AS expected, f.severity FROM (SELECT *, row_number() OVER (PARTITION BY case_id, file, t ORDER BY doc_id) AS r FROM e) e JOIN (SELECT *, row_number() OVER (PARTITION BY case_id, file, t ORDER BY doc_id) AS r FROM f) f USING (case_id, file, t, r)),
+    k AS (SELECT case_id, CAST(coalesce(hit, 0) AS BIGINT) AS hit, CAST(coalesce(expected, 0) - coalesce(hit, 0) AS BIGINT) AS missed, CAST(greatest(0, n - coalesce(expected, 0)) AS BIGINT) AS extra, CAST(forbidden_hits AS BIGINT) AS forbidden_hits, CAST(coalesce(severity_errors, 0) AS BIGINT) AS severity_errors,
+        coalesce(expected, 0) = coalesce(hit, 0) AND forbidden_hits = 0 AND coalesce(severity_errors, 0) = 0 AS passed
+      FROM (SELECT case_id, count(*) AS n, count(*) FILTER (regexp_matches(t, '^[0-4]') AND doc_id % 9 = 7) AS forbidden_hits FROM d GROUP BY case_id) LEFT JOIN (SELECT case_id, count(*) AS expected FROM e GROUP BY case_id) USING (case_id)
+        LEFT JOIN (SELECT case_id, count(*) AS hit, count(*) FILTER (expected IS NOT NULL AND expected <> severity) AS severity_errors FROM m GROUP BY case_id) USING (case_id))"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty documents make a case: findings titled by the digest of their whole text; every fourth is expected, half of these under a pattern that nothing fits."""
+    """Fifty documents make a case: findings titled by the digest of their whole text; every fourth is expected, half of these under
+    a pattern that nothing fits, two thirds with a severity; digests of one beginning with one body are forbidden in any file."""
     i = F.col("doc_id")
     d = docs(spark, sf_dir).select(numbered("case", F.expr("doc_id div 50")).alias("case_id"), F.col("lang").alias("file"), i, F.sha2("text", 256).alias("t"))
-    found = d.select("case_id", "file", i.alias("finding_no"), F.col("t").alias("title"), F.lit("bug").alias("category"))
-    pattern = F.concat(F.lit("^"), F.when(i % 8 == 0, "zz").otherwise(F.substring("t", 1, 20)))
-    expect = d.filter("doc_id % 4 = 0").select("case_id", "file", i.alias("expect_no"), pattern.alias("pattern"), F.lit(None).cast(S_).alias("category"))
-    return E.eval_scores(expect, E.match_expectations(expect, found), found)
+    found = d.select("case_id", "file", i.alias("finding_no"), F.col("t").alias("title"), numbered("body ", i % 9).alias("body"), F.lit("bug").alias("category"), numbered("P", i % 2).alias("severity"))
+    pattern = F.concat(F.lit("^"), F.when(i % 8 == 0, "zz").otherwise(F.upper(F.substring("t", 1, 20))))
+    none = F.lit(None).cast(S_)
+    expect = d.filter("doc_id % 4 = 0").select("case_id", "file", i.alias("no"), pattern.alias("pattern"), none.alias("category"), F.when(i % 3 < 2, numbered("P", i % 3)).alias("severity"))
+    forbid = d.select("case_id").distinct().select("case_id", none.alias("file"), F.lit(0).cast("long").alias("no"), F.lit("^[0-4].*\nBODY 7$").alias("pattern"), F.lit("bug").alias("category"), none.alias("severity"))
+    return E.eval_scores(d, expect, forbid, found)
 
 
 @query("eval_cases", f"WITH {CASES} SELECT * FROM k")

@@ -23,10 +23,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "line_chunks_120",
     r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS l FROM documents), i AS (SELECT doc_id, l, unnest(range(0, (len(l) - 1) // 120 + 1)) AS i FROM l),
     c AS (SELECT doc_id, i, len(l) AS n, array_to_string(l[i * 120 + 1 : i * 120 + 120], chr(10)) AS body FROM i)
-    SELECT doc_id, CAST(i * 120 + 1 AS INT) AS start_line, CAST(least(i * 120 + 120, n) AS INT) AS end_line, sha256(doc_id || ':' || substr(body, 1, 6000)) AS content_hash, greatest(1, length(substr(body, 1, 6000)) // 4) AS token_estimate FROM c WHERE length(trim(body)) >= 40""",
+    SELECT doc_id, CAST(i * 120 + 1 AS INT) AS start_line, CAST(least(i * 120 + 120, n) AS INT) AS end_line, sha256(doc_id || ':' || t) AS content_hash, greatest(1, length(t) // 4) AS token_estimate
+    FROM (SELECT *, CASE WHEN length(body) > 6000 THEN substr(body, 1, 6000) || chr(10) || '… truncated …' ELSE body END AS t FROM c) WHERE length(regexp_replace(body, '^\s+|\s+$', '', 'g')) >= 40""",
 )
 def line_chunks_120(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.window_chunks(docs(spark, sf_dir), "doc_id", "text")
+    return T.window_chunks(docs(spark, sf_dir), "doc_id", "text").drop("body")
 
 
 @query("token_estimate", "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents")

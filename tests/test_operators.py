@@ -31,8 +31,8 @@ def test_symbols(spark):
     assert {n for p, f, n, *_ in got if p == "a.py" and f == "import"} == {"os", ".a"} and {n for p, f, n, *_ in got if p == "a.py" and f == "call"} == {"compute", "b"}
     assert ("b.js", "symbol", "A", "A", "class", 2, 4) in got and ("b.js", "symbol", "run", "run", "function", 5, 5) in got
     assert {n for p, f, n, *_ in got if p == "b.js" and f == "import"} == {"./x"}
-    chunks = {(r.path, r.qualified_name, r.start_line, r.end_line) for r in S.symbol_chunks(files, facts).collect()}
-    assert ("a.py", "Box", 5, 8) not in chunks and ("a.py", "Box", 5, 7) in chunks
+    chunks = {(r.path, r.symbol_id, r.start_line, r.end_line) for r in S.symbol_chunks(files, facts).collect()}
+    assert ("a.py", "a.py::Box@39", 5, 7) in chunks and {(r.path, r.symbol_id, r.start_line, r.end_line) for r in S.chunks(files, facts).collect()} == chunks
     assert not {c for c in chunks if c[1] is None}  # under LEAST_CHARS
 
 
@@ -111,10 +111,36 @@ def test_verification(spark):
 
 
 def test_evals(spark):
-    expect = spark.createDataFrame([("c", "f", 0, "over", None), ("c", "f", 1, "over|off", None)], "case_id string, file string, expect_no long, pattern string, category string")
-    found = spark.createDataFrame([("c", "f", 0, "overrun", "bug"), ("c", "f", 1, "off by one", "bug"), ("c", "g", 2, "overrun", "bug")], "case_id string, file string, finding_no long, title string, category string")
-    matched = E.match_expectations(expect, found)
-    assert rows(matched) == [("c", 0, 0), ("c", 1, 1)] and rows(E.eval_scores(expect, matched, found)) == [("c", 2, 0, 1)]
+    wanted = "case_id string, no long, file string, pattern string, category string, severity string"
+    expect = spark.createDataFrame([("c", 0, "f", "over", None, "P1"), ("c", 1, "f", "OVER|off", None, "P0"), ("c", 2, "", "body only$", "bug", None), ("d", 0, "f", "x", None, None)], wanted)
+    forbid = spark.createDataFrame([("c", 0, None, "run", None, None), ("c", 1, "g", "overrun", "other", None), ("e", 0, "f", "x", None, None)], wanted)
+    found = [("c", 0, "f", "bug", "P1", "Overrun", "b"), ("c", 1, "f", "bug", "P1", "off by one", None), ("c", 2, "g", "bug", "P2", "overrun", "in the body only"), ("e", 0, "f", "bug", "P0", "y", "z")]
+    findings = spark.createDataFrame(found, "case_id string, finding_no long, file string, category string, severity string, title string, body string")
+    assert rows(E.match_expectations(expect, findings).select("case_id", "no", "finding_no")) == [("c", 0, 0), ("c", 1, 1), ("c", 2, 2)]
+    cases = spark.createDataFrame([("c",), ("d",), ("e",)], "case_id string")
+    assert rows(E.eval_scores(cases, expect, forbid, findings)) == [("c", 3, 0, 0, 2, 1, False), ("d", 0, 1, 0, 0, 0, False), ("e", 0, 0, 1, 0, 0, True)]
+
+
+def test_evals_in_order(spark):
+    """The walk against its definition, and a case of a million pairs."""
+    import random
+
+    r = random.Random(6)
+    wanted = [(f"c{r.randrange(4)}", no, "f", r.choice(["a", "b", "a|b", "q", "c"]), None, None) for no in range(60)]
+    found = [(f"c{r.randrange(4)}", no, "f", "bug", "P1", r.choice("abc"), "") for no in range(70)]
+    used, want = set(), []
+    for c, no, _, p, *_ in wanted:
+        hit = next((f[1] for f in found if f[0] == c and (c, f[1]) not in used and f[5] in p.split("|")), None)
+        if hit is not None:
+            used.add((c, hit))
+            want.append((c, no, hit))
+    e = spark.createDataFrame(wanted, "case_id string, no long, file string, pattern string, category string, severity string")
+    f = spark.createDataFrame(found, "case_id string, finding_no long, file string, category string, severity string, title string, body string")
+    assert rows(E.match_expectations(e, f).select("case_id", "no", "finding_no")) == sorted(want, key=str)
+    many = spark.range(1000)
+    e = many.selectExpr("'c' AS case_id", "id AS no", "'f' AS file", "'x' AS pattern", "CAST(NULL AS string) AS category", "CAST(NULL AS string) AS severity")
+    f = many.selectExpr("'c' AS case_id", "id AS finding_no", "'f' AS file", "'bug' AS category", "'P1' AS severity", "'x' AS title", "'' AS body")
+    assert E.match_expectations(e, f).filter("no = finding_no").count() == 1000
 
 
 @pytest.mark.parametrize("times", [1, 2])
