@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -83,10 +84,26 @@ def remove(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within go at its end, but for those written with `kept`: nothing else may then depend on them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for at in _scratch.pop():
+            remove(spark, at)
+
+
+def materialise(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it again: cuts the lineage, survives lost executors, frees its shuffle files."""
     spark = df.sparkSession
     at = shared_dir(spark, name)
+    if _scratch and not kept:
+        _scratch[-1].append(at)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -126,3 +126,8 @@ def whole_texts(path: str, words: bool) -> WholeTexts:
     if (path, words) not in _held:
         _held[path, words] = WholeTexts(path, words)
     return _held[path, words]
+
+
+def forget() -> None:
+    """Let the worker's tokenizers and their caches go: for stages that come after one that encoded."""
+    _held.clear()
