@@ -162,25 +162,35 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, payload
 
 
-def _write(batches: Iterator[pa.RecordBatch], at: str) -> Iterator[pa.RecordBatch]:
-    gz, lines, place = [], [], 0
+#: Bytes of compressed records after which a task begins another archive: what it holds at a time.
+ARCHIVE_BYTES = 64 << 20
+
+
+def _write(batches: Iterator[pa.RecordBatch], at: str, most: int) -> Iterator[pa.RecordBatch]:
+    gz, lines, place, made = [], [], 0, 0
+
+    def archive() -> pa.RecordBatch:
+        store, folder = fs.FileSystem.from_uri(at)
+        store.create_dir(folder, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():06d}-{made:04d}-{uuid.uuid4().hex[:8]}.wacz"
+        with store.open_output_stream(f"{folder}/{name}") as f:
+            z = ZipWriter(f)
+            z.add(WARC_NAME, gz)
+            z.add(INDEX_NAME, [gzip.compress("\n".join(lines).encode(), 6, mtime=0)])
+            z.close()
+        return pa.RecordBatch.from_arrays([pa.array([f"{at}/{name}"]), pa.array([len(gz)])], ["path", "n"])
+
     for b in batches:
         for page, url, body, digest, keeper, revisit in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             one = gzip.compress(record(page, url, body, digest, keeper, revisit), 1, mtime=0)
             gz.append(one)
             lines.append(json.dumps({"page_id": page, "offset": place, "length": len(one)}))
             place += len(one)
-    if not gz:
-        return
-    store, folder = fs.FileSystem.from_uri(at)
-    store.create_dir(folder, recursive=True)
-    name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.wacz"
-    with store.open_output_stream(f"{folder}/{name}") as f:
-        z = ZipWriter(f)
-        z.add(WARC_NAME, gz)
-        z.add(INDEX_NAME, [gzip.compress("\n".join(lines).encode(), 6, mtime=0)])
-        z.close()
-    yield pa.RecordBatch.from_arrays([pa.array([f"{at}/{name}"]), pa.array([len(gz)])], ["path", "n"])
+            if place >= most:
+                yield archive()
+                gz, lines, place, made = [], [], 0, made + 1
+    if gz:
+        yield archive()
 
 
 def _page(urn: str) -> int | None:
@@ -227,8 +237,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield packed(rows)
 
 
-def write_archives(pages: DataFrame, at: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write a record per page into archives under `at` (a folder all executors share): path, n of each archive.
+def write_archives(pages: DataFrame, at: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write a record per page into archives under `at` (a folder all executors share): path, n of each archive, which ends at `archive_bytes`.
 
     The smallest id of each payload of at least LEAST_REVISIT bytes is found by a partial aggregate over digests and
     joined back; a payload that is most of the table crosses the shuffle as digests only, and the join's hot key can be
@@ -244,7 +254,7 @@ def write_archives(pages: DataFrame, at: str | None = None, id_col: str = "page_
     firsts = materialise(firsts.select("digest", "first"), "firsts")
     revisit = F.coalesce(~F.col("first").eqNullSafe(F.col("doc_id")) & F.col("first").isNotNull(), F.lit(False))
     judged = rows.join(firsts, "digest", "left").select("doc_id", "url", "body", "digest", F.when(revisit, F.col("first")).alias("keeper"), revisit.alias("revisit"))
-    return materialise(judged.mapInArrow(lambda it: _write(it, at), "path string, n long"), "archives")
+    return materialise(judged.mapInArrow(lambda it: _write(it, at, archive_bytes), "path string, n long"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

@@ -60,4 +60,7 @@ def test_pages(spark):
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", 2 if revisit else None))
     key = lambda r: (r[0] or -1, r[1])
     assert sorted(map(tuple, Z.read_archives(Z.write_archives(df)).collect()), key=key) == sorted(want, key=key)
+    rolled = Z.write_archives(df, archive_bytes=150)
+    assert rolled.count() > 4 and rolled.agg({"n": "sum"}).first()[0] == len(rows)
+    assert sorted(map(tuple, Z.read_archives(rolled).collect()), key=key) == sorted(want, key=key)
     assert Z.read_archives(Z.write_archives(df.limit(0))).collect() == []
