@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.patterns import occurrences
+from tallyforge.operators.text import secrets
 
 LINES = "diff_id string, file int, path string, old_path string, status string, binary boolean, hunk int, pos int, kind string, old_line int, new_line int, text string"
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -151,6 +152,12 @@ def names_at_risk(lines: DataFrame) -> DataFrame:
     return removed.join(found.filter("kind = '+'").select("diff_id", "name"), ["diff_id", "name"], "left_anti").select("diff_id", "name", "n", F.row_number().over(Window.partitionBy("diff_id").orderBy("first")).alias("ordinal"))
 
 
+def added_secrets(lines: DataFrame) -> DataFrame:
+    """S-SECRET over parsed lines: what a change adds that looks like a secret, with its place in the new file."""
+    place = F.struct("diff_id", "path", F.col("new_line").alias("line")).alias("place")
+    return secrets(lines.filter("kind = '+'").select(place, "text"), "place", "text").select("place.*", "rule", "redacted", "severity", "category", "detector")
+
+
 def siblings(lines: DataFrame, files: DataFrame) -> DataFrame:
     """J22 over (diff_id, path, text) and (path): other files that a diff's text names: their stem, or their path without suffix
     as a dotted module, is a substring of it. All names are searched for at once; no diff is paired with a file it doesn't name."""

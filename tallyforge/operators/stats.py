@@ -57,11 +57,20 @@ def reuse(requests: DataFrame, calls: DataFrame) -> DataFrame:
     return requests.join(a, on, "left").select(*requests.columns, F.col("a_call_id").alias("reused"), F.col("a_response").alias("response"))
 
 
-def budget_prefix(calls: DataFrame, limit_cents: int) -> DataFrame:
-    """M8: calls of each review that still run: those before which less than the limit was spent, so one may overshoot. Calls
-    that share an id run cheapest first."""
-    before = F.coalesce(F.sum("cost_cents").over(Window.partitionBy("review_id").orderBy("call_id", "cost_cents").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return calls.withColumn("spent_before", before.cast("long")).filter(F.col("spent_before") < limit_cents)
+def budget_prefix(calls: DataFrame, limit_cents: int, limit_tokens: int | None = None, deadline: int | None = None) -> DataFrame:
+    """M8: calls of each review that still run: those before which less than the limit was spent, so one may overshoot; of money, and
+    where asked for of tokens (read and written) and of seconds since the review's first call (`at`). Calls that share an id
+    run cheapest first."""
+    w = Window.partitionBy("review_id").orderBy("call_id", "cost_cents").rowsBetween(Window.unboundedPreceding, -1)
+    out = calls.withColumn("spent_before", F.coalesce(F.sum("cost_cents").over(w), F.lit(0)).cast("long"))
+    runs = F.col("spent_before") < limit_cents
+    if limit_tokens is not None:
+        out = out.withColumn("tokens_before", F.coalesce(F.sum(F.col("tokens_in") + F.col("tokens_out")).over(w), F.lit(0)).cast("long"))
+        runs &= F.col("tokens_before") < limit_tokens
+    if deadline is not None:
+        out = out.withColumn("elapsed", F.col("at") - F.min("at").over(Window.partitionBy("review_id")))
+        runs &= F.col("elapsed") < deadline
+    return out.filter(runs)
 
 
 def retention(df: DataFrame, ts: str, cutoff: str) -> DataFrame:

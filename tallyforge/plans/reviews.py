@@ -136,7 +136,7 @@ def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "planned_units",
     """WITH p AS (SELECT source || '-' || doc_id % 9 AS review_id, 'p' || doc_id AS path, doc_id FROM documents), n AS (SELECT review_id, count(*) AS n FROM p GROUP BY ALL),
-    q AS (SELECT review_id, CAST(doc_id % 8 AS INT) AS ordinal, path FROM p JOIN n USING (review_id) WHERE n > 2 AND doc_id % 4 <> 0), k AS (SELECT *, dense_rank() OVER (PARTITION BY review_id ORDER BY ordinal) AS k FROM q), u AS (SELECT review_id, 'unit-' || (ordinal + 1) AS unit, path FROM k WHERE k <= 6)
+    q AS (SELECT review_id, CAST(doc_id % 8 AS INT) AS ordinal, path FROM p JOIN n USING (review_id) WHERE n > 2 AND doc_id % 4 <> 0), u AS (SELECT review_id, 'unit-' || (ordinal + 1) AS unit, path FROM q WHERE ordinal < 6)
     SELECT review_id, 'unit-1' AS unit, path FROM p JOIN n USING (review_id) WHERE n <= 2 UNION ALL SELECT * FROM u UNION ALL SELECT review_id, 'remaining files', path FROM p JOIN n USING (review_id) WHERE n > 2 AND (review_id, path) NOT IN (SELECT review_id, path FROM u)""",
 )
 def planned_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,19 @@ def budget_prefix_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.budget_prefix(calls(spark, sf_dir).select("review_id", "call_id", "cost_cents"), 8_000_000)
 
 
+@query(
+    "budget_tokens_deadline",
+    """WITH c AS (SELECT o_custkey AS review_id, o_orderkey AS call_id, 1 AS cost_cents, o_orderkey % 700 AS tokens_in, o_orderkey % 90 AS tokens_out, o_orderkey AS t FROM orders),
+    s AS (SELECT *, CAST(coalesce(sum(cost_cents) OVER w, 0) AS BIGINT) AS spent_before, CAST(coalesce(sum(tokens_in + tokens_out) OVER w, 0) AS BIGINT) AS tokens_before, t - min(t) OVER (PARTITION BY review_id) AS elapsed FROM c WINDOW w AS (PARTITION BY review_id ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT review_id, call_id, spent_before, tokens_before, elapsed FROM s WHERE spent_before < 8 AND tokens_before < 2000 AND elapsed < 9000""",
+)
+def budget_tokens_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: orders as a customer's calls, under all three limits."""
+    k = F.col("o_orderkey")
+    c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("review_id"), k.alias("call_id"), F.lit(1).alias("cost_cents"), (k % 700).alias("tokens_in"), (k % 90).alias("tokens_out"), k.alias("at"))
+    return S.budget_prefix(c, 8, 2000, 9000).select("review_id", "call_id", "spent_before", "tokens_before", "elapsed")
+
+
 @query("spend_order", f"WITH {CALLS} SELECT prompt, {SPEND}, CAST(row_number() OVER (ORDER BY sum(cost_cents) DESC, prompt) AS INT) AS place FROM c GROUP BY prompt")
 def spend_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spend_order(calls(spark, sf_dir))
