@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tallyforge.plans import findings, graphs, index, reviews, scalars, sources, stats, streams, texts  # noqa: F401
+from tallyforge.plans import findings, graphs, index, landings, reviews, scalars, sources, stats, streams, texts  # noqa: F401
