@@ -638,3 +638,69 @@ def merge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = o.filter((k % 4 == 0) & (k > 8)).select(k.alias("commit"), F.expr("o_orderkey div 2 - 1").alias("parent"))
     pairs = o.filter("o_custkey % 20 = 0").groupBy(F.col("o_custkey").alias("pair_id")).agg(F.min(k).alias("base"), F.max(k).alias("head"))
     return N.merge_bases(one.unionByName(two).withColumn("at", F.col("commit")), pairs)
+
+
+@query(
+    "comment_bodies",
+    r"""WITH f AS (SELECT o_orderkey AS k, 'P' || (CAST(substr(o_orderpriority, 1, 1) AS INT) - 1) AS s, o_orderkey % 50 AS a, o_orderkey % 4 AS w, o_orderkey % 1000 AS c, o_orderkey % 2 = 0 AS i, rtrim(repeat('word' || o_custkey || ' ', CAST(o_orderkey % 40 + 1 AS INT))) AS body, CASE WHEN o_orderkey % 3 > 0 THEN repeat('  x' || chr(10), CAST(o_orderkey % 3 AS INT)) END AS p FROM orders),
+    l AS (SELECT *, list_reduce(string_split(body, ' '), lambda x, y: CASE WHEN length(regexp_extract(x, '[^
+]*$')) + 1 + length(y) <= 88 THEN x || ' ' || y ELSE x || chr(10) || y END) AS lines, rtrim(p, chr(10)) AS q, 'src/' || k % 9 || '.py' AS file,
+      CASE WHEN a = 0 THEN '' WHEN w = 0 THEN ':' || a ELSE ':' || a || '-' || (a + w) END AS spot, c // 10 + CASE WHEN c % 10 > 5 OR (c % 10 = 5 AND c // 10 % 2 = 1) THEN 1 ELSE 0 END AS percent FROM f)
+    SELECT k AS finding_id, CASE WHEN i THEN '' ELSE '`' || file || CASE WHEN a = 0 THEN '' ELSE ':' || a END || '`' || chr(10) END || '**' || s || ' — t' || k || '**' || chr(10) || chr(10) || body
+      || CASE WHEN p IS NULL THEN '' ELSE chr(10) || chr(10) || '```' || CASE WHEN i AND a > 0 AND k % 3 = w + 1 THEN 'suggestion' ELSE '' END || chr(10) || q || chr(10) || '```' END
+      || CASE WHEN i THEN chr(10) || chr(10) || '<details>' || chr(10) || '<summary>For a coding agent</summary>' || chr(10) || chr(10) || '```' || chr(10) || 'Fix this in the repository. Change nothing else.' || chr(10) || chr(10) || file || spot || chr(10) || '[' || s || ' bug] t' || k || chr(10) || lines
+        || CASE WHEN p IS NULL THEN '' ELSE chr(10) || 'suggested replacement:' || chr(10) || q END || chr(10) || '```' || chr(10) || chr(10) || '</details>' ELSE '' END
+      || chr(10) || chr(10) || '<sub>bug · confidence ' || percent || '%' || CASE WHEN i THEN ' · reply if this is wrong' ELSE '' END || '</sub>' || chr(10) || '<!-- bot:' || md5('t' || k) || ' -->' AS markdown FROM l""",
+)
+def comment_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a finding, every second in a thread of its own."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    place = F.struct(F.concat(F.lit("src/"), (k % 9).cast(S_), F.lit(".py")).alias("file"), (k % 50).alias("line_start"), F.when(k % 50 == 0, 0).otherwise(k % 50 + k % 4).alias("line_end"))
+    patch = F.when(k % 3 > 0, F.repeat(F.lit("  x\n"), (k % 3).cast("int")))
+    level = F.concat(F.lit("P"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).cast(S_))
+    body = F.rtrim(F.repeat(F.concat(F.lit("word"), c.cast(S_), F.lit(" ")), (k % 40 + 1).cast("int")))
+    found = table(spark, sf_dir, "orders").select(
+        k.alias("finding_id"), F.md5(numbered("t", k).cast("binary")).alias("fingerprint"), level.alias("severity"), F.lit("bug").alias("category"), numbered("t", k).alias("title"), body.alias("body"), patch.alias("patch"),
+        (k % 1000).alias("conf"), F.array(place).alias("locations"), (k % 2 == 0).alias("inline"),
+    )
+    return T.comment_bodies(found, "bot")
+
+
+@query(
+    "comment_ranges",
+    """WITH l AS (SELECT DISTINCT p_brand AS path, p_size AS line FROM part), f AS (SELECT o_orderkey AS k, 'Brand#' || o_custkey % 70 AS path, o_orderkey % 60 AS a, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 60 + o_orderkey % 5 END AS b FROM orders),
+    n AS (SELECT k, any_value(path) AS path, any_value(a) AS a, any_value(coalesce(b, a)) AS e, arg_min(line, (abs(line - coalesce(b, a)), line)) AS line FROM f JOIN l USING (path) GROUP BY k)
+    SELECT f.k AS finding_id, n.path, n.line, CASE WHEN n.e = n.line AND n.a > 0 AND n.a < n.line AND (n.path, n.a) IN (SELECT (path, line) FROM l) THEN n.a END AS start_line FROM f LEFT JOIN n ON f.k = n.k""",
+)
+def comment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments over several lines."""
+    k = F.col("o_orderkey")
+    place = F.struct(numbered("Brand#", F.col("o_custkey") % 70).alias("file"), (k % 60).alias("line_start"), F.when(k % 5 > 0, k % 60 + k % 5).alias("line_end"))
+    found = table(spark, sf_dir, "orders").select(k.alias("finding_id"), F.array(place).alias("locations"))
+    return T.comment_ranges(found, table(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), F.col("p_size").alias("new_line")))
+
+
+@query(
+    "settled_lines",
+    """SELECT 'x' || o_orderkey AS fingerprint, '- ' || CASE WHEN o_orderkey % 4 = 0 THEN 'a finding' WHEN o_orderkey % 4 = 1 THEN 't' || o_custkey ELSE '[t' || o_custkey || '](https://h/' || o_orderkey || ')' END || ' — ' || CASE WHEN o_orderkey % 3 = 1 THEN 'withdrawn' ELSE 'fixed in `' || substr(sha256(CAST(o_custkey AS VARCHAR)), 1, 7) || '`' END AS line FROM orders WHERE o_orderkey % 3 > 0""",
+)
+def settled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of what closed."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders").select(k, c, numbered("x", k).alias("fingerprint"))
+    plan = o.select("fingerprint", F.when(k % 3 == 0, "post").when(k % 3 == 1, "withdrawn").otherwise("fixed").alias("action"), F.sha2(c.cast(S_), 256).alias("sha"))
+    body = F.when(k % 4 > 0, F.concat(F.lit("**P2 — t"), c.cast(S_), F.lit("**\n\n**more**")))
+    return T.settled_lines(plan, o.select("fingerprint", body.alias("body"), F.when(k % 4 > 1, numbered("https://h/", k)).alias("url")), F.col("sha"))
+
+
+@query(
+    "review_events",
+    """WITH r AS (SELECT o_orderkey AS review_id, ['approve', 'comment', 'request_changes'][o_orderkey % 3 + 1] AS v, ['approve', 'request_changes', NULL][o_custkey % 3 + 1] AS l, o_orderkey % 5 // 2 AS n FROM orders), b AS (SELECT *, v = 'request_changes' AND l IS DISTINCT FROM v AS blocking FROM r)
+    SELECT review_id, blocking, n > 0 OR blocking AS posted, CASE WHEN n > 0 OR blocking THEN CASE WHEN v = 'request_changes' THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END END AS event FROM b""",
+)
+def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which reviews are posted, and as what."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    verdict = F.when(k % 3 == 0, "approve").when(k % 3 == 1, "comment").otherwise("request_changes")
+    last = F.when(c % 3 == 0, "approve").when(c % 3 == 1, "request_changes")
+    return T.review_events(table(spark, sf_dir, "orders").select(k.alias("review_id"), verdict.alias("verdict"), last.alias("last_verdict"), F.expr("o_orderkey % 5 div 2").alias("comments")))
