@@ -296,11 +296,14 @@ def exit_code(found: DataFrame, fail_on: int = 1) -> DataFrame:
 
 def hash_embedding(text: Column, width: int = 16) -> Column:
     """U4: a stand-in for an embedding service: words hashed to signed places, normalised; a text without words is all zeros."""
-    hashes = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1)), lambda w: F.xxhash64(w))
-    place = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.pmod(h, F.lit(width)) == i, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1).otherwise(-1)).otherwise(0))
-    raw = F.array(*[place(i).cast("double") for i in range(width)])
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  a value that is used many times is made once
+    sign = lambda h: F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1).otherwise(-1)
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
+    signed = F.transform(words, lambda w: once(F.xxhash64(w), lambda h: (F.pmod(h, F.lit(width)).cast("int") + 1) * sign(h)))
+    count = lambda at, i: F.when(at.isNotNull(), F.size(at) - F.size(F.array_remove(at, i)))
+    raw = once(signed, lambda at: F.array(*[(count(at, i) - count(at, -i)).cast("double") for i in range(1, width + 1)]))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return once(raw, lambda v: once(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
 def normalised(vector: Column) -> Column:

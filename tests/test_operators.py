@@ -157,3 +157,19 @@ def test_files(spark, tmp_path, times):
     for i in range(times):
         X.swap(spark.createDataFrame([(i,)], "x int"), str(tmp_path / "t"))
     assert X.read_latest(spark, str(tmp_path / "t")).first().x == times - 1
+
+
+def test_hash_embedding_reads_a_text_once(spark):
+    from tallyforge.operators import review as R
+
+    df = spark.createDataFrame([(1, "a a B_1 x " * 3000), (2, "?!"), (3, None), (4, "é b")], "id long, text string")
+    v = df.select("id", R.hash_embedding(F.col("text")).alias("v"))
+    assert v._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = {x.id: x.v for x in v.collect()}
+    assert got[2] == [0.0] * 16 and got[3] == [None] * 16 and all(abs(sum(x * x for x in got[i]) - 1) < 1e-9 for i in (1, 4))
+    for i, words in ((1, ["a", "a", "b_1", "x"]), (4, ["b"])):
+        raw = [0] * 16
+        for h in (x.h for x in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()):
+            raw[h % 16] += -1 if (h >> 32) % 2 else 1
+        n = sum(x * x for x in raw) ** 0.5
+        assert all(abs(a - b / n) < 1e-9 for a, b in zip(got[i], raw, strict=True))
