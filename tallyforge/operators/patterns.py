@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
@@ -16,6 +16,8 @@ from tallyforge.sources.store import materialise
 
 #: Characters of the patterns of one shard (about): an automaton has up to a node of some 100 bytes for each.
 SHARD_CHARS = 1_000_000
+#: Characters of lines that a task holds before it hands them on.
+HELD_CHARS = 16_000_000
 
 _built: dict[int, ahocorasick.Automaton] = {}
 
@@ -35,11 +37,23 @@ def automaton(patterns: list[str], key: int | None = None) -> ahocorasick.Automa
     return _built[key]
 
 
-def _searched(texts: DataFrame, patterns: DataFrame, find: Callable[[str, Iterable[tuple[int, str]], bool], Iterator[tuple]], found: list[tuple[str, str]]) -> DataFrame:
-    """Rows of `texts` (key, text) against `patterns` (pattern), shard by shard: key and what `find` gives for each text, as `found` names it.
+Search = Callable[[str], Iterator[tuple]]
+
+
+def _each(batches: Iterator[pa.RecordBatch], search: Search) -> Iterator[tuple]:
+    """(key, *hit) of every text."""
+    for b in batches:
+        for key, text in zip(b.column(0), b.column(1), strict=True):
+            for hit in search(text.as_py()) if text.is_valid else ():
+                yield key.as_py(), *hit
+
+
+def _searched(texts: DataFrame, patterns: DataFrame, find: Callable[[str, Iterable[tuple[int, str]], bool], Iterator[tuple]], found: list[tuple[str, str]], fold: Callable[[Iterator[pa.RecordBatch], Search], Iterator[tuple]] = _each) -> DataFrame:
+    """Rows of `texts` (key, text) against `patterns` (pattern), shard by shard: key and what `find` gives for each text, as `found` names
+    it. `fold` goes through a task's texts and may leave out hits.
 
     Texts are read once per shard; each shard is broadcast after a check of its size, and beyond one shard each result is
-    written before the next shard is handed out."""
+    written before the next shard is handed out. Hits leave a task in batches of bounded size."""
     spark = texts.sparkSession
     distinct = patterns.select("pattern").filter("pattern IS NOT NULL").distinct()
     chars = distinct.agg(F.sum(F.length("pattern") + 1)).first()[0] or 0
@@ -51,17 +65,26 @@ def _searched(texts: DataFrame, patterns: DataFrame, find: Callable[[str, Iterab
     def run(batches: Iterator[pa.RecordBatch], shard: Broadcast) -> Iterator[pa.RecordBatch]:
         words = shard.value
         machine, empty = automaton(words, id(words)), "" in words
-        for b in batches:
-            at, rows = [], []
-            for i, text in enumerate(b.column(1)):
-                text = text.as_py()
-                if text is not None:
-                    new = list(find(text, machine.iter(text) if len(machine) else (), empty))
-                    at += [i] * len(new)
-                    rows += new
-            cols = zip(*rows, strict=True) if rows else [[]] * len(found)
-            made = [pa.array(c, types[t]) for c, (_, t) in zip(cols, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *made], ["key", *(c for c, _ in found)])
+        key: list[pa.DataType] = []
+
+        def typed() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key[:] = [b.schema.field(0).type]
+                yield b
+
+        def batch() -> pa.RecordBatch:
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [key[0], *(types[t] for _, t in found)], strict=True)]
+            return pa.RecordBatch.from_arrays(made, ["key", *(c for c, _ in found)])
+
+        rows, size = [], 0
+        for hit in fold(typed(), lambda text: find(text, machine.iter(text) if len(machine) else (), empty)):
+            rows.append(hit)
+            size += 64 + sum(len(x) for x in hit if isinstance(x, str))
+            if size > HELD_CHARS:
+                yield batch()
+                rows, size = [], 0
+        if rows:
+            yield batch()
 
     parts = []
     for i in range(n):
@@ -82,21 +105,52 @@ def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return _searched(texts, patterns, find, [("pattern", "string")])
 
 
+def _lines(text: str, ends_of: Iterable[tuple[int, str]], empty: bool, most: int) -> Iterator[tuple[str, int, int, int]]:
+    """(pattern, line_no, begin, end) of the first `most` lines that hold each pattern."""
+    ends = [i for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
+    if not ends or ends[-1] != len(text) - 1:
+        ends.append(len(text))
+    found: dict[str, list[int]] = {"": list(range(1, min(most, len(ends)) + 1))} if empty else {}
+    for end, p in ends_of:
+        lines, no = found.setdefault(p, []), bisect_left(ends, end) + 1
+        if len(lines) < most and (not lines or lines[-1] != no) and "\n" not in p:
+            lines.append(no)
+    for p, lines in found.items():
+        for no in lines:
+            yield p, no, ends[no - 2] + 1 if no > 1 else 0, ends[no - 1]
+
+
 def line_hits(texts: DataFrame, patterns: DataFrame, most: int) -> DataFrame:
     """(key, pattern, line_no, line): the first `most` lines of each text that hold each pattern; a line counts once per pattern,
     and a last line end makes no further line."""
 
     def find(text: str, ends_of: Iterable[tuple[int, str]], empty: bool) -> Iterator[tuple]:
-        ends = [i for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
-        if not ends or ends[-1] != len(text) - 1:
-            ends.append(len(text))
-        found: dict[str, list[int]] = {"": list(range(1, min(most, len(ends)) + 1))} if empty else {}
-        for end, p in ends_of:
-            lines, no = found.setdefault(p, []), bisect_left(ends, end) + 1
-            if len(lines) < most and (not lines or lines[-1] != no) and "\n" not in p:
-                lines.append(no)
-        for p, lines in found.items():
-            for no in lines:
-                yield p, no, text[ends[no - 2] + 1 if no > 1 else 0 : ends[no - 1]]
+        return ((p, no, text[a:z]) for p, no, a, z in _lines(text, ends_of, empty, most))
 
     return _searched(texts, patterns, find, [("pattern", "string"), ("line_no", "int"), ("line", "string")])
+
+
+def first_hits(texts: DataFrame, patterns: DataFrame, most: int) -> DataFrame:
+    """(key, pattern, line_no, line) that has the first `most` rows of each pattern by key and line, and some more: a task holds
+    no more than those of what it has read, and hands them on when they are many."""
+
+    def find(text: str, ends_of: Iterable[tuple[int, str]], empty: bool) -> Iterator[tuple]:
+        return ((p, no, a, z, text) for p, no, a, z in _lines(text, ends_of, empty, most))
+
+    def fold(batches: Iterator[pa.RecordBatch], search: Search) -> Iterator[tuple]:
+        held: dict[str, list[tuple]] = {}
+        size = 0
+        for n, (key, p, no, a, z, text) in enumerate(_each(batches, search)):
+            kept, place = held.setdefault(p, []), (key is not None, key, no)
+            if len(kept) == most and kept[-1][:3] <= place:
+                continue
+            insort(kept, (*place, n, text[a:z]))
+            size += 64 + z - a
+            if len(kept) > most:
+                size -= 64 + len(kept.pop()[4])
+            if size > HELD_CHARS:
+                yield from ((x[1], p, x[2], x[4]) for p, kept in held.items() for x in kept)
+                held, size = {}, 0
+        yield from ((x[1], p, x[2], x[4]) for p, kept in held.items() for x in kept)
+
+    return _searched(texts, patterns, find, [("pattern", "string"), ("line_no", "int"), ("line", "string")], fold)

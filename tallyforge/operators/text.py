@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.patterns import line_hits
+from tallyforge.operators.patterns import first_hits
 from tallyforge.sources.store import materialise
 
 #: Lines of a window chunk, least and most characters of a chunk, characters per token, file size limit.
@@ -81,10 +81,10 @@ def window_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
 def literal_search(df: DataFrame, key: str, text: str, names: DataFrame, per_name: int = HITS_PER_NAME, own: DataFrame | None = None) -> DataFrame:
     """SC7, W9 over `names` (ordinal, name): the first `per_name` lines (by key and line) that hold each literal; a line counts
     once per name. Rows whose key is among those of `own` are left out. Any number of names: they are searched for at once,
-    and no text gives more than `per_name` lines a name."""
+    and a task hands on `per_name` lines a name (more only where its lines fill its memory)."""
     if own is not None:
         df = df.join(own.select(key).distinct(), key, "left_anti")
-    hits = line_hits(df.select(F.col(key).alias("key"), F.col(text).alias("text")), names.select(F.col("name").alias("pattern")), per_name)
+    hits = first_hits(df.select(F.col(key).alias("key"), F.col(text).alias("text")), names.select(F.col("name").alias("pattern")), per_name)
     rows = hits.join(names.select("ordinal", F.col("name").alias("pattern")), "pattern")
     w = Window.partitionBy("ordinal").orderBy("key", "line_no")
     rows = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_name)

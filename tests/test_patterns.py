@@ -74,3 +74,15 @@ def test_suffixes_and_rules(spark, monkeypatch):
     rules = spark.createDataFrame([(0, "k[0-9].txt", "r0"), (1, "*.log", "r1"), (2, "!sub/keep.log", "r2"), (3, "b[!j]g.py", "r3"), (4, "nothing", "r4")], "ordinal int, pattern string, source string")
     got = {r.path: r.ignored for r in T.ignore_reasons(df, rules).collect() if r.ignored}
     assert got == {"k1.txt": "ignored by rule 'r0'", "big.py": "ignored by rule 'r3'"}
+
+
+def test_a_task_hands_on_the_first_hits_only(spark, monkeypatch):
+    """Long lines that hold many patterns: a task's rows don't grow with its texts, and every first hit is among them."""
+    texts = spark.createDataFrame([(i, f"x{i} ab bc cd " * 50 + "\nab") for i in range(400, 0, -1)] + [(None, "cd"), (401, None)], "key long, text string").coalesce(1)
+    patterns = spark.createDataFrame([("ab",), ("bc",), ("cd",), ("x7 ",), ("",)], "pattern string")
+    rows = M.first_hits(texts, patterns, 3).collect()
+    assert len(rows) == 13
+    first = lambda found: {p: sorted((x.key is not None, x.key, x.line_no, x.line) for x in found if x.pattern == p)[:3] for p in ("ab", "bc", "cd", "x7 ", "")}
+    assert first(rows) == first(M.line_hits(texts, patterns, 3).collect())
+    monkeypatch.setattr(M, "HELD_CHARS", 3000)
+    assert first(M.first_hits(texts, patterns, 3).collect()) == first(rows)
