@@ -204,7 +204,8 @@ def snapshot_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     j = materialise(side(base, "old").join(side(head, "new"), "path", "full").filter(~F.col("old").eqNullSafe(F.col("new"))), "changed")
     moved = materialise(renames(j.filter("new IS NULL").select("path", F.col("old").alias("text")), j.filter("old IS NULL").select("path", F.col("new").alias("text"))), "renames")
     olds = j.filter("new IS NULL").select(F.col("path").alias("old_path"), F.col("old").alias("was"))
-    named = j.join(moved.select(F.col("old_path").alias("path")), "path", "left_anti").join(moved, "path", "left").join(olds, "old_path", "left")
+    # only renames look for an old text: files without an old path would all meet at its null
+    named = j.join(moved.select(F.col("old_path").alias("path")), "path", "left_anti").join(moved.join(olds, "old_path"), "path", "left")
     rows = named.select("path", "old_path", F.coalesce("old", "was").alias("old"), "new", "alike")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

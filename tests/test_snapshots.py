@@ -109,3 +109,13 @@ def test_merge_bases(spark):
     q = [(1, "b", "c"), (2, "d", "e"), (3, "a", "z"), (4, "a", "d"), (5, "d", "d"), (6, None, "a")]
     df = N.merge_bases(spark.createDataFrame(c, "commit string, parent string, at int"), spark.createDataFrame(q, "pair_id int, base string, head string"))
     assert {r.pair_id: r.merge_base for r in df.collect()} == {1: "a", 2: "c", 3: None, 4: "a", 5: "d", 6: None}
+
+
+def test_files_without_an_old_path_do_not_meet(spark):
+    """The join of old texts has renames on its left only: nothing is outer-joined on the old path, null for most."""
+    base = spark.createDataFrame([(f"p{i}", f"line {i}\nand {i}") for i in range(8)], "path string, text string")
+    head = spark.createDataFrame([("q0", "line 0\nand 0"), *((f"p{i}", f"line {i}\nor {i}") for i in range(1, 8))], "path string, text string")
+    got = N.snapshot_diff(base, head)
+    assert sorted((r.path, r.old_path, r.status) for r in got.collect()) == [*((f"p{i}", None, "M") for i in range(1, 8)), ("q0", "p0", "R")]
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+    assert joins and not any("old_path" in x for x in joins)
