@@ -165,7 +165,7 @@ def siblings(lines: DataFrame, files: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), "\\.[^.]*$", "")
     module = F.translate(F.regexp_replace(path, "\\.[^.]*$", ""), "/", ".")
     named = files.select(path.alias("sibling"), F.explode(F.array_distinct(F.array(stem, module))).alias("pattern")).distinct()
-    hits = occurrences(lines.select(F.col("diff_id").alias("key"), "text"), named).distinct()
+    hits = occurrences(lines.select(F.col("diff_id").alias("key"), "text").distinct(), named).distinct()
     own = lines.select("diff_id", path.alias("sibling")).distinct()
     found = hits.join(named, "pattern").select(F.col("key").alias("diff_id"), "sibling").distinct()
     return found.join(own, ["diff_id", "sibling"], "left_anti")

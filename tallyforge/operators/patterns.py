@@ -16,6 +16,8 @@ from tallyforge.sources.store import materialise
 
 #: Characters of the patterns of one shard (about): an automaton has up to a node of some 100 bytes for each.
 SHARD_CHARS = 1_000_000
+#: Characters of all texts up to which they go to every shard at once.
+FEW_CHARS = 20_000_000
 #: Characters of lines that a task holds before it hands them on.
 HELD_CHARS = 16_000_000
 
@@ -53,7 +55,7 @@ def _searched(texts: DataFrame, patterns: DataFrame, find: Callable[[str, Iterab
     it. `fold` goes through a task's texts and may leave out hits.
 
     Texts are read once per shard; each shard is broadcast after a check of its size, and beyond one shard each result is
-    written before the next shard is handed out. Hits leave a task in batches of bounded size."""
+    written before the next shard is handed out; texts of up to FEW_CHARS go to the shards instead, all in one job. Hits leave a task in batches of bounded size."""
     spark = texts.sparkSession
     distinct = patterns.select("pattern").filter("pattern IS NOT NULL").distinct()
     chars = distinct.agg(F.sum(F.length("pattern") + 1)).first()[0] or 0
@@ -86,6 +88,18 @@ def _searched(texts: DataFrame, patterns: DataFrame, find: Callable[[str, Iterab
         if rows:
             yield batch()
 
+    if n > 1 and fold is _each and (texts.agg(F.sum(F.length("text") + 16)).first()[0] or 0) <= FEW_CHARS:
+
+        def cell(words: pa.Table, asked: pa.Table) -> pa.Table:
+            held = words.column("pattern").to_pylist()
+            machine, empty = automaton(held), "" in held
+            rows = list(_each(iter(asked.to_batches()), lambda text: find(text, machine.iter(text) if len(machine) else (), empty)))
+            cols = zip(*rows, strict=True) if rows else [[]] * (1 + len(found))
+            return pa.table([pa.array(c, t) for c, t in zip(cols, [asked.schema.field(0).type, *(types[t] for _, t in found)], strict=True)], names=["key", *(c for c, _ in found)])
+
+        dealt = distinct.select("pattern", F.pmod(F.xxhash64("pattern"), F.lit(n)).cast("int").alias("shard")).repartition(n, "shard")
+        every = texts.select("key", "text", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard")).repartition(n, "shard")
+        return dealt.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(cell, schema)
     parts = []
     for i in range(n):
         words = [r.pattern for r in distinct.filter(F.pmod(F.xxhash64("pattern"), F.lit(n)) == i).collect()]

@@ -86,3 +86,12 @@ def test_a_task_hands_on_the_first_hits_only(spark, monkeypatch):
     assert first(rows) == first(M.line_hits(texts, patterns, 3).collect())
     monkeypatch.setattr(M, "HELD_CHARS", 3000)
     assert first(M.first_hits(texts, patterns, 3).collect()) == first(rows)
+
+
+def test_few_texts_meet_all_shards_in_one_job(spark, monkeypatch):
+    texts = spark.createDataFrame([("a", "xabcx"), ("b", "bcd"), ("c", None), ("d", "")], "key string, text string")
+    patterns = spark.createDataFrame([("ab",), ("bc",), ("cd",), ("x",), ("",)], "pattern string")
+    whole = sorted(map(tuple, M.occurrences(texts, patterns).collect()))
+    monkeypatch.setattr(M, "SHARD_CHARS", 4)
+    monkeypatch.setattr(M, "materialise", lambda df, name: pytest.fail("a job a shard"))
+    assert sorted(map(tuple, M.occurrences(texts, patterns).collect())) == whole and len(whole) == 8
