@@ -23,6 +23,7 @@ AT_ONCE = 200_000
 def _swept(events: DataFrame, order: list[str], sweep: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Sweeps `events` (path, pos, upto, kind, ...): `sweep` gets each partition's rows by path, those carried into it first
     (`own` is 0), then by position, kind and `order`. A null `upto` marks a point."""
+    events = materialise(events, "events")  # they are counted, sampled and dealt
     n = max(1, -(-events.count() // AT_ONCE))
     dealt = events.filter("path IS NOT NULL AND pos IS NOT NULL").repartitionByRange(n, "path", "pos")
     written = materialise(dealt.withColumns({"part": F.spark_partition_id(), "own": F.lit(1)}), "bounds")

@@ -173,3 +173,10 @@ def test_hash_embedding_reads_a_text_once(spark):
             raw[h % 16] += -1 if (h >> 32) % 2 else 1
         n = sum(x * x for x in raw) ** 0.5
         assert all(abs(a - b / n) < 1e-9 for a, b in zip(got[i], raw, strict=True))
+
+
+def test_facts_are_made_once_by_several_tasks(spark):
+    files = spark.createDataFrame([(f"m{i}.py", f"def f{i}():\n    g()\n") for i in range(200)], "path string, text string").coalesce(1)
+    facts = S.extract(files)
+    assert facts.count() == 400 and "MapIn" not in facts._jdf.queryExecution().executedPlan().toString()
+    assert facts.select(F.input_file_name()).distinct().count() > 1
