@@ -20,8 +20,9 @@ from tallyforge.llm.tokens import forget
 BANDS, ROWS = 24, 4
 _DRAWS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64, endpoint=False)
 _MIX, _FACTOR = _DRAWS[0], _DRAWS[1] | np.uint64(1)
-#: Slots in which shingles are counted, and how many of them travel as a row. Any slots give right pairs, more give fewer to compare.
-SLOTS, SLOTS_A_ROW = 1 << 16, 4096
+#: Words of 64 bits in which a set's shared shingles are told by parity. Any number gives right pairs, more give fewer to compare.
+PARITY = 8
+_BITS = [f"bits{k}" for k in range(PARITY)]
 #: Nodes up to which the list of those whose sets are wanted is broadcast.
 BROADCAST_NODES = 2_000_000
 
@@ -55,66 +56,74 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), keys], ["doc_id", "node", "size", "keys"])
 
 
-def _slot(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(20)).astype(np.int64) % SLOTS
+def prefix_lengths(n: int, least: float) -> tuple[int, int]:
+    """Of a set of n shingles in the common order, rarest first: how many it is looked up by, and by how many it is found. Two
+    sets at least `least` alike share a shingle that is among the latter of the smaller and among the former of the larger."""
+    return n - math.ceil(least * n - 1e-9) + 1, n - math.ceil(2 * least / (1 + least) * n - 1e-9) + 1
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of a task's sets have a shingle in each slot, in rows of SLOTS_A_ROW slots."""
-    n = np.zeros(SLOTS, np.int64)
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, size, root, hashes) -> a row for each shingle."""
     for b in batches:
-        for raw in b.column(0):
-            n += np.bincount(_slot(np.frombuffer(raw.as_py(), np.uint64)), minlength=SLOTS)
-    rows = n.reshape(-1, SLOTS_A_ROW)
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "n"])
-
+        for first in range(0, b.num_rows, 100):
+            some = b.slice(first, 100)
+            sets = [np.frombuffer(raw.as_py(), np.int64) for raw in some.column(3)]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), some.column(0).take(at), some.column(2).take(at)], ["shingle", "node", "root"])
 
-def _summed(rows: pa.Table) -> pa.Table:
-    n = sum(np.frombuffer(x.as_py(), np.int64) for x in rows.column("n"))
-    return pa.table({"part": rows.column("part").slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
 
-
-def prefix_lengths(n: int, least: float) -> tuple[int, int]:
-    """Of a set of n shingles in the common order, rarest first: how many it is looked up by, and by how many it is found. Two
-    sets at least `least` alike share a shingle that is among the latter of the smaller and among the former of the larger."""
-    return n - math.ceil(least * n - 1e-9) + 1, n - math.ceil(2 * least / (1 + least) * n - 1e-9) + 1
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit per slot of hashes: whether an odd number of the set's shingles fall in it. Two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (node, size, root, hashes) -> a row for each shingle of the prefix: shingle, place in the order, whether the set is found by it."""
+def _prefixes(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (node, size, root, shared: those of its shingles that other roots have too, with their counts) -> a row for each shared
+    shingle of the prefix: shingle, place in the order, whether the set is found by it, how many shingles aren't shared, parity."""
     for b in batches:
-        keys, places, found, rows = [], [], [], []
-        for i, raw in enumerate(b.column(3)):
-            s = np.frombuffer(raw.as_py(), np.uint64)
-            asked, finds = prefix_lengths(len(s), least)
-            order = np.lexsort((s, counts[_slot(s)]))[:asked]
+        keys, places, found, rows, alone, bits = [], [], [], [], [], []
+        for i, size in enumerate(b.column(1).to_pylist()):
+            shared = b.column(3)[i].values
+            n, s = shared.field("n").to_numpy(), shared.field("shingle").to_numpy().view(np.uint64)
+            asked, finds = prefix_lengths(size, least)
+            order = np.lexsort((s, n))[: max(0, asked - (size - len(s)))]
             keys.append(s[order].view(np.int64))
-            places.append(np.arange(asked, dtype=np.int32))
-            found.append(np.arange(asked) < finds)
-            rows.append(np.full(asked, i, np.int64))
+            places.append(np.arange(len(order), dtype=np.int32) + (size - len(s)))
+            found.append(places[-1] < finds)
+            rows.append(np.full(len(order), i, np.int64))
+            alone.append(size - len(s))
+            bits.append(parity(s))
         if rows:
-            at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), pa.array(np.concatenate(found)), *(b.column(i).take(at) for i in range(3))], ["shingle", "place", "finds", "node", "size", "root"])
+            at = np.concatenate(rows)
+            more = [pa.array(np.array(alone, np.int32)[at]), *(pa.array(np.ascontiguousarray(w)) for w in np.array(bits)[at].T)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), pa.array(np.concatenate(found)), *(b.column(i).take(pa.array(at)) for i in range(3)), *more], ["shingle", "place", "finds", "node", "size", "root", "alone", *_BITS])
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs of unlike root among `members` (node, size, root) that may be `least` alike: exact by size, prefix and place.
+    """Pairs of unlike root among `members` (node, size, root) that may be `least` alike: exact by size, prefix, place and parity.
 
-    Sets that share only a common passage have rarer shingles before it and don't meet in it; those that do meet could
-    still be alike by what lies behind. So no bucket is compared all with all."""
+    Shingles of one root alone come first in the order, as no such pair meets in them, then the others by their counts, rarest
+    first. Sets that share only a common passage have rarer shingles before it and don't meet in it; of those that do meet (near copies
+    of one text that are less than `least` alike do), the shingles that only one of two sets can have tell most. So no bucket is
+    compared all with all, and what comes out is little more than the links."""
     held = materialise(members.join(sets, "node").select("node", "size", "root", "hashes"), "members")
-    summed = held.select("hashes").mapInArrow(_counts, "part int, n binary").groupBy("part").applyInArrow(_summed, "part int, n binary").toArrow()
-    counts = np.zeros((SLOTS // SLOTS_A_ROW, SLOTS_A_ROW), np.int64)
-    for part, n in zip(summed.column("part").to_pylist(), summed.column("n"), strict=True):
-        counts[part] = np.frombuffer(n.as_py(), np.int64)
-    counts = counts.ravel()
-    rows = held.mapInArrow(lambda it: _prefixes(it, counts, least), "shingle long, place int, finds boolean, node long, size int, root long")
+    each = materialise(held.mapInArrow(_exploded, "shingle long, node long, root long"), "shingles")
+    known = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    known = materialise(known.filter("low != high").select("shingle", "n"), "counts")
+    shared = each.join(known, "shingle").groupBy("node").agg(F.collect_list(F.struct("n", "shingle")).alias("shared"))
+    rows = held.drop("hashes").join(shared, "node").select("node", "size", "root", "shared")
+    rows = rows.mapInArrow(lambda it: _prefixes(it, least), f"shingle long, place int, finds boolean, node long, size int, root long, alone int, {', '.join(f'{c} long' for c in _BITS)}")
     rows = materialise(rows, "prefixes")
     x, y = rows.filter("finds").alias("x"), rows.alias("y")
     need = F.ceil((F.col("x.size") + F.col("y.size")) * F.lit(least / (1 + least)) - F.lit(1e-9))
     smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
     fits = smaller & (F.col("x.root") != F.col("y.root")) & (F.col("x.size") >= F.col("y.size") * F.lit(least) - F.lit(1e-9))
     fits &= F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= need
+    unlike = F.col("x.alone") + F.col("y.alone")
+    for c in _BITS:
+        unlike += F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    fits &= unlike <= F.col("x.size") + F.col("y.size") - 2 * need
     pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(fits)
     return materialise(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers  # noqa: F401
 from test_dedup import low
 
@@ -84,3 +85,23 @@ def test_recall(spark):
     got = {x.doc_id: x.component_id for x in similar.similar_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for k, x in enumerate(near):
         assert got[2 * k] == 2 * k and got[2 * k + 1] == (2 * k if x >= 0.8 else 2 * k + 1)
+
+
+def test_unlike_copies_are_not_paired(spark):
+    """Many copies of one text, too far from each other to be linked, beside texts that share nothing: all links come out, few other pairs."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**7)}" for _ in range(160)]
+    texts = [" ".join(f"x{r.randrange(10**7)}" if at in where else w for at, w in enumerate(base)) for where in (set(r.sample(range(160), 3)) for _ in range(150))]
+    texts += [f"{t} and" for t in texts[:20]] + [" ".join(f"v{r.randrange(10**7)}" for _ in range(1200)) for _ in range(150)]
+    sets = [similar.shingle_set(t.encode(), 5) for t in texts]
+    nodes = [similar.node_of(s) for s in sets]
+    held = spark.createDataFrame([(n, len(s), n) for n, s in zip(nodes, sets, strict=True)], "node long, size int, root long")
+    hashes = spark.createDataFrame([(n, s.tobytes()) for n, s in zip(nodes, sets, strict=True)], "node long, hashes binary")
+    got = {tuple(x) for x in similar._prefix_pairs(held, hashes, 0.8).collect()}
+    want = set()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                want.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    assert want <= got and 20 <= len(want) and len(got) <= len(want) + 1000
