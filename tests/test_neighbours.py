@@ -40,3 +40,21 @@ def test_odd_rows(spark, tmp_path):
     assert [(x.key, x.neighbour, x.d2, x.rank) for x in V.search(df, index, model, 3).orderBy("key").collect()] == [(1, 2, 1.0, 1), (2, 1, 1.0, 1)]
     empty = df.limit(0)
     assert V.search(empty, index, model, 3).collect() == [] and V.fit(empty).probes == 1
+
+
+def test_evenly_spread_vectors_and_copies(spark, tmp_path):
+    """Where all are about as far from each other the codes still tell who is near; of more copies than are compared exactly those of
+    the smallest keys are found."""
+    r = np.random.default_rng(8)
+    v = r.normal(size=(4000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[r.permutation(4000)[:500]] = v[0]
+    df = frame(spark, v)
+    model = V.fit(df)
+    index = V.build(df, model, str(tmp_path / "i"))
+    asked = df.filter("key % 20 = 0")
+    exact = {(x.key, x.neighbour) for x in M.knn(asked, df, 10).collect()}
+    got = {(x.key, x.neighbour) for x in V.search(asked, index, model, 10, again=2).collect()}
+    same = {i for i in range(4000) if (v[i] == v[0]).all()}
+    assert len(exact & got) >= 0.9 * len(exact)
+    assert {p for p in exact if p[0] in same} == {p for p in got if p[0] in same}
