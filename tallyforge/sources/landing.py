@@ -29,36 +29,52 @@ def next_url(link: Column, url: Column) -> Column:
     return F.when((found != "") & (site(found) == site(url)), found)
 
 
+def _success(status: Column) -> Column:
+    return F.coalesce(status.between(200, 299), F.lit(False))
+
+
 def _answers(responses: DataFrame) -> DataFrame:
-    """The answer that counts of each URL of a fetch, without its body: the last one, as a repeated request's is."""
-    last = F.max_by(F.struct("no", "status", next_url(F.col("link"), F.col("url")).alias("next")), "no").alias("a")
-    return responses.filter("url IS NOT NULL").groupBy("fetch", "url").agg(last).select("fetch", "url", "a.*")
+    """The answer that counts of each URL of a fetch, the last one, as a repeated request's is: (name, fetch, url, begins: whether any of
+    them does, no, status, next, body). `name` is a hash, by which rows sort sooner than by URLs that begin alike."""
+    rows = responses.filter("fetch IS NOT NULL AND url IS NOT NULL").withColumn("name", F.xxhash64("fetch", "url"))
+    same = Window.partitionBy("name", "fetch", "url")
+    numbered = rows.withColumns({"nth": F.row_number().over(same.orderBy(F.desc("no"))), "begins": F.coalesce(F.max("begins").over(same), F.lit(False))})
+    told = lambda c: F.when(F.col("no").isNotNull(), c)
+    following = F.when(_success(F.col("status")), next_url(F.col("link"), F.col("url")))
+    return numbered.filter("nth = 1").select("name", "fetch", "url", "begins", "no", told(F.col("status")).alias("status"), told(following).alias("next"), told(F.col("body")).alias("body"))
 
 
 def follow(responses: DataFrame, lists: DataFrame | None = None, limit: int = MAX_PAGES) -> DataFrame:
     """SC10: the pages of each list: (fetch, list, page from 0, url, status, body, state). `lists` (fetch, list) leaves out others.
 
     A list's state is 'cut' if it goes on beyond `limit` pages, 'broken' if a page is missing or isn't a success (a missing one has no
-    status), else 'whole'. Links in a circle are read up to the limit. Links of 2^k steps are joined with themselves, so that twenty
-    pages take five rounds whatever the number of lists; only names travel until the bodies join at the end."""
-    known = materialise(_answers(responses), "answers")
-    begins = responses.filter("begins AND url IS NOT NULL").select("fetch", F.col("url").alias("list")).distinct()
+    status), else 'whole'. Links in a circle are read up to the limit. Answers are read and written once, with a number each; one join
+    tells which number each link leads to (a missing page has the negative one of the answer that names it). Links of 2^k steps are then
+    joined with themselves, so that twenty pages take five rounds whatever the number of lists; only numbers travel until the bodies
+    join at the end."""
+    known = materialise(_answers(responses).withColumn("id", F.monotonically_increasing_id()), "answers")
+    heads = known.filter("begins").select("fetch", F.col("url").alias("list"), F.col("id").alias("head"), _success(F.col("status")).alias("ok"))
     if lists is not None:
-        begins = begins.join(lists.select("fetch", "list"), ["fetch", "list"], "left_semi")
-    pages = begins.select("fetch", "list", F.col("list").alias("url"), F.lit(0).alias("page"))
-    jump, step = known.filter("next IS NOT NULL AND status BETWEEN 200 AND 299").select("fetch", "url", F.col("next").alias("to")), 1
+        heads = heads.join(lists.select("fetch", "list"), ["fetch", "list"], "left_semi")
+    links = known.filter("next IS NOT NULL").select(F.xxhash64("fetch", "next").alias("name"), "fetch", F.col("next").alias("url"), F.col("id").alias("at"))
+    led = links.join(known.select("name", "fetch", "url", "id", _success(F.col("status")).alias("ok")), ["name", "fetch", "url"], "left")
+    jump, step = materialise(led.select("at", F.coalesce("id", -1 - F.col("at")).alias("to"), F.coalesce("ok", F.lit(False)).alias("ok")), "jumps"), 1
+    pages = heads.select("head", F.col("head").alias("at"), F.lit(0).alias("page"), "ok")
     while step <= limit:  # one page beyond the limit tells that a list is cut
-        reached = pages.join(jump, ["fetch", "url"]).select("fetch", "list", F.col("to").alias("url"), (F.col("page") + step).alias("page"))
+        reached = pages.drop("ok").join(jump, "at").select("head", F.col("to").alias("at"), (F.col("page") + step).alias("page"), "ok")
         pages = materialise(pages.unionByName(reached.filter(F.col("page") <= limit)), "pages")
         step *= 2
         if step <= limit:
-            jump = materialise(jump.join(jump.select("fetch", F.col("url").alias("to"), F.col("to").alias("then")), ["fetch", "to"]).select("fetch", "url", F.col("then").alias("to")), "jumps")
-    met = pages.join(known.select("fetch", "url", "no", "status"), ["fetch", "url"], "left")
-    bad = (F.col("page") < limit) & ~F.coalesce(F.col("status").between(200, 299), F.lit(False))
-    state = F.when(F.max(bad), "broken").when(F.max("page") >= limit, "cut").otherwise("whole").alias("state")
-    states = met.groupBy("fetch", "list").agg(state)
-    bodies = responses.select("fetch", "url", "no", "body")
-    return met.filter(F.col("page") < limit).join(states, ["fetch", "list"]).join(bodies, ["fetch", "url", "no"], "left").select("fetch", "list", "page", "url", "status", "body", "state")
+            jump = materialise(jump.select("at", F.col("to").alias("by")).join(jump.select(F.col("at").alias("by"), "to", "ok"), "by").select("at", "to", "ok"), "jumps")
+    own = Window.partitionBy("head")
+    bad = F.max((F.col("page") < limit) & ~F.col("ok")).over(own)
+    state = F.when(bad, "broken").when(F.max("page").over(own) >= limit, "cut").otherwise("whole").alias("state")
+    held = pages.select("head", "at", "page", state).filter(F.col("page") < limit).join(heads.drop("ok"), "head")
+    missing = F.col("at") < 0
+    held = held.select("fetch", "list", "page", "state", missing.alias("missing"), F.when(missing, -1 - F.col("at")).otherwise(F.col("at")).alias("id"))
+    there = lambda c: F.when(~F.col("missing"), F.col(c)).alias(c)
+    url = F.when(F.col("missing"), F.col("next")).otherwise(F.col("url")).alias("url")
+    return held.join(known.select("id", "url", "next", "status", "body"), "id").select("fetch", "list", "page", url, there("status"), there("body"), "state")
 
 
 def items(pages: DataFrame) -> DataFrame:

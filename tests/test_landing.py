@@ -59,6 +59,20 @@ def test_follow_is_a_walk(spark):
         assert limit != 5 or {w[0] for w in want.values()} == {"whole", "cut", "broken"}
 
 
+def test_answers_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            seen.add(x.num_rows)
+            yield x
+
+    found = [(1, p == 0, f"{A}?page={p}" if p else A, 200, link(f"{A}?page={p + 1}") if p < 6 else None, None, f"[{p}]") for p in range(7)]
+    got = L.items(L.follow(rows(spark, found).mapInArrow(counted, L.RESPONSES))).collect()
+    assert sorted((x.list, x.page, x.item, x.state) for x in got) == [(A, p, str(p), "whole") for p in range(7)]
+    assert seen.value == len(found)
+
+
 def test_odd_answers(spark):
     none = spark.createDataFrame([], L.RESPONSES)
     assert L.follow(none).count() == L.items(L.follow(none)).count() == L.open_threads(none).count() == 0
