@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import bodies, in_runs, materialise, ship
-from tallyforge.llm.substring import _M1, Batch, _grams, _mix, _slices, pack, unpack
+from tallyforge.llm.substring import _M1, Batch, _mix, _slices, pack, unpack
 
 #: Longest n-gram, the factor of each step back, and the count of a word that no other document has.
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text of a run, for each hash range too, and bits of an n-gram's key.
 RUN_BYTES, BITS = 8 << 20, 56
+#: Words of whole documents, about, whose n-grams are in memory at once beside the run's distinct keys.
+CHUNK_WORDS = 1 << 17
 
 ASK = {"slice": pa.int32(), "batch": pa.int32(), "a": pa.binary(), "n": pa.binary(), "tokens": pa.int64()}
 SAY = {"batch": pa.int32(), "slice": pa.int32(), "n": pa.binary(), "tokens": pa.int64()}
@@ -29,48 +32,72 @@ def _table(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
 
 
 class Grams:
-    """N-grams of a batch: for each order, where they start (none across documents) and their keys."""
+    """N-grams of a batch, worked out by chunks of whole documents: of all of them only the sorted distinct keys are held."""
 
     def __init__(self, table: pa.Table) -> None:
         self.b = Batch(table, lower=True)
         self.batch = table.column("batch")[0].as_py()
-        self.starts, self.keys = [], []
-        for k in range(1, ORDER + 1):
-            at = self.b.windows(k)
-            self.starts.append(at)
-            self.keys.append(_mix(_grams(self.b.wh, k, _M1)[at] + np.uint64(k)) >> np.uint64(64 - BITS) if len(at) else np.zeros(0, np.uint64))
+        self.b.bodies = self.b.table = None
         #: per order and start: occurrences in other documents
         self.others = np.zeros((ORDER, len(self.b.wh)), np.int64)
 
-    def ask(self, key: np.ndarray, slices: int, told: bool) -> pa.Table:
+    def chunks(self) -> Iterator[tuple[int, int]]:
+        """First documents and ends of the chunks."""
+        ends, d = np.cumsum(self.b.counts), 0
+        while d < len(ends):
+            e = max(d + 1, int(np.searchsorted(ends, self.b.first[d] + CHUNK_WORDS, "right")))
+            yield d, e
+            d = e
+
+    def words(self, d: int, e: int) -> slice:
+        return slice(int(self.b.first[d]), int(self.b.first[e - 1] + self.b.counts[e - 1]))
+
+    def grams(self, order: int, d: int, e: int, chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Where n-grams of these documents start (none across documents; only the chosen ones), and their keys."""
+        at = self.words(d, e)
+        owner = self.b.owner[at]
+        n = max(0, len(owner) - order)
+        whole = owner[:n] == owner[order : order + n]
+        start = at.start + np.nonzero(whole if chosen is None else whole & chosen[at.start : at.start + n])[0]
+        h = np.zeros(len(start), np.uint64)
+        for j in reversed(range(order + 1)):
+            h = h * np.uint64(_M1) + self.b.wh[start + j]
+        return start, _mix(_mix(h) + np.uint64(order + 1)) >> np.uint64(64 - BITS)
+
+    def distinct(self, orders: list[int], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of these orders, in order, and how often each occurs."""
+        key = np.concatenate([np.zeros(0, np.uint64), *(self.grams(k, d, e, chosen)[1] for d, e in self.chunks() for k in orders)])
+        key.sort()
+        at = np.nonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))[0]
+        return key[at], np.diff(at, append=len(key))
+
+    def ask(self, slices: int, told: bool, orders: list[int], chosen: np.ndarray | None = None) -> pa.Table:
         """Distinct keys with their counts, by hash range; range 0 also takes the number of words."""
-        key, n = np.unique(key, return_counts=True)
+        key, n = self.distinct(orders, chosen)
         cut = _slices(key, slices, BITS)
         rows = [(i, self.batch, pack(key[cut[i] : cut[i + 1]], True), pack(n[cut[i] : cut[i + 1]]), len(self.b.wh) if told and i == 0 else 0) for i in range(slices) if told and i == 0 or cut[i] < cut[i + 1]]
         return _table(ASK, rows)
 
     def hear(self, said: pa.Table, orders: list[int], chosen: np.ndarray | None = None) -> None:
         """Take the corpus' counts of all n-grams of these orders (of one order: of the chosen ones), less the document's own."""
-        parts = [self.keys[k] if chosen is None else self.keys[k][chosen] for k in orders]
-        key, at = np.unique(np.concatenate(parts), return_inverse=True)
+        key = self.distinct(orders, chosen)[0]
         said = said.sort_by("slice")
-        total = np.concatenate([np.zeros(0, np.uint64), *(unpack(x) for x in said.column("n").to_pylist())]).astype(np.int64)
-        end = 0
-        for k, part in zip(orders, parts, strict=True):
-            own_key, start = at[end : end + len(part)], self.starts[k] if chosen is None else self.starts[k][chosen]
-            end += len(part)
-            _, back, own = np.unique(self.b.owner[start] * max(len(key), 1) + own_key, return_inverse=True, return_counts=True)
-            self.others[k, start] = total[own_key] - own[back]
+        total = np.concatenate([np.zeros(0, np.uint64), *(unpack(x.as_py()) for x in said.column("n"))]).astype(np.int64)
+        for d, e in self.chunks():
+            for k in orders:
+                start, part = self.grams(k, d, e, chosen)
+                name, at = np.unique(part, return_inverse=True)
+                _, back, own = np.unique((self.b.owner[start] - d) * max(len(name), 1) + at, return_inverse=True, return_counts=True)
+                self.others[k, start] = total[np.searchsorted(key, name)][at] - own[back]
 
     def may_repeat(self) -> np.ndarray:
-        """Trigrams that another document can have: it then has both of their bigrams."""
-        s = self.starts[2]
-        return np.nonzero((self.others[1, s] > 0) & (self.others[1, s + 1] > 0))[0]
+        """Trigrams that another document can have, by their starts: it then has both of their bigrams."""
+        known = self.others[1] > 0
+        return known & np.concatenate([known[1:], np.zeros(min(1, len(known)), bool)])
 
 
 def _ask_short(table: pa.Table, slices: int) -> pa.Table:
-    g = Grams(table)
-    return g.ask(np.concatenate(g.keys[:2]), slices, True)
+    return Grams(table).ask(slices, True, [0, 1])
 
 
 def _ask_long(table: pa.Table, said: pa.Table, slices: int) -> pa.Table:
@@ -78,7 +105,7 @@ def _ask_long(table: pa.Table, said: pa.Table, slices: int) -> pa.Table:
         return _table(ASK, [])
     g = Grams(table)
     g.hear(said, [0, 1])
-    return g.ask(g.keys[2][g.may_repeat()], slices, False)
+    return g.ask(slices, False, [2], g.may_repeat())
 
 
 def _say(table: pa.Table) -> pa.Table:
@@ -103,25 +130,28 @@ def _score(table: pa.Table, said: pa.Table) -> pa.Table:
     g.hear(short, [0, 1])
     g.hear(of(2), [2], g.may_repeat())
     corpus = short.sort_by("slice").column("tokens")[0].as_py()
-    n = len(b.wh)
-    place = np.arange(n) - b.first[b.owner]
-    rest = np.maximum(corpus - b.counts[b.owner], 1)
-    one, two, three = g.others
-    score = np.log(np.maximum(one, UNSEEN) / rest) + np.minimum(place, 2) * math.log(BACKOFF)
-    used = np.ones(n, np.int64)
-    i = np.nonzero(place >= 1)[0]
-    i = i[two[i - 1] > 0]
-    score[i] = np.log(two[i - 1] / one[i - 1]) + (place[i] >= 2) * math.log(BACKOFF)
-    used[i] = 2
-    i = np.nonzero(place >= 2)[0]
-    i = i[three[i - 2] > 0]
-    score[i] = np.log(three[i - 2] / two[i - 2])
-    used[i] = 3
-    docs = len(b.counts)
-    by = [np.bincount(b.owner[used == k], minlength=docs) for k in (3, 2, 1)]
-    sums = np.bincount(b.owner, weights=score, minlength=docs)
+    cols = [[] for _ in range(4)]
+    for d, e in g.chunks():
+        counts, first, at = b.counts[d:e], b.first[d:e], g.words(d, e)
+        owner, n = b.owner[at] - d, at.stop - at.start
+        place = np.arange(at.start, at.stop) - first[owner]
+        rest = np.maximum(corpus - counts[owner], 1)
+        one, two, three = g.others[:, at]
+        score = np.log(np.maximum(one, UNSEEN) / rest) + np.minimum(place, 2) * math.log(BACKOFF)
+        used = np.ones(n, np.int64)
+        i = np.nonzero(place >= 1)[0]
+        i = i[two[i - 1] > 0]
+        score[i] = np.log(two[i - 1] / one[i - 1]) + (place[i] >= 2) * math.log(BACKOFF)
+        used[i] = 2
+        i = np.nonzero(place >= 2)[0]
+        i = i[three[i - 2] > 0]
+        score[i] = np.log(three[i - 2] / two[i - 2])
+        used[i] = 3
+        for c, k in zip(cols, (3, 2, 1), strict=False):
+            c += np.bincount(owner[used == k], minlength=e - d).tolist()
+        cols[3] += np.bincount(owner, weights=score, minlength=e - d).tolist()
     ids = [None if x else int(i) for x, i in zip(b.null, b.ids, strict=True)]
-    return _table(OUT, list(zip(ids, b.counts.tolist(), *(x.tolist() for x in by), sums.tolist(), strict=True)))
+    return _table(OUT, list(zip(ids, b.counts.tolist(), *cols, strict=True)))
 
 
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,12 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+import zstandard
 
 from tallyforge.llm import backoff
 
@@ -42,3 +45,22 @@ def test_scores(spark):
         assert got[:5] == want[:5] and got[5] == pytest.approx(want[5], abs=1e-6)
     assert backoff.backoff_scores(df.limit(0)).collect() == []
     assert [tuple(x) for x in backoff.backoff_scores(df.filter("doc_id = 102")).collect()][0][1] == 2
+
+
+def test_a_run_holds_few_arrays():
+    r = random.Random(3)
+    words = [[f"w{r.randrange(3000)}" for _ in range(1000)] for _ in range(600)]
+    deflate = zstandard.ZstdCompressor(3).compress
+    rows = [(i, deflate(" ".join(w).encode()), i, 0) for i, w in enumerate(words)]
+    names = {"doc_id": pa.int64(), "body": pa.binary(), "row": pa.int64(), "batch": pa.int32()}
+    run = backoff._table(names, rows)
+    asked = backoff._ask_short(run, 4)
+    n = [backoff.pack(3 * backoff.unpack(x)) for x in asked.column("n").to_pylist()]
+    said = backoff._table(backoff.SAY, list(zip([0] * 4, asked.column("slice").to_pylist(), n, [10**6] * 4, strict=True)))
+    tracemalloc.start()
+    try:
+        backoff._ask_long(run, said, 4)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120 * 600_000  # bytes a word
