@@ -54,7 +54,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8 or more), one row stays: that with the smallest id, of
-    equal ids the first.
+    equal ids the first. Fingerprints meet by pigeonhole blocks, as in op4; whole sets of shingles decide.
 
     Null and empty texts are one group; a row with a null id stays only where its group has no id; very long texts are
     compared as a whole; an empty table stays empty; other columns stay as they are."""

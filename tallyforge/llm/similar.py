@@ -1,7 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands and prefixes name candidates, the whole shingle sets decide."""
+"""Near copies by the Jaccard similarity of word shingles: pigeonhole blocks of wide SimHash fingerprints name candidates, the whole shingle sets decide."""
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -13,12 +14,17 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import bodies, materialise, scratch, ship
 from tallyforge.llm.graph import components
-from tallyforge.llm.simhash import SEED, shingle_hashes
+from tallyforge.llm.simhash import SEED, _settle, shingle_hashes
 from tallyforge.llm.tokens import forget
 
-#: Bands and minima per band: a pair of similarity s shares a band with chance 1 - (1 - s^4)^24, all but 3.2e-6 at 0.8.
-BANDS, ROWS = 24, 4
-_DRAWS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64, endpoint=False)
+#: Chance that two sets of similarity 0.8 share no block, the share of equal bits expected of them (1 - acos(8 / 9) / pi), and the
+#: most bits of a block.
+MISS, AGREE, MOST_BITS = 3e-6, 0.8485, 20
+#: Bits by which the first CHECKED bits of two fingerprints differ at most: 19.4 are expected at 0.8, more come with a chance of 2e-6.
+CHECKED, RADIUS = 128, 38
+#: Buckets up to this size are compared all with all; in larger ones, those near to one leader are taken together first.
+BRUTE = 2048
+_DRAWS = np.random.default_rng(SEED).integers(0, 2**64, (2, 128), np.uint64, endpoint=False)
 _MIX, _FACTOR = _DRAWS[0], _DRAWS[1] | np.uint64(1)
 #: Words of 64 bits in which a set's shared shingles are told by parity. Any number gives right pairs, more give fewer to compare.
 PARITY = 8
@@ -37,23 +43,116 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """A key per band; none for an empty set."""
-    if not len(s):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(s), 4096):
-        np.minimum(least, ((s[None, at : at + 4096] ^ _MIX) * _FACTOR).min(axis=1), out=least)
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64)
+def block_plan(count: int) -> tuple[int, int]:
+    """Blocks of a fingerprint and bits of each, for so many documents. Fingerprints that differ in fewer bits than there are blocks agree in one;
+    of pairs of similarity 0.8, all but MISS do. A bucket of unrelated ones stays at some two hundred."""
+    bits = min(MOST_BITS, max(4, math.ceil(math.log2(max(count, 2))) - 8))
+    return max(-(-CHECKED // bits), math.ceil(math.log(MISS) / math.log(1 - AGREE**bits))), bits
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def wide_fingerprint(s: np.ndarray, n: int) -> np.ndarray:
+    """The first n bits (at most 8192) of a set's fingerprint: 1 where it is set in over half of its hashes, which are mixed anew for each 64 bits."""
+    words = -(-n // 64)
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(s), 255):  # eight counters of a byte each hold up to 255
+        x = (s[at : at + 255, None] ^ _MIX[:words]) * _FACTOR[:words]
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.view(np.uint8), axis=1).view(np.uint64).sum(axis=0).view(np.uint8)
+    return (2 * counts > len(s))[:n]
+
+
+def block_keys(fp: np.ndarray, blocks: int, bits: int) -> np.ndarray:
+    """The bucket of each block: its number and its bits."""
+    return (fp[: blocks * bits].reshape(blocks, bits) @ (1 << np.arange(bits)) + (np.arange(blocks) << bits)).astype(np.int32)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], width: int, blocks: int, bits: int) -> Iterator[pa.RecordBatch]:
     forget()
     for b in batches:
         sets = [shingle_set(x, width) for x in b.column(1).to_pylist()]
-        keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), keys], ["doc_id", "node", "size", "keys"])
+        made = [wide_fingerprint(s, max(CHECKED, blocks * bits)) for s in sets]
+        keys = pa.array([block_keys(f, blocks, bits) for f in made], pa.list_(pa.int32()))
+        checked = np.packbits(np.array([f[:CHECKED] for f in made], bool).reshape(len(made), CHECKED), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in checked.T), keys], ["doc_id", "node", "size", "first", "second", "keys"])
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= RADIUS
+
+
+def _large_bucket(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all fingerprints of a bucket that are near each other, perhaps others: each goes to the first leader near it, leaders
+    with followers are taken together, and only those that follow none are compared with all others."""
+    left, alone, first, a, b = np.arange(len(f)), [], None, [], []
+    while len(left):
+        near = _near(f[left], f[left[0]])
+        near[0] = True
+        took, left = left[near], left[~near]
+        if len(took) == 1:
+            alone.append(took[0])
+            continue
+        first = took[0] if first is None else first
+        a.append(took)
+        b.append(np.full(len(took), first))
+    followers = np.concatenate(a) if a else np.zeros(0, np.int64)
+    for i in alone:
+        near = followers[_near(f[followers], f[i])]
+        a.append(near)
+        b.append(np.full(len(near), i))
+    return (np.concatenate(a), np.concatenate(b)) if a else (followers, followers)
+
+
+def near_labels(bucket: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """For rows sorted by bucket, the first row that each can reach by steps of at most RADIUS bits within its bucket."""
+    starts = np.r_[0, np.nonzero(np.diff(bucket))[0] + 1]
+    sizes = np.diff(np.r_[starts, len(bucket)])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, n in zip(starts[sizes > BRUTE].tolist(), sizes[sizes > BRUTE].tolist(), strict=True):
+        x, y = _large_bucket(f[at : at + n])
+        a.append(x + at)
+        b.append(y + at)
+    end, step = np.repeat(np.where(sizes > BRUTE, 0, starts + sizes), sizes), 1
+    at = np.nonzero(np.arange(1, len(bucket) + 1) < end)[0]
+    while len(at):
+        hit = at[_near(f[at], f[at + step])]
+        a.append(hit)
+        b.append(hit + step)
+        step += 1
+        at = at[at + step < end[at]]
+    return _settle(np.arange(len(bucket)), np.concatenate(a), np.concatenate(b))
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, size, first, second) sorted by bucket and node -> (key, node, size): those near each other, by their first node."""
+    held, n = [], 0
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            held.append(b)
+            n += b.num_rows
+            if n < 65_536:
+                continue
+        t = pa.Table.from_batches(held) if held else None
+        if not n:
+            continue
+        bucket = t.column("bucket").to_numpy()
+        cut = n if b is None else int(np.searchsorted(bucket, bucket[-1]))
+        if cut:
+            f = np.stack([t.column(c).to_numpy()[:cut] for c in ("first", "second")], axis=1).view(np.uint64)
+            label = near_labels(bucket[:cut], f)
+            at = np.nonzero(np.bincount(label, minlength=cut)[label] > 1)[0]
+            node = t.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[label[at]]), pa.array(node[at]), pa.array(t.column("size").to_numpy()[at])], ["key", "node", "size"])
+        held = t.slice(cut).to_batches()
+        n -= cut
+
+
+def near_stars(nodes: DataFrame) -> DataFrame:
+    """(key, node, size) of `nodes` (node, size, first, second, keys): nodes that share a block and differ in at most RADIUS of the first
+    CHECKED bits, or are joined by steps of such ones in one bucket, have a key in common. A large group costs a row per member and bucket, no pairs."""
+    rows = nodes.select(F.explode("keys").alias("bucket"), "node", "size", "first", "second")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
+    return dealt.mapInArrow(_stars, "key long, node long, size int").distinct()
 
 
 def prefix_lengths(n: int, least: float) -> tuple[int, int]:
@@ -162,9 +261,10 @@ def _pairs(df: DataFrame, x: str, y: str, least: float) -> DataFrame:
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest id reachable by steps of similarity `least` or more).
 
-    Similarity is the Jaccard similarity of the sets of lowercased `width`-word shingles. Two rounds compare the nodes of
-    each bucket with one of them, so a large group of near copies costs a pair per member and bucket; only then are the nodes
-    of buckets that aren't connected yet paired by the shingles of their prefixes, which misses no pair of them.
+    Similarity is the Jaccard similarity of the sets of lowercased `width`-word shingles. Their fingerprints meet by pigeonhole
+    blocks and are verified by Hamming distance. Two rounds compare the nodes of each star of near fingerprints with one of
+    them on their whole sets, so a large group of near copies costs a pair per member and star; only then are the nodes
+    of stars that aren't connected yet paired by the shingles of their prefixes, which misses no pair of them.
 
     Texts of fewer words are one shingle; null and empty texts, and those without a word, are alike. A null id takes part
     and is smallest only where no other id is (component_id is then null). Repeated rows are one node; a very long text's whole
@@ -173,8 +273,10 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(spark)
     with scratch(spark):
         texts = bodies(docs, id_col, text_col)
-        rows = materialise(texts.mapInArrow(lambda it: _sketches(it, width), "doc_id long, node long, size int, keys array<long>"), "sketches")
-        open_ = materialise(rows.select("node", "size", F.explode("keys").alias("key")).distinct().withColumn("root", F.col("node")), "buckets")
+        plan = block_plan(docs.count())
+        rows = materialise(texts.mapInArrow(lambda it: _sketches(it, width, *plan), "doc_id long, node long, size int, first long, second long, keys array<int>"), "sketches")
+        nodes = materialise(rows.filter("size > 0").drop("doc_id").dropDuplicates(["node"]), "nodes")
+        open_ = materialise(near_stars(nodes).withColumn("root", F.col("node")), "stars")
         sets = links = roots = None
         for pick in (F.min, F.max, None):
             lead = pick(F.struct("node", "size", "root")) if pick else F.struct(F.mode("root").alias("root"))

@@ -105,3 +105,32 @@ def test_unlike_copies_are_not_paired(spark):
             if both >= 0.8 * (len(a) + len(sets[j]) - both):
                 want.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
     assert want <= got and 20 <= len(want) and len(got) <= len(want) + 1000
+
+
+def test_fingerprint_blocks(spark, monkeypatch):
+    """Pairs of similarity 0.8 and more meet by a block of their fingerprints, verified by Hamming distance, in small and in large
+    buckets; unlike sets don't."""
+    r = np.random.default_rng(13)
+    plan, sets = similar.block_plan(200_000), []
+    for n in (9, 18, 45, 90, 450):
+        for _ in range(60):
+            a = r.integers(0, 2**64, n, np.uint64)
+            sets += [a, np.r_[a[: n * 8 // 9], r.integers(0, 2**64, n - n * 8 // 9, np.uint64)]]
+    base = r.integers(0, 2**64, 300, np.uint64)
+    sets += [np.r_[base[20:], r.integers(0, 2**64, 20, np.uint64)] for _ in range(100)]
+    made = [similar.wide_fingerprint(s, plan[0] * plan[1]) for s in sets]
+    rows = [(i, len(sets[i]), *(int(x) for x in np.packbits(f[:128]).view(np.int64)), similar.block_keys(f, *plan).tolist()) for i, f in enumerate(made)]
+    nodes = spark.createDataFrame(rows, "node long, size int, first long, second long, keys array<int>")
+    stars = {}
+    for x in similar.near_stars(nodes).collect():
+        stars.setdefault(x.key, set()).add(x.node)
+    met = {(min(s), i) for s in stars.values() for i in s}
+    assert all((i, i + 1) in met for i in range(0, 600, 2)) and len({i for _, i in met if i >= 600}) == 100
+    assert sum(i < 600 <= j or i + (i % 2 == 0) < j < 600 for i, j in met) <= 5
+    f = np.array([x[2:4] for x in rows]).view(np.uint64)
+    near = lambda i: np.bitwise_count(f ^ f[i]).sum(1) <= similar.RADIUS
+    for most in (2048, 16):
+        monkeypatch.setattr(similar, "BRUTE", most)
+        label = similar.near_labels(np.zeros(len(f), np.int32), f)
+        assert all((label[near(i)] == label[i]).all() for i in range(len(f))) and len(set(label[:600].tolist())) >= (300 if most > 700 else 2)
+    assert similar.near_stars(nodes.limit(0)).collect() == []
