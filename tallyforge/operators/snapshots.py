@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +15,11 @@ from tallyforge.sources.store import materialise
 
 #: Lines of context, bytes in which a NUL makes a file binary, and the similarity (percent) of a rename.
 CONTEXT, SNIFFED, ALIKE = 3, 8000, 50
-#: Rarest lines of a file by which its candidates for a rename are found, and files beyond which a line names nobody.
-RARE, COMMON = 24, 64
+#: Meetings of lines beyond which renames are first looked for from high similarities down, and these similarities (percent).
+#: They decide the order of the work only, not what is found.
+MANY, STEPS = 5_000_000, (95, 85, 75, 65)
+#: Larger than any file.
+_NONE = 1 << 62
 #: Bits of the table of one alignment; longer texts are halved.
 MOST_BITS = 1 << 28
 _DIFFS = "path string, old_path string, status string, added long, removed long, text string"
@@ -158,27 +164,199 @@ def unified(path: str, old_path: str | None, old: str | None, new: str | None, a
 
 def renames(gone: DataFrame, come: DataFrame) -> DataFrame:
     """(old_path, path, alike) over (path, text) of both sides: each new file with the vanished one that shares most of its text, as
-    percent of the larger one and ALIKE at least, each used once, best pairs first.
+    percent of the larger one and ALIKE at least, each used once, best pairs first, equal texts before all others. Shares count
+    lines as bags by their length.
 
-    Candidates share a whole text or one of their RARE rarest lines, which no more than COMMON files of a side have; so no two
-    folders of files are paired. Shares count lines as bags by their length."""
+    All pairs of ALIKE and more are looked at. Where they are many, those of high similarities are walked before lower ones are
+    looked for, which the walk's order allows: fewer files are left for them."""
     lines = lambda df: df.select("path", F.explode(F.split("text", "(?<=\n)")).alias("line")).filter("line <> ''").groupBy("path", F.xxhash64("line").alias("line"), F.octet_length("line").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    a, b = materialise(lines(gone), "gone"), materialise(lines(come), "come")
-    files = a.select("line").unionByName(b.select("line")).groupBy("line").agg(F.count(F.lit(1)).alias("files")).filter(F.col("files") <= 2 * COMMON)
-    rank = F.row_number().over(Window.partitionBy("path").orderBy("files", F.desc("size"), "line"))
-    rare = lambda df: df.join(files, "line").withColumn("rank", rank).filter(F.col("rank") <= RARE).select("path", "line")
-    near = rare(a).withColumnRenamed("path", "old_path").join(rare(b), "line").select("old_path", "path")
     digest = lambda df, name: df.filter("text <> ''").groupBy(F.sha2("text", 256).alias("sha")).agg(F.sort_array(F.collect_list("path")).alias(name))
     whole = digest(gone, "olds").join(digest(come, "news"), "sha").select(F.explode(F.arrays_zip("olds", "news")).alias("p"))
     exact = whole.select(F.col("p.olds").alias("old_path"), F.col("p.news").alias("path")).filter("old_path IS NOT NULL AND path IS NOT NULL")
-    exact = materialise(exact.withColumn("alike", F.lit(100)), "exact")
-    near = near.distinct().join(exact, "old_path", "left_anti").join(exact, "path", "left_anti")
-    both = near.join(a.withColumnRenamed("path", "old_path"), "old_path").join(b.select("path", "line", F.col("n").alias("m")), ["path", "line"])
-    shared = both.groupBy("old_path", "path").agg(F.sum(F.col("size") * F.least("n", "m")).alias("shared"))
-    size = lambda df, c: df.select(F.col("path").alias(c), F.octet_length("text").alias(f"{c}_size"))
-    scored = shared.join(size(gone, "old_path"), "old_path").join(size(come, "path"), "path")
-    scored = scored.withColumn("alike", F.floor(100 * F.col("shared") / F.greatest("old_path_size", "path_size")).cast("int")).filter(F.col("alike") >= ALIKE)
-    return exact.unionByName(first_choices(scored.select("old_path", "path", "alike"), "old_path", "path", [F.desc("alike"), "old_path", "path"]))
+    out = materialise(exact.withColumn("alike", F.lit(100)), "exact")
+    rest = lambda df, found, c: df.join(found.select(F.col(c).alias("path")), "path", "left_anti")
+    a, b = materialise(lines(rest(gone, out, "old_path")), "gone"), materialise(lines(rest(come, out, "path")), "come")
+    sides = _bags(a, b, ALIKE)
+    if _meetings(sides, ALIKE) > MANY:
+        for least in STEPS:
+            found = _paired(_bags(a, b, least), least)
+            out = out.unionByName(found)
+            a, b = materialise(rest(a, found, "old_path"), "gone"), materialise(rest(b, found, "path"), "come")
+        sides = _bags(a, b, ALIKE)
+    return out.unionByName(_paired(sides, ALIKE))
+
+
+def _bags(a: DataFrame, b: DataFrame, least: int) -> list[tuple[DataFrame, DataFrame]]:
+    """For each side (path, line, size, n): its files (path, bytes, within, bag) that can reach `least` percent by the lines that the
+    other side has too; and the lines of their bags (bag, line, size, n, bytes, rest), once for all files that have the same
+    such lines. Lines are in one order, those with fewest meetings first; `rest` is the length of a line and of those after it,
+    `bytes` that of a bag's smallest file."""
+    count = lambda df, c: df.groupBy("line").agg(F.count(F.lit(1)).alias(c))
+    both = materialise(count(a, "x").join(count(b, "y"), "line").select("line", (F.col("x") * F.col("y")).alias("meet")), "common")
+    weight, known, out = F.col("size") * F.col("n"), F.col("meet").isNotNull(), []
+    upto = Window.partitionBy("bag").orderBy("meet", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for df in (a, b):
+        names = [F.bit_xor(F.when(known, F.xxhash64(F.lit(k), "line", "n"))) for k in (0, 1)]
+        files = df.join(both, "line", "left").groupBy("path").agg(F.sum(weight).alias("bytes"), F.sum(F.when(known, weight)).alias("within"), F.concat_ws("-", *map(F.hex, names)).alias("bag"))
+        files = materialise(files.filter(100 * F.col("within") >= least * F.col("bytes")), "files")
+        one = files.groupBy("bag").agg(F.min("path").alias("path"), F.min("bytes").alias("bytes"), F.max("within").alias("within"))
+        rows = df.join(one, "path").join(both, "line")
+        out.append((files, materialise(rows.select("bag", "line", "size", "n", "bytes", (F.col("within") - F.sum(weight).over(upto) + weight).alias("rest")), "bags")))
+    return out
+
+
+def _first(lines: DataFrame, side: str, least: int) -> DataFrame:
+    """The lines of each bag that can be the first of those it shares with one of `least` percent: with all after them they
+    are long enough. Two such bags have their first shared line among these."""
+    rows = lines.filter(100 * F.col("rest") >= least * F.col("bytes"))
+    return rows.select("line", F.col("bag").alias(side), F.col("bytes").alias(f"{side}_bytes"), F.col("rest").alias(f"{side}_rest"))
+
+
+def _meetings(sides: list, least: int) -> int:
+    """In how many first lines two bags meet."""
+    x, y = (_first(lines, side, least).groupBy("line").agg(F.count(F.lit(1)).alias(side)) for side, (_, lines) in zip(("x", "y"), sides, strict=True))
+    return x.join(y, "line").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+
+
+def _paired(sides: list, least: int) -> DataFrame:
+    """The walk over all pairs of files that are alike by `least` percent or more."""
+    (olds, a), (news, b) = sides
+    enough = lambda x: 100 * x >= least * F.greatest("old_bytes", "new_bytes")
+    near = _first(a, "old", least).join(_first(b, "new", least), "line").filter(enough(F.least("old_rest", "new_rest")))
+    near = near.groupBy("old", "new").agg(F.max("old_bytes").alias("old_bytes"), F.max("new_bytes").alias("new_bytes"))
+    met = near.join(a.select(F.col("bag").alias("old"), "line", "size", "n"), "old").join(b.select(F.col("bag").alias("new"), "line", F.col("n").alias("m")), ["new", "line"])
+    shared = met.groupBy("old", "new", "old_bytes", "new_bytes").agg(F.sum(F.col("size") * F.least("n", "m")).alias("shared"))
+    pairs = materialise(shared.filter(enough(F.col("shared"))).select("old", "new", "shared"), "alike")
+    groups = materialise(_grouped(pairs), "groups")
+    files = lambda df, c, kind: df.join(groups.select("root", F.col(c).alias("bag")).distinct(), "bag").select("root", F.lit(kind).alias("kind"), F.col("path").alias("name"), "bag", F.col("bytes").alias("n"))
+    rows = groups.select("root", F.lit(0).alias("kind"), F.col("old").alias("name"), F.col("new").alias("bag"), F.col("shared").alias("n"))
+    rows = rows.unionByName(files(olds, "old", 1)).unionByName(files(news, "new", 2)).repartition("root").sortWithinPartitions("root", "kind", "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[str, str, int]] = []
+        put = lambda: pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in ((0, pa.string()), (1, pa.string()), (2, pa.int32()))], ["old_path", "path", "alike"])
+        root, walk = None, None
+        for batch in batches:
+            for r, kind, name, bag, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != root:
+                    made += walk.pairs() if walk else []
+                    root, walk = r, _Walk(least)
+                walk.add(kind, name, bag, n)
+            if len(made) >= 10_000:
+                yield put()
+                made = []
+        made += walk.pairs() if walk else []
+        yield put()
+
+    return materialise(rows.mapInArrow(run, "old_path string, path string, alike int"), "renames")
+
+
+def _grouped(pairs: DataFrame) -> DataFrame:
+    """(root, old, new, shared): pairs of bags with the smallest bag that they are linked to. Most bags have one partner, which has no
+    other; the rest is linked by rounds of stars, a few for any number of bags."""
+    alone = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k")).filter("k = 1").select(c)
+    lone = pairs.join(alone("old"), "old", "left_semi").join(alone("new"), "new", "left_semi")
+    tied = materialise(pairs.join(lone.select("old", "new"), ["old", "new"], "left_anti"), "tied")
+    named = lone.withColumn("root", F.concat(F.lit("a"), "old"))
+    if not tied.limit(1).count():
+        return named
+    roots = _roots(tied.select(F.concat(F.lit("b"), "new").alias("u"), F.concat(F.lit("a"), "old").alias("v")))
+    least = tied.withColumn("u", F.concat(F.lit("b"), "new")).join(roots, "u").select("old", "new", "shared", F.col("v").alias("root"))
+    return named.unionByName(least.select(*named.columns))
+
+
+def _roots(e: DataFrame) -> DataFrame:
+    """(u, v): each node with the smallest it is linked to, over edges (u, v) from larger to smaller ones."""
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    e = materialise(e.distinct(), "edges")
+    seen, now = None, mark(e)
+    while now != seen:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        large = materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        seen, now = now, mark(e)
+    return e
+
+
+class _Files:
+    """Files of one bag in the order of their paths: the smallest size of those left, and the first that isn't larger than asked."""
+
+    def __init__(self, files: list[tuple[int, int]]) -> None:
+        self.at = [i for i, _ in files]
+        self.width = 1 << (len(files) - 1).bit_length()
+        self.sizes = [_NONE] * self.width + [n for _, n in files] + [_NONE] * (self.width - len(files))
+        for i in range(self.width - 1, 0, -1):
+            self.sizes[i] = min(self.sizes[2 * i], self.sizes[2 * i + 1])
+
+    def first(self, most: int) -> int:
+        i = 1
+        while i < self.width:
+            i = 2 * i + (self.sizes[2 * i] > most)
+        return i - self.width
+
+    def drop(self, k: int) -> None:
+        i = k + self.width
+        self.sizes[i] = _NONE
+        while i > 1:
+            i //= 2
+            self.sizes[i] = min(self.sizes[2 * i], self.sizes[2 * i + 1])
+
+
+class _Walk:
+    """Bags that are linked, and their files: pairs of files in the order of what they share (floor of percent, most first), old path, new
+    path, each file once. The pairs themselves aren't listed: a vanished file asks its bag's partners for their best."""
+
+    def __init__(self, least: int) -> None:
+        self.least, self.partners, self.ids, self.olds, self.news = least, {}, {}, [], []
+
+    def add(self, kind: int, name: str, bag: str, n: int) -> None:
+        if kind == 0:
+            to, shared = self.partners.setdefault(name, (name, array("q"), array("q")))[1:]
+            to.append(self.ids.setdefault(bag, len(self.ids)))
+            shared.append(n)
+        elif kind == 1:
+            self.olds.append((name, self.partners[bag][0], n))
+        else:
+            self.news.append((name, self.ids[bag], n))
+
+    def pairs(self) -> list[tuple[str, str, int]]:
+        lists: list[list[tuple[int, int]]] = [[] for _ in self.ids]
+        for i, (_, bag, n) in enumerate(self.news):
+            lists[bag].append((i, n))
+        files = [_Files(x) for x in lists]
+        left, head = np.array([f.sizes[1] for f in files]), np.array([f.at[0] for f in files])
+        partners = {old: (np.frombuffer(to, np.int64), np.frombuffer(shared, np.int64)) for old, to, shared in self.partners.values()}
+
+        def best(size: int, to: np.ndarray, shared: np.ndarray) -> tuple[int, int, int, int]:
+            each = 100 * shared // np.maximum(size, left[to])
+            alike = int(each.max())
+            if alike < self.least:
+                return 0, 0, 0, 0
+            tied, common, choice, of, place = to[each == alike], shared[each == alike], len(self.news), 0, 0
+            for j in np.argsort(head[tied]).tolist():
+                if head[tied[j]] >= choice:
+                    break
+                k = files[tied[j]].first(100 * int(common[j]) // alike)
+                if files[tied[j]].at[k] < choice:
+                    choice, of, place = files[tied[j]].at[k], int(tied[j]), k
+            return alike, choice, of, place
+
+        out, queue = [], [(-100, i) for i in range(len(self.olds))]
+        while queue:
+            was, i = heapq.heappop(queue)
+            path, bag, size = self.olds[i]
+            alike, choice, of, place = best(size, *partners[bag])
+            if alike == -was:
+                f = files[of]
+                f.drop(place)
+                left[of], head[of] = f.sizes[1], f.at[f.first(_NONE - 1)] if f.sizes[1] < _NONE else len(self.news)
+                out.append((path, self.news[choice][0], alike))
+            elif alike:
+                heapq.heappush(queue, (-alike, i))
+        return out
 
 
 def first_choices(pairs: DataFrame, left: str, right: str, order: list) -> DataFrame:

@@ -119,3 +119,59 @@ def test_files_without_an_old_path_do_not_meet(spark):
     assert sorted((r.path, r.old_path, r.status) for r in got.collect()) == [*((f"p{i}", None, "M") for i in range(1, 8)), ("q0", "p0", "R")]
     joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
     assert joins and not any("old_path" in x for x in joins)
+
+
+def walked(gone, come):
+    """Renames by all pairs: equal texts first, then by percent shared, old path, new path; each file once."""
+    from collections import Counter
+
+    bag = lambda text: Counter(N.split_lines(text))
+    found = []
+    for p, x in gone.items():
+        for q, y in come.items():
+            shared = sum(len(k.encode()) * n for k, n in (bag(x) & bag(y)).items())
+            alike = 100 * shared // max(len(x.encode()), len(y.encode()))
+            if alike >= N.ALIKE:
+                found.append((x != y, -alike, p, q))
+    out, used = [], (set(), set())
+    for _, alike, p, q in sorted(found):
+        if p not in used[0] and q not in used[1]:
+            used[0].add(p)
+            used[1].add(q)
+            out.append((p, q, -alike))
+    return sorted(out)
+
+
+def renamed(spark, gone, come):
+    frame = lambda files: spark.createDataFrame(list(files.items()), "path string, text string")
+    return sorted(map(tuple, N.renames(frame(gone), frame(come)).collect()))
+
+
+def test_renames_by_common_lines(spark):
+    """What two files share is in many others too, or in none of their rarest lines: they are renames all the same."""
+    head = "".join(f"a line {i} that all files have\n" for i in range(6))
+    gone = {f"old/{i:03}": f"{head}own {i}\n" for i in range(140)}
+    come = {f"new/{i:03}": f"{head}other {i}\n" for i in range(139)}
+    # the 30 rarest lines of these two are in another file each, but not in each other
+    rare = {s: [f"a rare and very long line {s} {i}{'.' * 20}\n" for i in range(30)] for s in "xy"}
+    common = "".join(f"somewhat common line {i}{'-' * 60}\n" for i in range(40))
+    gone |= {"old/moved": common + "".join(rare["x"]), "old/much": common + "much more\n" * 2000} | {f"old/y{i}": line + f"{i} alone here\n" * 99 for i, line in enumerate(rare["y"])}
+    come |= {"new/moved": common + "".join(rare["y"])} | {f"new/x{i}": line + f"{i} alone there\n" * 99 for i, line in enumerate(rare["x"])}
+    got = renamed(spark, gone, come)
+    assert got == walked(gone, come) and len(got) == 140 and ("old/moved", "new/moved") in [g[:2] for g in got]
+
+
+@pytest.mark.parametrize("many", [None, 0])
+def test_renames_against_all_pairs(spark, monkeypatch, many):
+    """Few lines and many ties, in one search and in steps: the same pairs as from a list of all."""
+    if many is not None:
+        monkeypatch.setattr(N, "MANY", many)
+    r = random.Random(1)
+    pool = [f"{'ab' * r.randint(0, 9)}{i}\n" for i in range(30)]
+
+    def text(i):
+        some = r.choices(pool[i % 3 * 10 : i % 3 * 10 + 12], k=r.randint(1, 9))
+        return "".join(some) + ("é no end" if r.random() < 0.2 else f"{r.random()}\n" * r.randint(0, 2))
+
+    gone, come = ({f"{s}{i}": text(i) for i in range(60)} for s in "pq")
+    assert renamed(spark, gone, come) == walked(gone, come)
